@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annealjobs.llm.shared import saved, small_batches, table, utf8
+from annealjobs.llm.shared import bounded_sample, saved, small_batches, table, utf8
 
 SYMBOLS = b"#*$%&|<>"
 SPACES = b" \t\n\r\x0b\x0c"
@@ -169,14 +169,16 @@ def learn(rows: np.ndarray, bad: np.ndarray, prune: np.ndarray, min_precision: f
 
 
 def fit(table_of_stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 3) -> list[Rule]:
-    """The decision list from labels (doc_id, quality): a bounded sample, the train_rows of smallest hash.
+    """The decision list from labels (doc_id, quality): a bounded sample of about train_rows, chosen by hash.
 
     Rows that the base rules reject, null labels and labels of no document are left out; without labels
     of both kinds there are no rules.
     """
-    h = F.xxhash64(F.lit(seed), "doc_id")
     known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    rows = table_of_stats.where(~base_failed()).join(known, "doc_id").select(h.alias("h"), "quality", *_COUNTS).orderBy("h", "n_bytes").limit(train_rows).collect()
+    some = bounded_sample(known, ["doc_id"], train_rows, seed)
+    h = F.xxhash64(F.lit(seed + 1), "doc_id")
+    rows = table_of_stats.where(~base_failed()).join(some, "doc_id").select(h.alias("h"), "quality", *_COUNTS).collect()
+    rows.sort(key=lambda r: (r.h, r.n_bytes))
     if not rows:
         return []
     bad = np.array([r.quality == 0 for r in rows])

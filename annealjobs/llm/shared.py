@@ -37,6 +37,13 @@ def saved(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(rows: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
+    """About n rows, chosen by a hash of the key columns alone; never more than 2 n. Nothing but those rows moves."""
+    share = min(1.0, n / max(1, rows.count()))
+    draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / float(1 << 30)
+    return rows.where(draw < share).limit(2 * n)
+
+
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches by bytes: a batch of 10,000 long texts would not fit a worker."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))

@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from annealjobs.llm.shared import scratch, small_batches, table
+from annealjobs.llm.shared import bounded_sample, scratch, small_batches, table
 from annealjobs.llm.tokens import tokenizer_path, words
 
 END_ID, LEVEL = 2, 3
@@ -36,13 +36,13 @@ def encoded(text: str | None, path: str, end_id: int | None) -> bytes:
 
 
 def train_dictionary(docs: DataFrame, path: str, size: int = DICTIONARY_BYTES, sample: int = SAMPLE_DOCS) -> bytes:
-    """Dictionary bytes from a bounded sample: the documents of smallest hash, each one's first SAMPLE_CHARS.
+    """Dictionary bytes from a bounded sample of documents, chosen by hash, each one's first SAMPLE_CHARS.
 
     Too little text to train on gives the sample itself as a raw dictionary; no text gives none (b'').
     The sample shapes only the compression; every document is encoded whole.
     """
-    rows = docs.select(F.xxhash64("doc_id").alias("h"), F.substring("text", 1, SAMPLE_CHARS).alias("t")).where("t IS NOT NULL").orderBy("h").limit(sample).collect()
-    arrays = [x for r in rows if (x := encoded(r.t, path, None))]
+    rows = bounded_sample(docs.where("text IS NOT NULL"), ["doc_id"], sample, 5).select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).collect()
+    arrays = [x for t in sorted(r.t for r in rows) if (x := encoded(t, path, None))]
     if not arrays:
         return b""
     try:
