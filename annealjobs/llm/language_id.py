@@ -65,6 +65,8 @@ def profiles(labelled: DataFrame, top: int = TOP, train_rows: int = TRAIN_ROWS,
     rows = labelled.where("lang IS NOT NULL AND text IS NOT NULL")
     share = rows.groupBy("lang").agg((F.lit(float(train_rows)) / F.count("*")).alias("share"))
     draw = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # one row a language: where they are few (checked), texts need not move to meet them
+    share = F.broadcast(share) if len(share.take(10_001)) <= 10_000 else share
     sample = rows.select("doc_id", "text", "lang").join(share, "lang").where(draw < F.col("share")).select("lang", "text")
 
     def count(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
