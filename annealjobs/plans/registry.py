@@ -1,4 +1,706 @@
-"""Queries over the test tables and the SQL that checks them."""
+"""Queries over the test tables and, for each that SQL can express, the SQL that checks it."""
 
-QUERIES: dict = {}
+from __future__ import annotations
+
+import math
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from annealjobs.functions import logspace as lw
+from annealjobs.functions.keyed import uniform_sql
+from annealjobs.functions.scratch import new_path
+from annealjobs.operators import adaptive, evidence, experiments, hmm, ladders, resample, summaries, trees
+from annealjobs.plans import sampler
+from annealjobs.sources import fixtures, io
+from annealjobs.sources.fixtures import SQL, fixture
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+DELTA, BETA, SEED, HALF = 0.05, 0.25, 11, 0.5
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def rounded(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.round(c, 6) for c in columns})
+
+
+def lse_sql(rows: str, keys: str, x: str, out: str = "lse", more: str = "") -> str:
+    """A subquery with the log of the sum of exp(x) by keys."""
+    on = " AND ".join(f"a.{k.strip()} IS NOT DISTINCT FROM b.{k.strip()}" for k in keys.split(","))
+    named = ", ".join(f"a.{k.strip()}" for k in keys.split(","))
+    return f"(SELECT {named}, max(b.m) + ln(sum(exp(a.{x} - b.m))) AS {out}{more} FROM {rows} a JOIN (SELECT {keys}, max({x}) AS m FROM {rows} GROUP BY {keys}) b ON {on} GROUP BY {named})"
+
+
+PART = f"WITH part AS ({SQL['part']})"
+STEPPED = f"{PART}, stepped AS (SELECT *, ln(w) + {DELTA} * log_lik AS log_w, {DELTA} * log_lik AS dlog FROM part)"
+
+
+def part(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "part")
+
+
+def stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lw.carry_weights(part(spark, sf_dir).withColumn("dlog", DELTA * F.col("log_lik")))
+
+
+# Ladders, over particles
+
+
+def _along(ladder: DataFrame, particles: DataFrame) -> DataFrame:
+    rows = particles.crossJoin(F.broadcast(ladder.where("t > 0"))).withColumn("x", F.col("d_beta") * F.col("log_lik"))
+    return rounded(lw.log_sum_exp(rows, ["population_id", "t"], "x"), "lse")
+
+
+def _along_sql(n: int, beta: str, rows: int) -> str:
+    return f"""{PART}, ladder AS (SELECT t, beta - lag(beta, 1, 0.0) OVER (ORDER BY t) AS d_beta FROM (SELECT CAST(i AS INT) AS t, {beta.format('i')} AS beta FROM range({rows}) r(i))),
+      x AS (SELECT population_id, t, d_beta * log_lik AS x FROM part, ladder WHERE t > 0)
+      SELECT population_id, t, round(lse, 6) AS lse FROM {lse_sql('x', 'population_id, t', 'x')}"""
+
+
+@query(_along_sql(8, "least(1.0, {0} / 8.0)", 9))
+def t1_ladder_linear(spark, d):
+    return _along(ladders.ladder_linear(spark, 8), part(spark, d))
+
+
+@query(_along_sql(8, "pow({0} / 8.0, 3.0)", 9))
+def t2_ladder_power(spark, d):
+    return _along(ladders.ladder_power(spark, 8), part(spark, d))
+
+
+@query(_along_sql(8, "pow({0} / 7.0, 3.0)", 8))
+def t3_ladder_beta(spark, d):
+    return _along(ladders.ladder_beta(spark, 8), part(spark, d))
+
+
+@query(_along_sql(8, "{0} / 7.0", 8))
+def t4_ladder_even(spark, d):
+    return _along(ladders.ladder_even(spark, 8), part(spark, d))
+
+
+@query(_along_sql(8, "pow({0} / 8.0, 3.0)", 8))
+def t5_ladder_beta_open(spark, d):
+    return _along(ladders.ladder_beta_open(spark, 8), part(spark, d))
+
+
+DIFFS = "SELECT CAST(user_id AS VARCHAR) AS schedule_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS t, value / 2000 AS d_beta FROM events"
+
+
+def _diffs(spark, d):
+    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("events")
+    return spark.sql(DIFFS.replace("VARCHAR", "STRING"))
+
+
+@query(f"""WITH diffs AS ({DIFFS}), s AS (SELECT *, sum(d_beta) OVER w AS s FROM diffs WINDOW w AS (PARTITION BY schedule_id ORDER BY t)),
+  l AS (SELECT *, coalesce(lag(s) OVER (PARTITION BY schedule_id ORDER BY t), 0) AS b FROM s)
+  SELECT schedule_id, t, round(least(1.0, s), 6) AS beta, round(CASE WHEN s >= 1 THEN 1 - b ELSE d_beta END, 6) AS d_beta FROM l WHERE b < 1""")
+def t6_replay_ladder(spark, d):
+    return rounded(ladders.replay_ladder(_diffs(spark, d)), "beta", "d_beta")
+
+
+@query(f"""WITH diffs AS ({DIFFS}), s AS (SELECT *, sum(d_beta) OVER w AS s FROM diffs WINDOW w AS (PARTITION BY schedule_id ORDER BY t)),
+  l AS (SELECT schedule_id, t, least(1.0, s) AS beta FROM (SELECT *, coalesce(lag(s) OVER (PARTITION BY schedule_id ORDER BY t), 0) AS b FROM s) WHERE b < 1),
+  n AS (SELECT *, lead(beta) OVER (PARTITION BY schedule_id ORDER BY t) AS beta_next FROM l)
+  SELECT schedule_id, t, round(beta, 6) AS beta, round(beta_next, 6) AS beta_next, round(beta_next - beta, 6) AS delta FROM n WHERE beta_next IS NOT NULL""")
+def t8_adjacent_rungs(spark, d):
+    return rounded(ladders.adjacent_rungs(ladders.replay_ladder(_diffs(spark, d))), "beta", "beta_next", "delta")
+
+
+_METHOD = "CASE o_orderkey % 5 WHEN 0 THEN 'STEPPINGSTONE' WHEN 1 THEN 'REVERSE' WHEN 2 THEN 'LIS' WHEN 3 THEN 'MCMC' ELSE 'ANNEALING' END"
+
+
+@query(f"""SELECT o_orderkey, method, CAST(iterations AS INT) AS iterations, CAST(trunc(iterations * 0.8) AS INT) AS kept, CAST(iterations - trunc(iterations * 0.8) AS INT) AS burn_in, CAST(greatest(1000, iterations) AS INT) AS matched_mcmc FROM (
+  SELECT o_orderkey, method, trunc(CASE method WHEN 'STEPPINGSTONE' THEN x / 50 WHEN 'REVERSE' THEN x / 51 WHEN 'LIS' THEN x / 50 WHEN 'MCMC' THEN x * 2 ELSE x END) AS iterations
+  FROM (SELECT o_orderkey, {_METHOD} AS method, (1 + o_custkey % 7) * 100.0::DOUBLE * 1000 AS x FROM orders))""")
+def t9_budget_plan(spark, d):
+    design = spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", F.expr(_METHOD).alias("method"), (1 + F.col("o_custkey") % 7).cast("double").alias("iter_scale"))
+    return ladders.budget_plan(design, 50, 100.0, 2.0).drop("iter_scale")
+
+
+# Weights
+
+
+@query(f"{STEPPED} SELECT population_id, particle_id, round(dlog, 6) AS dlog FROM stepped")
+def w1_incremental_log_weight(spark, d):
+    particles = part(spark, d)
+    steps = particles.select("population_id").distinct().withColumn("d_beta", F.lit(DELTA))
+    return rounded(lw.incremental_log_weight(particles, steps, "population_id"), "dlog").select("population_id", "particle_id", "dlog")
+
+
+@query(f"{STEPPED} SELECT population_id, particle_id, round(log_w, 6) AS log_w FROM stepped")
+def w2_carry_weights(spark, d):
+    return rounded(stepped(spark, d), "log_w").select("population_id", "particle_id", "log_w")
+
+
+@query(f"{STEPPED} SELECT population_id, round(lse, 6) AS lse FROM {lse_sql('stepped', 'population_id', 'log_w')}")
+def w3_log_sum_exp(spark, d):
+    return rounded(lw.log_sum_exp(stepped(spark, d), "population_id", "log_w"), "lse")
+
+
+@query(f"{STEPPED} SELECT s.population_id, particle_id, round(exp(log_w - lse), 6) AS w2 FROM stepped s JOIN {lse_sql('stepped', 'population_id', 'log_w')} l USING (population_id)")
+def w4_exp_normalize(spark, d):
+    return rounded(lw.exp_normalize(stepped(spark, d), "population_id", "log_w", "w2"), "w2").select("population_id", "particle_id", "w2")
+
+
+@query(f"{PART} SELECT population_id, round(1 / sum(w * w), 6) AS ess FROM part GROUP BY population_id")
+def w5_ess(spark, d):
+    return rounded(lw.ess(part(spark, d), "population_id"), "ess").select("population_id", "ess")
+
+
+@query(f"{PART} SELECT state, round(1 / sum(v * v) / count(*), 6) AS relative_ess, round(max(v), 6) AS max_w FROM (SELECT state, w / sum(w) OVER (PARTITION BY state) AS v FROM part) GROUP BY state")
+def w6_relative_ess_skewed(spark, d):
+    """A few populations hold all particles."""
+    rows = part(spark, d)
+    total = rows.groupBy("state").agg(F.sum("w").alias("total"))
+    return rounded(lw.ess(rows.join(total, "state").withColumn("w", F.col("w") / F.col("total")), "state"), "relative_ess", "max_w").select("state", "relative_ess", "max_w")
+
+
+@query(f"{PART} SELECT population_id, round(pow(sum(w * exp({DELTA} * log_lik)), 2) / sum(w * exp(2 * {DELTA} * log_lik)), 6) AS cess FROM part GROUP BY population_id")
+def w7_cess(spark, d):
+    return rounded(lw.cess(stepped(spark, d), "population_id"), "cess")
+
+
+@query(f"""{PART} SELECT population_id, round(pow(sum(w * exp({DELTA} * log_lik)), 2) / sum(w * exp(2 * {DELTA} * log_lik)), 6) AS conditional,
+  round(pow(sum(w * exp({DELTA} * log_lik)), 2) / sum(w * w * exp(2 * {DELTA} * log_lik)) / count(*), 6) AS plain FROM part GROUP BY population_id""")
+def w8_lookahead_relative_ess(spark, d):
+    both = [lw.lookahead_relative_ess(part(spark, d), "population_id", "w", "log_lik", DELTA, c).withColumnRenamed("relative_ess", n) for c, n in ((True, "conditional"), (False, "plain"))]
+    return rounded(both[0].join(both[1], "population_id"), "conditional", "plain")
+
+
+_HISTORY = "SELECT user_id AS population_id, CAST(event_id % 6 AS INT) AS t, -value / 50 AS log_w FROM events"
+
+
+@query(f"""WITH h AS ({_HISTORY}), r AS (SELECT * FROM h WHERE t > 0)
+  SELECT population_id, t, round(increment, 6) AS increment, round(sum(increment) OVER (PARTITION BY population_id ORDER BY t), 6) AS log_z FROM {lse_sql('r', 'population_id, t', 'log_w', 'increment')}""")
+def w9_log_z_running(spark, d):
+    fixture(spark, d, "part")
+    return rounded(lw.log_z_running(spark.sql(_HISTORY), "population_id", "t", "log_w"), "increment", "log_z")
+
+
+@query(f"{STEPPED} SELECT population_id, count(*) FILTER (state = 'signup') AS dead, round(ln(sum(exp(log_w)) FILTER (state <> 'signup')), 6) AS lse FROM stepped GROUP BY population_id HAVING count(*) FILTER (state <> 'signup') > 0")
+def w10_mark_dead(spark, d):
+    rows = lw.mark_dead(stepped(spark, d).withColumn("state", F.when(F.col("state") != "signup", F.col("state"))))
+    dead = rows.groupBy("population_id").agg(F.count_if(F.col("state").isNull()).alias("dead"))
+    return rounded(lw.log_sum_exp(rows, "population_id", "log_w").join(dead, "population_id").where(F.col("lse") != lw.neg_inf()), "lse")
+
+
+@query(f"{PART} SELECT population_id, 1 / sum(w * w) < 0.82 * count(*) AS resample FROM part GROUP BY population_id")
+def w11_needs_resample(spark, d):
+    return lw.needs_resample(lw.ess(part(spark, d), "population_id").withColumn("any_dead", F.lit(False)), "ess", 0.82).select("population_id", "resample")
+
+
+@query(f"""{STEPPED}, m AS (SELECT population_id, max(log_w) AS m FROM stepped GROUP BY population_id),
+  v AS (SELECT s.population_id, w, m, exp(log_w - m) AS v FROM stepped s JOIN m USING (population_id))
+  SELECT population_id, count(*) AS n, round(pow(sum(v), 2) / sum(v * v), 6) AS ess, round(pow(sum(v), 2) / sum(v * v / w), 6) AS cess, round(max(v) / sum(v), 6) AS max_w, round(max(m) + ln(sum(v)), 6) AS log_z_increment,
+    round({BETA + DELTA}, 6) AS beta, round(pow(sum(v), 2) / sum(v * v) / count(*), 6) AS relative_ess, pow(sum(v), 2) / sum(v * v) < 0.5 * count(*) AS resample FROM v GROUP BY population_id""")
+def w12_annealing_diagnostics(spark, d):
+    return rounded(lw.annealing_diagnostics(part(spark, d), DELTA, BETA), "ess", "cess", "max_w", "log_z_increment", "beta", "relative_ess")
+
+
+# Draws
+
+_SPANS = f"{PART}, spans AS (SELECT population_id, particle_id, state, w, (sum(w) OVER o - w) / sum(w) OVER p AS lo, sum(w) OVER o / sum(w) OVER p AS hi FROM part WINDOW o AS (PARTITION BY population_id ORDER BY particle_id), p AS (PARTITION BY population_id))"
+_COUNTS = f"""{_SPANS}, draws AS (SELECT population_id, unnest(range(1, n + 1)) AS draw FROM (SELECT population_id, count(*) AS n FROM part GROUP BY population_id)),
+  counts AS (SELECT s.population_id, s.particle_id, count(*) AS c FROM (SELECT *, {uniform_sql(SEED, 'population_id', 'draw')} AS u FROM draws) d JOIN spans s ON s.population_id = d.population_id AND u >= lo AND u < hi GROUP BY ALL)"""
+
+
+@query(f"{_COUNTS} SELECT c.population_id, c.particle_id, CAST(unnest(range(1, c.c + 1)) AS BIGINT) AS copy, p.state, round(1.0 / sum(c.c) OVER (PARTITION BY c.population_id), 6) AS w FROM counts c JOIN part p USING (particle_id)")
+def r1_multinomial_resample(spark, d):
+    return rounded(resample.multinomial_resample(part(spark, d), "population_id", SEED), "w").select("population_id", "particle_id", "copy", "state", "w")
+
+
+@query(f"{_COUNTS} SELECT population_id, particle_id, CAST(c AS DOUBLE) AS w FROM counts")
+def r2_resample_packed(spark, d):
+    return resample.resample_packed(part(spark, d), "population_id", SEED).select("population_id", "particle_id", "w")
+
+
+@query(f"{PART}, e AS (SELECT population_id, count(*) AS n, 1 / sum(w * w) < 0.82 * count(*) AS r FROM part GROUP BY population_id) SELECT particle_id, round(CASE WHEN r THEN 1.0 / n ELSE w END, 6) AS w FROM part JOIN e USING (population_id)")
+def r3_reset_weights(spark, d):
+    rows = part(spark, d)
+    flags = lw.needs_resample(lw.ess(rows, "population_id").withColumn("any_dead", F.lit(False)), "ess", 0.82).select("population_id", "n", "resample")
+    return rounded(resample.reset_weights(rows.join(flags, "population_id"), F.col("resample"), F.col("n")), "w").select("particle_id", "w")
+
+
+@query(f"{_SPANS} SELECT population_id, particle_id FROM (SELECT *, {uniform_sql(SEED, 'population_id')} AS u FROM spans) WHERE u >= lo AND u < hi")
+def r4_weighted_draw(spark, d):
+    return resample.weighted_draw(part(spark, d), "population_id", SEED).select("population_id", "particle_id")
+
+
+@query(f"""WITH c AS ({SQL['chain']}), m AS (SELECT *, exp(log_lik * 0.05 - max(log_lik * 0.05) OVER g) AS v FROM c WINDOW g AS (PARTITION BY dataset_id, rung)),
+  s AS (SELECT *, (sum(v) OVER o - v) / sum(v) OVER g AS lo, sum(v) OVER o / sum(v) OVER g AS hi, {uniform_sql(SEED, 'dataset_id', 'rung')} AS u FROM m WINDOW o AS (PARTITION BY dataset_id, rung ORDER BY iter), g AS (PARTITION BY dataset_id, rung))
+  SELECT dataset_id, rung, iter FROM s WHERE u >= lo AND u < hi""")
+def r5_link_draw(spark, d):
+    keys = ["dataset_id", "rung"]
+    return resample.weighted_draw(evidence.link_weights(fixture(spark, d, "chain"), 0.1, keys), keys, SEED, order="iter").select("dataset_id", "rung", "iter")
+
+
+@query(f"{_COUNTS} SELECT population_id, count(*) AS survivors FROM counts GROUP BY population_id")
+def r6_survivors(spark, d):
+    return resample.survivors(resample.draw_counts(part(spark, d), "population_id", SEED), "population_id")
+
+
+# The next temperature
+
+
+@query()
+def a1_next_temperature_cess(spark, d):
+    return rounded(adaptive.next_temperature(part(spark, d).withColumn("beta", F.lit(BETA)), "population_id", "beta", 0.9, passes=2), "delta")
+
+
+@query()
+def a2_next_temperature_ess(spark, d):
+    return rounded(adaptive.next_temperature(part(spark, d).withColumn("beta", F.lit(BETA)), "population_id", "beta", 0.9, "ess", passes=2), "delta")
+
+
+@query(f"""{PART}, grid AS (SELECT (i + 1) / 40.0 AS delta, i FROM range(10) r(i))
+  SELECT population_id, i AS step, round(pow(sum(w * exp(delta * log_lik)), 2) / sum(w * exp(2 * delta * log_lik)), 6) AS cess FROM part, grid GROUP BY population_id, i""")
+def a3_cess_profile(spark, d):
+    grid = spark.range(10).select(((F.col("id") + 1) / 40.0).alias("delta"))
+    return rounded(adaptive.cess_profile(part(spark, d), "population_id", grid), "cess").select("population_id", (F.round(F.col("delta") * 40) - 1).cast("long").alias("step"), "cess")
+
+
+# Targets and sampling
+
+
+@query(f"{PART} SELECT particle_id, round(-w + {BETA} * log_lik, 6) AS target FROM part")
+def k1_tempered_log_target(spark, d):
+    rows = part(spark, d).withColumn("log_prior", -F.col("w")).withColumn("beta", F.lit(BETA))
+    return rounded(rows.withColumn("target", sampler.tempered_log_target()), "target").select("particle_id", "target")
+
+
+_PAIRS = f"{PART}, pairs AS (SELECT population_id, particle_id, log_lik, lead(log_lik) OVER (PARTITION BY population_id ORDER BY particle_id) AS proposed FROM part)"
+
+
+@query(f"{_PAIRS} SELECT particle_id, {uniform_sql(SEED, 'population_id', 'particle_id')} < least(1.0, exp({BETA} * (proposed - log_lik))) AS accepted FROM pairs WHERE proposed IS NOT NULL")
+def k2_metropolis_accept(spark, d):
+    nxt = F.lead("log_lik").over(Window.partitionBy("population_id").orderBy("particle_id"))
+    rows = part(spark, d).withColumn("proposed", BETA * nxt).withColumn("current", BETA * F.col("log_lik")).where("proposed IS NOT NULL").withColumn("log_q", F.lit(0.0))
+    return sampler.metropolis_accept(rows, "current", "proposed", "log_q", ["population_id", "particle_id"], SEED).select("particle_id", "accepted")
+
+
+def _populations(spark, d):
+    rows = fixture(spark, d, "seq").where("pos < 4").groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "obs"))), lambda x: x["obs"]).alias("data"))
+    return rows.select(F.col("seq_id").alias("population_id"), "data")
+
+
+@query()
+def k8_annealed_smc(spark, d):
+    done, _ = sampler.annealed_smc(_populations(spark, d), sampler.HmmKernel(hmm.THREE), n=100, steps=[0.1, 0.4, 1.0])
+    return done.groupBy("population_id").agg(F.round(F.max("log_z"), 6).alias("log_z"), F.round(F.sum(F.when(F.col("state")[0] == 0, F.col("w")).otherwise(0.0)), 6).alias("p0"))
+
+
+@query(f"""WITH h AS (SELECT population_id, t, sum(log_w) AS s FROM ({_HISTORY}) GROUP BY population_id, t)
+  SELECT l.population_id, round(lse - ln(n), 6) AS log_z FROM {lse_sql('h', 'population_id', 's', more=', count(*) AS n')} l""")
+def k9_annealed_importance_sampling(spark, d):
+    fixture(spark, d, "part")
+    return rounded(sampler.path_evidence(spark.sql(_HISTORY), "population_id", "t", "log_w"), "log_z")
+
+
+# Data subsampling
+
+_BLOCKS = f"SELECT dataset_id, CAST(floor(site / 10) AS INT) AS block, sum(-ascii(ch) / 100.0) AS log_lik FROM ({SQL['aln']}) GROUP BY ALL"
+_PSI = "SELECT CAST(i AS INT) AS t, CAST(b AS INT) AS block, greatest(0.0, least(1.0, i / 7.0 * 12 - b)) AS psi FROM range(8) r(i) CROSS JOIN range(12) q(b)"
+
+
+def _block_lik(spark, d):
+    sites = ladders.block_sites(fixture(spark, d, "aln"), 10)
+    return sites.groupBy("dataset_id", "block").agg(F.sum(-F.ascii("ch") / 100.0).alias("log_lik"))
+
+
+def _psi(spark):
+    return ladders.site_ladder(ladders.ladder_even(spark, 8), 12)
+
+
+@query(f"WITH a AS ({SQL['aln']}) SELECT dataset_id, CAST(floor(site / 10) AS INT) AS block, count(*) AS n, CAST(ceil(120 / 10.0) AS BIGINT) AS blocks FROM a GROUP BY ALL")
+def p5_block_sites(spark, d):
+    rows = ladders.block_sites(fixture(spark, d, "aln"), 10)
+    return rows.groupBy("dataset_id", "block").agg(F.count("*").alias("n"), ladders.block_count(F.lit(120), 10).cast("long").alias("blocks"))
+
+
+@query(f"""WITH b AS ({_BLOCKS}), psi AS ({_PSI}), dp AS (SELECT t, block, psi - lag(psi, 1, 0.0) OVER (PARTITION BY block ORDER BY t) AS d_psi FROM psi)
+  SELECT dataset_id, t, round(sum(d_psi * log_lik), 6) AS dlog FROM b JOIN dp USING (block) GROUP BY dataset_id, t""")
+def p6_subsampled_log_weight(spark, d):
+    return rounded(ladders.subsampled_log_weight(_block_lik(spark, d), ladders.site_ladder_diff(_psi(spark)), ["dataset_id"]), "dlog")
+
+
+@query(f"WITH b AS ({_BLOCKS}), psi AS ({_PSI}) SELECT dataset_id, t, round(-dataset_id / 1000.0 + sum(psi * log_lik), 6) AS log_target FROM b JOIN psi USING (block) GROUP BY dataset_id, t")
+def p7_subsampled_log_target(spark, d):
+    blocks = _block_lik(spark, d)
+    prior = blocks.select("dataset_id").distinct().withColumn("log_prior", -F.col("dataset_id") / 1000.0)
+    return rounded(ladders.subsampled_log_target(blocks, _psi(spark), prior, ["dataset_id"]), "log_target")
+
+
+@query(f"""WITH b AS ({_BLOCKS}), psi AS ({_PSI}) SELECT dataset_id, t, count(*) FILTER (psi = 1) AS n_full, coalesce(max(block) FILTER (psi > 0 AND psi < 1), -1) AS block, round(coalesce(max(psi) FILTER (psi > 0 AND psi < 1), 0), 6) AS psi
+  FROM b JOIN psi USING (block) GROUP BY dataset_id, t""")
+def p3_classify_blocks(spark, d):
+    """The states of each data set's blocks along the ladder (P1 and P3)."""
+    kinds = ladders.classify_blocks(_psi(spark)).drop("schedule_id")
+    return rounded(_block_lik(spark, d).select("dataset_id").distinct().crossJoin(F.broadcast(kinds)), "psi")
+
+
+# Evidence
+
+CHAIN = f"WITH chain AS ({SQL['chain']}), n AS (SELECT dataset_id, rung, count(*) AS n FROM chain GROUP BY ALL), kept AS (SELECT c.* FROM chain c JOIN n USING (dataset_id, rung) WHERE iter >= floor(n * 0.2))"
+_TERMS = """{chain}, steps AS (SELECT CAST(i AS INT) AS rung, pow((i + 1) / {n}, 3.0) - pow(i / {n}, 3.0) AS delta FROM range(7) r(i)),
+  x AS (SELECT dataset_id, rung, log_lik, delta * log_lik AS x FROM kept JOIN steps USING (rung)), terms AS (SELECT dataset_id, rung, n, mean, lse - ln(n) AS term FROM {lse})"""
+
+
+def _terms(n: str) -> str:
+    return _TERMS.format(chain=CHAIN, n=n, lse=lse_sql("x", "dataset_id, rung", "x", more=", count(*) AS n, avg(a.log_lik) AS mean"))
+
+
+@query(f"{_terms('7.0')} SELECT dataset_id, round(sum(term), 6) AS log_z FROM terms GROUP BY dataset_id")
+def e1_stepping_stone(spark, d):
+    return rounded(evidence.stepping_stone(fixture(spark, d, "chain"), ladders.ladder_beta(spark, 8)), "log_z")
+
+
+@query(f"WITH chain AS ({SQL['chain']}), x AS (SELECT dataset_id, rung, log_lik / 20 AS x FROM chain) SELECT dataset_id, round(sum(lse - ln(n)), 6) AS log_z FROM {lse_sql('x', 'dataset_id, rung', 'x', more=', count(*) AS n')} GROUP BY dataset_id")
+def e2_stepping_stone_generic(spark, d):
+    return rounded(evidence.stepping_stone_generic(fixture(spark, d, "chain").withColumn("log_ratio", F.col("log_lik") / 20)), "log_z")
+
+
+@query(f"{_terms('7.0')} SELECT dataset_id, round(sum(term), 6) AS log_z FROM terms GROUP BY dataset_id")
+def e3_reverse_stepping_stone(spark, d):
+    return rounded(evidence.reverse_stepping_stone(fixture(spark, d, "chain"), ladders.ladder_beta_open(spark, 7)), "log_z")
+
+
+@query(f"""WITH chain AS ({SQL['chain']}), c AS (SELECT * FROM chain WHERE iter BETWEEN 10 AND 49), steps AS (SELECT CAST(i AS INT) AS rung, pow((i + 1) / 6.0, 3.0) - pow(i / 6.0, 3.0) AS delta FROM range(6) r(i)),
+  u AS (SELECT dataset_id, c.rung, delta / 2 * log_lik AS x FROM c JOIN steps s ON c.rung = s.rung), v AS (SELECT dataset_id, s.rung, -delta / 2 * log_lik AS x FROM c JOIN steps s ON c.rung = s.rung + 1)
+  SELECT dataset_id, round(sum(p.lse - q.lse), 6) AS log_z FROM {lse_sql('u', 'dataset_id, rung', 'x')} p JOIN {lse_sql('v', 'dataset_id, rung', 'x')} q USING (dataset_id, rung) GROUP BY dataset_id""")
+def e4_linked_importance_sampling(spark, d):
+    return rounded(evidence.linked_importance_sampling(fixture(spark, d, "chain").where("iter BETWEEN 10 AND 49"), ladders.ladder_beta(spark, 7)), "log_z")
+
+
+@query(f"WITH chain AS ({SQL['chain']}) SELECT dataset_id, round(lse - ln(n), 6) AS log_z FROM {lse_sql('chain', 'dataset_id', 'log_lik', more=', count(*) AS n')}")
+def e5_monte_carlo_evidence(spark, d):
+    return rounded(evidence.monte_carlo_evidence(fixture(spark, d, "chain"), "dataset_id"), "log_z")
+
+
+@query(f"WITH h AS ({_HISTORY}), r AS (SELECT * FROM h WHERE t > 0) SELECT population_id, round(sum(increment), 6) AS log_z, 'Deterministic' AS method FROM {lse_sql('r', 'population_id, t', 'log_w', 'increment')} GROUP BY population_id")
+def e6_smc_evidence(spark, d):
+    fixture(spark, d, "part")
+    return rounded(evidence.smc_evidence(lw.log_z_running(spark.sql(_HISTORY), "population_id", "t", "log_w"), "population_id", "Deterministic"), "log_z")
+
+
+@query(f"{_terms('7.0')} SELECT dataset_id, rung, n, round(mean, 9) AS mean_log_lik, round(term, 6) AS term, round(sum(term) OVER (PARTITION BY dataset_id ORDER BY rung), 6) AS log_z FROM terms")
+def e7_rung_summary(spark, d):
+    return rounded(evidence.rung_summary(fixture(spark, d, "chain"), ladders.ladder_beta(spark, 8)), "term", "log_z").withColumn("mean_log_lik", F.round("mean_log_lik", 9))
+
+
+# Hidden Markov models
+
+
+def _values(m) -> str:
+    return "(VALUES " + ", ".join(f"({i}, {j}, {p!r}::DOUBLE)" for i, row in enumerate(m) for j, p in enumerate(row)) + ")"
+
+
+SEQ = f"WITH RECURSIVE seq AS ({SQL['seq']}), trans AS (SELECT * FROM {_values(hmm.THREE.trans)} v(i, j, p)), emit AS (SELECT * FROM {_values(hmm.THREE.emit)} v(s, o, p)), init AS (SELECT j AS s, p FROM {_values([hmm.THREE.init])} v(i, j, p)), paths AS (SELECT *, CAST((pos + seq_id) % 3 AS INT) AS state FROM seq)"
+_STATES = range(3)
+_FORWARD = f"""{SEQ}, f AS (
+  SELECT q.seq_id, q.pos, h.s AS held, {', '.join(f"CASE WHEN h.s IN (-1, {i}) THEN (SELECT p FROM init WHERE s = {i}) * (SELECT p FROM emit WHERE s = {i} AND o = q.obs) ELSE 0.0::DOUBLE END AS a{i}" for i in _STATES)}
+  FROM seq q, (VALUES (-1), (0), (1), (2)) h(s) WHERE q.pos = 0
+  UNION ALL
+  SELECT q.seq_id, q.pos, f.held, {', '.join('(' + ' + '.join(f"f.a{i} * {hmm.THREE.trans[i][j]!r}" for i in _STATES) + f") * CASE q.obs {' '.join(f'WHEN {o} THEN {hmm.THREE.emit[j][o]!r}' for o in _STATES)} END" for j in _STATES)}
+  FROM f JOIN seq q ON q.seq_id = f.seq_id AND q.pos = f.pos + 1), ends AS (SELECT seq_id, held, arg_max(a0 + a1 + a2, pos) AS z FROM f GROUP BY seq_id, held)"""
+
+
+def _paths(spark, d):
+    return fixture(spark, d, "seq").withColumn("state", ((F.col("pos") + F.col("seq_id")) % 3).cast("int"))
+
+
+@query(f"{SEQ} SELECT seq_id, round(sum(ln(p)), 6) AS log_lik FROM paths JOIN emit ON s = state AND o = obs GROUP BY seq_id")
+def h1_hmm_log_likelihood(spark, d):
+    return rounded(hmm.hmm_log_likelihood(_paths(spark, d), hmm.THREE), "log_lik")
+
+
+_PRIOR = f"{SEQ}, b AS (SELECT *, lag(state) OVER w AS before, lead(state) OVER w AS after FROM paths WINDOW w AS (PARTITION BY seq_id ORDER BY pos)), lp AS (SELECT b.*, ln(coalesce(t.p, i.p)) AS l FROM b LEFT JOIN trans t ON t.i = before AND t.j = state LEFT JOIN init i ON before IS NULL AND i.s = state)"
+
+
+@query(f"{_PRIOR} SELECT seq_id, round(sum(l), 6) AS log_prior FROM lp GROUP BY seq_id")
+def h2_hmm_log_prior(spark, d):
+    return rounded(hmm.hmm_log_prior(_paths(spark, d), hmm.THREE), "log_prior")
+
+
+@query(f"{_PRIOR} SELECT seq_id, pos, round(ln(e.p), 6) AS log_lik, round(l + coalesce(ln(t.p), 0), 6) AS log_prior FROM lp JOIN emit e ON e.s = state AND e.o = obs LEFT JOIN trans t ON t.i = state AND t.j = after")
+def h3_hmm_local_terms(spark, d):
+    return rounded(hmm.hmm_local_terms(_paths(spark, d), hmm.THREE), "log_lik", "log_prior")
+
+
+@query(f"{_FORWARD} SELECT seq_id, round(ln(z), 6) AS log_z FROM ends WHERE held = -1")
+def h4_hmm_log_evidence(spark, d):
+    return rounded(hmm.hmm_log_evidence(fixture(spark, d, "seq"), hmm.THREE), "log_z")
+
+
+@query(f"{_FORWARD} SELECT e.seq_id, e.held AS state, round(e.z / a.z, 6) AS p FROM ends e JOIN ends a ON e.seq_id = a.seq_id AND a.held = -1 WHERE e.held >= 0")
+def h5_hmm_marginal(spark, d):
+    return rounded(hmm.hmm_marginal(fixture(spark, d, "seq"), hmm.THREE), "p")
+
+
+@query(f"{PART} SELECT population_id, round(sum(CASE WHEN state = 'view' THEN w ELSE 0 END), 6) AS p FROM part GROUP BY population_id")
+def h6_particle_marginal(spark, d):
+    return rounded(hmm.particle_marginal(part(spark, d), "population_id", F.col("state"), "view"), "p")
+
+
+@query(f"WITH seq AS ({SQL['seq']}), s AS (SELECT seq_id, pos, obs, lead(obs) OVER (PARTITION BY seq_id ORDER BY pos) AS nxt FROM seq) SELECT seq_id, round(sum(ln(CASE WHEN abs(obs - nxt) < 2 THEN 1.0 / (3 - (obs = 0)::INT) ELSE 1e-9 END)), 6) AS score FROM s WHERE nxt IS NOT NULL GROUP BY seq_id")
+def h7_transition_table(spark, d):
+    """Steps between symbols scored by the banded table (symbols 0 to 2 of its five)."""
+    table = F.broadcast(hmm.transition_table(spark, hmm.valley()))
+    nxt = F.lead("obs").over(Window.partitionBy("seq_id").orderBy("pos"))
+    steps = fixture(spark, d, "seq").withColumn("j", nxt).where("j IS NOT NULL").withColumnRenamed("obs", "i").join(table, ["i", "j"])
+    return rounded(steps.groupBy("seq_id").agg(F.sum(F.ln(F.when(F.col("p") > 0, F.col("p")).otherwise(1e-9))).alias("score")), "score")
+
+
+# Summaries
+
+
+def _counts(spark, d):
+    return summaries.weighted_counts(part(spark, d), ["population_id"], F.col("state"))
+
+
+COUNTS = f"{PART}, c AS (SELECT population_id, state AS item, sum(w) AS weight FROM part GROUP BY ALL)"
+
+
+@query(f"{COUNTS} SELECT population_id, item, round(weight, 6) AS weight FROM c")
+def q1_weighted_counts(spark, d):
+    return rounded(_counts(spark, d), "weight")
+
+
+@query(f"{COUNTS} SELECT population_id, item, round(weight, 6) AS weight FROM (SELECT *, row_number() OVER (PARTITION BY population_id ORDER BY round(weight, 9) DESC, item) AS r FROM c) WHERE r = 1")
+def q2_map_of_counts(spark, d):
+    return rounded(summaries.map_of_counts(_counts(spark, d).withColumn("weight", F.round("weight", 9)), ["population_id"]), "weight")
+
+
+@query(f"{PART} SELECT population_id, particle_id, state, round(w, 6) AS w FROM (SELECT *, row_number() OVER (PARTITION BY population_id ORDER BY w DESC, particle_id) AS r FROM part) WHERE r = 1")
+def q3_map_particle(spark, d):
+    return rounded(summaries.map_particle(part(spark, d), "population_id"), "w").select("population_id", "particle_id", "state", "w")
+
+
+@query(f"""{COUNTS}, k AS (SELECT a.population_id, a.item, round(sum(b.weight * abs(length(a.item) - length(b.item))), 9) AS loss FROM c a JOIN c b USING (population_id) GROUP BY ALL)
+  SELECT population_id, item, round(loss, 6) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY population_id ORDER BY loss, item) AS r FROM k) WHERE r = 1""")
+def q4_centroid(spark, d):
+    loss = lambda x, y: F.abs(F.length(x) - F.length(y)).cast("double")
+    counts = summaries.weighted_counts(part(spark, d), ["population_id"], F.col("state"))
+    rows = counts.withColumn("weight", F.col("weight").cast("decimal(20,12)"))  # sums that don't depend on order, so that ties are ties
+    exact = lambda x, y: loss(x, y).cast("decimal(6,0)")
+    out = summaries.centroid(rows, ["population_id"], exact)
+    return out.select("population_id", "item", F.round(F.col("loss").cast("double"), 6).alias("loss"))
+
+
+@query(f"{PART} SELECT population_id, count(*) AS n, round(sum(w * log_lik), 9) AS mean_log_lik, round(max(log_lik), 6) AS best, count(DISTINCT state) AS states FROM part GROUP BY population_id")
+def q5_store(spark, d):
+    return rounded(summaries.store(part(spark, d), ["population_id"], n=F.count("*"), mean_log_lik=F.sum(F.col("w") * F.col("log_lik")), best=F.max("log_lik"), states=F.count_distinct("state")), "best").withColumn("mean_log_lik", F.round("mean_log_lik", 9))
+
+
+@query(f"{PART} SELECT population_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY item) AS weights FROM (SELECT population_id, state AS item, count(*) AS n FROM part GROUP BY ALL) GROUP BY population_id")
+def q6_weights_list(spark, d):
+    counts = summaries.weighted_counts(part(spark, d).withColumn("one", F.lit(1).cast("long")), ["population_id"], F.col("state"), "one")
+    return summaries.weights_list(counts, ["population_id"])
+
+
+@query()
+def q7_population_fingerprint(spark, d):
+    return summaries.population_fingerprint(part(spark, d), "population_id", ["particle_id", "state", "log_lik"])
+
+
+_PRE = {j: f"CASE WHEN bool_or(taxon = 'A' AND rank <= {j}) THEN string_agg(taxon, ',' ORDER BY taxon) FILTER (rank > {j}) ELSE string_agg(taxon, ',' ORDER BY taxon) FILTER (rank <= {j}) END" for j in (2, 3, 4)}
+TREES = f"WITH ranks AS ({SQL['tree_ranks']}), splits AS (" + " UNION ALL ".join(f"SELECT tree_id, dataset_id, weight, {_PRE[j]} AS split, ((tree_id * 11 + {j * 17}) % 40 + 1) / 1000.0 AS length FROM ranks GROUP BY tree_id, dataset_id, weight" for j in (2, 3, 4)) + ")"
+CLADES = f"{TREES}, total AS (SELECT dataset_id, sum(weight) / 3 AS total FROM splits GROUP BY dataset_id), clades AS (SELECT s.dataset_id, split, sum(weight) / max(total) AS p, sum(weight * length) / sum(weight) AS mean_length FROM splits s JOIN total USING (dataset_id) GROUP BY s.dataset_id, split)"
+
+
+def _weights(spark, d, *more: str):
+    return fixture(spark, d, "tree_ranks").where("rank = 1").select("dataset_id", "tree_id", "weight", *more)
+
+
+def _splits(spark, d):
+    return trees.tree_splits(fixtures.trees(spark, d))
+
+
+@query(f"{TREES} SELECT tree_id, split, round(length, 6) AS length FROM splits")
+def s3_tree_splits(spark, d):
+    return rounded(_splits(spark, d), "length")
+
+
+@query(f"WITH n AS (SELECT o_orderkey AS tree_id FROM orders), e AS (SELECT tree_id, {' + '.join(f'((tree_id * 7 + {k * 13}) % 50 + 1)' for k in range(1, 7))} + {' + '.join(f'((tree_id * 11 + {j * 17}) % 40 + 1)' for j in (2, 3, 4))} AS s FROM n) SELECT tree_id, round({9 * math.log(10)!r} - 10 * s / 1000.0, 6) AS log_prior FROM e")
+def k4_tree_log_prior(spark, d):
+    return rounded(trees.tree_log_prior(trees.tree_edges(fixtures.trees(spark, d))), "log_prior")
+
+
+_TREE4 = (0.1, 0.2, 0.05, 0.15, 0.3)
+_KAPPA = 2.0
+
+
+def _p_values() -> str:
+    import numpy as np
+
+    rows = []
+    for name, t in zip("abcde", _TREE4):
+        same, ts, tv = (float(x) for x in trees.k2p(np.float64(t), _KAPPA))
+        rows += [f"('{name}', '{x}', '{y}', {(same if x == y else ts if x + y in ('AG', 'GA', 'CT', 'TC') else tv)!r}::DOUBLE)" for x in "ACGT" for y in "ACGT"]
+    return "(VALUES " + ", ".join(rows) + ") v(e, x, y, p)"
+
+
+@query(f"""WITH aln AS ({SQL['aln']}), s AS (SELECT dataset_id, site, max(ch) FILTER (taxon = 't0') AS c0, max(ch) FILTER (taxon = 't1') AS c1, max(ch) FILTER (taxon = 't2') AS c2, max(ch) FILTER (taxon = 't3') AS c3 FROM aln GROUP BY ALL),
+  n AS (SELECT dataset_id, c0, c1, c2, c3, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT * FROM {_p_values()})
+  SELECT dataset_id, dataset_id AS tree_id, round(sum(n * ln(l)), 6) AS log_lik FROM (SELECT n.dataset_id, n.n, c0, c1, c2, c3, sum(0.25 * d.p * e.p * c.p * a.p * b.p) AS l
+    FROM n JOIN p d ON d.e = 'd' AND d.y = c2 JOIN p e ON e.e = 'e' AND e.x = d.x AND e.y = c3 JOIN p c ON c.e = 'c' AND c.x = d.x JOIN p a ON a.e = 'a' AND a.x = c.y AND a.y = c0 JOIN p b ON b.e = 'b' AND b.x = c.y AND b.y = c1 GROUP BY ALL) GROUP BY dataset_id""")
+def k5_tree_log_likelihood(spark, d):
+    sites = fixture(spark, d, "aln").where("taxon < 't4'")
+    a, b, c, x, y = _TREE4
+    some = sites.select("dataset_id").distinct().select("dataset_id", F.col("dataset_id").alias("tree_id"), F.lit(f"((t0:{a},t1:{b}):{c},t2:{x},t3:{y});").alias("newick"))
+    return rounded(trees.tree_log_likelihood(some, trees.site_patterns(sites), _KAPPA), "log_lik")
+
+
+@query(f"{CLADES} SELECT dataset_id, split, round(p, 6) AS p, round(mean_length, 6) AS mean_length FROM clades")
+def q8_clade_posterior(spark, d):
+    return rounded(trees.clade_posterior(_splits(spark, d), _weights(spark, d), ["dataset_id"]), "p", "mean_length")
+
+
+_HALVES = f"{TREES}, " + ", ".join(f"t{h} AS (SELECT dataset_id, sum(weight) / 3 AS total FROM splits WHERE tree_id % 2 = {h} GROUP BY dataset_id), c{h} AS (SELECT dataset_id, split, sum(weight) / max(total) AS p FROM splits JOIN t{h} USING (dataset_id) WHERE tree_id % 2 = {h} GROUP BY dataset_id, split)" for h in (0, 1))
+
+
+@query(f"{_HALVES} SELECT coalesce(a.dataset_id, b.dataset_id) AS dataset_id, round(sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))), 6) AS distance FROM c0 a FULL JOIN c1 b ON a.dataset_id = b.dataset_id AND a.split = b.split GROUP BY 1")
+def q9_clade_distance(spark, d):
+    splits, weights = _splits(spark, d), _weights(spark, d)
+    p, q = (trees.clade_posterior(splits, weights.where(F.col("tree_id") % 2 == h), ["dataset_id"]) for h in (0, 1))
+    return rounded(trees.clade_distance(p, q, ["dataset_id"]), "distance")
+
+
+@query(f"{CLADES} SELECT dataset_id, split, round(p, 6) AS p, round(mean_length, 6) AS mean_length FROM clades WHERE p > 0.3")
+def q10_consensus_splits(spark, d):
+    return rounded(trees.consensus_splits(_splits(spark, d), _weights(spark, d), ["dataset_id"], 0.3), "p", "mean_length")
+
+
+@query()
+def q10_consensus_newick(spark, d):
+    majority = trees.consensus_splits(_splits(spark, d), _weights(spark, d), ["dataset_id"])
+    return trees.consensus_newick(majority, fixture(spark, d, "tree_ranks").select("dataset_id", "taxon").distinct(), "dataset_id")
+
+
+@query(f"""{TREES}, gold AS (SELECT dataset_id, min(tree_id) AS g FROM splits GROUP BY dataset_id), a AS (SELECT tree_id, split, length FROM splits), b AS (SELECT t.tree_id, s.split, s.length FROM (SELECT DISTINCT tree_id, dataset_id FROM splits) t JOIN gold USING (dataset_id) JOIN splits s ON s.tree_id = g)
+  SELECT coalesce(a.tree_id, b.tree_id) AS tree_id, count(*) FILTER (a.length IS NULL OR b.length IS NULL) AS partition, round(count(*) FILTER (a.length IS NULL OR b.length IS NULL) / (count(a.length) + count(b.length)), 6) AS rate,
+    round(sum(abs(coalesce(a.length, 0) - coalesce(b.length, 0))), 6) AS branch_l1, round(sqrt(sum(pow(coalesce(a.length, 0) - coalesce(b.length, 0), 2))), 6) AS branch_l2 FROM a FULL JOIN b ON a.tree_id = b.tree_id AND a.split = b.split GROUP BY 1""")
+def q11_tree_distance(spark, d):
+    splits, weights = _splits(spark, d), _weights(spark, d)
+    gold = weights.groupBy("dataset_id").agg(F.min("tree_id").alias("g"))
+    theirs = weights.join(gold, "dataset_id").select("tree_id", "g").join(splits.withColumnRenamed("tree_id", "g"), "g").drop("g")
+    return rounded(trees.tree_distance(splits, theirs, ["tree_id"]), "rate", "branch_l1", "branch_l2")
+
+
+@query(f"{TREES}, shapes AS (SELECT tree_id, dataset_id, max(weight) AS weight, string_agg(split, ';' ORDER BY split) AS topology FROM splits GROUP BY tree_id, dataset_id) SELECT dataset_id, topology, round(sum(weight), 3) AS weight, count(*) AS n FROM shapes GROUP BY ALL")
+def q12_topology_counts(spark, d):
+    out = trees.topology_counts(_splits(spark, d), _weights(spark, d), ["dataset_id"])
+    return out.withColumn("weight", F.round("weight", 3))
+
+
+@query(f"{PART} SELECT population_id, round(max(log_lik), 6) AS best FROM part GROUP BY population_id")
+def q13_best_log_likelihood(spark, d):
+    return rounded(summaries.store(part(spark, d), ["population_id"], best=F.max("log_lik")), "best")
+
+
+# Experiments
+
+EXP = f"WITH exp AS ({SQL['exp']})"
+
+
+@query("WITH d AS (SELECT DISTINCT concat('sim-', o_custkey) AS name FROM orders) SELECT name, CAST(r AS INT) AS repeat, m.* FROM d, range(3) t(r), (VALUES ('ANNEALING', 1.0::DOUBLE), ('MCMC', 2.0::DOUBLE)) m(method, iter_scale)")
+def x1_design(spark, d):
+    names = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("sim-"), F.col("o_custkey")).alias("name")).distinct()
+    return experiments.design(names, ["ANNEALING", "MCMC"], [1, 2], 3)
+
+
+@query(f"{EXP} SELECT Method, TreeName, Repeat, Metric, IterScale, CASE WHEN Method = '1-URGENT' THEN 'true' ELSE '' END AS Adaptive, CASE WHEN Method = '1-URGENT' THEN 'CESS' ELSE '' END AS AdaptiveType, CASE WHEN Method = '1-URGENT' THEN '5000' ELSE '' END AS T FROM exp")
+def x2_tag_scores(spark, d):
+    return experiments.tag_scores(fixture(spark, d, "exp"), "true", "CESS", "5000", "1-URGENT").drop("Value", "Time")
+
+
+@query(f"{EXP} SELECT Method, IterScale, TreeName, Metric, round(median(Value), 6) AS median, count(*) AS n FROM exp GROUP BY ALL")
+def x3_score_medians(spark, d):
+    return rounded(experiments.score_medians(fixture(spark, d, "exp")), "median")
+
+
+_NAMES = "SELECT DISTINCT concat('d', CAST(o_custkey AS {0}), '.msf') AS name, o_custkey FROM orders"
+
+
+@query(f"WITH d AS ({_NAMES.format('VARCHAR')}) SELECT name, CASE WHEN o_custkey % 3 = 0 THEN concat('gold', o_custkey) ELSE concat('own', o_custkey) END AS tree, o_custkey % 3 <> 0 AS computed FROM d")
+def x4_gold_lookup(spark, d):
+    spark.read.parquet(f"{d}/orders.parquet").createOrReplaceTempView("orders")
+    names = spark.sql(_NAMES.format("STRING"))
+    gold = names.where("o_custkey % 3 = 0").select(F.regexp_replace("name", "msf$", "newick").alias("file"), F.concat(F.lit("gold"), F.col("o_custkey")).alias("tree"))
+    own = experiments.without_gold(names, gold).select("name", F.concat(F.lit("own"), F.col("o_custkey")).alias("tree"))
+    return experiments.gold_lookup(names.select("name"), gold, own)
+
+
+@query(f"""{_FORWARD}, t AS (SELECT seq_id, ln(z) AS truth FROM ends WHERE held = -1) SELECT seq_id, round(truth * (1 + seq_id % 3 / 1500.0), 6) AS estimate, round(truth, 6) AS truth, round(abs(truth * (seq_id % 3) / 1500.0), 6) AS abs_error, round(seq_id % 3 / 1500.0, 6) AS rel_error, seq_id % 3 < 2 AS within FROM t""")
+def x5_compare_to_truth(spark, d):
+    truth = hmm.hmm_log_evidence(fixture(spark, d, "seq"), hmm.THREE).withColumnRenamed("log_z", "truth")
+    estimates = truth.select("seq_id", (F.col("truth") * (1 + F.col("seq_id") % 3 / 1500.0)).alias("estimate"))
+    return rounded(experiments.compare_to_truth(estimates, truth, ["seq_id"]), "estimate", "truth", "abs_error", "rel_error")
+
+
+@query("WITH runs AS (SELECT o_custkey % 10 AS dataset_id, -(o_orderkey % 50) / 10.0 AS log_z, o_totalprice AS p FROM orders) SELECT dataset_id, round(sum(exp(log_z) * p) / sum(p), 6) AS mean_z FROM runs GROUP BY dataset_id")
+def x6_expected_z(spark, d):
+    runs = spark.read.parquet(f"{d}/orders.parquet").select((F.col("o_custkey") % 10).alias("dataset_id"), (-(F.col("o_orderkey") % 50) / 10.0).alias("log_z"), F.col("o_totalprice").alias("p"))
+    return experiments.expected_z(runs, ["dataset_id"]).select("dataset_id", F.round(F.col("expected_z") / F.col("total_p"), 6).alias("mean_z"))
+
+
+@query(f"{EXP} SELECT TreeName, Method, count(*) AS n, round(avg(Value), 6) AS mean, round(stddev_samp(Value), 6) AS sd, round(min(Value), 6) AS least, round(max(Value), 6) AS most FROM exp GROUP BY ALL")
+def x7_method_logz_summary(spark, d):
+    return rounded(experiments.method_summary(fixture(spark, d, "exp"), ["TreeName", "Method"], F.col("Value")), "mean", "sd", "least", "most")
+
+
+@query(f"{EXP} SELECT TreeName, round(avg(Value) FILTER (Method = '1-URGENT'), 6) AS urgent, round(avg(Value) FILTER (Method = '5-LOW'), 6) AS low FROM exp GROUP BY TreeName")
+def x7_pivot_methods(spark, d):
+    out = experiments.pivot_methods(fixture(spark, d, "exp"), "TreeName", ["1-URGENT", "5-LOW"], "Value")
+    return rounded(out.toDF("TreeName", "urgent", "low"), "urgent", "low")
+
+
+@query(f"{EXP} SELECT Method, round(avg(Time), 6) AS mean_time, round(quantile_cont(Time, 0.9), 6) AS p90_time, count(*) AS n FROM exp GROUP BY Method")
+def x8_timing_summary(spark, d):
+    return rounded(experiments.timing_summary(fixture(spark, d, "exp")), "mean_time", "p90_time")
+
+
+# Files: written from derived tables and read back
+
+
+@query(f"{CLADES} SELECT split, count(*) AS n FROM splits GROUP BY split")
+def s1_read_tree_list(spark, d):
+    path = new_path(spark, "trees")
+    fixtures.trees(spark, d).select("newick").write.text(path)
+    read = io.read_tree_list(spark, path).select(F.xxhash64("file", "line").alias("tree_id"), "newick")
+    return trees.tree_splits(read).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query(f"{EXP} SELECT Method, Metric, count(*) AS n, round(sum(Value), 3) AS total FROM exp GROUP BY ALL")
+def s6_write_scores(spark, d):
+    path = new_path(spark, "scores")
+    io.write_scores(experiments.tag_scores(fixture(spark, d, "exp"), "", "", ""), path)
+    return io.read_scores(spark, path).groupBy("Method", "Metric").agg(F.count("*").alias("n"), F.round(F.sum("Value"), 3).alias("total"))
+
+
+@query("SELECT o_orderkey AS k, CASE WHEN o_orderkey % 3 = 1 THEN round(o_totalprice / 1000, 6) END AS numerical, round(-o_totalprice, 6) AS log_z FROM orders")
+def s7_read_logz(spark, d):
+    path = new_path(spark, "logz")
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    name, z = F.col("o_orderkey").cast("string"), (-F.col("o_totalprice")).cast("string")
+    short, full, none = F.concat_ws(",", name, F.lit("MCMC"), z), F.concat_ws(",", name, F.lit("SMC"), (F.col("o_totalprice") / 1000).cast("string"), z), F.concat_ws(",", name, F.lit("SS"), F.lit("NA"), z)
+    orders.select(F.when(F.col("o_orderkey") % 3 == 0, short).when(F.col("o_orderkey") % 3 == 1, full).otherwise(none)).write.text(path)
+    return io.read_logz(spark, path).select(F.col("treeName").cast("long").alias("k"), F.round("NumericalLogZ", 6).alias("numerical"), F.round("logZ", 6).alias("log_z"))
+
+
+@query(f"WITH x AS ({DIFFS}) SELECT t, count(*) AS n, round(sum(d_beta), 6) AS total FROM x GROUP BY t")
+def s5_read_schedule(spark, d):
+    path = new_path(spark, "schedules")
+    rows = _diffs(spark, d).groupBy("schedule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "d_beta"))), lambda x: x["d_beta"].cast("string")), " ").alias("value"))
+    n = rows.count()
+    rows.repartitionByRange(n, "schedule_id").select("value").write.option("maxRecordsPerFile", 1).text(path)  # a file each
+    return rounded(io.read_schedule(spark, path).groupBy("t").agg(F.count("*").alias("n"), F.sum("d_beta").alias("total")), "total")
