@@ -9,6 +9,7 @@ bitwise operations, and words whose 64 lanes all exceed the radius are abandoned
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 from itertools import combinations
 
@@ -24,7 +25,11 @@ from annealjobs.llm.shared import lowered_words, majority, runs, saved, shingles
 RADIUS = 3
 #: Fingerprints of a bucket that one task compares at once; larger buckets are dealt out as pairs of chunks.
 CHUNK = 8192
+#: Fingerprints that are too few lanes to slice.
+FEW = 48
 _QUERIES = 256
+#: Words of 64 bits of the fingerprints that stand for a similarity rather than a radius.
+WIDE = 8
 
 
 def simhash(text: bytes, k: int = 3, seed: int = 42) -> int:
@@ -47,10 +52,10 @@ def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
 
 
 def _planes(fps: np.ndarray) -> np.ndarray:
-    """Vertical storage: row b holds bit b of all fingerprints, 64 to a word (the last word is padded)."""
-    lanes = np.zeros(-(-len(fps) // 64) * 64, np.uint64)
+    """Vertical storage of fingerprints (n, words): row b holds bit b of all, 64 to a word (the last word is padded)."""
+    lanes = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), np.uint64)
     lanes[: len(fps)] = fps
-    bits = np.unpackbits(lanes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    bits = np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
@@ -62,7 +67,7 @@ def _within(queries: np.ndarray, planes: np.ndarray, varying: list[int], radius:
     for done in range(0, len(varying), 2):
         x = []
         for b in varying[done : done + 2]:
-            flips = (np.uint64(0) - (queries >> np.uint64(b) & np.uint64(1)))[q]
+            flips = (np.uint64(0) - (queries[:, b >> 6] >> np.uint64(b & 63) & np.uint64(1)))[q]
             x.append(planes[b][w] ^ flips)
         if len(x) == 1:
             x.append(np.zeros_like(x[0]))
@@ -82,12 +87,13 @@ def _within(queries: np.ndarray, planes: np.ndarray, varying: list[int], radius:
 
 
 def links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Positions (a, b) of a spanning forest of the graph that links fingerprints within the radius."""
+    """Positions (a, b) of a spanning forest of the graph that links fingerprints (n) or (n, words) within the radius."""
     n, out = len(fps), []
     if n < 2:
         return out
-    if n <= 48:  # too few lanes to slice
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]) <= radius
+    fps = fps.reshape(n, -1)
+    if n <= FEW:
+        near = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(-1, dtype=int) <= radius
         found = ((i, np.flatnonzero(near[i, i + 1 :]) + i + 1) for i in range(n - 1))
     else:
         found = _sliced(fps, radius)
@@ -103,8 +109,8 @@ def links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
 
 def _sliced(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
     planes = _planes(fps)
-    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
-    varying = [b for b in range(64) if differ >> b & 1]
+    differ = np.bitwise_or.reduce(fps ^ fps[0])
+    varying = np.flatnonzero(np.unpackbits(differ.view(np.uint8), bitorder="little")).tolist()
     for at in range(0, len(fps), _QUERIES):
         part = fps[at : at + _QUERIES]
         q, w, mask = _within(part, planes[:, at // 64 :], varying, radius)
@@ -117,7 +123,7 @@ def _sliced(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
             i, j = q[part_of][k] + at, w[part_of][k] * 64 + lane
             keep = (j > i) & (j < len(fps))
             i, j = i[keep], j[keep]
-            keep = np.bitwise_count(fps[i] ^ fps[j]) <= radius
+            keep = np.bitwise_count(fps[i] ^ fps[j]).sum(-1, dtype=int) <= radius
             i, j = i[keep], j[keep]
             for one in np.unique(i).tolist():
                 yield one, j[i == one] if len(part_of) < 64 else j[np.searchsorted(i, one, "left") : np.searchsorted(i, one, "right")]
@@ -234,6 +240,113 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = RADIUS, seed: int
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
 
+def _angle(similarity: float) -> float:
+    """Share of bits that differ, in expectation, between texts of this Jaccard similarity and equal length."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def wide_radius(similarity: float, words: int = WIDE, sigmas: float = 1.8) -> int:
+    """Bits within which texts of the similarity stand, but for chance beyond so many standard deviations."""
+    p, bits = _angle(similarity), 64 * words
+    return int(p * bits + sigmas * math.sqrt(bits * p * (1 - p)))
+
+
+def table_shape(n: int, similarity: float, miss: float = 0.03) -> tuple[int, int]:
+    """Bits of a key, so that unlike texts seldom share one of n buckets, and tables, so that like texts miss all with that chance."""
+    bits = max(16, math.ceil(math.log2(max(2, n))))
+    return bits, math.ceil(math.log(miss) / math.log(1 - (1 - _angle(similarity)) ** bits))
+
+
+def wide_fingerprints(docs: DataFrame, k: int, words: int = WIDE, seed: int = 42) -> DataFrame:
+    """(doc_id, fp binary): fingerprints of words x 64 bits; further words are majorities of remixed shingle hashes."""
+    small_batches(docs.sparkSession)
+
+    def one(text: bytes) -> bytes:
+        joined, starts, ends = shingles(lowered_words(text), k)
+        h = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(starts))
+        out = []
+        for _ in range(words):
+            out.append(majority(h))
+            h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+            h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+        return np.array(out, np.uint64).tobytes()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t) for t in utf8(b.column(1))], pa.binary())], ["doc_id", "fp"])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+
+
+def _stack(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
+
+
+def wide_links(nodes: DataFrame, radius: int, bits: int, tables: int, words: int = WIDE, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v) that connect, in each bucket, what fingerprints within the radius connect; nodes: (node, fp).
+
+    A table's key is its own choice of bits. Buckets of few are compared by shifting the sorted rows, others
+    bit-sliced; buckets over chunk are taken chunk by chunk, each with the first of every group before it.
+    """
+    small_batches(nodes.sparkSession)
+    rng = np.random.default_rng(bits)
+    chosen = [np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(tables)]
+    place = 1 << np.arange(bits, dtype=np.int64)
+
+    def keys(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 500):  # a row a table: bounds what a batch becomes
+                part = b.slice(at, 500)
+                on = np.unpackbits(_stack(part.column(1), words).view(np.uint8), axis=1, bitorder="little") if part.num_rows else np.zeros((0, 64 * words), np.uint8)
+                key = np.concatenate([(on[:, c].astype(np.int64) @ place) + (t << bits) for t, c in enumerate(chosen)])
+                again = pa.array(np.tile(np.arange(part.num_rows), tables))
+                yield pa.RecordBatch.from_arrays([pa.array(key), part.column(1).take(again), part.column(0).take(again)], ["key", "fp", "node"])
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "key"):
+            key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+            fps = _stack(t.column("fp"), words)
+            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+            size = np.repeat(np.diff(starts), np.diff(starts))
+            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            few = size <= FEW
+            for off in range(1, min(FEW, len(key))):
+                i = np.flatnonzero((key[off:] == key[:-off]) & few[off:])
+                if not len(i):
+                    break
+                i = i[np.bitwise_count(fps[i] ^ fps[i + off]).sum(-1, dtype=int) <= radius]
+                u.append(node[i])
+                v.append(node[i + off])
+            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+                if e - s > FEW:
+                    first: list[int] = []
+                    for at in range(s, e, chunk):
+                        own = np.array([*first, *range(at, min(e, at + chunk))])
+                        pairs = np.array(links(fps[own], radius), np.int64).reshape(-1, 2)
+                        u.append(node[own[pairs[:, 0]]])
+                        v.append(node[own[pairs[:, 1]]])
+                        first = sorted({*own.tolist()} - set(own[pairs.max(1)].tolist())) if at + chunk < e else []
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+
+    keyed = nodes.select("node", "fp").mapInArrow(keys, "key long, fp binary, node long")
+    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+
+
+def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, words: int = WIDE, seed: int = 42) -> DataFrame:
+    """(doc_id, component_id) for every row of docs: groups linked at a similarity of k-word shingles.
+
+    64 bits can't tell a similarity of 0.8: its pairs differ by ten bits, more or less by three. Here
+    fingerprints have words x 64 bits, links are within wide_radius(similarity) of them, and candidates share
+    a bucket in one of table_shape(n, similarity) tables. Nulls, repeats and other columns as in near_duplicates.
+    """
+    fps = saved(wide_fingerprints(docs, k, words, seed), "fingerprints")
+    by_fp = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    bits, tables = table_shape(by_fp.count(), similarity)
+    found = saved(wide_links(by_fp.where("node IS NOT NULL"), wide_radius(similarity, words), bits, tables, words).distinct(), "links")
+    ids = by_fp.join(components(found), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(ids, "fp").select("doc_id", "component_id")
+
+
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_duplicates(table(spark, sf_dir, "documents"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -88,6 +88,48 @@ def test_sliced_links(n, radius, spread):
     assert reference_groups(range(n), edges) == want and len(edges) < n
 
 
+@pytest.mark.parametrize(("n", "radius"), [(40, 90), (400, 90), (130, 20)])
+def test_wide_links(n, radius):
+    r = random.Random(n)
+    heads = [[r.getrandbits(64) for _ in range(8)] for _ in range(5)]
+    fps = []
+    for _ in range(n):
+        f = list(r.choice(heads))
+        for b in r.sample(range(512), r.randint(0, radius)):
+            f[b >> 6] ^= 1 << (b & 63)
+        fps.append(f)
+    near = lambda a, b: sum((x ^ y).bit_count() for x, y in zip(fps[a], fps[b])) <= radius
+    want = reference_groups(range(n), [(a, b) for a in range(n) for b in range(a) if near(a, b)])
+    edges = simhash.links(np.array(fps, np.uint64), radius)
+    assert all(near(a, b) for a, b in edges) and reference_groups(range(n), edges) == want
+
+
+def jaccard(a, b, k=5):
+    def s(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)}
+
+    return len(s(a) & s(b)) / len(s(a) | s(b))
+
+
+@pytest.mark.parametrize("few", [48, 3])
+def test_similar_documents(spark, monkeypatch, few):
+    monkeypatch.setattr(simhash, "FEW", few)
+    r = random.Random(3)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for i in range(150):
+        t = r.choices(words, k=200)
+        near = list(t)
+        for _ in range(3):
+            near[r.randrange(200)] = "edit"
+        rows += [(3 * i, " ".join(t), None, None), (3 * i + 1, " ".join(near), None, None), (3 * i + 2, " ".join(t[:100] + r.choices(words, k=100)), None, None)]
+    odd = [(900, None, None, None), (901, "", None, None), (902, rows[0][1], None, None), (902, rows[0][1], None, None)]
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(frame(spark, rows + odd)).collect()}
+    assert np.mean([got[3 * i + 1] == 3 * i for i in range(150) if jaccard(rows[3 * i][1], rows[3 * i + 1][1]) >= 0.8]) > 0.93
+    assert all(got[3 * i] == 3 * i and got[3 * i + 2] == 3 * i + 2 for i in range(150)) and got[901] == 900 and got[902] == 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300), (301, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
