@@ -31,10 +31,6 @@ BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 _SHARD = "shard int, block int, dict_hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, starts array<long>, payload binary"
 
 
-def encoded(text: str | None, path: str, end_id: int | None) -> bytes:
-    return words(path).ids([text or ""])[0] + (b"" if end_id is None else int(end_id).to_bytes(4, "little"))
-
-
 def train_dictionary(docs: DataFrame, path: str, size: int = DICTIONARY_BYTES, sample: int = SAMPLE_DOCS) -> bytes:
     """Dictionary bytes from a bounded sample of documents, chosen by hash, each one's first SAMPLE_CHARS.
 
@@ -42,7 +38,7 @@ def train_dictionary(docs: DataFrame, path: str, size: int = DICTIONARY_BYTES, s
     The sample shapes only the compression; every document is encoded whole.
     """
     rows = bounded_sample(docs.where("text IS NOT NULL"), ["doc_id"], sample, 5).select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).collect()
-    arrays = [x for t in sorted(r.t for r in rows) if (x := encoded(t, path, None))]
+    arrays = [x for x in words(path).ids(sorted(r.t for r in rows)) if x]
     if not arrays:
         return b""
     try:
@@ -72,6 +68,7 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int | None = END_
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packer = zstandard.ZstdCompressor(level=level, dict_data=_dictionary(raw_bytes), write_content_size=True)
+        end = b"" if end_id is None else int(end_id).to_bytes(4, "little")
         shard, block, start = TaskContext.get().partitionId(), 0, 0
         ids, counts, frames, starts, held = [], [], [], [], 0
 
@@ -82,8 +79,9 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int | None = END_
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["shard", "block", "dict_hash", "doc_ids", "n_tokens", "offsets", "starts", "payload"])
 
         for b in batches:
-            for doc_id, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tokens = encoded(text, path, end_id)
+            whole = words(path).ids([t or "" for t in b.column(1).to_pylist()])
+            for doc_id, tokens in zip(b.column(0).to_pylist(), whole):
+                tokens += end
                 frame = packer.compress(tokens)
                 if frames and (held + len(frame) > BLOCK_BYTES or len(frames) >= BLOCK_DOCS):
                     yield flush()

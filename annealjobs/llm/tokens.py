@@ -12,6 +12,7 @@ import json
 import os
 import re
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 
@@ -20,6 +21,7 @@ MOST_WORDS, MOST_CORES = 250_000, 500_000
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _ODD = re.compile(r"\s|\x00|<\|")
 _TAIL = ".,;:!?|*#$%&"
+_TEXTS = 100  # texts whose new words are learned together
 _TOGETHER = 50  # words in one call: short calls are the library's fast path
 
 
@@ -75,45 +77,47 @@ class Words:
             self.words.clear()
         if len(self.cores) > MOST_CORES:
             self.cores.clear()
-        plain, odd = {}, []
+        plain, odd, lower = {}, [], self.kind == "dropped"
         for w in words:
-            if _ODD.search(w):
-                odd.append(w)
-                continue
             core = w.rstrip(_TAIL)
-            if core and core.isascii() and core.isalpha():  # letters, then signs: two cuts of either pattern
-                plain[w] = (core.lower() if self.kind == "dropped" else core, w[len(core) :])
+            if core.isalpha() and (core.isascii() or max(core) < "\u0100"):  # Latin-1 letters, then signs: two cuts of either pattern
+                plain[w] = (core.lower() if lower else core, w[len(core) :])
+            elif _ODD.search(w):
+                odd.append(w)
             else:
                 plain[w] = (w, "")
-        tails = {t for _, t in plain.values() if t and "\0" + t not in self.cores}
-        for t, x in zip(tails, self._encode(list(tails))):  # signs after letters: no blank before them
+        tails = [t for t in {t for _, t in plain.values()} if t and "\0" + t not in self.cores]
+        for t, x in zip(tails, self._encode(tails) if tails else []):  # signs after letters: no blank before them
             self.cores["\0" + t] = x
         self._learn_cores(list({c for c, _ in plain.values() if c not in self.cores}))
         for w, (c, t) in plain.items():
             self.words[w] = self.cores[c] + self.cores["\0" + t] if t else self.cores[c]
         lead = " " if self.kind == "spaced" else ""
-        self.words.update(zip(odd, self._encode([lead + w for w in odd])))
+        if odd:
+            self.words.update(zip(odd, self._encode([lead + w for w in odd])))
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without special tokens added."""
         if self.kind == "whole":
             return self._encode(texts)
-        cut = [_CUT.split(t) for t in texts]
         first = []
+        if self.kind == "dropped":  # any blank is a cut, and ASCII ones are all alike
+            cut = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
+        else:
+            cut = [_CUT.split(t) for t in texts]
         if self.kind == "spaced":  # a text's first word has no blank before it
             first = self._encode([c[0] for c in cut])
             cut = [c[1:] for c in cut]
-        out = []
-        for i, pieces in enumerate(cut):
-            words = self.words
-            new = set(pieces).difference(words)
+        out, words = [], self.words
+        for at in range(0, len(cut), _TEXTS):
+            some = cut[at : at + _TEXTS]
+            new = set(chain.from_iterable(some)).difference(words)
             if new:
                 if len(words) + len(new) > MOST_WORDS:
-                    new = set(pieces)
+                    new = set(chain.from_iterable(some))
                 self._learn(new)
-            body = b"".join(map(words.__getitem__, pieces))
-            out.append(first[i] + body if first else body)
-        return out
+            out += [b"".join(map(words.__getitem__, pieces)) for pieces in some]
+        return [a + b for a, b in zip(first, out)] if first else out
 
 
 @lru_cache(maxsize=4)
