@@ -108,5 +108,33 @@ def runs(batches: Iterable[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
+def pieces(batches: Iterable[pa.RecordBatch], key: str, most: int) -> Iterator[tuple[int, pa.Table]]:
+    """(-1, whole groups of a key) from batches sorted by it, or (0, 1, ..., rows) of one group too large to hold.
+
+    No more than about most rows and a batch are held at once.
+    """
+    held: list[pa.RecordBatch] = []
+    last, given = None, 0  # the open group, and how many pieces of it have gone
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(batch.schema.names.index(key)).to_numpy(zero_copy_only=False)
+        cut = int(np.searchsorted(column, column[-1], "left"))
+        if cut or column[-1] != last:  # the open group ends here
+            more = int(np.searchsorted(column, last, "right")) if given else 0
+            if given and (held or more):
+                yield given, pa.Table.from_batches([*held, batch.slice(0, more)])
+                held = []
+            if held or cut > more:
+                yield -1, pa.Table.from_batches([*held, batch.slice(more, cut - more)])
+            held, last, given = [], column[-1], 0
+        held.append(batch.slice(cut))
+        if sum(b.num_rows for b in held) > most:
+            yield given, pa.Table.from_batches(held)
+            held, given = [], given + 1
+    if held:
+        yield given or -1, pa.Table.from_batches(held)
+
+
 def unsigned_crc32(column: Column) -> Column:
     return F.crc32(column.cast("string").cast("binary"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annealjobs.llm.components import components
-from annealjobs.llm.shared import lowered_words, majority, runs, saved, shingles, small_batches, table, utf8
+from annealjobs.llm.shared import lowered_words, majority, pieces, runs, saved, shingles, small_batches, table, utf8
 
 RADIUS = 3
 #: Fingerprints of a bucket that one task compares at once; larger buckets are dealt out as pairs of chunks.
@@ -195,6 +195,13 @@ def _compare(radius: int, chunk: int):
     return run
 
 
+def _chunk_pairs(large: DataFrame) -> DataFrame:
+    """Rows of large (key, chunk, ...) once for each pair of chunks of their key; key becomes the pair's."""
+    chunks = large.groupBy("key").agg((F.max("chunk") + 1).alias("n"))
+    pairs = large.join(chunks, "key").withColumn("o", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    return pairs.withColumn("key", F.xxhash64("key", F.least("chunk", "o"), F.greatest("chunk", "o"))).drop("chunk", "n", "o")
+
+
 def near_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
     """Edges (u, v) that connect what fingerprints within the radius connect; nodes: (node, fp), distinct.
 
@@ -209,10 +216,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> Da
     large = found.where("key IS NOT NULL")
     if large.isEmpty():
         return edges
-    chunks = large.groupBy("key").agg((F.max("chunk") + 1).alias("n"))
-    other = F.explode(F.sequence(F.lit(0), F.col("n") - 1))
-    pairs = large.join(chunks, "key").select("key", "chunk", "a", "b", other.alias("o"))
-    pairs = pairs.select(F.xxhash64("key", F.least("chunk", "o"), F.greatest("chunk", "o")).alias("key"), F.col("b").alias("fp"), F.col("a").alias("node"))
+    pairs = _chunk_pairs(large).select("key", F.col("b").alias("fp"), F.col("a").alias("node"))
 
     def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "key"):
@@ -286,7 +290,8 @@ def wide_links(nodes: DataFrame, radius: int, bits: int, tables: int, words: int
     """Edges (u, v) that connect, in each bucket, what fingerprints within the radius connect; nodes: (node, fp).
 
     A table's key is its own choice of bits. Buckets of few are compared by shifting the sorted rows, others
-    bit-sliced; buckets over chunk are taken chunk by chunk, each with the first of every group before it.
+    bit-sliced. Buckets over chunk fingerprints leave the first pass as chunks, each pair of which is a group
+    of the second, so that no link is lost in them and no task holds more than two chunks and a batch.
     """
     small_batches(nodes.sparkSession)
     rng = np.random.default_rng(bits)
@@ -297,39 +302,53 @@ def wide_links(nodes: DataFrame, radius: int, bits: int, tables: int, words: int
         for b in batches:
             for at in range(0, b.num_rows, 500):  # a row a table: bounds what a batch becomes
                 part = b.slice(at, 500)
-                on = np.unpackbits(_stack(part.column(1), words).view(np.uint8), axis=1, bitorder="little") if part.num_rows else np.zeros((0, 64 * words), np.uint8)
+                on = np.unpackbits(_stack(part.column(1), words).view(np.uint8), axis=1, bitorder="little")
                 key = np.concatenate([(on[:, c].astype(np.int64) @ place) + (t << bits) for t, c in enumerate(chosen)])
                 again = pa.array(np.tile(np.arange(part.num_rows), tables))
                 yield pa.RecordBatch.from_arrays([pa.array(key), part.column(1).take(again), part.column(0).take(again)], ["key", "fp", "node"])
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
+        fps = _stack(t.column("fp"), words)
+        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+        size = np.repeat(np.diff(starts), np.diff(starts))
+        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        few = size <= FEW
+        for off in range(1, min(FEW, len(key))):
+            i = np.flatnonzero((key[off:] == key[:-off]) & few[off:])
+            if not len(i):
+                break
+            i = i[np.bitwise_count(fps[i] ^ fps[i + off]).sum(-1, dtype=int) <= radius]
+            u.append(node[i])
+            v.append(node[i + off])
+        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+            if e - s > FEW:
+                pairs = np.array(links(fps[s:e], radius), np.int64).reshape(-1, 2)
+                u.append(node[s:e][pairs[:, 0]])
+                v.append(node[s:e][pairs[:, 1]])
+        return np.concatenate(u), np.concatenate(v)
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, t in pieces(batches, "key", chunk):
+            if number < 0:
+                u, v = linked(t)
+                none = [pa.nulls(len(u), k) for k in (pa.int64(), pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(u), pa.array(v)], ["key", "chunk", "fp", "u", "v"])
+            else:
+                own = t.column("node").combine_chunks()
+                yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), pa.array(np.full(len(own), number, np.int32)), t.column("fp").combine_chunks(), own, own], ["key", "chunk", "fp", "u", "v"])
+
+    def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "key"):
-            key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
-            fps = _stack(t.column("fp"), words)
-            starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-            size = np.repeat(np.diff(starts), np.diff(starts))
-            u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            few = size <= FEW
-            for off in range(1, min(FEW, len(key))):
-                i = np.flatnonzero((key[off:] == key[:-off]) & few[off:])
-                if not len(i):
-                    break
-                i = i[np.bitwise_count(fps[i] ^ fps[i + off]).sum(-1, dtype=int) <= radius]
-                u.append(node[i])
-                v.append(node[i + off])
-            for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-                if e - s > FEW:
-                    first: list[int] = []
-                    for at in range(s, e, chunk):
-                        own = np.array([*first, *range(at, min(e, at + chunk))])
-                        pairs = np.array(links(fps[own], radius), np.int64).reshape(-1, 2)
-                        u.append(node[own[pairs[:, 0]]])
-                        v.append(node[own[pairs[:, 1]]])
-                        first = sorted({*own.tolist()} - set(own[pairs.max(1)].tolist())) if at + chunk < e else []
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(u)), pa.array(np.concatenate(v))], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in linked(t)], ["u", "v"])
 
     keyed = nodes.select("node", "fp").mapInArrow(keys, "key long, fp binary, node long")
-    return keyed.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+    found = saved(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(first, "key long, chunk int, fp binary, u long, v long"), "links")
+    edges, large = found.where("key IS NULL").select("u", "v"), found.where("key IS NOT NULL")
+    if large.isEmpty():
+        return edges
+    pairs = _chunk_pairs(large).select("key", "fp", F.col("u").alias("node"))
+    return edges.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(second, "u long, v long"))
 
 
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, words: int = WIDE, seed: int = 42) -> DataFrame:
@@ -342,7 +361,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, word
     fps = saved(wide_fingerprints(docs, k, words, seed), "fingerprints")
     by_fp = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     bits, tables = table_shape(by_fp.count(), similarity)
-    found = saved(wide_links(by_fp.where("node IS NOT NULL"), wide_radius(similarity, words), bits, tables, words).distinct(), "links")
+    found = wide_links(by_fp.where("node IS NOT NULL"), wide_radius(similarity, words), bits, tables, words)
     ids = by_fp.join(components(found), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(ids, "fp").select("doc_id", "component_id")
 

@@ -6,13 +6,14 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
 from annealjobs.llm import chat_format, decontaminate, language_id, mixing, quality, simhash, suffix_dedup, token_counts, token_output, url_filter
 from annealjobs.llm.components import components
-from annealjobs.llm.shared import scratch
+from annealjobs.llm.shared import pieces, scratch
 from annealjobs.llm.tokens import Words, tokenizer_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, fp string, key string, size string, component string, target string, copies string"
@@ -104,6 +105,45 @@ def test_wide_links(n, radius):
     assert all(near(a, b) for a, b in edges) and reference_groups(range(n), edges) == want
 
 
+@pytest.mark.parametrize("batch", [1, 3, 7, 100])
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_pieces(batch, most):
+    r = random.Random(batch * most)
+    key = sorted(r.choices(range(5), k=40) + [7] * 30 + [9])
+    whole = pa.table({"key": pa.array(key, pa.int64()), "row": pa.array(range(len(key)), pa.int64())})
+    got = list(pieces(whole.to_batches(max_chunksize=batch), "key", most))
+    assert [x for _, t in got for x in t.column("row").to_pylist()] == list(range(len(key)))
+    number = {}
+    for n, t in got:
+        keys = set(t.column("key").to_pylist())
+        assert t.num_rows and (n < 0 or len(keys) == 1)
+        for k in keys:
+            assert n == (number[k] + 1 if k in number else min(n, 0)) and number.get(k, 0) >= 0  # in order, and whole groups once
+            number[k] = n
+    assert most < 1000 or all(n < 0 for n, _ in got)
+
+
+@pytest.mark.parametrize("chunk", [8, 40])
+def test_large_wide_buckets_lose_no_link(spark, chunk):
+    """A walk whose neighbours alone are near: links across chunks stand between no groups' first members."""
+    r = random.Random(chunk)
+    f, rows = [0] * 8, []
+    for i in range(150):
+        for b in r.sample(range(64, 512), 20):  # the first word stays, so that the buckets hold all
+            f[b >> 6] ^= 1 << (b & 63)
+        rows.append((i, np.array(f, np.uint64).tobytes()))
+    r.shuffle(rows)
+    nodes = spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "node long, fp binary")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
+    try:
+        found = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 1, 4, chunk=chunk).collect()}
+        want = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 1, 4, chunk=10**6).collect()}
+        none = simhash.wide_links(nodes.where("node < 0"), 30, 1, 4, chunk=chunk).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert reference_groups(range(150), found) == reference_groups(range(150), want) and len(set(reference_groups(range(150), want).values())) < 150 and not none
+
+
 def jaccard(a, b, k=5):
     def s(t):
         w = t.lower().split()
