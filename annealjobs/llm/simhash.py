@@ -30,6 +30,8 @@ FEW = 48
 _QUERIES = 256
 #: Words of 64 bits of the fingerprints that stand for a similarity rather than a radius.
 WIDE = 8
+#: Standard deviations that pairs of just the similarity may stand off: nearer is sure, farther is out, between is verified.
+SIGMAS = 2.5
 
 
 def simhash(text: bytes, k: int = 3, seed: int = 42) -> int:
@@ -249,8 +251,11 @@ def _angle(similarity: float) -> float:
     return math.acos(2 * similarity / (1 + similarity)) / math.pi
 
 
-def wide_radius(similarity: float, words: int = WIDE, sigmas: float = 1.8) -> int:
-    """Bits within which texts of the similarity stand, but for chance beyond so many standard deviations."""
+def wide_radius(similarity: float, words: int = WIDE, sigmas: float = SIGMAS) -> int:
+    """Bits within which texts of the similarity stand, but for chance beyond so many standard deviations.
+
+    Negative sigmas: bits within which hardly any pair of less than the similarity stands.
+    """
     p, bits = _angle(similarity), 64 * words
     return int(p * bits + sigmas * math.sqrt(bits * p * (1 - p)))
 
@@ -286,8 +291,10 @@ def _stack(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
 
 
-def wide_links(nodes: DataFrame, radius: int, bits: int, tables: int, words: int = WIDE, chunk: int = CHUNK) -> DataFrame:
-    """Edges (u, v) that connect, in each bucket, what fingerprints within the radius connect; nodes: (node, fp).
+def wide_links(nodes: DataFrame, sure: int, radius: int, bits: int, tables: int, words: int = WIDE, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v, sure) that connect, in each bucket, what fingerprints within the radius connect; nodes: (node, fp).
+
+    Sure edges alone connect what fingerprints within `sure` bits connect; buckets of few give all pairs.
 
     A table's key is its own choice of bits. Buckets of few are compared by shifting the sorted rows, others
     bit-sliced. Buckets over chunk fingerprints leave the first pass as chunks, each pair of which is a group
@@ -307,62 +314,96 @@ def wide_links(nodes: DataFrame, radius: int, bits: int, tables: int, words: int
                 again = pa.array(np.tile(np.arange(part.num_rows), tables))
                 yield pa.RecordBatch.from_arrays([pa.array(key), part.column(1).take(again), part.column(0).take(again)], ["key", "fp", "node"])
 
-    def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
         fps = _stack(t.column("fp"), words)
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         size = np.repeat(np.diff(starts), np.diff(starts))
-        u, v = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        u, v, certain = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
         few = size <= FEW
         for off in range(1, min(FEW, len(key))):
             i = np.flatnonzero((key[off:] == key[:-off]) & few[off:])
             if not len(i):
                 break
-            i = i[np.bitwise_count(fps[i] ^ fps[i + off]).sum(-1, dtype=int) <= radius]
+            far = np.bitwise_count(fps[i] ^ fps[i + off]).sum(-1, dtype=int)
+            i, far = i[far <= radius], far[far <= radius]
             u.append(node[i])
             v.append(node[i + off])
+            certain.append(far <= sure)
         for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            if e - s > FEW:
-                pairs = np.array(links(fps[s:e], radius), np.int64).reshape(-1, 2)
+            for bound in (sure, radius) if e - s > FEW else ():
+                pairs = np.array(links(fps[s:e], bound), np.int64).reshape(-1, 2)
                 u.append(node[s:e][pairs[:, 0]])
                 v.append(node[s:e][pairs[:, 1]])
-        return np.concatenate(u), np.concatenate(v)
+                certain.append(np.full(len(pairs), bound == sure))
+        return np.concatenate(u), np.concatenate(v), np.concatenate(certain)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, t in pieces(batches, "key", chunk):
             if number < 0:
-                u, v = linked(t)
+                u, v, certain = linked(t)
                 none = [pa.nulls(len(u), k) for k in (pa.int64(), pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(u), pa.array(v)], ["key", "chunk", "fp", "u", "v"])
+                yield pa.RecordBatch.from_arrays([*none, pa.array(u), pa.array(v), pa.array(certain)], ["key", "chunk", "fp", "u", "v", "sure"])
             else:
                 own = t.column("node").combine_chunks()
-                yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), pa.array(np.full(len(own), number, np.int32)), t.column("fp").combine_chunks(), own, own], ["key", "chunk", "fp", "u", "v"])
+                yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), pa.array(np.full(len(own), number, np.int32)), t.column("fp").combine_chunks(), own, own, pa.nulls(len(own), pa.bool_())], ["key", "chunk", "fp", "u", "v", "sure"])
 
     def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "key"):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in linked(t)], ["u", "v"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in linked(t)], ["u", "v", "sure"])
 
     keyed = nodes.select("node", "fp").mapInArrow(keys, "key long, fp binary, node long")
-    found = saved(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(first, "key long, chunk int, fp binary, u long, v long"), "links")
-    edges, large = found.where("key IS NULL").select("u", "v"), found.where("key IS NOT NULL")
+    found = saved(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(first, "key long, chunk int, fp binary, u long, v long, sure boolean"), "links")
+    edges, large = found.where("key IS NULL").select("u", "v", "sure"), found.where("key IS NOT NULL")
     if large.isEmpty():
         return edges
     pairs = _chunk_pairs(large).select("key", "fp", F.col("u").alias("node"))
-    return edges.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(second, "u long, v long"))
+    return edges.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(second, "u long, v long, sure boolean"))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) of doc_ids whose texts have the Jaccard similarity: distinct k-word shingles, shared over united."""
+    small_batches(docs.sparkSession)
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+
+    def of(text: bytes) -> set[int]:
+        joined, starts, ends = shingles(lowered_words(text), k)
+        return {xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(starts, ends)}
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            like = []
+            for x, y in zip(utf8(b.column(2)), utf8(b.column(3))):
+                x, y = of(x), of(y)
+                both = len(x & y)
+                like.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(like, pa.bool_()))
+
+    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, words: int = WIDE, seed: int = 42) -> DataFrame:
     """(doc_id, component_id) for every row of docs: groups linked at a similarity of k-word shingles.
 
     64 bits can't tell a similarity of 0.8: its pairs differ by ten bits, more or less by three. Here
-    fingerprints have words x 64 bits, links are within wide_radius(similarity) of them, and candidates share
-    a bucket in one of table_shape(n, similarity) tables. Nulls, repeats and other columns as in near_duplicates.
+    fingerprints have words x 64 bits, and candidates share a bucket in one of table_shape(n, similarity)
+    tables. Pairs well within the similarity's distance are links; those about it, of groups that such links
+    do not join, are verified by the exact similarity of their texts. Nulls, repeats and other columns as in
+    near_duplicates; where rows of one doc_id differ, any of their texts counts.
     """
     fps = saved(wide_fingerprints(docs, k, words, seed), "fingerprints")
     by_fp = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
     bits, tables = table_shape(by_fp.count(), similarity)
-    found = wide_links(by_fp.where("node IS NOT NULL"), wide_radius(similarity, words), bits, tables, words)
-    ids = by_fp.join(components(found), "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
+    bounds = (wide_radius(similarity, words, -SIGMAS), wide_radius(similarity, words))
+    found = wide_links(by_fp.where("node IS NOT NULL"), *bounds, bits, tables, words)
+    near = components(found.where("sure").select("u", "v"))
+    unsure = found.where("NOT sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct()
+    for end in ("u", "v"):
+        unsure = unsure.join(near.toDF(end, f"of_{end}"), end, "left")
+    unsure = saved(unsure.where("coalesce(of_u, u) != coalesce(of_v, v)").select("u", "v"), "unsure")
+    groups = components(near.toDF("u", "v").unionByName(verified(unsure, docs, k, similarity)))
+    ids = by_fp.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(ids, "fp").select("doc_id", "component_id")
 
 

@@ -136,9 +136,9 @@ def test_large_wide_buckets_lose_no_link(spark, chunk):
     nodes = spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "node long, fp binary")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
     try:
-        found = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 1, 4, chunk=chunk).collect()}
-        want = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 1, 4, chunk=10**6).collect()}
-        none = simhash.wide_links(nodes.where("node < 0"), 30, 1, 4, chunk=chunk).collect()
+        found = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 45, 1, 4, chunk=chunk).where("sure").collect()}
+        want = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 45, 1, 4, chunk=10**6).where("sure").collect()}
+        none = simhash.wide_links(nodes.where("node < 0"), 30, 45, 1, 4, chunk=chunk).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert reference_groups(range(150), found) == reference_groups(range(150), want) and len(set(reference_groups(range(150), want).values())) < 150 and not none
@@ -164,9 +164,16 @@ def test_similar_documents(spark, monkeypatch, few):
         for _ in range(3):
             near[r.randrange(200)] = "edit"
         rows += [(3 * i, " ".join(t), None, None), (3 * i + 1, " ".join(near), None, None), (3 * i + 2, " ".join(t[:100] + r.choices(words, k=100)), None, None)]
+    for i in range(150):  # like the first, but not enough
+        less = list(rows[3 * i][1].split(" "))
+        for at in range(10, 190, 20):
+            less[at + r.randrange(9)] = f"less{i}"
+        rows.append((1000 + i, " ".join(less), None, None))
+    assert all(0.55 < jaccard(rows[3 * i][1], rows[450 + i][1]) < 0.8 for i in range(150))
     odd = [(900, None, None, None), (901, "", None, None), (902, rows[0][1], None, None), (902, rows[0][1], None, None)]
     got = {x.doc_id: x.component_id for x in simhash.similar_documents(frame(spark, rows + odd)).collect()}
     assert np.mean([got[3 * i + 1] == 3 * i for i in range(150) if jaccard(rows[3 * i][1], rows[3 * i + 1][1]) >= 0.8]) > 0.93
+    assert all(got[1000 + i] == 1000 + i for i in range(150))
     assert all(got[3 * i] == 3 * i and got[3 * i + 2] == 3 * i + 2 for i in range(150)) and got[901] == 900 and got[902] == 0
 
 
