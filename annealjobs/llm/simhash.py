@@ -32,6 +32,8 @@ _QUERIES = 256
 WIDE = 8
 #: Standard deviations that pairs of just the similarity may stand off: nearer is sure, farther is out, between is verified.
 SIGMAS = 2.5
+#: Hash slots of doc_ids whose texts are verified: bounds what is broadcast to spare other texts the shuffle.
+SLOTS = 1 << 20
 
 
 def simhash(text: bytes, k: int = 3, seed: int = 42) -> int:
@@ -362,9 +364,15 @@ def wide_links(nodes: DataFrame, sure: int, radius: int, bits: int, tables: int,
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of pairs (u, v) of doc_ids whose texts have the Jaccard similarity: distinct k-word shingles, shared over united."""
+    """Those of pairs (u, v) of doc_ids whose texts have the Jaccard similarity: distinct k-word shingles, shared over united.
+
+    Texts of hash slots that no pair falls in are left out before texts are shuffled.
+    """
     small_batches(docs.sparkSession)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
+    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).select(slot).distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), slot)
+    texts = texts.join(F.broadcast(wanted), "slot", "left_semi").drop("slot")  # a few too many; the joins below are exact
 
     def of(text: bytes) -> set[int]:
         joined, starts, ends = shingles(lowered_words(text), k)

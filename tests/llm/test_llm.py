@@ -453,3 +453,64 @@ def test_token_counts_and_their_cache(spark, docs, monkeypatch):
     more = token_counts.count_tokens(frame(spark, [(1, "new one", None, None), (1, "new one", None, None)]), cache, limit=1).collect()
     assert [(r.n_tokens, r.over_limit) for r in more] == [(2, True)] * 2
     assert not token_counts.count_tokens(frame(spark, []), cache).count()
+
+
+def test_pipeline_as_a_whole(spark, tmp_path):
+    """run() against each stage by brute force; copies of the mix may be the floor or the ceiling of a source's rate."""
+    import corpus_pipeline
+
+    r = random.Random(21)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    items = [(i, " ".join(r.choices(vocabulary, k=20))) for i in range(6)]
+    made = [r.choices(vocabulary, k=r.randint(55, 150)) for _ in range(90)]
+    made += [["edit", *made[i][1:]] for i in range(25)] + [list(made[30])] * 4  # near and exact copies
+    made += [[*r.choices(vocabulary, k=40), *items[i % 6][1].split(), *r.choices(vocabulary, k=40)] for i in range(12)]  # leaks
+    made += [r.choices(vocabulary, k=12) for _ in range(5)] + [["again"] * 90]  # too short, repeated
+    all_texts = [" ".join(w) for w in made] + [None, "", "\n "]
+    order = r.sample(range(1000), len(all_texts))
+    rows = [(d, t, None, r.choice(["a", "a", "a", "b", "c", None])) for d, t in zip(order, all_texts)]
+    frame(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+
+    stats = {d: brute_stats(t) for d, t, *_ in rows}
+    left = {d: (t, s) for d, t, _, s in rows if stats[d][0] >= 50 and 100 * stats[d][4] <= 50 * stats[d][0]}
+    like = [(a, b) for a in left for b in left if a < b and jaccard(left[a][0], left[b][0]) >= 0.8]
+    left = {d: left[d] for d, first in reference_groups(left, like).items() if d == first}
+    leaks = {d for d, _ in brute_leaks([(d, t) for d, (t, _) in left.items()], items)}
+    left = {d: x for d, x in left.items() if d not in leaks}
+    assert len(like) >= 25 and len(leaks) >= 12 and 80 <= len(left) < len(rows) - 40
+    sizes = Counter()
+    for t, s in left.values():
+        sizes[s] += len(words_of(t))
+    weights = {s: (5, 2, 1)[i % 3] for i, s in enumerate(sorted(sizes, key=lambda s: (s is None, s or "")))}
+    full, over = {}, {None}
+    while over:
+        rest = sum(sizes.values()) - sum(full.values())
+        goal = {s: rest * weights[s] / sum(w for x, w in weights.items() if x not in full) for s in sizes if s not in full}
+        over = {s: 3.0 * sizes[s] for s in goal if goal[s] > 3 * sizes[s]}
+        full |= over
+    rate = {s: x / sizes[s] for s, x in (goal | full).items()}
+
+    got = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda x: x.start)
+    times = Counter(x.doc_id for x in got)
+    assert set(times) <= set(left) and [x.doc_id for x in got] == sorted(x.doc_id for x in got)
+    assert all(int(rate[s] + 1e-9) <= times[d] <= int(rate[s] - 1e-9) + 1 for d, (_, s) in left.items())
+    tokenizer, start = Words(tokenizer_path("word_bpe_49k.json")).tokenizer, 0
+    for x in got:
+        ids = [*tokenizer.encode(left[x.doc_id][0], add_special_tokens=False).ids, 2]
+        assert (x.start, x.n_tokens, x.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    again = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, got))
+
+
+@pytest.mark.parametrize("slots", [1, 7, 1 << 20])
+def test_verified_pairs(spark, monkeypatch, slots):
+    """Few slots let more texts through, and change no pair."""
+    monkeypatch.setattr(simhash, "SLOTS", slots)
+    rows = [(i, t, None, None) for i, t in enumerate(t for t in texts(31) if len(t.split()) > 5)] + [(-5, None, None, None), (None, "null id", None, None)]
+    known = [(a, b) for a in range(0, 70, 3) for b in range(60, 75) if a < b]
+    got = {(x.u, x.v) for x in simhash.verified(spark.createDataFrame(known, "u long, v long"), frame(spark, rows), 5, 0.8).collect()}
+    of = {d: t for d, t, *_ in rows}
+    assert got == {(a, b) for a, b in known if jaccard(of[a], of[b]) >= 0.8} and got
