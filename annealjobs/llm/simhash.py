@@ -90,8 +90,24 @@ def _within(queries: np.ndarray, planes: np.ndarray, varying: list[int], radius:
     return q[live], w[live], ~over[live]
 
 
-def links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
-    """Positions (a, b) of a spanning forest of the graph that links fingerprints (n) or (n, words) within the radius."""
+def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The smallest position that each of n positions reaches over the links a - b."""
+    label = np.arange(n)
+    while True:
+        new = label.copy()
+        np.minimum.at(new, a, label[b])
+        np.minimum.at(new, b, label[a])
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def links(fps: np.ndarray, radius: int = RADIUS, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Positions (a, b) of a spanning forest of the graph that links fingerprints (n) or (n, words) within the radius.
+
+    joined: labels of groups that are connected beforehand and get no link inside.
+    """
     n, out = len(fps), []
     if n < 2:
         return out
@@ -101,7 +117,7 @@ def links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
         found = ((i, np.flatnonzero(near[i, i + 1 :]) + i + 1) for i in range(n - 1))
     else:
         found = _sliced(fps, radius)
-    label = np.arange(n)
+    label = np.arange(n) if joined is None else joined.copy()
     for i, js in found:
         for root in np.unique(label[js]).tolist():
             mine = label[i]
@@ -296,7 +312,8 @@ def _stack(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
 def wide_links(nodes: DataFrame, sure: int, radius: int, bits: int, tables: int, words: int = WIDE, chunk: int = CHUNK) -> DataFrame:
     """Edges (u, v, sure) that connect, in each bucket, what fingerprints within the radius connect; nodes: (node, fp).
 
-    Sure edges alone connect what fingerprints within `sure` bits connect; buckets of few give all pairs.
+    Sure edges alone connect what fingerprints within `sure` bits connect, in stars or forests. Other edges stand
+    between the groups that sure edges make in a bucket: all such pairs of buckets of few, a forest of others.
 
     A table's key is its own choice of bits. Buckets of few are compared by shifting the sorted rows, others
     bit-sliced. Buckets over chunk fingerprints leave the first pass as chunks, each pair of which is a group
@@ -322,22 +339,32 @@ def wide_links(nodes: DataFrame, sure: int, radius: int, bits: int, tables: int,
         starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
         size = np.repeat(np.diff(starts), np.diff(starts))
         u, v, certain = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-        few = size <= FEW
+
+        def add(a: np.ndarray, b: np.ndarray, is_sure: bool) -> None:
+            u.append(node[a])
+            v.append(node[b])
+            certain.append(np.full(len(a), is_sure))
+
+        few, near = size <= FEW, [(np.zeros(0, np.int64),) * 3]
         for off in range(1, min(FEW, len(key))):
             i = np.flatnonzero((key[off:] == key[:-off]) & few[off:])
             if not len(i):
                 break
             far = np.bitwise_count(fps[i] ^ fps[i + off]).sum(-1, dtype=int)
             i, far = i[far <= radius], far[far <= radius]
-            u.append(node[i])
-            v.append(node[i + off])
-            certain.append(far <= sure)
-        for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
-            for bound in (sure, radius) if e - s > FEW else ():
-                pairs = np.array(links(fps[s:e], bound), np.int64).reshape(-1, 2)
-                u.append(node[s:e][pairs[:, 0]])
-                v.append(node[s:e][pairs[:, 1]])
-                certain.append(np.full(len(pairs), bound == sure))
+            near.append((i, i + off, far))
+        a, b, far = (np.concatenate(x) for x in zip(*near))
+        label = _labels(len(key), a[far <= sure], b[far <= sure])
+        own = np.flatnonzero(label != np.arange(len(key)))
+        add(own, label[own], True)
+        apart = (far > sure) & (label[a] != label[b])
+        add(a[apart], b[apart], False)
+        for s in starts[:-1][np.diff(starts) > FEW].tolist():
+            e = s + size[s]
+            certainly = np.array(links(fps[s:e], sure), np.int64).reshape(-1, 2)
+            add(s + certainly[:, 0], s + certainly[:, 1], True)
+            perhaps = np.array(links(fps[s:e], radius, _labels(e - s, certainly[:, 0], certainly[:, 1])), np.int64).reshape(-1, 2)
+            add(s + perhaps[:, 0], s + perhaps[:, 1], False)
         return np.concatenate(u), np.concatenate(v), np.concatenate(certain)
 
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

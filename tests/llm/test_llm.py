@@ -105,6 +105,15 @@ def test_wide_links(n, radius):
     assert all(near(a, b) for a, b in edges) and reference_groups(range(n), edges) == want
 
 
+@pytest.mark.parametrize("n", [1, 2, 50, 400])
+def test_labels(n):
+    r = random.Random(n)
+    pairs = [(r.randrange(n), r.randrange(n)) for _ in range(n)] + [(i, i + 1) for i in range(n // 3)]
+    got = simhash._labels(n, *np.array(pairs, np.int64).T)
+    assert dict(enumerate(got.tolist())) == reference_groups(range(n), pairs)
+    assert (simhash._labels(n, *np.zeros((2, 0), np.int64)) == np.arange(n)).all()
+
+
 @pytest.mark.parametrize("batch", [1, 3, 7, 100])
 @pytest.mark.parametrize("most", [1, 4, 1000])
 def test_pieces(batch, most):
