@@ -9,6 +9,9 @@ verified by the exact weighted Jaccard similarity of their shingle multisets.
 Windows that cannot reach the similarity need no fingerprint: both sides have the same number s of
 shingles, so a similarity of t needs 2 t s / (1 + t) of the window's shingles to be the item's. That is
 an exact bound, counted by running sums over shingles of items with that number of words.
+
+A document shorter than an item is one window, all of it, looked up among items of each number of words
+whose shingles and its own allow the similarity.
 """
 
 from __future__ import annotations
@@ -64,8 +67,8 @@ class _Items:
             out = (out ^ (out >> np.uint64(29))) * _STEP + ids[i : i + len(out)]
         return out
 
-    def windows(self, words: list[bytes], threshold: float) -> Iterator[tuple[int, int]]:
-        """(first word, number of words) of windows that can reach the similarity with an item."""
+    def windows(self, words: list[bytes], threshold: float) -> Iterator[tuple[int, int, int]]:
+        """(first word, number of words, number of the item's words) of windows that can reach the similarity with an item."""
         ids = np.fromiter((self.number.get(w, 0) for w in words), np.uint64, len(words))
         known = np.concatenate([[0], np.cumsum(ids != 0)])
         at = np.flatnonzero(known[SHINGLE:] - known[:-SHINGLE] == SHINGLE) if len(ids) >= SHINGLE else []
@@ -76,19 +79,23 @@ class _Items:
         at, codes = at[hit], codes[hit]
         for size, own in self.by_size.items() if len(at) else ():
             s = size - SHINGLE + 1
-            need = math.ceil(2 * threshold * s / (1 + threshold) - 1e-9)
+            own_s = min(s, len(words) - SHINGLE + 1)  # the window's shingles: a shorter document is one window
+            need = math.ceil(threshold * (own_s + s) / (1 + threshold) - 1e-9)
             mine = at[own[np.minimum(np.searchsorted(own, codes), len(own) - 1)] == codes]
-            if len(mine) < need or len(words) < size:
+            if len(mine) < need:
+                continue
+            if own_s < s:
+                yield 0, len(words), size
                 continue
             # only starts near a hit can hold any
             starts = np.unique((mine[:, None] - np.arange(s)[None, :]).ravel())
             starts = starts[(starts >= 0) & (starts + size <= len(words))]
             count = np.searchsorted(mine, starts + s, "left") - np.searchsorted(mine, starts, "left")
             for start in starts[count >= need].tolist():
-                yield start, size
+                yield start, size, size
 
 
-_WINDOWS = "doc_id long, start int, n_words int, fp long, words string"
+_WINDOWS = "doc_id long, start int, n_words int, item_words int, fp long, words string"
 
 
 def window_fingerprints(docs: DataFrame, items: list[bytes], threshold: float) -> DataFrame:
@@ -101,19 +108,19 @@ def window_fingerprints(docs: DataFrame, items: list[bytes], threshold: float) -
             rows = []
             for doc_id, text in zip(b.column(0).to_pylist(), utf8(b.column(1))):
                 words = lowered_words(text)
-                for start, size in held.windows(words, threshold):
+                for start, size, item_words in held.windows(words, threshold):
                     part = words[start : start + size]
-                    rows.append((doc_id, start, size, fingerprint(part), b" ".join(part).decode()))
+                    rows.append((doc_id, start, size, item_words, fingerprint(part), b" ".join(part).decode()))
                     if len(rows) >= 5000:
                         yield batch(rows)
                         rows = []
             yield batch(rows)
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows)) or [[]] * 5
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.uint64(), pa.string())
+        cols = list(zip(*rows)) or [[]] * 6
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.uint64(), pa.string())
         arrays = [pa.array(c, k) for c, k in zip(cols, kinds)]
-        return pa.RecordBatch.from_arrays([*arrays[:3], arrays[3].view(pa.int64()), arrays[4]], ["doc_id", "start", "n_words", "fp", "words"])
+        return pa.RecordBatch.from_arrays([*arrays[:4], arrays[4].view(pa.int64()), arrays[5]], ["doc_id", "start", "n_words", "item_words", "fp", "words"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, _WINDOWS)
 
@@ -126,7 +133,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
     """(doc_id, item_id, start, n_words, similarity): each document's best window for each item it holds.
 
     docs (doc_id, text), benchmark (item_id, text). Words are runs of anything but ASCII white space, A-Z
-    lower-cased. Items of fewer than five words have no shingle and match nothing, as do null texts; ties
+    lower-cased. A document with fewer words than an item is one window. Items of fewer than five words have no shingle and match nothing, as do null texts; ties
     go to the first window; repeated documents and items each count under their ids; other columns are
     ignored; empty tables give an empty result. Benchmarks over slice_words take several passes, each with
     a slice of items chosen by hash, so that what goes to the tasks is bounded.
@@ -142,12 +149,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
         rows = [(item, t, lowered_words(t)) for item, t in rows]
         rows = [(item, b" ".join(w).decode(), len(w), int(np.uint64(fingerprint(w)).astype(np.int64))) for item, _, w in rows if len(w) >= SHINGLE]
         windows = window_fingerprints(docs, [r[1].encode() for r in rows], threshold)
-        items = spark.createDataFrame(rows, "item_id long, item string, n_words int, item_fp long")
+        items = spark.createDataFrame(rows, "item_id long, item string, item_words int, item_fp long")
         flips = spark.range(1 << 16).select(F.col("id").cast("int").alias("flip")).where(F.bit_count("flip") <= per_block)
         blocks = spark.range(4).select(F.col("id").cast("int").alias("block"))
-        index = items.join(F.broadcast(blocks)).join(F.broadcast(flips)).select("item_id", "item", "n_words", "item_fp", "block", F.expr(f"{_block('item_fp', 'block')} ^ flip").alias("value"))
+        index = items.join(F.broadcast(blocks)).join(F.broadcast(flips)).select("item_id", "item", "item_words", "item_fp", "block", F.expr(f"{_block('item_fp', 'block')} ^ flip").alias("value"))
         looked = windows.withColumn("block", F.explode(F.array(*[F.lit(b) for b in range(4)]))).withColumn("value", F.expr(_block("fp", "block")))
-        near = looked.join(index, ["n_words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
+        near = looked.join(index, ["item_words", "block", "value"]).where(F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= radius)
         earlier = " OR ".join(f"(block > {b} AND bit_count({_block('fp', b)} ^ {_block('item_fp', b)}) <= {per_block})" for b in range(3))
         near = near.where(f"NOT ({earlier})").select("doc_id", "start", "n_words", "words", "item_id", "item")  # one row a pair
         found = near if found is None else found.unionByName(near)

@@ -447,6 +447,17 @@ def test_decontamination(spark):
     assert not decontaminate.contaminated(frame(spark, []), bench).count() and not decontaminate.contaminated(frame(spark, rows), bench.limit(0)).count()
 
 
+def test_short_documents_leak(spark):
+    """A document shorter than an item is compared as a whole."""
+    r = random.Random(13)
+    items = [(i, " ".join(r.choices([f"w{i}" for i in range(400)], k=k))) for i, k in enumerate((59, 59, 40, 24, 12, 7, 5))]
+    cuts = [(i, n, w[at : len(w) - n + at]) for i, t in items for w in [t.split()] for n in range(1, min(16, len(w))) for at in (0, n // 2)]
+    rows = [(k, " ".join(w), None, None) for k, (_, _, w) in enumerate(cuts)]
+    want = {(d, i): s for d, t, *_ in rows for i, x in items if len(t.split()) < len(x.split()) and (s := decontaminate.similarity(t.encode().split(), x.encode().split())) >= 0.8}
+    got = {(x.doc_id, x.item_id): (x.start, x.n_words, x.similarity) for x in decontaminate.contaminated(frame(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {k: (0, len(cuts[k[0]][2]), pytest.approx(s)) for k, s in want.items()} and len(want) > 40
+
+
 def test_token_counts_and_their_cache(spark, docs, monkeypatch):
     rows, df = docs
     cache = scratch(spark, "cache")
