@@ -30,8 +30,10 @@ FEW = 48
 _QUERIES = 256
 #: Words of 64 bits of the fingerprints that stand for a similarity rather than a radius.
 WIDE = 8
-#: Standard deviations that pairs of just the similarity may stand off: nearer is sure, farther is out, between is verified.
+#: Standard deviations that pairs of just the similarity may stand off: farther is out, nearer is verified.
 SIGMAS = 2.5
+#: Nodes, and shingles of nodes, of a piece of a group; a task compares two pieces.
+PIECE, PIECE_SHINGLES = 1024, 1 << 20
 #: Hash slots of doc_ids whose texts are verified: bounds what is broadcast to spare other texts the shuffle.
 SLOTS = 1 << 20
 
@@ -284,25 +286,38 @@ def table_shape(n: int, similarity: float, miss: float = 0.03) -> tuple[int, int
     return bits, math.ceil(math.log(miss) / math.log(1 - (1 - _angle(similarity)) ** bits))
 
 
+def shingle_set(text: bytes, k: int, seed: int = 42) -> np.ndarray:
+    """Hashes of the distinct k-word shingles of a text, sorted."""
+    joined, starts, ends = shingles(lowered_words(text), k)
+    return np.unique(np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(starts)))
+
+
+def _digest(own: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(own.tobytes())
+
+
 def wide_fingerprints(docs: DataFrame, k: int, words: int = WIDE, seed: int = 42) -> DataFrame:
-    """(doc_id, fp binary): fingerprints of words x 64 bits; further words are majorities of remixed shingle hashes."""
+    """(doc_id, fp binary, digest binary, n int): fingerprints of words x 64 bits over distinct shingles; the set's digest and size.
+
+    Further words are majorities of remixed shingle hashes.
+    """
     small_batches(docs.sparkSession)
 
-    def one(text: bytes) -> bytes:
-        joined, starts, ends = shingles(lowered_words(text), k)
-        h = np.fromiter((xxhash.xxh64_intdigest(joined[a:b], seed) for a, b in zip(starts, ends)), np.uint64, len(starts))
+    def one(text: bytes) -> tuple[bytes, bytes, int]:
+        h = own = shingle_set(text, k, seed)
         out = []
         for _ in range(words):
             out.append(majority(h))
             h = (h ^ (h >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
             h = (h ^ (h >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
-        return np.array(out, np.uint64).tobytes()
+        return np.array(out, np.uint64).tobytes(), _digest(own), len(own)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([one(t) for t in utf8(b.column(1))], pa.binary())], ["doc_id", "fp"])
+            fp, digest, n = zip(*map(one, utf8(b.column(1)))) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array(n, pa.int32())], ["doc_id", "fp", "digest", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, digest binary, n int")
 
 
 def _stack(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
@@ -390,27 +405,27 @@ def wide_links(nodes: DataFrame, sure: int, radius: int, bits: int, tables: int,
     return edges.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(second, "u long, v long, sure boolean"))
 
 
+def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents in the hash slots of the wanted doc_ids: a few too many, for an exact join."""
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), slot)
+    return texts.join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Those of pairs (u, v) of doc_ids whose texts have the Jaccard similarity: distinct k-word shingles, shared over united.
 
     Texts of hash slots that no pair falls in are left out before texts are shuffled.
     """
     small_batches(docs.sparkSession)
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
-    wanted = pairs.select(F.explode(F.array("u", "v")).alias("doc_id")).select(slot).distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), slot)
-    texts = texts.join(F.broadcast(wanted), "slot", "left_semi").drop("slot")  # a few too many; the joins below are exact
-
-    def of(text: bytes) -> set[int]:
-        joined, starts, ends = shingles(lowered_words(text), k)
-        return {xxhash.xxh64_intdigest(joined[a:b]) for a, b in zip(starts, ends)}
+    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             like = []
             for x, y in zip(utf8(b.column(2)), utf8(b.column(3))):
-                x, y = of(x), of(y)
-                both = len(x & y)
+                x, y = shingle_set(x, k), shingle_set(y, k)
+                both = len(np.intersect1d(x, y, assume_unique=True))
                 like.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(like, pa.bool_()))
 
@@ -418,28 +433,110 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> Da
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _like(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Positions (a, b) of a forest that connects what pairs of the similarity do, beyond equal labels.
+
+    Where sets of both sides are given, only pairs of two sides count. Sets are not empty.
+    """
+    size = np.array([len(x) for x in sets])
+    ends = np.cumsum(size)
+    starts = ends - size
+    flat = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    label, mark, out = label.copy(), np.zeros(flat.max() + 1, bool), []
+    two = len(np.unique(side)) > 1
+    for i in range(len(sets) - 1):
+        other = label[i + 1 :] != label[i]
+        if two:
+            other &= side[i + 1 :] != side[i]
+        other &= np.minimum(size[i + 1 :], size[i]) >= similarity * np.maximum(size[i + 1 :], size[i]) - 1e-9
+        js = np.flatnonzero(other) + i + 1
+        if not len(js):
+            continue
+        mark[flat[starts[i] : ends[i]]] = True
+        for at in range(0, len(js), 256):  # bounds memory, and spares sets that a link has joined
+            some = js[at : at + 256]
+            some = some[label[some] != label[i]]
+            if not len(some):
+                continue
+            on = mark[np.concatenate([flat[starts[j] : ends[j]] for j in some.tolist()])]
+            both = np.add.reduceat(on, np.cumsum(size[some]) - size[some], dtype=np.int64)
+            for j in some[both >= similarity * (size[some] + size[i] - both) - 1e-9].tolist():
+                if label[j] != label[i]:
+                    out.append((i, j))
+                    label[label == label[j]] = label[i]
+        mark[flat[starts[i] : ends[i]]] = False
+    return out
+
+
+def exact_links(members: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
+    """Edges (u, v) that connect what pairs of the similarity connect within each group, every pair compared.
+
+    members: (node, digest, label, group, chunk, chunks), with the node a doc_id, the digest that of its shingles,
+    and pairs of one label connected beforehand. Each pair of a group's chunks is a task's work: no pair is a row.
+    """
+    small_batches(docs.sparkSession)
+
+    def own(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [shingle_set(t, k) for t in utf8(b.column(0))]
+            same = [_digest(x) == d for x, d in zip(sets, b.column(1).to_pylist())]
+            kept = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in sets], pa.binary()), *b.columns[2:]], ["own", *b.schema.names[2:]])
+            yield kept.filter(pa.array(same, pa.bool_()))
+
+    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "key"):
+            key, node, label, side = (t.column(c).to_numpy() for c in ("key", "node", "label", "side"))
+            sets = t.column("own")
+            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
+            u, v = [], []
+            for s, e in zip(cuts, cuts[1:]):
+                found = _like([np.frombuffer(x, np.uint64) for x in sets.slice(s, e - s).to_pylist()], label[s:e], side[s:e], similarity)
+                u += [node[s + i] for i, _ in found]
+                v += [node[s + j] for _, j in found]
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    texts = _texts(docs, members.select(F.col("node").alias("doc_id")))
+    both = texts.join(members, texts["doc_id"] == members["node"]).drop("doc_id").distinct()  # repeated rows once
+    held = both.select("text", "digest", "node", "label", "group", "chunk", "chunks").mapInArrow(own, "own binary, node long, label long, group long, chunk int, chunks int")
+    pairs = held.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    pairs = pairs.select(F.xxhash64("group", F.least("chunk", "o"), F.greatest("chunk", "o")).alias("key"), "node", "label", F.expr("CAST(chunk > o AS INT)").alias("side"), "own")
+    return pairs.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long")
+
+
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, words: int = WIDE, seed: int = 42) -> DataFrame:
     """(doc_id, component_id) for every row of docs: groups linked at a similarity of k-word shingles.
 
     64 bits can't tell a similarity of 0.8: its pairs differ by ten bits, more or less by three. Here
-    fingerprints have words x 64 bits, and candidates share a bucket in one of table_shape(n, similarity)
-    tables. Pairs well within the similarity's distance are links; those about it, of groups that such links
-    do not join, are verified by the exact similarity of their texts. Nulls, repeats and other columns as in
-    near_duplicates; where rows of one doc_id differ, any of their texts counts.
+    fingerprints have words x 64 bits, and what shares a bucket in one of table_shape(n, similarity) tables and
+    stands within the similarity's distance is connected to a group. Inside each group every pair that other
+    links leave open is compared by the exact similarity of its texts: no other link counts. Groups over a piece
+    first have the links that made them verified, and are compared only where those do not join them whole.
+    Texts of the same shingles are one node. Nulls, repeats and other columns as in near_duplicates; where rows of
+    one doc_id differ, any of their texts counts.
     """
     fps = saved(wide_fingerprints(docs, k, words, seed), "fingerprints")
-    by_fp = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
+    nodes = saved(fps.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
+    known = nodes.where("node IS NOT NULL")
+    by_fp = saved(known.groupBy("fp").agg(F.min("node").alias("first")), "by-fp")
     bits, tables = table_shape(by_fp.count(), similarity)
-    bounds = (wide_radius(similarity, words, -SIGMAS), wide_radius(similarity, words))
-    found = wide_links(by_fp.where("node IS NOT NULL"), *bounds, bits, tables, words)
-    near = components(found.where("sure").select("u", "v"))
-    unsure = found.where("NOT sure").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u != v").distinct()
-    for end in ("u", "v"):
-        unsure = unsure.join(near.toDF(end, f"of_{end}"), end, "left")
-    unsure = saved(unsure.where("coalesce(of_u, u) != coalesce(of_v, v)").select("u", "v"), "unsure")
-    groups = components(near.toDF("u", "v").unionByName(verified(unsure, docs, k, similarity)))
-    ids = by_fp.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", "component_id")
+    radius = wide_radius(similarity, words)
+    near = saved(wide_links(by_fp.select(F.col("first").alias("node"), "fp"), radius, radius, bits, tables, words).select("u", "v").distinct(), "near")
+    grouped = by_fp.join(components(near).toDF("first", "least"), "first", "left").select("fp", F.coalesce("least", "first").alias("group"))
+    grouped = saved(known.where("n > 0").join(grouped, "fp").select("node", "digest", "n", "group"), "grouped")
+    chunks = F.ceil(F.greatest(F.count("*") / F.lit(PIECE), F.sum("n") / F.lit(PIECE_SHINGLES))).cast("int").alias("chunks")
+    sizes = saved(grouped.groupBy("group").agg(chunks, F.count("*").alias("members")).where("members > 1"), "groups")
+    # the links of groups over a piece, to tell those that are whole
+    large = grouped.join(sizes.where("chunks > 1"), "group")
+    made = near.join(large.select(F.col("node").alias("u")).distinct(), "u", "left_semi")
+    joined = saved(components(verified(made, docs, k, similarity)), "joined")
+    label = F.coalesce("component", "node")
+    labelled = saved(grouped.join(sizes, "group").join(joined, "node", "left").withColumn("label", label), "labelled")
+    whole = labelled.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a = b").select("group")
+    chunk = F.pmod(F.xxhash64("node", "digest"), F.col("chunks")).cast("int").alias("chunk")
+    members = labelled.join(whole, "group", "left_anti").select("node", "digest", "label", "group", chunk, "chunks")
+    groups = components(joined.toDF("u", "v").unionByName(exact_links(members, docs, k, similarity)))
+    ids = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
+    return fps.join(ids, "digest").select("doc_id", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

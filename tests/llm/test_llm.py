@@ -4,6 +4,7 @@ import hashlib
 import random
 import zlib
 from collections import Counter, defaultdict
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -186,6 +187,16 @@ def test_similar_documents(spark, monkeypatch, few):
     assert all(got[3 * i] == 3 * i and got[3 * i + 2] == 3 * i + 2 for i in range(150)) and got[901] == 900 and got[902] == 0
 
 
+def test_repeated_lines_are_one(spark):
+    """A line that stands 40 times in two unlike texts is a few distinct shingles, and no likeness."""
+    line = " ".join(f"l{i}" for i in range(12)) + " "
+    rows = [(i, line * 40 + " ".join(f"o{i}x{j}" for j in range(60)), None, None) for i in range(30)]
+    rows += [(30, line * 20 + " ".join(f"o0x{j}" for j in range(60)), None, None)]  # the same shingles
+    assert jaccard(rows[0][1], rows[1][1]) < 0.2 and jaccard(rows[0][1], rows[30][1]) == 1
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert got == {**{i: i for i in range(30)}, 30: 0}
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 200 + i) for i in range(50)] + [(7, 7), (300, 301), (301, 300), (301, 300)]
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
