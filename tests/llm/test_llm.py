@@ -187,6 +187,24 @@ def test_similar_documents(spark, monkeypatch, few):
     assert all(got[3 * i] == 3 * i and got[3 * i + 2] == 3 * i + 2 for i in range(150)) and got[901] == 900 and got[902] == 0
 
 
+@pytest.mark.parametrize("piece", [1024, 100])
+def test_template_group(spark, monkeypatch, piece):
+    """Pages of one template just under the similarity: none goes, and pairs planted among them are found, every one."""
+    monkeypatch.setattr(simhash, "PIECE", piece, raising=False)
+    template, rows = [f"t{i}" for i in range(300)], []
+    for i in range(320):
+        at = 3 + 4 * (i % 60)
+        rows.append((i, " ".join(template[:at] + [f"p{i}x{j}" for j in range(38)] + template[at + 38 :]), None, None))
+    for i in range(20):  # other own words at the end
+        w = rows[i][1].split()
+        rows.append((1000 + i, " ".join(w[:-20] + [f"q{i}y{j}" for j in range(20)]), None, None))
+    edges = [(a, b) for (a, x, *_), (b, y, *_) in combinations(rows, 2) if jaccard(x, y) >= 0.8]
+    assert edges == [(i, 1000 + i) for i in range(20)]
+    assert sum(jaccard(rows[i][1], rows[i + 60][1]) > 0.75 for i in range(60)) == 60
+    got = {x.doc_id: x.component_id for x in simhash.similar_documents(frame(spark, rows)).collect()}
+    assert got == {d: d % 1000 for d, *_ in rows}
+
+
 def test_repeated_lines_are_one(spark):
     """A line that stands 40 times in two unlike texts is a few distinct shingles, and no likeness."""
     line = " ".join(f"l{i}" for i in range(12)) + " "
