@@ -15,7 +15,11 @@ from pyspark.sql import functions as F
 from annealjobs.llm.shared import saved, table
 
 RULES = (("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/"))
-DAMPING, ROUNDS = 0.85, 8
+DAMPING = 0.85
+#: Rounds that the oracle's SQL unrolls; the query goes on until the scores stand.
+ROUNDS = 8
+#: Largest share of its score by which a host's may still change over STEP rounds.
+TOLERANCE, STEP = 1e-6, 4
 #: Host names in markup: what an absolute link, or a mention such as a footer's, points at.
 HOSTNAME = r"(?i)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -53,21 +57,28 @@ def host_edges(pages: DataFrame) -> DataFrame:
     return edges.select("src", "dst", "n")
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, rounds: int, damping: float, what: str) -> DataFrame:
-    """(host, score): personalised PageRank of seeds (host, seed) along edges (src, dst, n); the seeds sum to 1."""
+def propagate(edges: DataFrame, seeds: DataFrame, tolerance: float, damping: float, what: str) -> DataFrame:
+    """(host, score): personalised PageRank of seeds (host, seed) along edges (src, dst, n); the seeds sum to 1.
+
+    The walk goes on until no host's score changes by over the tolerance's share of it, nor any host is newly reached.
+    """
     total = edges.groupBy("src").agg(F.sum("n").alias("all"))
     step = saved(edges.join(total, "src").select("src", "dst", (F.col("n") / F.col("all")).alias("share")), f"{what}-edges")
-    score = seeds.select("host", F.col("seed").alias("score"))
-    for i in range(rounds):
-        moved = score.join(step, score["host"] == step["src"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
-        restart = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
-        score = moved.unionByName(restart).groupBy("host").agg(F.sum("score").alias("score"))
-        if i % 4 == 3:
-            score = saved(score, f"{what}-scores")
-    return score
-
-
-def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: int = ROUNDS, damping: float = DAMPING, margin: float = 0.0) -> DataFrame:
+    restart = seeds.select("host", (F.col("seed") * (1 - damping)).alias("score"))
+    before = seeds.select("host", F.col("seed").alias("score"))
+    while True:
+        score = before
+        for _ in range(STEP):
+            moved = score.join(step, score["host"] == step["src"]).groupBy(F.col("dst").alias("host")).agg((F.sum(F.col("score") * F.col("share")) * damping).alias("score"))
+            score = moved.unionByName(restart).groupBy("host").agg(F.sum("score").alias("score"))
+        score = saved(score, f"{what}-scores")
+        both = score.join(before.select("host", F.col("score").alias("old")), "host", "left")
+        if both.where(F.abs(F.col("score") - F.coalesce("old", F.lit(0.0))) > F.col("score") * tolerance).isEmpty():
+            return score
+        before = score
+
+
+def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, tolerance: float = TOLERANCE, damping: float = DAMPING, margin: float = 0.0) -> DataFrame:
     """(page_id, host, path, rule, verdict, trust, distrust) for every row of pages (page_id, url, html).
 
     Null urls and urls without '://' have empty host and path and, as they fit no rule and no host, are
@@ -82,9 +93,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, rounds: in
     sums = counts.agg(F.sum("allowed").alias("a"), F.sum("blocked").alias("b")).first()
     edges = saved(host_edges(urls), "host-edges")
     seeds = {k: counts.where(F.col(k) > 0).select("host", (F.col(k) / F.lit(float(n or 1))).alias("seed")) for k, n in (("allowed", sums.a), ("blocked", sums.b))}
-    trust = propagate(edges, seeds["allowed"], rounds, damping, "trust").withColumnRenamed("score", "trust")
+    trust = propagate(edges, seeds["allowed"], tolerance, damping, "trust").withColumnRenamed("score", "trust")
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
-    distrust = propagate(against, seeds["blocked"], rounds, damping, "distrust").withColumnRenamed("score", "distrust")
+    distrust = propagate(against, seeds["blocked"], tolerance, damping, "distrust").withColumnRenamed("score", "distrust")
     scores = saved(counts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "scores")
     by_method = F.when(F.col("distrust") > F.col("trust") + margin, F.lit("block")).otherwise(F.lit("allow"))
     out = ruled.join(scores, "host", "left")

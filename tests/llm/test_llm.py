@@ -258,6 +258,17 @@ def test_url_walk(spark):
     assert not url_filter.judge(pages(spark, [])).count()
 
 
+def test_url_walk_goes_far(spark):
+    """A chain to a blocked host is distrusted from end to end, with the scores of the walk's equations."""
+    n = 14
+    hosts = [f"h{i}.org" for i in range(n)] + ["bad.net"]
+    rows = [(i, f"http://{h}/es/", f'<a href="http://{hosts[i + 1]}/">x</a>' if i < n else "") for i, h in enumerate(hosts)]
+    got = {r.page_id: r for r in url_filter.judge(pages(spark, rows)).collect()}
+    m = np.eye(n + 1, k=-1)  # against the links
+    want = np.linalg.solve(np.eye(n + 1) - url_filter.DAMPING * m.T, (1 - url_filter.DAMPING) * np.eye(n + 1)[n])
+    assert [got[i].distrust for i in range(n + 1)] == pytest.approx(want.tolist()) and {x.verdict for x in got.values()} == {"block"}
+
+
 def brute_ngrams(text):
     plain = " " + " ".join("".join(c if c.isalpha() or c not in "0123456789_" and c.isalnum() and not c.isdigit() else " " for c in text.lower()).split()) + " "
     c = Counter(plain[i : i + n] for n in (1, 2, 3) for i in range(len(plain) - n + 1))
