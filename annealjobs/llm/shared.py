@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words as every contract here defines them: runs of anything but the six ASCII white spaces.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Hash slots of doc_ids whose texts are read again: bounds what is broadcast to spare other texts the shuffle.
+SLOTS = 1 << 20
 #: Upper bound of the Arrow batches that go to a Python worker, so that long texts bound memory.
 BATCH_BYTES = 8 << 20
 
@@ -22,11 +24,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch(spark: SparkSession, what: str) -> str:
-    """A new path in the folder that driver and executors share (spark.checkpoint.dir; set only where unset)."""
-    top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("annealjobs.scratch", "")
+    """A new path in the folder that driver and executors share: spark.checkpoint.dir, or what setCheckpointDir set.
+
+    A folder of this machine only where both are unset and the master is local.
+    """
+    context = spark.sparkContext
+    top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not top:
-        top = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set("annealjobs.scratch", top)
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
+        top = context.getCheckpointDir()
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
@@ -38,10 +46,22 @@ def saved(df: DataFrame, what: str) -> DataFrame:
 
 
 def bounded_sample(rows: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
-    """About n rows, chosen by a hash of the key columns alone; never more than 2 n. Nothing but those rows moves."""
+    """About n rows, chosen by a hash of the key columns alone; never more than 2 n. Nothing but those rows moves.
+
+    Where keys repeat so that more pass, those of least hash stay: reruns choose the same.
+    """
     share = min(1.0, n / max(1, rows.count()))
     draw = F.pmod(F.xxhash64(F.lit(seed), *key), F.lit(1 << 30)) / float(1 << 30)
-    return rows.where(draw < share).limit(2 * n)
+    return rows.where(draw < share).orderBy(draw, F.xxhash64(*rows.columns)).limit(2 * n)
+
+
+def texts_of(docs: DataFrame, wanted: DataFrame, slots: int | None = None) -> DataFrame:
+    """(doc_id, text) of the documents in the hash slots of wanted's doc_ids: a few too many, for an exact join.
+
+    No more than `slots` numbers are broadcast, and other texts are spared the shuffle.
+    """
+    slot = F.pmod(F.xxhash64("doc_id"), F.lit(slots or SLOTS)).alias("slot")
+    return docs.select("doc_id", "text", slot).join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
 
 
 def small_batches(spark: SparkSession) -> None:

@@ -26,18 +26,22 @@ from annealjobs.llm.tokens import tokenizer_path, words
 
 END_ID, LEVEL = 2, 3
 SAMPLE_DOCS, SAMPLE_CHARS, DICTIONARY_BYTES = 1500, 4000, 64 << 10
+#: Bytes of text in a shard: at most so many where there is more of it than shuffle partitions would hold, and not less than the second number.
+SHARD_BYTES, LEAST_SHARD_BYTES = 128 << 20, 4 << 20
 #: A block ends at this many bytes of payload or documents; a larger document is a block alone.
 BLOCK_BYTES, BLOCK_DOCS = 4 << 20, 4096
 _SHARD = "shard int, block int, dict_hash string, doc_ids array<long>, n_tokens array<long>, offsets array<long>, starts array<long>, payload binary"
 
 
 def train_dictionary(docs: DataFrame, path: str, size: int = DICTIONARY_BYTES, sample: int = SAMPLE_DOCS) -> bytes:
-    """Dictionary bytes from a bounded sample of documents, chosen by hash, each one's first SAMPLE_CHARS.
+    """Dictionary bytes from a bounded sample of documents, chosen by hash: SAMPLE_CHARS of each, at a place chosen by hash.
 
     Too little text to train on gives the sample itself as a raw dictionary; no text gives none (b'').
     The sample shapes only the compression; every document is encoded whole.
     """
-    rows = bounded_sample(docs.where("text IS NOT NULL"), ["doc_id"], sample, 5).select(F.substring("text", 1, SAMPLE_CHARS).alias("t")).collect()
+    some = bounded_sample(docs.where("text IS NOT NULL"), ["doc_id"], sample, 5)
+    place = F.pmod(F.xxhash64(F.lit(6), "doc_id"), F.greatest(F.lit(1), F.length("text") - SAMPLE_CHARS + 1)).cast("int") + 1
+    rows = some.select(F.col("text").substr(place, F.lit(SAMPLE_CHARS)).alias("t")).collect()
     arrays = [x for x in words(path).ids(sorted(r.t for r in rows)) if x]
     if not arrays:
         return b""
@@ -54,8 +58,9 @@ def _dictionary(raw: bytes) -> zstandard.ZstdCompressionDict | None:
 def write_tokens(docs: DataFrame, path: str, out: str, end_id: int | None = END_ID, level: int = LEVEL) -> None:
     """Write the ids of every row of docs (doc_id, text) under out, in ascending doc_id order.
 
-    Null texts are empty, null doc_ids stand first, rows that repeat a doc_id stand together in the order
-    of their texts, other columns are ignored, and an empty table gives no shard.
+    Null texts are empty, texts of any length are one frame, null doc_ids stand first, rows that repeat a
+    doc_id stand together in the order of their texts' hashes, other columns are ignored, and an empty table
+    gives no shard.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -79,9 +84,10 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int | None = END_
             return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["shard", "block", "dict_hash", "doc_ids", "n_tokens", "offsets", "starts", "payload"])
 
         for b in batches:
-            whole = words(path).ids([t or "" for t in b.column(1).to_pylist()])
-            for doc_id, tokens in zip(b.column(0).to_pylist(), whole):
-                tokens += end
+            whole, at = words(path).encoded(b.column(1))
+            whole, at = memoryview(whole.astype("<u4", copy=False)).cast("B"), (4 * at).tolist()
+            for doc_id, i, j in zip(b.column(0).to_pylist(), at, at[1:]):
+                tokens = bytes(whole[i:j]) + end
                 frame = packer.compress(tokens)
                 if frames and (held + len(frame) > BLOCK_BYTES or len(frames) >= BLOCK_DOCS):
                     yield flush()
@@ -94,8 +100,11 @@ def write_tokens(docs: DataFrame, path: str, out: str, end_id: int | None = END_
         if frames:
             yield flush()
 
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # rows that share a doc_id, were they many, part by their texts
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // SHARD_BYTES), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // LEAST_SHARD_BYTES)))
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order)
     ordered.mapInArrow(run, _SHARD).write.option("compression", "none").parquet(f"{out}/shards")
 
 
