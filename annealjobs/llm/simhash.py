@@ -2,15 +2,17 @@
 
 Fingerprints are compared only within buckets: 64 bits are cut in radius + 2 blocks, two of which must
 agree for every pair within the radius, so each fingerprint enters one bucket per pair of blocks and no
-pair is lost. Inside a bucket the fingerprints are stored as vertical bit planes (one 64-bit word holds
+pair is lost. The fingerprints of buckets are stored as vertical bit planes (one 64-bit word holds
 one bit of 64 fingerprints); distances of many lanes are updated at once by carry-save counters made of
-bitwise operations, and words whose 64 lanes all exceed the radius are abandoned.
+bitwise operations, and words whose 64 lanes all exceed the radius are abandoned. Small buckets share
+one set of planes, compared with itself shifted by 1, 2, ... lanes; a larger one is compared with each of
+its fingerprints.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -20,13 +22,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annealjobs.llm.components import components
-from annealjobs.llm.shared import lowered_words, majority, pieces, runs, saved, shingles, small_batches, table, utf8
+from annealjobs.llm.shared import lowered_words, majority, pieces, runs, saved, shingles, small_batches, table, texts_of, utf8
 
 RADIUS = 3
 #: Fingerprints of a bucket that one task compares at once; larger buckets are dealt out as pairs of chunks.
 CHUNK = 8192
-#: Fingerprints that are too few lanes to slice.
+#: Fingerprints of a bucket that shares its planes with others.
 FEW = 48
+_ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 _QUERIES = 256
 #: Words of 64 bits of the fingerprints that stand for a similarity rather than a radius.
 WIDE = 8
@@ -34,8 +37,6 @@ WIDE = 8
 SIGMAS = 2.5
 #: Nodes, and shingles of nodes, of a piece of a group; a task compares two pieces.
 PIECE, PIECE_SHINGLES = 1024, 1 << 20
-#: Hash slots of doc_ids whose texts are verified: bounds what is broadcast to spare other texts the shuffle.
-SLOTS = 1 << 20
 
 
 def simhash(text: bytes, k: int = 3, seed: int = 42) -> int:
@@ -46,7 +47,10 @@ def simhash(text: bytes, k: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, k: int = 3, seed: int = 42) -> DataFrame:
-    """(doc_id, fp long) of every row of docs (doc_id, text); texts without a word (null, empty) have 0."""
+    """(doc_id, fp long) of every row of docs (doc_id, text); texts without a word (null, empty) have 0.
+
+    A text is read whole, however long: its bits are summed by 32,768 shingles at a time.
+    """
     small_batches(docs.sparkSession)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,35 +65,83 @@ def _planes(fps: np.ndarray) -> np.ndarray:
     """Vertical storage of fingerprints (n, words): row b holds bit b of all, 64 to a word (the last word is padded)."""
     lanes = np.zeros((-(-len(fps) // 64) * 64, fps.shape[1]), np.uint64)
     lanes[: len(fps)] = fps
-    bits = np.unpackbits(lanes.view(np.uint8).reshape(len(lanes), -1), axis=1, bitorder="little")
+    bits = np.unpackbits(lanes.view(np.uint8), axis=1, bitorder="little")
     return np.packbits(bits.T.copy(), axis=1, bitorder="little").view(np.uint64)
 
 
-def _within(queries: np.ndarray, planes: np.ndarray, varying: list[int], radius: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Query numbers, word numbers and masks of the lanes that the counters can't rule out."""
-    q, w = (x.ravel() for x in np.indices((len(queries), planes.shape[1])))
-    digits = [np.zeros(len(q), np.uint64) for _ in range(max(1, radius.bit_length()))]  # binary counters, one bit plane each
-    over = np.zeros(len(q), np.uint64)
-    for done in range(0, len(varying), 2):
-        x = []
-        for b in varying[done : done + 2]:
-            flips = (np.uint64(0) - (queries[:, b >> 6] >> np.uint64(b & 63) & np.uint64(1)))[q]
-            x.append(planes[b][w] ^ flips)
-        if len(x) == 1:
-            x.append(np.zeros_like(x[0]))
-        # carry-save adder: ones + x0 + x1 = new ones + 2 * carry
-        either = digits[0] ^ x[0]
-        carry = (digits[0] & x[0]) | (either & x[1])
-        digits[0] = either ^ x[1]
+def _counted(x: Callable[..., np.ndarray], at: tuple[np.ndarray, ...], over: np.ndarray, bits: list[int], radius: int) -> tuple[np.ndarray, ...]:
+    """Of words of lanes at `at`: which the counters can't rule out, and masks of their lanes within the radius.
+
+    x(bit, *at) has the lanes that differ in a bit; over marks lanes that are out from the start.
+    """
+    live = over != _ALL
+    at, over = tuple(a[live] for a in at), over[live]
+    digits = [np.zeros(len(over), np.uint64) for _ in range(max(1, radius.bit_length()))]  # binary counters, one bit plane each
+    for done in range(0, len(bits), 2):
+        one = x(bits[done], *at)
+        two = x(bits[done + 1], *at) if done + 1 < len(bits) else np.zeros_like(one)
+        # carry-save adder: ones + one + two = new ones + 2 * carry
+        either = digits[0] ^ one
+        carry = (digits[0] & one) | (either & two)
+        digits[0] = either ^ two
         for d in range(1, len(digits)):
             digits[d], carry = digits[d] ^ carry, digits[d] & carry
-        over |= carry
+        over = over | carry
         if done % 8 == 6:
-            live = over != np.uint64(0xFFFFFFFFFFFFFFFF)  # abandon words whose lanes all exceed the radius
+            live = over != _ALL  # abandon words whose lanes all exceed the radius
             if not live.all():
-                q, w, over, digits = q[live], w[live], over[live], [d[live] for d in digits]
-    live = over != np.uint64(0xFFFFFFFFFFFFFFFF)
-    return q[live], w[live], ~over[live]
+                at, over, digits = tuple(a[live] for a in at), over[live], [d[live] for d in digits]
+                if not len(over):
+                    break
+    # lanes whose counter exceeds the radius without having run over: compare digit by digit
+    above, equal = np.zeros_like(over), np.full_like(over, _ALL)
+    for d in reversed(range(len(digits))):
+        if radius >> d & 1:
+            equal = equal & digits[d]
+        else:
+            above, equal = above | (equal & digits[d]), equal & ~digits[d]
+    over = over | above
+    live = over != _ALL
+    return (*(a[live] for a in at), ~over[live])
+
+
+def _lanes(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(word, lane) of each bit that is set."""
+    return np.nonzero(np.unpackbits(mask.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little"))
+
+
+def _within(queries: np.ndarray, planes: np.ndarray, varying: list[int], radius: int) -> tuple[np.ndarray, ...]:
+    """Query numbers, word numbers and masks of the lanes within the radius."""
+    flips = {b: np.uint64(0) - (queries[:, b >> 6] >> np.uint64(b & 63) & np.uint64(1)) for b in varying}
+    q, w = (i.ravel() for i in np.indices((len(queries), planes.shape[1])))
+    return _counted(lambda b, q, w: planes[b][w] ^ flips[b][q], (q, w), np.zeros(len(q), np.uint64), varying, radius)
+
+
+def _neighbours(fps: np.ndarray, key: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Positions (a, b) of all pairs within the radius that share a key; equal keys stand together."""
+    a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    if not len(key):
+        return a[0], b[0]
+    planes = _planes(fps)
+    bits, words = list(range(len(planes))), np.arange(planes.shape[1])
+    padded = np.pad(planes, ((0, 0), (0, len(key) // 64 + 2)))
+
+    def shifted(bit: int, w: np.ndarray, off: int) -> np.ndarray:
+        """Words of a plane whose lane i is lane i + off."""
+        w, r = w + (off >> 6), np.uint64(off & 63)
+        return (padded[bit][w] >> r) | (padded[bit][w + 1] << (np.uint64(64) - r)) if r else padded[bit][w]
+
+    for off in range(1, len(key)):
+        same = np.zeros(64 * len(words), bool)
+        same[: len(key) - off] = key[off:] == key[:-off]
+        if not same.any():
+            break
+        w, mask = _counted(lambda bit, w, off=off: planes[bit][w] ^ shifted(bit, w, off), (words,), ~np.packbits(same, bitorder="little").view(np.uint64), bits, radius)
+        k, lane = _lanes(mask)
+        i = w[k] * 64 + lane
+        a.append(i)
+        b.append(i + off)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -105,22 +157,10 @@ def _labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def links(fps: np.ndarray, radius: int = RADIUS, joined: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Positions (a, b) of a spanning forest of the graph that links fingerprints (n) or (n, words) within the radius.
-
-    joined: labels of groups that are connected beforehand and get no link inside.
-    """
-    n, out = len(fps), []
-    if n < 2:
-        return out
-    fps = fps.reshape(n, -1)
-    if n <= FEW:
-        near = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(-1, dtype=int) <= radius
-        found = ((i, np.flatnonzero(near[i, i + 1 :]) + i + 1) for i in range(n - 1))
-    else:
-        found = _sliced(fps, radius)
-    label = np.arange(n) if joined is None else joined.copy()
-    for i, js in found:
+def links(fps: np.ndarray, radius: int = RADIUS) -> list[tuple[int, int]]:
+    """Positions (a, b) of a spanning forest of the graph that links fingerprints (n, words) within the radius."""
+    label, out = np.arange(len(fps)), []
+    for i, js in _sliced(fps, radius) if len(fps) > 1 else ():
         for root in np.unique(label[js]).tolist():
             mine = label[i]
             if root != mine:
@@ -130,25 +170,40 @@ def links(fps: np.ndarray, radius: int = RADIUS, joined: np.ndarray | None = Non
 
 
 def _sliced(fps: np.ndarray, radius: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each position with those after it that are within the radius."""
     planes = _planes(fps)
     differ = np.bitwise_or.reduce(fps ^ fps[0])
     varying = np.flatnonzero(np.unpackbits(differ.view(np.uint8), bitorder="little")).tolist()
     for at in range(0, len(fps), _QUERIES):
-        part = fps[at : at + _QUERIES]
-        q, w, mask = _within(part, planes[:, at // 64 :], varying, radius)
-        w = w + at // 64
-        if not len(q):
-            continue
-        for part_of in np.array_split(np.arange(len(q)), max(1, len(q) // 4096)):
-            bits = np.unpackbits(mask[part_of].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            k, lane = np.nonzero(bits)
-            i, j = q[part_of][k] + at, w[part_of][k] * 64 + lane
+        q, w, mask = _within(fps[at : at + _QUERIES], planes[:, at // 64 :], varying, radius)
+        for some in np.array_split(np.arange(len(q)), max(1, len(q) // 4096)):
+            k, lane = _lanes(mask[some])
+            i, j = q[some][k] + at, (w[some][k] + at // 64) * 64 + lane
             keep = (j > i) & (j < len(fps))
             i, j = i[keep], j[keep]
-            keep = np.bitwise_count(fps[i] ^ fps[j]).sum(-1, dtype=int) <= radius
-            i, j = i[keep], j[keep]
-            for one in np.unique(i).tolist():
-                yield one, j[i == one] if len(part_of) < 64 else j[np.searchsorted(i, one, "left") : np.searchsorted(i, one, "right")]
+            cuts = np.flatnonzero(np.diff(i)) + 1
+            for s, e in zip([0, *cuts.tolist()], [*cuts.tolist(), len(i)]):
+                if s < e:
+                    yield int(i[s]), j[s:e]
+
+
+def linked(key: np.ndarray, node: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (u, v) of nodes that connect, in each bucket, what fingerprints (n, words) within the radius connect.
+
+    Stars of what small buckets connect, forests in others; equal keys stand together.
+    """
+    starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
+    size = np.repeat(np.diff(starts), np.diff(starts))
+    few = np.flatnonzero((size > 1) & (size <= FEW))
+    label = _labels(len(few), *_neighbours(fps[few], key[few], radius))
+    own = np.flatnonzero(label != np.arange(len(few)))
+    u, v = [node[few[own]]], [node[few[label[own]]]]
+    for s, e in zip(starts[:-1].tolist(), starts[1:].tolist()):
+        if e - s > FEW:
+            pairs = np.array(links(fps[s:e], radius), np.int64).reshape(-1, 2)
+            u.append(node[s + pairs[:, 0]])
+            v.append(node[s + pairs[:, 1]])
+    return np.concatenate(u), np.concatenate(v)
 
 
 def _bucket_keys(fp: Column, radius: int) -> Column:
@@ -162,61 +217,6 @@ def _bucket_keys(fp: Column, radius: int) -> Column:
     return F.array(*keys)
 
 
-_FOUND = "key long, chunk int, a long, b long"
-
-
-def _compare(radius: int, chunk: int):
-    """Groups of a key to rows (null, null, node, node) for links, or (key, chunk, node, fp) of buckets over chunk."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_key, fps, nodes, spilled = None, [], [], 0
-
-        def flush(final: bool) -> tuple | None:
-            nonlocal fps, nodes, spilled
-            f, n = np.concatenate(fps), np.concatenate(nodes)
-            fps, nodes = [], []
-            if final and not spilled:
-                pairs = np.array(links(f.view(np.uint64), radius), np.int64).reshape(-1, 2)
-                return None, None, n[pairs[:, 0]], n[pairs[:, 1]]
-            spilled += 1
-            return held_key, spilled - 1, n, f
-
-        def rows(parts: list[tuple]) -> pa.RecordBatch:
-            sizes = [len(p[2]) for p in parts]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array([p[0] for p, s in zip(parts, sizes) for _ in range(s)], pa.int64()),
-                    pa.array([p[1] for p, s in zip(parts, sizes) for _ in range(s)], pa.int32()),
-                    pa.array(np.concatenate([p[2] for p in parts]), pa.int64()),
-                    pa.array(np.concatenate([p[3] for p in parts]), pa.int64()),
-                ],
-                ["key", "chunk", "a", "b"],
-            )
-
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, fp, node = (b.column(i).to_numpy() for i in range(3))
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            parts = []
-            for s, e in zip(cuts, cuts[1:]):
-                if key[s] != held_key:
-                    if fps and (spilled or sum(map(len, fps)) > 1):
-                        parts.append(flush(True))
-                    held_key, fps, nodes, spilled = key[s], [], [], 0
-                for i in range(s, e, chunk):
-                    fps.append(fp[i : min(e, i + chunk)])
-                    nodes.append(node[i : min(e, i + chunk)])
-                    if sum(map(len, fps)) > chunk:
-                        parts.append(flush(False))
-            if parts:
-                yield rows(parts)
-        if fps and (spilled or sum(map(len, fps)) > 1):
-            yield rows([flush(True)])
-
-    return run
-
-
 def _chunk_pairs(large: DataFrame) -> DataFrame:
     """Rows of large (key, chunk, ...) once for each pair of chunks of their key; key becomes the pair's."""
     chunks = large.groupBy("key").agg((F.max("chunk") + 1).alias("n"))
@@ -224,31 +224,44 @@ def _chunk_pairs(large: DataFrame) -> DataFrame:
     return pairs.withColumn("key", F.xxhash64("key", F.least("chunk", "o"), F.greatest("chunk", "o"))).drop("chunk", "n", "o")
 
 
-def near_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """Edges (u, v) that connect what fingerprints within the radius connect; nodes: (node, fp), distinct.
+def bucket_links(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v) that connect, in each bucket, what fingerprints within the radius connect; keyed: (key long, fp binary, node long).
 
     Buckets over chunk fingerprints leave the first pass as chunks, each pair of which is a group of the
-    second: no task holds more than two chunks.
+    second, so that no link is lost in them and no task holds more than two chunks and a batch.
     """
-    spark = nodes.sparkSession
-    small_batches(spark)
-    keyed = nodes.select(F.explode(_bucket_keys(F.col("fp"), radius)).alias("key"), "fp", "node")
-    found = saved(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(_compare(radius, chunk), _FOUND), "links")
-    edges = found.where("key IS NULL").select(F.col("a").alias("u"), F.col("b").alias("v"))
-    large = found.where("key IS NOT NULL")
+    small_batches(keyed.sparkSession)
+
+    def of(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(t.num_rows, -1)
+        return linked(t.column("key").to_numpy(), t.column("node").to_numpy(), fps, radius)
+
+    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for number, t in pieces(batches, "key", chunk):
+            if number < 0:
+                u, v = of(t)
+                none = [pa.nulls(len(u), k) for k in (pa.int64(), pa.int32(), pa.binary())]
+                yield pa.RecordBatch.from_arrays([*none, pa.array(u), pa.array(v)], ["key", "chunk", "fp", "u", "v"])
+            else:
+                own = t.column("node").combine_chunks()
+                yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), pa.array(np.full(len(own), number, np.int32)), t.column("fp").combine_chunks(), own, own], ["key", "chunk", "fp", "u", "v"])
+
+    def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in runs(batches, "key"):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in of(t)], ["u", "v"])
+
+    found = saved(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(first, "key long, chunk int, fp binary, u long, v long"), "links")
+    edges, large = found.where("key IS NULL").select("u", "v"), found.where("key IS NOT NULL")
     if large.isEmpty():
         return edges
-    pairs = _chunk_pairs(large).select("key", F.col("b").alias("fp"), F.col("a").alias("node"))
+    pairs = _chunk_pairs(large).select("key", "fp", F.col("u").alias("node"))
+    return edges.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(second, "u long, v long"))
 
-    def compare(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "key"):
-            key, fp, node = (t.column(i).to_numpy() for i in range(3))
-            cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
-            for s, e in zip(cuts, cuts[1:]):
-                pairs = np.array(links(fp[s:e].view(np.uint64), radius), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array(node[s:e][pairs[:, 0]]), pa.array(node[s:e][pairs[:, 1]])], ["u", "v"])
 
-    return edges.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(compare, "u long, v long"))
+def near_links(nodes: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v) that connect what fingerprints within the radius connect; nodes: (node, fp long), distinct."""
+    little = F.unhex(F.lpad(F.hex("fp"), 16, "0")).alias("fp")  # the order of bytes does not matter to distances
+    return bucket_links(nodes.select(F.explode(_bucket_keys(F.col("fp"), radius)).alias("key"), little, "node"), radius, chunk)
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, radius: int = RADIUS, seed: int = 42, chunk: int = CHUNK) -> DataFrame:
@@ -324,17 +337,11 @@ def _stack(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
 
 
-def wide_links(nodes: DataFrame, sure: int, radius: int, bits: int, tables: int, words: int = WIDE, chunk: int = CHUNK) -> DataFrame:
-    """Edges (u, v, sure) that connect, in each bucket, what fingerprints within the radius connect; nodes: (node, fp).
-
-    Sure edges alone connect what fingerprints within `sure` bits connect, in stars or forests. Other edges stand
-    between the groups that sure edges make in a bucket: all such pairs of buckets of few, a forest of others.
+def wide_links(nodes: DataFrame, radius: int, bits: int, tables: int, words: int = WIDE, chunk: int = CHUNK) -> DataFrame:
+    """Edges (u, v) that connect, in each bucket of each table, what fingerprints within the radius connect; nodes: (node, fp binary).
 
-    A table's key is its own choice of bits. Buckets of few are compared by shifting the sorted rows, others
-    bit-sliced. Buckets over chunk fingerprints leave the first pass as chunks, each pair of which is a group
-    of the second, so that no link is lost in them and no task holds more than two chunks and a batch.
+    A table's key is its own choice of bits.
     """
-    small_batches(nodes.sparkSession)
     rng = np.random.default_rng(bits)
     chosen = [np.sort(rng.choice(64 * words, bits, replace=False)) for _ in range(tables)]
     place = 1 << np.arange(bits, dtype=np.int64)
@@ -343,73 +350,18 @@ def wide_links(nodes: DataFrame, sure: int, radius: int, bits: int, tables: int,
         for b in batches:
             for at in range(0, b.num_rows, 500):  # a row a table: bounds what a batch becomes
                 part = b.slice(at, 500)
-                on = np.unpackbits(_stack(part.column(1), words).view(np.uint8), axis=1, bitorder="little")
+                fps = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint8).reshape(-1, 8 * words)
+                on = np.unpackbits(fps, axis=1, bitorder="little")
                 key = np.concatenate([(on[:, c].astype(np.int64) @ place) + (t << bits) for t, c in enumerate(chosen)])
                 again = pa.array(np.tile(np.arange(part.num_rows), tables))
                 yield pa.RecordBatch.from_arrays([pa.array(key), part.column(1).take(again), part.column(0).take(again)], ["key", "fp", "node"])
 
-    def linked(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        key, node = t.column("key").to_numpy(), t.column("node").to_numpy()
-        fps = _stack(t.column("fp"), words)
-        starts = np.concatenate([[0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]])
-        size = np.repeat(np.diff(starts), np.diff(starts))
-        u, v, certain = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, bool)]
-
-        def add(a: np.ndarray, b: np.ndarray, is_sure: bool) -> None:
-            u.append(node[a])
-            v.append(node[b])
-            certain.append(np.full(len(a), is_sure))
-
-        few, near = size <= FEW, [(np.zeros(0, np.int64),) * 3]
-        for off in range(1, min(FEW, len(key))):
-            i = np.flatnonzero((key[off:] == key[:-off]) & few[off:])
-            if not len(i):
-                break
-            far = np.bitwise_count(fps[i] ^ fps[i + off]).sum(-1, dtype=int)
-            i, far = i[far <= radius], far[far <= radius]
-            near.append((i, i + off, far))
-        a, b, far = (np.concatenate(x) for x in zip(*near))
-        label = _labels(len(key), a[far <= sure], b[far <= sure])
-        own = np.flatnonzero(label != np.arange(len(key)))
-        add(own, label[own], True)
-        apart = (far > sure) & (label[a] != label[b])
-        add(a[apart], b[apart], False)
-        for s in starts[:-1][np.diff(starts) > FEW].tolist():
-            e = s + size[s]
-            certainly = np.array(links(fps[s:e], sure), np.int64).reshape(-1, 2)
-            add(s + certainly[:, 0], s + certainly[:, 1], True)
-            perhaps = np.array(links(fps[s:e], radius, _labels(e - s, certainly[:, 0], certainly[:, 1])), np.int64).reshape(-1, 2)
-            add(s + perhaps[:, 0], s + perhaps[:, 1], False)
-        return np.concatenate(u), np.concatenate(v), np.concatenate(certain)
-
-    def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for number, t in pieces(batches, "key", chunk):
-            if number < 0:
-                u, v, certain = linked(t)
-                none = [pa.nulls(len(u), k) for k in (pa.int64(), pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(u), pa.array(v), pa.array(certain)], ["key", "chunk", "fp", "u", "v", "sure"])
-            else:
-                own = t.column("node").combine_chunks()
-                yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), pa.array(np.full(len(own), number, np.int32)), t.column("fp").combine_chunks(), own, own, pa.nulls(len(own), pa.bool_())], ["key", "chunk", "fp", "u", "v", "sure"])
-
-    def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "key"):
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in linked(t)], ["u", "v", "sure"])
-
-    keyed = nodes.select("node", "fp").mapInArrow(keys, "key long, fp binary, node long")
-    found = saved(keyed.repartition("key").sortWithinPartitions("key").mapInArrow(first, "key long, chunk int, fp binary, u long, v long, sure boolean"), "links")
-    edges, large = found.where("key IS NULL").select("u", "v", "sure"), found.where("key IS NOT NULL")
-    if large.isEmpty():
-        return edges
-    pairs = _chunk_pairs(large).select("key", "fp", F.col("u").alias("node"))
-    return edges.unionByName(pairs.repartition("key").sortWithinPartitions("key").mapInArrow(second, "u long, v long, sure boolean"))
+    small_batches(nodes.sparkSession)
+    return bucket_links(nodes.select("node", "fp").mapInArrow(keys, "key long, fp binary, node long"), radius, chunk)
 
 
 def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, text) of the documents in the hash slots of the wanted doc_ids: a few too many, for an exact join."""
-    slot = F.pmod(F.xxhash64("doc_id"), F.lit(SLOTS)).alias("slot")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), slot)
-    return texts.join(F.broadcast(wanted.select(slot).distinct()), "slot", "left_semi").drop("slot")
+    return texts_of(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), wanted)
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
@@ -520,7 +472,7 @@ def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, word
     by_fp = saved(known.groupBy("fp").agg(F.min("node").alias("first")), "by-fp")
     bits, tables = table_shape(by_fp.count(), similarity)
     radius = wide_radius(similarity, words)
-    near = saved(wide_links(by_fp.select(F.col("first").alias("node"), "fp"), radius, radius, bits, tables, words).select("u", "v").distinct(), "near")
+    near = saved(wide_links(by_fp.select(F.col("first").alias("node"), "fp"), radius, bits, tables, words).distinct(), "near")
     grouped = by_fp.join(components(near).toDF("first", "least"), "first", "left").select("fp", F.coalesce("least", "first").alias("group"))
     grouped = saved(known.where("n > 0").join(grouped, "fp").select("node", "digest", "n", "group"), "grouped")
     chunks = F.ceil(F.greatest(F.count("*") / F.lit(PIECE), F.sum("n") / F.lit(PIECE_SHINGLES))).cast("int").alias("chunks")
