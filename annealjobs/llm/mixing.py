@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from annealjobs.llm.shared import WORD, saved, table
 
 WEIGHTS, CEILING, SEED = (5, 2, 1), 3, 17
+#: Sources whose rates are small enough to send to every task.
+MOST_SOURCES = 100_000
 
 
 def n_words(text: Column) -> Column:
@@ -47,19 +49,45 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, ceiling: float =
     return rows.select("source", "source_size", F.when(F.col("full"), F.col("most")).otherwise(F.col("w") * water).alias("target"))
 
 
+def rates(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, ceiling: float = CEILING) -> DataFrame:
+    """(goal_source, source_size, target, rate), one row a source of docs (source and what size reads), for joins.
+
+    Broadcast where it has at most MOST_SOURCES rows, so that texts need not move; a join by source beyond.
+    """
+    sizes = saved(docs.groupBy(F.col("source").cast("string").alias("source")).agg(F.sum(size).alias("source_size")), "sizes")
+    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
+    goal = saved(targets(sizes, weights, ceiling).select(F.col("source").alias("goal_source"), "source_size", "target", rate.alias("rate")), "rates")
+    return F.broadcast(goal) if goal.count() <= MOST_SOURCES else goal
+
+
+def times(rate: Column, key: Column, seed: int = SEED) -> Column:
+    """floor(rate), and one more with the fraction's probability, drawn from the key; never over the ceiling, as no rate is."""
+    return (F.floor(rate) + (uniform(key, seed) < rate - F.floor(rate)).cast("long")).cast("long")
+
+
 def copies(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, ceiling: float = CEILING, seed: int = SEED) -> DataFrame:
     """(doc_id, size, source_size, target, copies) for every row of docs (doc_id, source and what size reads).
 
-    Null texts have size 0, a null source is a source, other columns are ignored, repeated rows count and
-    draw alike; an empty table gives an empty result. copies is at most the ceiling, as no rate exceeds it.
+    Null texts have size 0, texts of any length are counted whole, a null source is a source, other columns
+    are ignored, repeated rows count and draw alike, as rows without a doc_id do; an empty table gives an
+    empty result.
     """
-    sized = saved(docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size")), "sizes")
-    goal = targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights, ceiling)
-    rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    extra = (uniform(F.col("doc_id"), seed) < F.col("rate") - F.floor("rate")).cast("long")
-    goal = goal.withColumn("rate", rate).withColumnRenamed("source", "goal_source")
+    sized = docs.select("doc_id", F.col("source").cast("string").alias("source"), size.alias("size"))
+    goal = rates(docs, size, weights, ceiling)
     out = sized.join(goal, sized["source"].eqNullSafe(goal["goal_source"]))
-    return out.select("doc_id", "size", "source_size", "target", (F.floor("rate") + extra).cast("long").alias("copies"))
+    return out.select("doc_id", "size", "source_size", "target", times(F.col("rate"), F.col("doc_id"), seed).alias("copies"))
+
+
+def mixed(docs: DataFrame, size: Column, weights: Sequence[int] = WEIGHTS, ceiling: float = CEILING, seed: int = SEED) -> DataFrame:
+    """The rows of docs (doc_id, text, source), each as often as the mix takes it, with all their columns.
+
+    Cases as in copies, but that rows without a doc_id draw by their text.
+    """
+    goal = rates(docs, size, weights, ceiling)
+    rows = docs.select(F.struct("*").alias("row"))
+    key = F.coalesce(F.col("row.doc_id").cast("string"), F.md5(F.coalesce(F.col("row.text").cast("string"), F.lit("")).cast("binary")))
+    both = rows.join(goal, F.col("row.source").cast("string").eqNullSafe(goal["goal_source"]))
+    return both.select("row", F.explode(F.array_repeat(F.lit(True), times(F.col("rate"), key, seed).cast("int")))).select("row.*")
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

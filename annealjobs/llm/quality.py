@@ -8,13 +8,13 @@ conditional expression.
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from annealjobs.llm.shared import bounded_sample, saved, small_batches, table, utf8
 
@@ -73,20 +73,26 @@ def text_stats(text: bytes) -> tuple[int, ...]:
     return len(words), inner, symbols, duplicates, repeats, lines, distinct, upper, digits, len(a)
 
 
+@F.arrow_udf(StructType([StructField(c, LongType()) for c in _COUNTS]))
+def _stats_of(text: pa.Array) -> pa.Array:
+    rows = np.array([text_stats(t) for t in utf8(text)], np.int64).reshape(-1, len(_COUNTS))
+    return pa.StructArray.from_arrays([pa.array(rows[:, i]) for i in range(len(_COUNTS))], _COUNTS)
+
+
+_stats_of = _stats_of.asNondeterministic()  # evaluated once, before anything that reads it
+
+
 def stats(docs: DataFrame) -> DataFrame:
     """STATS of every row of docs (doc_id, text); a null text has no word."""
     small_batches(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _stats_of(F.col("text").cast("string")).alias("s"))
+    return rows.select("doc_id", "s.*")
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            rows = np.array([text_stats(t) for t in utf8(b.column(1))], np.int64).reshape(-1, len(_COUNTS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(rows[:, i]) for i in range(len(_COUNTS)))], ["doc_id", *_COUNTS])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, STATS)
-
-
-def base_failed() -> Column:
-    return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+def base_failed(within: str = "") -> Column:
+    """The base rules on columns of STATS, or on fields of the struct column `within`."""
+    words, repeats = (F.col(f"{within}.{c}" if within else c) for c in ("n_words", "n_repeat_words"))
+    return (words < 50) | (100 * repeats > 50 * words)
 
 
 @dataclass(frozen=True)
@@ -98,8 +104,8 @@ class Condition:
     def holds(self, x: dict[str, np.ndarray]) -> np.ndarray:
         return x[self.feature] > self.threshold if self.above else x[self.feature] <= self.threshold
 
-    def column(self) -> Column:
-        top, bottom = FEATURES[self.feature]
+    def column(self, within: str = "") -> Column:
+        top, bottom = (c and (f"{within}.{c}" if within else c) for c in FEATURES[self.feature])
         value = F.col(top).cast("double")
         if bottom:
             value = value / F.greatest(F.col(bottom), F.lit(1)).cast("double")
@@ -116,11 +122,11 @@ def _covered(rule: Rule, x: dict[str, np.ndarray], n: int) -> np.ndarray:
     return out
 
 
-def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
-    """Conditions added by FOIL's gain until no good row is covered."""
+def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
+    """At most so many conditions, added by FOIL's gain until no good row is covered."""
     rule: list[Condition] = []
     live = np.ones(len(bad), bool)
-    while len(rule) < MAX_CONDITIONS and (live & ~bad).any():
+    while len(rule) < most and (live & ~bad).any():
         p0, n0 = int((live & bad).sum()), int((live & ~bad).sum())
         best, choice = 0.0, None
         for name, values in x.items():
@@ -142,17 +148,20 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray) -> Rule:
     return tuple(rule)
 
 
-def learn(rows: np.ndarray, bad: np.ndarray, prune: np.ndarray, min_precision: float = MIN_PRECISION) -> list[Rule]:
-    """Rules for the bad among rows (columns as _COUNTS); prune marks the rows that rules are pruned on."""
+def learn(rows: np.ndarray, bad: np.ndarray, prune: np.ndarray, min_precision: float = MIN_PRECISION, max_rules: int = MAX_RULES, max_conditions: int = MAX_CONDITIONS) -> list[Rule]:
+    """Rules for the bad among rows (columns as _COUNTS); prune marks the rows that rules are pruned on.
+
+    max_rules and max_conditions bound the list so that people can read it.
+    """
     column = {c: rows[:, i].astype(float) for i, c in enumerate(_COUNTS)}
     x = {f: column[a] / np.maximum(column[b], 1) if b else column[a] for f, (a, b) in FEATURES.items()}
     out: list[Rule] = []
     left = np.ones(len(bad), bool)
-    while len(out) < MAX_RULES:
+    while len(out) < max_rules:
         grow, check = left & ~prune, left & prune
         if not (grow & bad).any() or not (grow & ~bad).any() or not check.any():
             break
-        rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow])
+        rule = _grow({k: v[grow] for k, v in x.items()}, bad[grow], max_conditions)
         if not rule:
             break
         worth = []
@@ -168,30 +177,34 @@ def learn(rows: np.ndarray, bad: np.ndarray, prune: np.ndarray, min_precision: f
     return out
 
 
-def fit(table_of_stats: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 3) -> list[Rule]:
-    """The decision list from labels (doc_id, quality): a bounded sample of about train_rows, chosen by hash.
+def labelled(labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 3) -> DataFrame:
+    """(doc_id, quality): about train_rows labelled documents, chosen by hash, at most twice as many."""
+    known = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
+    return bounded_sample(known, ["doc_id"], train_rows, seed)
 
-    Rows that the base rules reject, null labels and labels of no document are left out; without labels
-    of both kinds there are no rules.
+
+def fit(rows: DataFrame, seed: int = 3) -> list[Rule]:
+    """The decision list from STATS of labelled documents with their quality, a bounded number of them.
+
+    Rows that the base rules reject are left out, of several rows of one doc_id the smallest speaks;
+    without labels of both kinds there are no rules.
     """
-    known = labels.where("quality IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    some = bounded_sample(known, ["doc_id"], train_rows, seed)
-    h = F.xxhash64(F.lit(seed + 1), "doc_id")
-    rows = table_of_stats.where(~base_failed()).join(some, "doc_id").select(h.alias("h"), "quality", *_COUNTS).collect()
-    rows.sort(key=lambda r: (r.h, r.n_bytes))
-    if not rows:
+    one = F.min(F.struct(*_COUNTS)).alias("s")
+    found = rows.where(~base_failed()).groupBy("doc_id").agg(one, F.min("quality").alias("quality")).select(F.xxhash64(F.lit(seed + 1), "doc_id").alias("h"), "quality", "s.*").collect()
+    found.sort(key=lambda r: (r.h, r.n_bytes))
+    if not found:
         return []
-    bad = np.array([r.quality == 0 for r in rows])
-    return learn(np.array([[r[c] for c in _COUNTS] for r in rows], float), bad, np.array([r.h % 3 == 0 for r in rows]))
+    bad = np.array([r.quality == 0 for r in found])
+    return learn(np.array([[r[c] for c in _COUNTS] for r in found], float), bad, np.array([r.h % 3 == 0 for r in found]))
 
 
-def rejects(rules: list[Rule]) -> Column:
+def rejects(rules: list[Rule], within: str = "") -> Column:
     """The ordered conditional expression: the first rule that holds rejects."""
     out = None
     for rule in rules:
-        all_of = rule[0].column()
+        all_of = rule[0].column(within)
         for c in rule[1:]:
-            all_of = all_of & c.column()
+            all_of = all_of & c.column(within)
         out = F.when(all_of, True) if out is None else out.when(all_of, True)
     return F.lit(False) if out is None else out.otherwise(False)
 
@@ -199,14 +212,28 @@ def rejects(rules: list[Rule]) -> Column:
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """STATS, base_failed and kept for every row of docs (doc_id, text), learning from labels (doc_id, quality).
 
-    Null and empty texts have no word and fail the base rules; rows that repeat are judged alike; other
-    columns are ignored; an empty table gives an empty result.
+    Null and empty texts have no word and fail the base rules; a text of any length is read whole; rows
+    that repeat are judged alike, and each by its own text where they share a doc_id; other columns are
+    ignored; an empty table gives an empty result. Labels that are null, or of no document, count for nothing.
     """
     found = saved(stats(docs), "stats")
-    rules = fit(found, labels)
+    rules = fit(found.join(F.broadcast(labelled(labels)), "doc_id"))  # bounded by the sample
     return found.withColumn("base_failed", base_failed()).withColumn("kept", ~F.col("base_failed") & ~rejects(rules))
 
 
+def kept_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that judge keeps, whole and where they are: nothing but the labelled sample moves.
+
+    Cases as in judge; as every row is judged by its own text, a null doc_id makes no difference.
+    """
+    small_batches(docs.sparkSession)
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(labelled(labels)), "doc_id")
+    known = saved(sample.select("doc_id", "quality", _stats_of(F.col("text").cast("string")).alias("s")).select("doc_id", "quality", "s.*"), "labelled")
+    rules = fit(known)
+    rows = docs.select(F.struct("*").alias("row"), _stats_of(F.col("text").cast("string")).alias("s"))
+    return rows.where(~base_failed("s") & ~rejects(rules, "s")).select("row.*")
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")

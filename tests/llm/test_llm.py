@@ -12,7 +12,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from annealjobs.llm import chat_format, decontaminate, language_id, mixing, quality, simhash, suffix_dedup, token_counts, token_output, url_filter
+from annealjobs.llm import chat_format, decontaminate, language_id, mixing, quality, shared, simhash, suffix_dedup, token_counts, token_output, url_filter
 from annealjobs.llm.components import components
 from annealjobs.llm.shared import pieces, scratch
 from annealjobs.llm.tokens import Words, tokenizer_path
@@ -85,7 +85,7 @@ def test_sliced_links(n, radius, spread):
     heads = [r.getrandbits(64) for _ in range(6)]
     fps = [r.choice(heads) ^ sum(1 << b for b in r.sample(range(64), r.randint(0, spread))) for _ in range(n)]
     want = reference_groups(range(n), [(a, b) for a in range(n) for b in range(a) if (fps[a] ^ fps[b]).bit_count() <= radius])
-    edges = simhash.links(np.array(fps, np.uint64), radius)
+    edges = simhash.links(np.array(fps, np.uint64).reshape(n, 1), radius)
     assert all((fps[a] ^ fps[b]).bit_count() <= radius for a, b in edges)
     assert reference_groups(range(n), edges) == want and len(edges) < n
 
@@ -106,6 +106,23 @@ def test_wide_links(n, radius):
     assert all(near(a, b) for a, b in edges) and reference_groups(range(n), edges) == want
 
 
+@pytest.mark.parametrize("few", [48, 3])
+@pytest.mark.parametrize(("words", "radius", "spread"), [(1, 3, 5), (1, 5, 8), (1, 0, 1), (8, 20, 30)])
+def test_many_buckets_share_planes(monkeypatch, few, words, radius, spread):
+    monkeypatch.setattr(simhash, "FEW", few)
+    r = random.Random(words + radius)
+    key = np.repeat(np.arange(90), [r.choice([1, 2, 2, 3, 7, 40, 70]) for _ in range(90)])
+    heads = [r.getrandbits(64 * words) for _ in range(90)]
+    fps = [heads[k] ^ sum(1 << b for b in r.sample(range(64 * words), r.randint(0, spread))) for k in key.tolist()]
+    wide = np.array([[f >> 64 * i & (1 << 64) - 1 for i in range(words)] for f in fps], np.uint64)
+    near = [(a, b) for k in range(90) for a, b in combinations(np.flatnonzero(key == k).tolist(), 2) if (fps[a] ^ fps[b]).bit_count() <= radius]
+    assert reference_groups(range(len(fps)), zip(*(x.tolist() for x in simhash.linked(key, np.arange(len(fps)), wide, radius)))) == reference_groups(range(len(fps)), near) and near
+    small = np.isin(key, np.flatnonzero(np.bincount(key) < 9))
+    a, b = simhash._neighbours(wide[small], key[small], radius)
+    at = np.flatnonzero(small)
+    assert sorted(zip(at[a].tolist(), at[b].tolist())) == [p for p in near if small[p[0]]]
+
+
 @pytest.mark.parametrize("n", [1, 2, 50, 400])
 def test_labels(n):
     r = random.Random(n)
@@ -146,9 +163,9 @@ def test_large_wide_buckets_lose_no_link(spark, chunk):
     nodes = spark.createDataFrame([(n, bytearray(b)) for n, b in rows], "node long, fp binary")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 10)
     try:
-        found = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 45, 1, 4, chunk=chunk).where("sure").collect()}
-        want = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 45, 1, 4, chunk=10**6).where("sure").collect()}
-        none = simhash.wide_links(nodes.where("node < 0"), 30, 45, 1, 4, chunk=chunk).collect()
+        found = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 1, 4, chunk=chunk).collect()}
+        want = {(x.u, x.v) for x in simhash.wide_links(nodes, 30, 1, 4, chunk=10**6).collect()}
+        none = simhash.wide_links(nodes.where("node < 0"), 30, 1, 4, chunk=chunk).collect()
     finally:
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert reference_groups(range(150), found) == reference_groups(range(150), want) and len(set(reference_groups(range(150), want).values())) < 150 and not none
@@ -303,15 +320,20 @@ def test_language_id(spark):
 
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_words_encode_as_whole_texts(name, monkeypatch):
-    monkeypatch.setattr("annealjobs.llm.tokens.MOST_WORDS", 150)
-    monkeypatch.setattr("annealjobs.llm.tokens.MOST_CORES", 100)
+    monkeypatch.setattr("annealjobs.llm.tokens.MOST_PIECES", 150)
+    monkeypatch.setattr("annealjobs.llm.tokens._LAID", 1000)
     known = Words(tokenizer_path(name))
     r = random.Random(9)
-    pieces = ["a", "Bc", "ß", "é", "e\u0301", "İ", "Σ", "12", ".", "''", "'s", "'S", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x00", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "_", "|", "中文", "😀", ",", "!?", "The", "ing"]
+    pieces = ["a", "Bc", "ß", "é", "É", "×", "÷", "ÿ", "Þ", "Ma", "ª", "µ", "ß.", "on.,", ".,", "a×.", "e\u0301", "İ", "Σ", "12", ".", "''", "'s", "'S", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x00", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "_", "|", "中文", "😀", ",", "!?", "The", "ing"]
     wild = ["".join(r.choices(pieces, k=r.randint(1, 30))) for _ in range(3000)]
     some = wild + texts(5) + [t or "" for t in ODD]
     want = [np.array(e.ids, np.uint32).tobytes() for e in known.tokenizer.encode_batch(some, add_special_tokens=False)]
     assert known.kind != "whole" and known.ids(some) == want
+    for at in range(0, len(some), 40):  # small batches, of slices with nulls
+        column = pa.array([None, *some])[at : at + 40]
+        ids, edges = known.encoded(column)
+        each = [b"", *want][at : at + 40]
+        assert ids.tobytes() == b"".join(each) and np.diff(edges).tolist() == [len(x) // 4 for x in each] == known.counts(column).tolist()
 
 
 def test_token_output(spark, docs, monkeypatch):
@@ -568,7 +590,7 @@ def test_pipeline_as_a_whole(spark, tmp_path):
 @pytest.mark.parametrize("slots", [1, 7, 1 << 20])
 def test_verified_pairs(spark, monkeypatch, slots):
     """Few slots let more texts through, and change no pair."""
-    monkeypatch.setattr(simhash, "SLOTS", slots)
+    monkeypatch.setattr(shared, "SLOTS", slots)
     rows = [(i, t, None, None) for i, t in enumerate(t for t in texts(31) if len(t.split()) > 5)] + [(-5, None, None, None), (None, "null id", None, None)]
     known = [(a, b) for a in range(0, 70, 3) for b in range(60, 75) if a < b]
     got = {(x.u, x.v) for x in simhash.verified(spark.createDataFrame(known, "u long, v long"), frame(spark, rows), 5, 0.8).collect()}
