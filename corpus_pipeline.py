@@ -17,34 +17,55 @@ SHINGLE, SIMILARITY = 5, 0.8
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejected documents go; the list is learned from labels of the documents given."""
-    judged = quality.judge(docs, table(spark, sf_dir, "labels"))
-    rejected = judged.where("NOT kept").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti")
+    """Rows that the rules reject go; the list is learned from labels of the documents given.
+
+    Every row is judged by its own text, whatever its doc_id: null and empty texts go, repeated rows are
+    judged alike, other columns stay as they are, an empty table stays empty.
+    """
+    return quality.kept_documents(docs, table(spark, sf_dir, "labels"))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id stays of each group; rows without a doc_id stay."""
+    """The document of smallest doc_id stays of each group, with all its rows.
+
+    Null and empty texts are one group. Rows without a doc_id stay, as no order tells which is first;
+    rows that repeat a doc_id are one document; other columns play no part; an empty table stays empty.
+    """
     groups = simhash.similar_documents(docs, SHINGLE, SIMILARITY)
     dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti")
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def _row_key(docs: DataFrame) -> DataFrame:
+    """docs as a struct `row`, with a key: the doc_id, or the text's digest where there is none."""
+    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
+    return docs.select(F.struct("*").alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("t"), F.sha2(text, 256))).alias("key"))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a benchmark item go."""
-    held = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
-    return docs.join(held, "doc_id", "left_anti")
+    """Documents that hold a benchmark item go, with all rows of their doc_id; rows without one are judged by their texts.
+
+    Null and empty texts hold nothing and stay, as all do where the benchmark is empty; other columns play no part.
+    """
+    rows = _row_key(docs)
+    held = decontaminate.contaminated(rows.select(F.col("key").alias("doc_id"), "row.text"), table(spark, sf_dir, "benchmark"))
+    return rows.join(held.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; rows of one doc_id are taken alike."""
-    taken = mixing.copies(docs, mixing.n_words(F.col("text"))).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("times"))
-    both = docs.join(taken.where("times > 0"), docs["doc_id"].eqNullSafe(taken["taken_id"]))
-    return both.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), F.col("times").cast("int"))).alias("copy__")).drop("copy__")
+    """Each row as often as the mix takes it, with its columns.
+
+    Rows of one doc_id draw alike, rows without one by their texts; texts without a word have size 0 and may
+    stay; a null source is a source; an empty table stays empty.
+    """
+    return mixing.mixed(docs, mixing.n_words(F.col("text")))
 
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32 of every copy."""
+    """Token files of what is left, read back: doc_id, start, n_tokens, ids_crc32 of every copy.
+
+    Rows without a doc_id stand first; null texts are empty; other columns are not read; an empty table gives none.
+    """
     return token_output.token_files(docs)
 
 
