@@ -27,14 +27,17 @@ def ln(x: Column) -> Column:
     return F.when(x > 0, F.ln(x)).when(x == 0, neg_inf())
 
 
-def log_sum_exp(df: DataFrame, keys: Keys, x: str, out: str = "lse") -> DataFrame:
-    """max + ln sum exp(x - max) by group; nulls are skipped, groups of -inf alone give -inf."""
+def log_sum_exp(df: DataFrame, keys: Keys, x: str, out: str = "lse", carry: Sequence[str] = (), **more: Column) -> DataFrame:
+    """max + ln sum exp(x - max) by group; nulls are skipped, groups of -inf alone give -inf.
+
+    more: further aggregates by name, in the same aggregation, of x and of the columns that carry names.
+    """
     keys = _keys(keys)
     top = df.groupBy(*keys).agg(F.max(x).alias("_m"))
-    joined = df.select(*keys, x).join(top.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
+    joined = df.select(*keys, x, *carry).join(top.withColumnsRenamed({k: f"_k{i}" for i, k in enumerate(keys)}), [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)])
     shifted = F.when(F.col("_m") == neg_inf(), 0.0).otherwise(F.exp(F.col(x) - F.col("_m")))
-    sums = joined.groupBy(*keys).agg(F.max("_m").alias("_m"), F.sum(shifted).alias("_s"))
-    return sums.select(*keys, F.when(F.col("_m") == neg_inf(), neg_inf()).otherwise(F.col("_m") + F.ln("_s")).alias(out))
+    sums = joined.groupBy(*keys).agg(F.max("_m").alias("_m"), F.sum(shifted).alias("_s"), *[c.alias(n) for n, c in more.items()])
+    return sums.select(*keys, F.when(F.col("_m") == neg_inf(), neg_inf()).otherwise(F.col("_m") + F.ln("_s")).alias(out), *more)
 
 
 def exp_normalize(df: DataFrame, keys: Keys, x: str, out: str = "w") -> DataFrame:

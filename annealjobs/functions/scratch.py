@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """spark.checkpoint.dir; a folder of this machine only where that is unset and the master is local, as in tests."""
     context = spark.sparkContext
     top = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
     if not top:
+        if not context.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         context.setCheckpointDir(top := tempfile.mkdtemp(prefix="spark-"))
     return top
 
@@ -21,6 +23,13 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def saved(df: DataFrame, what: str) -> DataFrame:
+    """The rows of df written to the shared folder and read again: what several plans read is computed once."""
+    path = new_path(df.sparkSession, what)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint."""
     shared_folder(df.sparkSession)

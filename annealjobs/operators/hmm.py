@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 from annealjobs.functions.keyed import uniform
 
 Matrix = tuple[tuple[float, ...], ...]
+#: Positions of a sequence that one row gathers.
+CHUNK = 4096
 
 
 @dataclass(frozen=True)
@@ -74,39 +77,73 @@ def hmm_local_terms(paths: DataFrame, params: Params) -> DataFrame:
     return rows.select("seq_id", "pos", _look(params.emit, F.col("state"), F.col("obs")).alias("log_lik"), (left + right).alias("log_prior"))
 
 
-def _fold(obs: Column, params: Params, pos: int = -1, state: int = -1) -> Column:
-    """ln of the probability of observations [(pos, obs)], with the state at pos held fixed: scaled forward sums."""
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _times(acc: Column, m: Column, ll: Column, k: int) -> Column:
+    """struct(m, ll): acc times a k x k matrix (flat arrays, with ln of their scales), scaled to sum to 1."""
+    cells = F.array(*[sum((acc["m"][i * k + x] * m[x * k + j] for x in range(1, k)), acc["m"][i * k] * m[j]) for i in range(k) for j in range(k)])
+    scaled = lambda c: F.transform(c["c"], lambda x: x / F.when(c["t"] > 0, c["t"]).otherwise(1.0))
+    scale = lambda c: F.when(c["t"] > 0, acc["ll"] + ll + F.ln(c["t"])).otherwise(F.lit(-math.inf))
+    total = lambda c: F.struct(c.alias("c"), F.aggregate(c, F.lit(0.0), lambda a, x: a + x).alias("t"))
+    return _let(cells, lambda c: _let(total(c), lambda s: F.struct(scaled(s).alias("m"), scale(s).alias("ll"))))
+
+
+def _literal(rows: list[list[float]]) -> Column:
+    return F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows])
+
+
+def _product(obs: Column, params: Params, pos: int = -1, state: int = -1) -> Column:
+    """struct(m, ll) of observations [(pos, obs)]: what they do to forward sums; the state at pos is held fixed."""
     k = len(params.init)
-    start = F.struct(F.array(*[F.lit(float(p)) for p in params.init]).alias("a"), F.lit(0.0).alias("ll"))
+    one = F.struct(F.array(*[F.lit(float(i == j)) for i in range(k) for j in range(k)]).alias("m"), F.lit(0.0).alias("ll"))
+    each = [[[params.emit[i][o] * params.trans[i][j] for i in range(k) for j in range(k)] for o in range(len(params.emit[0]))]]
+    each.append([[x if i // k == state else 0.0 for i, x in enumerate(row)] for row in each[0]])
 
     def step(acc: Column, o: Column) -> Column:
-        seen = []
-        for i in range(k):
-            p = F.element_at(F.array(*[F.lit(float(x)) for x in params.emit[i]]), (o["obs"] + 1).cast("int"))
-            a = acc["a"][i] * p
-            seen.append(a if pos < 0 or i == state else F.when(o["pos"] == pos, 0.0).otherwise(a))
-        total = sum(seen[1:], seen[0])
-        safe = F.when(total > 0, total).otherwise(1.0)
-        ahead = [sum((seen[i] * params.trans[i][j] for i in range(1, k)), seen[0] * params.trans[0][j]) / safe for j in range(k)]
-        return F.struct(F.array(*ahead).alias("a"), F.when(total > 0, acc["ll"] + F.ln(total)).otherwise(F.lit(-math.inf)).alias("ll"))
+        at = (o["obs"] + 1).cast("int")
+        free = F.element_at(_literal(each[0]), at)
+        own = free if pos < 0 else F.when(o["pos"] == pos, F.element_at(_literal(each[1]), at)).otherwise(free)
+        return _let(own, lambda m: _times(acc, m, F.lit(0.0), k))
+
+    return F.aggregate(obs, one, step)
+
+
+def _log_total(parts: Column, params: Params) -> Column:
+    """ln of the probability of all observations, from the products of consecutive chunks [(c, m, ll)]."""
+    k = len(params.init)
+    # rows that all hold the initial distribution: one product gives its forward sums
+    start = F.struct(F.array(*[F.lit(float(p) / k) for _ in range(k) for p in params.init]).alias("m"), F.lit(0.0).alias("ll"))
+    return F.aggregate(parts, start, lambda acc, x: _times(acc, x["m"], x["ll"], k), lambda acc: acc["ll"])
 
-    return F.aggregate(obs, start, step, lambda acc: acc["ll"])
 
+def _chunks(seqs: DataFrame, chunk: int) -> DataFrame:
+    rows = seqs.groupBy("seq_id", F.floor(F.col("pos") / chunk).alias("c"))
+    return rows.agg(F.array_sort(F.collect_list(F.struct("pos", "obs"))).alias("o"))
 
-def _sequences(seqs: DataFrame) -> DataFrame:
-    return seqs.groupBy("seq_id").agg(F.array_sort(F.collect_list(F.struct("pos", "obs"))).alias("o"))
 
+def hmm_log_evidence(seqs: DataFrame, params: Params, chunk: int = CHUNK) -> DataFrame:
+    """(seq_id, log_z): exact, of sequences (seq_id, pos, obs) of any length.
 
-def hmm_log_evidence(seqs: DataFrame, params: Params) -> DataFrame:
-    """(seq_id, log_z): exact, by a fold over each sequence (seq_id, pos, obs)."""
-    return _sequences(seqs).select("seq_id", _fold(F.col("o"), params).alias("log_z"))
+    Each chunk of positions is reduced to one small matrix, and a sequence's matrices are multiplied in order.
+    Rows of the transition matrix sum to one, so that the step after the last observation changes nothing.
+    """
+    parts = _chunks(seqs, chunk).select("seq_id", F.struct("c", _product(F.col("o"), params).alias("p")).alias("x")).select("seq_id", F.struct("x.c", "x.p.m", "x.p.ll").alias("x"))
+    return parts.groupBy("seq_id").agg(_log_total(F.array_sort(F.collect_list("x")), params).alias("log_z"))
 
 
-def hmm_marginal(seqs: DataFrame, params: Params, pos: int = 0) -> DataFrame:
+def hmm_marginal(seqs: DataFrame, params: Params, pos: int = 0, chunk: int = CHUNK) -> DataFrame:
     """(seq_id, state, p): exact posterior of the state at a position."""
-    rows = _sequences(seqs).withColumn("_z", _fold(F.col("o"), params))
-    each = F.explode(F.array(*[F.struct(F.lit(s).alias("state"), _fold(F.col("o"), params, pos, s).alias("ll")) for s in range(len(params.init))])).alias("m")
-    return rows.select("seq_id", "_z", each).select("seq_id", "m.state", F.exp(F.col("m.ll") - F.col("_z")).alias("p"))
+    k, here = len(params.init), F.col("c") == pos // chunk
+    free = _chunks(seqs, chunk).withColumn("p", _product(F.col("o"), params))
+    held = [F.when(here, _product(F.col("o"), params, pos, s)).otherwise(F.col("p")).alias(f"p{s}") for s in range(k)]
+    rows = free.select("seq_id", "c", "p", *held)
+    ordered = lambda p: F.array_sort(F.collect_list(F.struct("c", F.col(f"{p}.m").alias("m"), F.col(f"{p}.ll").alias("ll"))))
+    totals = rows.groupBy("seq_id").agg(_log_total(ordered("p"), params).alias("_z"), *[_log_total(ordered(f"p{s}"), params).alias(f"_z{s}") for s in range(k)])
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("state"), F.col(f"_z{s}").alias("ll")) for s in range(k)])).alias("x")
+    return totals.select("seq_id", "_z", each).select("seq_id", "x.state", F.exp(F.col("x.ll") - F.col("_z")).alias("p"))
 
 
 def particle_marginal(particles: DataFrame, key: str, state: Column, value: object, w: str = "w") -> DataFrame:

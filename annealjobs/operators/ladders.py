@@ -69,21 +69,30 @@ def budget_plan(design: DataFrame, rungs: int, thousand_iters: float, mcmc_facto
     return design.withColumn("iterations", iters).withColumn("kept", (F.col("iterations") * keep).cast("int")).withColumn("burn_in", F.col("iterations") - F.col("kept")).withColumn("matched_mcmc", F.greatest(F.lit(1000), F.col("iterations")))
 
 
-def site_ladder(ladder: DataFrame, n_blocks: int) -> DataFrame:
-    """(schedule_id, t, block, psi): the ramp of each block; blocks fill one after the other."""
-    blocks = ladder.sparkSession.range(n_blocks).select(F.col("id").cast("int").alias("block"))
-    return ladder.crossJoin(blocks).select("schedule_id", "t", "block", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("beta") * n_blocks - F.col("block"))).alias("psi"))
+def site_ladder(ladder: DataFrame, n_blocks: int | DataFrame) -> DataFrame:
+    """(schedule_id, t, block, psi): the ramp of each block; blocks fill one after the other.
+
+    n_blocks: their number, or a table of keys and n_blocks, whose keys the result then has too. Each row of
+    the ladder, which is short, carries its blocks.
+    """
+    keys = [] if isinstance(n_blocks, int) else [c for c in n_blocks.columns if c != "n_blocks"]
+    sizes = ladder.sparkSession.range(1).select(F.lit(n_blocks).alias("n_blocks")) if isinstance(n_blocks, int) else n_blocks
+    rungs = ladder.groupBy("schedule_id").agg(F.collect_list(F.struct("t", "beta")).alias("_rungs"))
+    blocks = sizes.select(*keys, "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)).alias("block")).join(F.broadcast(rungs))  # one row a schedule
+    rows = blocks.select(*keys, "schedule_id", "n_blocks", "block", F.explode("_rungs").alias("_r"))
+    return rows.select(*keys, "schedule_id", "_r.t", "block", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_r.beta") * F.col("n_blocks") - F.col("block"))).alias("psi"))
 
 
 def site_ladder_diff(psi: DataFrame) -> DataFrame:
-    before = F.lag("psi", 1, 0.0).over(Window.partitionBy("schedule_id", "block").orderBy("t"))
-    return psi.select("schedule_id", "t", "block", (F.col("psi") - before).alias("d_psi"))
+    keys = [c for c in psi.columns if c not in ("t", "psi")]
+    before = F.lag("psi", 1, 0.0).over(Window.partitionBy(*keys).orderBy("t"))
+    return psi.select(*keys, "t", (F.col("psi") - before).alias("d_psi"))
 
 
 def classify_blocks(psi: DataFrame) -> DataFrame:
-    """For each t: number of full blocks, and the one fractional block with its value (-1 and 0 if none)."""
+    """For each t (and key): number of full blocks, and the one fractional block with its value (-1 and 0 if none)."""
     part = (F.col("psi") > 0) & (F.col("psi") < 1)
-    return psi.groupBy("schedule_id", "t").agg(F.count_if(F.col("psi") == 1).alias("n_full"), F.coalesce(F.max(F.when(part, F.col("block"))), F.lit(-1)).alias("block"), F.coalesce(F.max(F.when(part, F.col("psi"))), F.lit(0.0)).alias("psi"))
+    return psi.groupBy(*[c for c in psi.columns if c not in ("block", "psi")]).agg(F.count_if(F.col("psi") == 1).alias("n_full"), F.coalesce(F.max(F.when(part, F.col("block"))), F.lit(-1)).alias("block"), F.coalesce(F.max(F.when(part, F.col("psi"))), F.lit(0.0)).alias("psi"))
 
 
 def block_count(n_sites: Column, per_block: int) -> Column:
@@ -97,9 +106,9 @@ def block_sites(sites: DataFrame, per_block: int) -> DataFrame:
 
 def subsampled_log_weight(block_log_lik: DataFrame, d_psi: DataFrame, keys: list[str]) -> DataFrame:
     """Sum over blocks of d_psi times the block's log likelihood, by keys and t."""
-    return block_log_lik.join(d_psi, "block").groupBy(*keys, "t").agg(F.sum(F.col("d_psi") * F.col("log_lik")).alias("dlog"))
+    return block_log_lik.join(d_psi, [*(k for k in keys if k in d_psi.columns), "block"]).groupBy(*keys, "t").agg(F.sum(F.col("d_psi") * F.col("log_lik")).alias("dlog"))
 
 
 def subsampled_log_target(block_log_lik: DataFrame, psi: DataFrame, log_prior: DataFrame, keys: list[str]) -> DataFrame:
-    sums = block_log_lik.join(psi, "block").groupBy(*keys, "t").agg(F.sum(F.col("psi") * F.col("log_lik")).alias("_s"))
+    sums = block_log_lik.join(psi, [*(k for k in keys if k in psi.columns), "block"]).groupBy(*keys, "t").agg(F.sum(F.col("psi") * F.col("log_lik")).alias("_s"))
     return sums.join(log_prior, keys).select(*keys, "t", (F.col("log_prior") + F.col("_s")).alias("log_target"))

@@ -41,6 +41,7 @@ def weights_list(counts: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def population_fingerprint(df: DataFrame, key: str, columns: list[str]) -> DataFrame:
-    """Order-free hash of a population's rows: equal for equal runs."""
-    h = F.xxhash64(*columns)
+    """Order-free hash of a population's rows, by the text of the columns: equal for equal runs."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in columns])
+    h = F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
     return df.groupBy(key).agg(F.bit_xor(h).alias("fingerprint"), F.count("*").alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 _TOKEN = re.compile(r"[(),;]|:[^(),:;]*|[^(),:;]+")
@@ -77,25 +77,6 @@ def tree_log_prior(edges: DataFrame, rate: float = 10.0) -> DataFrame:
     return edges.groupBy("tree_id").agg((F.count("*") * float(np.log(rate)) - rate * F.sum("length")).alias("log_prior"))
 
 
-def draw_prior_trees(spark: SparkSession, n: int, taxa: list[str], rate: float = 10.0, seed: int = 1) -> DataFrame:
-    """(tree_id, node_a, node_b, length): uniform unrooted bifurcating trees, one generator a tree id."""
-
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i in b.id:
-                r = np.random.default_rng([seed, int(i)])
-                order = [taxa[k] for k in r.permutation(len(taxa))]
-                edges = [(order[0], order[1])]
-                for k, taxon in enumerate(order[2:]):
-                    a, c = edges.pop(int(r.integers(len(edges))))
-                    edges += [(a, f"internal_{k}"), (f"internal_{k}", c), (f"internal_{k}", taxon)]
-                rows += [(i, a, c, float(x)) for (a, c), x in zip(edges, r.exponential(1 / rate, len(edges)))]
-            yield pd.DataFrame(rows, columns=["tree_id", "node_a", "node_b", "length"])
-
-    return spark.range(n).mapInPandas(run, "tree_id long, node_a string, node_b string, length double")
-
-
 def site_patterns(sites: DataFrame) -> DataFrame:
     """(dataset_id, taxa, pattern, n_sites): equal site columns collapsed."""
     columns = sites.groupBy("dataset_id", "site").agg(F.array_sort(F.collect_list(F.struct("taxon", "ch"))).alias("c"))
@@ -110,9 +91,16 @@ def k2p(t: np.ndarray, kappa: float) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return 0.25 + 0.25 * a + 0.5 * b, 0.25 + 0.25 * a - 0.5 * b, 0.25 - 0.25 * a
 
 
+#: Likelihoods of the four bases, in the order A, G, C, T, for each character; an unknown one says nothing.
+_LEAVES = np.ones((256, 4))
+for _base, _characters in enumerate((b"A", b"G", b"C", b"TU")):
+    for _character in _characters:
+        _LEAVES[_character] = np.eye(4)[_base]
+
+
 def _prune(newick: str, taxa: list[str], patterns: list[str], kappa: float) -> np.ndarray:
-    """ln L of each pattern, by pruning over the tree; unknown characters say nothing."""
-    code = {"A": 0, "G": 1, "C": 2, "T": 3, "U": 3}
+    """ln L of each pattern, by pruning over the tree; unknown characters, and taxa without a character, say nothing."""
+    block = np.frombuffer("".join(patterns).encode("latin-1", "replace"), np.uint8).reshape(len(patterns), -1)
     at = {t: i for i, t in enumerate(taxa)}
     below: dict[str, np.ndarray] = {}
     edges = newick_edges(newick)
@@ -120,10 +108,7 @@ def _prune(newick: str, taxa: list[str], patterns: list[str], kappa: float) -> n
     for parent, child, length, _ in edges:  # children's groups close before their parents'
         part = below.pop(child, None)
         if part is None:
-            part = np.ones((len(patterns), 4))
-            for i, p in enumerate(patterns):
-                if (c := code.get(p[at[child]])) is not None:
-                    part[i] = np.eye(4)[c]
+            part = _LEAVES[block[:, at[child]]] if child in at else np.ones((len(patterns), 4))
         same, ts, tv = k2p(np.float64(length), kappa)
         m = np.full((4, 4), tv)
         np.fill_diagonal(m, same)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annealjobs.functions import logspace as lw
 from annealjobs.functions.keyed import uniform_sql
-from annealjobs.functions.scratch import new_path
+from annealjobs.functions.scratch import new_path, saved
 from annealjobs.operators import adaptive, evidence, experiments, hmm, ladders, resample, summaries, trees
 from annealjobs.plans import sampler
 from annealjobs.sources import fixtures, io
@@ -127,6 +129,19 @@ def t9_budget_plan(spark, d):
     return ladders.budget_plan(design, 50, 100.0, 2.0).drop("iter_scale")
 
 
+_GROWTH = {"constant": "0.0::DOUBLE", "geometric": "0.5 * pow(0.1, 2) * pow(0.9, i)", "linear": "0.5 * pow(0.1, 3) * (i + 1) * pow(0.9, i)"}
+
+
+@query(f"""{PART}, c AS (SELECT population_id, pow(sum(w * exp({DELTA} * log_lik)), 2) / sum(w * exp(2 * {DELTA} * log_lik)) AS cess FROM part GROUP BY population_id),
+  t AS ({' UNION ALL '.join(f"SELECT '{k}' AS scheme, CAST(i AS INT) AS t, 0.9 + sum({x}) OVER (ORDER BY i) AS target FROM range(6) r(i)" for k, x in _GROWTH.items())})
+  SELECT population_id, scheme, t, round(target, 9) AS target, round(cess - target, 6) AS slack FROM c, t""")
+def t7_target_alpha(spark, d):
+    """How far each population's CESS after a step stands from each scheme's targets."""
+    targets = [ladders.target_alpha(spark, 6, k).withColumn("scheme", F.lit(k)) for k in _GROWTH]
+    rows = lw.cess(stepped(spark, d), "population_id").crossJoin(F.broadcast(targets[0].unionByName(targets[1]).unionByName(targets[2])))  # 18 rows
+    return rows.select("population_id", "scheme", "t", F.round("target", 9).alias("target"), F.round(F.col("cess") - F.col("target"), 6).alias("slack"))
+
+
 # Weights
 
 
@@ -252,12 +267,24 @@ def r6_survivors(spark, d):
 # The next temperature
 
 
-@query()
+def _solved(mode: str, passes: int = 2, n: int = 32) -> str:
+    """Grids of candidates in each population's bracket, narrowed around the first that falls under the target."""
+    second, over = ("w", "") if mode == "cess" else ("w * w", " / count(*)")
+    now = "0.9" if mode == "cess" else "0.9 / sum(w * w) / count(*)"
+    out = f"{PART}, b0 AS (SELECT population_id, 0.0::DOUBLE AS lo, {1 - BETA}::DOUBLE AS hi, {now} AS target FROM part GROUP BY population_id)"
+    for i in range(passes):
+        out += f""", g{i} AS (SELECT population_id, target, lo + (hi - lo) * k / {n} AS delta, lo + (hi - lo) * (k - 1) / {n} AS lft FROM b{i}, range(1, {n + 1}) r(k)),
+  c{i} AS (SELECT g.population_id, delta, lft, target, pow(sum(w * exp(delta * log_lik)), 2) / sum({second} * exp(2 * delta * log_lik)){over} AS value FROM g{i} g JOIN part USING (population_id) GROUP BY ALL),
+  b{i + 1} AS (SELECT population_id, coalesce(arg_min(lft, delta) FILTER (value < target), max(delta)) AS lo, coalesce(min(delta) FILTER (value < target), max(delta)) AS hi, max(target) AS target FROM c{i} GROUP BY population_id)"""
+    return out + f" SELECT population_id, round(CASE WHEN lo >= {1 - BETA} THEN {1 - BETA} ELSE (lo + hi) / 2 END, 6) AS delta FROM b{passes}"
+
+
+@query(_solved("cess"))
 def a1_next_temperature_cess(spark, d):
     return rounded(adaptive.next_temperature(part(spark, d).withColumn("beta", F.lit(BETA)), "population_id", "beta", 0.9, passes=2), "delta")
 
 
-@query()
+@query(_solved("ess"))
 def a2_next_temperature_ess(spark, d):
     return rounded(adaptive.next_temperature(part(spark, d).withColumn("beta", F.lit(BETA)), "population_id", "beta", 0.9, "ess", passes=2), "delta")
 
@@ -289,13 +316,14 @@ def k2_metropolis_accept(spark, d):
 
 
 def _populations(spark, d):
-    rows = fixture(spark, d, "seq").where("pos < 4").groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "obs"))), lambda x: x["obs"]).alias("data"))
+    rows = fixture(spark, d, "seq").groupBy("seq_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "obs"))), lambda x: x["obs"]).alias("data"))
     return rows.select(F.col("seq_id").alias("population_id"), "data")
 
 
 @query()
 def k8_annealed_smc(spark, d):
-    done, _ = sampler.annealed_smc(_populations(spark, d), sampler.HmmKernel(hmm.THREE), n=100, steps=[0.1, 0.4, 1.0])
+    """Whole sequences, with steps solved for; 100 particles and a low target keep the generations few."""
+    done, _ = sampler.annealed_smc(_populations(spark, d), sampler.HmmKernel(hmm.THREE), n=100, alpha=0.1)
     return done.groupBy("population_id").agg(F.round(F.max("log_z"), 6).alias("log_z"), F.round(F.sum(F.when(F.col("state")[0] == 0, F.col("w")).otherwise(0.0)), 6).alias("p0"))
 
 
@@ -309,7 +337,8 @@ def k9_annealed_importance_sampling(spark, d):
 # Data subsampling
 
 _BLOCKS = f"SELECT dataset_id, CAST(floor(site / 10) AS INT) AS block, sum(-ascii(ch) / 100.0) AS log_lik FROM ({SQL['aln']}) GROUP BY ALL"
-_PSI = "SELECT CAST(i AS INT) AS t, CAST(b AS INT) AS block, greatest(0.0, least(1.0, i / 7.0 * 12 - b)) AS psi FROM range(8) r(i) CROSS JOIN range(12) q(b)"
+# each data set has the blocks of its longest text
+_PSI = "SELECT dataset_id, CAST(i AS INT) AS t, block, greatest(0.0, least(1.0, i / 7.0 * n_blocks - block)) AS psi FROM (SELECT dataset_id, block, max(block) OVER (PARTITION BY dataset_id) + 1 AS n_blocks FROM b), range(8) r(i)"
 
 
 def _block_lik(spark, d):
@@ -317,35 +346,39 @@ def _block_lik(spark, d):
     return sites.groupBy("dataset_id", "block").agg(F.sum(-F.ascii("ch") / 100.0).alias("log_lik"))
 
 
-def _psi(spark):
-    return ladders.site_ladder(ladders.ladder_even(spark, 8), 12)
+def _psi(blocks):
+    """The ramps of each data set's blocks; blocks (dataset_id, block)."""
+    sizes = blocks.groupBy("dataset_id").agg((F.max("block") + 1).alias("n_blocks"))
+    return ladders.site_ladder(ladders.ladder_even(blocks.sparkSession, 8), sizes).drop("schedule_id")
 
 
-@query(f"WITH a AS ({SQL['aln']}) SELECT dataset_id, CAST(floor(site / 10) AS INT) AS block, count(*) AS n, CAST(ceil(120 / 10.0) AS BIGINT) AS blocks FROM a GROUP BY ALL")
+@query(f"WITH a AS ({SQL['aln']}), n AS (SELECT dataset_id, max(site) + 1 AS sites FROM a GROUP BY dataset_id) SELECT dataset_id, CAST(floor(site / 10) AS INT) AS block, count(*) AS n, CAST(ceil(max(sites) / 10.0) AS BIGINT) AS blocks FROM a JOIN n USING (dataset_id) GROUP BY ALL")
 def p5_block_sites(spark, d):
     rows = ladders.block_sites(fixture(spark, d, "aln"), 10)
-    return rows.groupBy("dataset_id", "block").agg(F.count("*").alias("n"), ladders.block_count(F.lit(120), 10).cast("long").alias("blocks"))
+    counts = rows.groupBy("dataset_id", "block").agg(F.count("*").alias("n"), (F.max("site") + 1).alias("sites"))
+    sizes = counts.groupBy("dataset_id").agg(ladders.block_count(F.max("sites"), 10).cast("long").alias("blocks"))
+    return counts.drop("sites").join(sizes, "dataset_id")
 
 
-@query(f"""WITH b AS ({_BLOCKS}), psi AS ({_PSI}), dp AS (SELECT t, block, psi - lag(psi, 1, 0.0) OVER (PARTITION BY block ORDER BY t) AS d_psi FROM psi)
-  SELECT dataset_id, t, round(sum(d_psi * log_lik), 6) AS dlog FROM b JOIN dp USING (block) GROUP BY dataset_id, t""")
+@query(f"""WITH b AS ({_BLOCKS}), psi AS ({_PSI}), dp AS (SELECT dataset_id, t, block, psi - lag(psi, 1, 0.0) OVER (PARTITION BY dataset_id, block ORDER BY t) AS d_psi FROM psi)
+  SELECT dataset_id, t, round(sum(d_psi * log_lik), 6) AS dlog FROM b JOIN dp USING (dataset_id, block) GROUP BY dataset_id, t""")
 def p6_subsampled_log_weight(spark, d):
-    return rounded(ladders.subsampled_log_weight(_block_lik(spark, d), ladders.site_ladder_diff(_psi(spark)), ["dataset_id"]), "dlog")
+    blocks = saved(_block_lik(spark, d), "blocks")
+    return rounded(ladders.subsampled_log_weight(blocks, ladders.site_ladder_diff(_psi(blocks)), ["dataset_id"]), "dlog")
 
 
-@query(f"WITH b AS ({_BLOCKS}), psi AS ({_PSI}) SELECT dataset_id, t, round(-dataset_id / 1000.0 + sum(psi * log_lik), 6) AS log_target FROM b JOIN psi USING (block) GROUP BY dataset_id, t")
+@query(f"WITH b AS ({_BLOCKS}), psi AS ({_PSI}) SELECT dataset_id, t, round(-dataset_id / 1000.0 + sum(psi * log_lik), 6) AS log_target FROM b JOIN psi USING (dataset_id, block) GROUP BY dataset_id, t")
 def p7_subsampled_log_target(spark, d):
-    blocks = _block_lik(spark, d)
+    blocks = saved(_block_lik(spark, d), "blocks")
     prior = blocks.select("dataset_id").distinct().withColumn("log_prior", -F.col("dataset_id") / 1000.0)
-    return rounded(ladders.subsampled_log_target(blocks, _psi(spark), prior, ["dataset_id"]), "log_target")
+    return rounded(ladders.subsampled_log_target(blocks, _psi(blocks), prior, ["dataset_id"]), "log_target")
 
 
 @query(f"""WITH b AS ({_BLOCKS}), psi AS ({_PSI}) SELECT dataset_id, t, count(*) FILTER (psi = 1) AS n_full, coalesce(max(block) FILTER (psi > 0 AND psi < 1), -1) AS block, round(coalesce(max(psi) FILTER (psi > 0 AND psi < 1), 0), 6) AS psi
-  FROM b JOIN psi USING (block) GROUP BY dataset_id, t""")
+  FROM psi GROUP BY dataset_id, t""")
 def p3_classify_blocks(spark, d):
     """The states of each data set's blocks along the ladder (P1 and P3)."""
-    kinds = ladders.classify_blocks(_psi(spark)).drop("schedule_id")
-    return rounded(_block_lik(spark, d).select("dataset_id").distinct().crossJoin(F.broadcast(kinds)), "psi")
+    return rounded(ladders.classify_blocks(_psi(_block_lik(spark, d))), "psi")
 
 
 # Evidence
@@ -374,11 +407,12 @@ def e3_reverse_stepping_stone(spark, d):
     return rounded(evidence.reverse_stepping_stone(fixture(spark, d, "chain"), ladders.ladder_beta_open(spark, 7)), "log_z")
 
 
-@query(f"""WITH chain AS ({SQL['chain']}), c AS (SELECT * FROM chain WHERE iter BETWEEN 10 AND 49), steps AS (SELECT CAST(i AS INT) AS rung, pow((i + 1) / 6.0, 3.0) - pow(i / 6.0, 3.0) AS delta FROM range(6) r(i)),
+@query(f"""WITH chain AS ({SQL['chain']}), n AS (SELECT dataset_id, rung, count(*) AS n FROM chain GROUP BY ALL), m AS (SELECT dataset_id, rung, n - min(n) OVER (PARTITION BY dataset_id) AS lost FROM n),
+  c AS (SELECT chain.* FROM chain JOIN m USING (dataset_id, rung) WHERE iter >= lost), steps AS (SELECT CAST(i AS INT) AS rung, pow((i + 1) / 6.0, 3.0) - pow(i / 6.0, 3.0) AS delta FROM range(6) r(i)),
   u AS (SELECT dataset_id, c.rung, delta / 2 * log_lik AS x FROM c JOIN steps s ON c.rung = s.rung), v AS (SELECT dataset_id, s.rung, -delta / 2 * log_lik AS x FROM c JOIN steps s ON c.rung = s.rung + 1)
   SELECT dataset_id, round(sum(p.lse - q.lse), 6) AS log_z FROM {lse_sql('u', 'dataset_id, rung', 'x')} p JOIN {lse_sql('v', 'dataset_id, rung', 'x')} q USING (dataset_id, rung) GROUP BY dataset_id""")
 def e4_linked_importance_sampling(spark, d):
-    return rounded(evidence.linked_importance_sampling(fixture(spark, d, "chain").where("iter BETWEEN 10 AND 49"), ladders.ladder_beta(spark, 7)), "log_z")
+    return rounded(evidence.linked_importance_sampling(evidence.equal_rungs(fixture(spark, d, "chain")), ladders.ladder_beta(spark, 7)), "log_z")
 
 
 @query(f"WITH chain AS ({SQL['chain']}) SELECT dataset_id, round(lse - ln(n), 6) AS log_z FROM {lse_sql('chain', 'dataset_id', 'log_lik', more=', count(*) AS n')}")
@@ -507,9 +541,9 @@ def q6_weights_list(spark, d):
     return summaries.weights_list(counts, ["population_id"])
 
 
-@query()
+@query(f"{PART} SELECT population_id, bit_xor(('0x' || substr(md5(particle_id || '|' || state), 1, 15))::BIGINT) AS fingerprint, count(*) AS n FROM part GROUP BY population_id")
 def q7_population_fingerprint(spark, d):
-    return summaries.population_fingerprint(part(spark, d), "population_id", ["particle_id", "state", "log_lik"])
+    return summaries.population_fingerprint(part(spark, d), "population_id", ["particle_id", "state"])
 
 
 _PRE = {j: f"CASE WHEN bool_or(taxon = 'A' AND rank <= {j}) THEN string_agg(taxon, ',' ORDER BY taxon) FILTER (rank > {j}) ELSE string_agg(taxon, ',' ORDER BY taxon) FILTER (rank <= {j}) END" for j in (2, 3, 4)}
@@ -535,29 +569,41 @@ def k4_tree_log_prior(spark, d):
     return rounded(trees.tree_log_prior(trees.tree_edges(fixtures.trees(spark, d))), "log_prior")
 
 
-_TREE4 = (0.1, 0.2, 0.05, 0.15, 0.3)
+#: Pendant lengths of the caterpillar (((t0,t1),t2),...,t7), and those of its inner edges.
+_PENDANT, _INNER = (0.1, 0.2, 0.15, 0.3, 0.25, 0.05, 0.12, 0.18), (0.05, 0.1, 0.07, 0.02, 0.03, 0.04)
 _KAPPA = 2.0
+_TREE8 = f"(t0:{_PENDANT[0]},t1:{_PENDANT[1]})"
+for _i, _x in enumerate(_INNER):
+    _TREE8 = f"({_TREE8}:{_x},t{_i + 2}:{_PENDANT[_i + 2]})"
+_TREE8 += ";"
+
+
+def _change(t: float) -> dict[str, dict[str, float]]:
+    same, ts, tv = (float(x) for x in trees.k2p(np.float64(t), _KAPPA))
+    return {x: {y: same if x == y else ts if x + y in ("AG", "GA", "CT", "TC") else tv for y in "ACGT"} for x in "ACGT"}
+
 
+def _leaf(i: int, x: str) -> str:
+    return f"CASE c{i} " + " ".join(f"WHEN '{y}' THEN {p!r}::DOUBLE" for y, p in _change(_PENDANT[i])[x].items()) + " ELSE 1.0::DOUBLE END"
 
-def _p_values() -> str:
-    import numpy as np
 
-    rows = []
-    for name, t in zip("abcde", _TREE4):
-        same, ts, tv = (float(x) for x in trees.k2p(np.float64(t), _KAPPA))
-        rows += [f"('{name}', '{x}', '{y}', {(same if x == y else ts if x + y in ('AG', 'GA', 'CT', 'TC') else tv)!r}::DOUBLE)" for x in "ACGT" for y in "ACGT"]
-    return "(VALUES " + ", ".join(rows) + ") v(e, x, y, p)"
+def _pruned() -> str:
+    """Subqueries that add taxon after taxon to the likelihoods a_A to a_T of the growing tree's top."""
+    out = "v1 AS (SELECT *, " + ", ".join(f"({_leaf(0, x)}) * ({_leaf(1, x)}) AS a_{x}" for x in "ACGT") + " FROM n)"
+    for i, length in enumerate(_INNER):
+        up = _change(length)
+        rows = ", ".join(f"({' + '.join(f'{p!r}::DOUBLE * a_{y}' for y, p in up[x].items())}) * ({_leaf(i + 2, x)}) AS a_{x}" for x in "ACGT")
+        out += f", v{i + 2} AS (SELECT * REPLACE ({rows}) FROM v{i + 1})"
+    return out
 
 
-@query(f"""WITH aln AS ({SQL['aln']}), s AS (SELECT dataset_id, site, max(ch) FILTER (taxon = 't0') AS c0, max(ch) FILTER (taxon = 't1') AS c1, max(ch) FILTER (taxon = 't2') AS c2, max(ch) FILTER (taxon = 't3') AS c3 FROM aln GROUP BY ALL),
-  n AS (SELECT dataset_id, c0, c1, c2, c3, count(*) AS n FROM s GROUP BY ALL), p AS (SELECT * FROM {_p_values()})
-  SELECT dataset_id, dataset_id AS tree_id, round(sum(n * ln(l)), 6) AS log_lik FROM (SELECT n.dataset_id, n.n, c0, c1, c2, c3, sum(0.25 * d.p * e.p * c.p * a.p * b.p) AS l
-    FROM n JOIN p d ON d.e = 'd' AND d.y = c2 JOIN p e ON e.e = 'e' AND e.x = d.x AND e.y = c3 JOIN p c ON c.e = 'c' AND c.x = d.x JOIN p a ON a.e = 'a' AND a.x = c.y AND a.y = c0 JOIN p b ON b.e = 'b' AND b.x = c.y AND b.y = c1 GROUP BY ALL) GROUP BY dataset_id""")
+@query(f"""WITH aln AS ({SQL['aln']}), s AS (SELECT dataset_id, site, {', '.join(f"max(ch) FILTER (taxon = 't{i}') AS c{i}" for i in range(8))} FROM aln GROUP BY ALL),
+  n AS (SELECT dataset_id, {', '.join(f'c{i}' for i in range(8))}, count(*) AS n FROM s GROUP BY ALL), {_pruned()}
+  SELECT dataset_id, dataset_id AS tree_id, round(sum(n * ln(0.25 * (a_A + a_C + a_G + a_T))), 4) AS log_lik FROM v{len(_INNER) + 1} GROUP BY dataset_id""")
 def k5_tree_log_likelihood(spark, d):
-    sites = fixture(spark, d, "aln").where("taxon < 't4'")
-    a, b, c, x, y = _TREE4
-    some = sites.select("dataset_id").distinct().select("dataset_id", F.col("dataset_id").alias("tree_id"), F.lit(f"((t0:{a},t1:{b}):{c},t2:{x},t3:{y});").alias("newick"))
-    return rounded(trees.tree_log_likelihood(some, trees.site_patterns(sites), _KAPPA), "log_lik")
+    sites = fixture(spark, d, "aln")
+    some = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 8).cast("long").alias("dataset_id")).distinct().select("dataset_id", F.col("dataset_id").alias("tree_id"), F.lit(_TREE8).alias("newick"))
+    return trees.tree_log_likelihood(some, trees.site_patterns(sites), _KAPPA).withColumn("log_lik", F.round("log_lik", 4))
 
 
 @query(f"{CLADES} SELECT dataset_id, split, round(p, 6) AS p, round(mean_length, 6) AS mean_length FROM clades")
@@ -570,7 +616,7 @@ _HALVES = f"{TREES}, " + ", ".join(f"t{h} AS (SELECT dataset_id, sum(weight) / 3
 
 @query(f"{_HALVES} SELECT coalesce(a.dataset_id, b.dataset_id) AS dataset_id, round(sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))), 6) AS distance FROM c0 a FULL JOIN c1 b ON a.dataset_id = b.dataset_id AND a.split = b.split GROUP BY 1")
 def q9_clade_distance(spark, d):
-    splits, weights = _splits(spark, d), _weights(spark, d)
+    splits, weights = saved(_splits(spark, d), "splits"), _weights(spark, d)
     p, q = (trees.clade_posterior(splits, weights.where(F.col("tree_id") % 2 == h), ["dataset_id"]) for h in (0, 1))
     return rounded(trees.clade_distance(p, q, ["dataset_id"]), "distance")
 
@@ -590,7 +636,7 @@ def q10_consensus_newick(spark, d):
   SELECT coalesce(a.tree_id, b.tree_id) AS tree_id, count(*) FILTER (a.length IS NULL OR b.length IS NULL) AS partition, round(count(*) FILTER (a.length IS NULL OR b.length IS NULL) / (count(a.length) + count(b.length)), 6) AS rate,
     round(sum(abs(coalesce(a.length, 0) - coalesce(b.length, 0))), 6) AS branch_l1, round(sqrt(sum(pow(coalesce(a.length, 0) - coalesce(b.length, 0), 2))), 6) AS branch_l2 FROM a FULL JOIN b ON a.tree_id = b.tree_id AND a.split = b.split GROUP BY 1""")
 def q11_tree_distance(spark, d):
-    splits, weights = _splits(spark, d), _weights(spark, d)
+    splits, weights = saved(_splits(spark, d), "splits"), _weights(spark, d)
     gold = weights.groupBy("dataset_id").agg(F.min("tree_id").alias("g"))
     theirs = weights.join(gold, "dataset_id").select("tree_id", "g").join(splits.withColumnRenamed("tree_id", "g"), "g").drop("g")
     return rounded(trees.tree_distance(splits, theirs, ["tree_id"]), "rate", "branch_l1", "branch_l2")
@@ -704,3 +750,68 @@ def s5_read_schedule(spark, d):
     n = rows.count()
     rows.repartitionByRange(n, "schedule_id").select("value").write.option("maxRecordsPerFile", 1).text(path)  # a file each
     return rounded(io.read_schedule(spark, path).groupBy("t").agg(F.count("*").alias("n"), F.sum("d_beta").alias("total")), "total")
+
+
+@query(f"{TREES}, r AS (SELECT tree_id, row_number() OVER (PARTITION BY list_id ORDER BY tree_id) - 1 AS i, count(*) OVER (PARTITION BY list_id) AS n FROM (SELECT DISTINCT list_id, tree_id FROM ranks)) SELECT split, count(*) AS n, round(sum(length), 3) AS length FROM splits JOIN r USING (tree_id) WHERE i >= floor(r.n * 0.25) GROUP BY split")
+def s2_read_tree_samples(spark, d):
+    """A posterior sample a list, its taxa coded by a translate block, without the burn-in."""
+    path = new_path(spark, "samples")
+    coded = fixtures.trees(spark, d).select("list_id", F.col("tree_id").alias("i"), F.concat(F.lit("   tree rep."), "tree_id", F.lit(" = [&U] "), F.translate("newick", "ABCDEF", "123456")).alias("value"))
+    head = ["#NEXUS", "begin trees;", " translate", *(f"  {k + 1} {x}{',' if k < 5 else ';'}" for k, x in enumerate("ABCDEF"))]
+    lists = coded.select("list_id").distinct()
+    top = lists.select("list_id", F.posexplode(F.array(*[F.lit(x) for x in head])).alias("i", "value")).withColumn("i", F.col("i").cast("long") - len(head))
+    rows = coded.withColumn("i", F.col("i").cast("long")).unionByName(top).repartition("list_id").sortWithinPartitions("list_id", "i")
+    rows.select("list_id", "value").write.partitionBy("list_id").text(path)
+    read = io.read_tree_samples(spark, path).select(F.xxhash64("file", "line").alias("tree_id"), "newick")
+    return trees.tree_splits(read).groupBy("split").agg(F.count("*").alias("n"), F.round(F.sum("length"), 3).alias("length"))
+
+
+_RUNGS = "SELECT user_id AS population_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INT) AS t, value AS ess, value / 2000 AS d_beta, value / 1000 AS beta FROM events"
+
+
+def _rungs(spark, d):
+    spark.read.parquet(f"{d}/events.parquet").createOrReplaceTempView("events")
+    return spark.sql(_RUNGS)
+
+
+@query(f"WITH r AS ({_RUNGS}) SELECT population_id, t, round(ess, 6) AS ess, round(d_beta, 6) AS d_beta, round(beta, 6) AS beta FROM r")
+def s8_write_annealing_trace(spark, d):
+    path = new_path(spark, "annealing-trace")
+    io.write_annealing_trace(_rungs(spark, d), path)
+    read = spark.read.schema("population_id bigint, t int, ESS double, tempDiff double, temp double").option("header", True).csv(path)
+    return rounded(read.toDF("population_id", "t", "ess", "d_beta", "beta"), "ess", "d_beta", "beta")
+
+
+@query(f"WITH r AS ({_RUNGS}) SELECT t AS iteration, count(*) AS n, round(sum(beta), 6) AS total FROM r GROUP BY t")
+def s9_write_temperatures(spark, d):
+    path = new_path(spark, "temperatures")
+    io.write_temperatures(_rungs(spark, d), path)
+    read = spark.read.schema("iteration int, temperature double").option("header", True).csv(path)
+    return rounded(read.groupBy("iteration").agg(F.count("*").alias("n"), F.sum("temperature").alias("total")), "total")
+
+
+@query("SELECT concat('order', o_orderkey) AS statistic, round(o_totalprice, 6) AS approximation, CASE WHEN o_orderkey % 3 = 0 THEN 'NA' ELSE CAST(o_custkey AS VARCHAR) END AS truth FROM orders")
+def s10_write_evaluation(spark, d):
+    path = new_path(spark, "evaluation")
+    orders = spark.read.parquet(f"{d}/orders.parquet")
+    io.write_evaluation(orders.select(F.concat(F.lit("order"), "o_orderkey").alias("statistic"), F.col("o_totalprice").alias("approximation"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_custkey")).alias("truth")), path)
+    return rounded(spark.read.schema("statistic string, approximation double, truth string").option("header", True).csv(path), "approximation")
+
+
+@query(f"{CLADES} SELECT split, count(*) AS n FROM clades WHERE p > 0.5 GROUP BY split")
+def s11_write_consensus(spark, d):
+    """Consensus trees written, read as a tree list and taken apart."""
+    path = new_path(spark, "consensus")
+    io.write_consensus(q10_consensus_newick(spark, d), path)
+    read = io.read_tree_list(spark, path).select(F.xxhash64("file", "line").alias("tree_id"), "newick")
+    return trees.tree_splits(read).groupBy("split").agg(F.count("*").alias("n"))
+
+
+@query("SELECT round(-o_totalprice, 6) AS log_z, count(*) AS n FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1")
+def s12_read_logz_report(spark, d):
+    """Reports of a program, in which only some lines have a run's mean."""
+    path = new_path(spark, "reports")
+    z = (-F.col("o_totalprice")).cast("decimal(18,2)").cast("string")
+    line = F.when(F.col("o_orderkey") % 2 == 1, F.concat(F.lit("   1   "), z, F.lit("   "), z)).otherwise(F.concat(F.lit("   all   "), z))
+    spark.read.parquet(f"{d}/orders.parquet").select(line).write.text(path)
+    return io.read_logz_report(spark, path).groupBy(F.round("log_z", 6).alias("log_z")).agg(F.count("*").alias("n"))

@@ -13,15 +13,15 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from annealjobs.functions.keyed import uniform
 from annealjobs.functions.logspace import log_sum_exp, neg_inf
-from annealjobs.functions.scratch import cut
-from annealjobs.operators.adaptive import next_temperature
+from annealjobs.functions.scratch import cut, new_path
+from annealjobs.operators.adaptive import next_temperature, or_default
 from annealjobs.operators.hmm import Params
-from annealjobs.operators.resample import draw_counts
+from annealjobs.operators.resample import draw_counts, running_totals
 
 
 class Kernel(Protocol):
@@ -109,23 +109,31 @@ _STATE = "population_id long, particle_id long, state array<int>, data array<int
 def annealed_smc(populations: DataFrame, kernel: HmmKernel, n: int = 1000, alpha: float = 0.999, ess: float = 0.5, strategy: str = "ess", steps: list[float] | None = None, seed: int = 1, most_generations: int = 10_000) -> tuple[DataFrame, DataFrame]:
     """Weighted particles at temperature 1, and (population_id, log_z), of populations (population_id, data array<int>).
 
-    steps: a fixed ladder's temperatures after 0, else each population's step is solved for CESS = alpha.
-    strategy: always, never (annealed importance sampling) or ess (below ess * n). Nothing is resampled
-    on a population's last step. Results do not depend on partitioning.
+    steps: a fixed ladder's temperatures after 0, the last of them 1; else each population's step is solved
+    for CESS = alpha, or is 1 / most_generations where no step solves it. strategy: always, never (annealed
+    importance sampling) or ess (below ess * n). Nothing is resampled on a population's last step. Results
+    do not depend on partitioning. Populations that are not done after most_generations are an error.
     """
+    if steps is not None and (not steps or steps[-1] < 1):
+        raise ValueError("the last of the steps must be 1")
 
     def draw(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             states, lls = kernel.initial(b["data"].tolist(), _uniforms(b, seed, 0, 1))
             yield pd.DataFrame({"population_id": b.population_id, "particle_id": b.particle_id, "state": states, "data": b["data"], "log_lik": lls, "w": 1.0 / n, "beta": 0.0, "log_z": 0.0})
 
+    spark = populations.sparkSession
     slots = populations.select(F.col("population_id").cast("long").alias("population_id"), F.col("data").cast("array<int>").alias("data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("particle_id"))
-    live, done = cut(slots.mapInPandas(draw, _STATE)), None
-    for t in range(1, most_generations + 1):
+    live, path, t = cut(slots.mapInPandas(draw, _STATE)), new_path(spark, "done"), 0
+    live.where("beta >= 1").write.parquet(path)
+    while not live.isEmpty():
+        t += 1
+        if t > min(most_generations, len(steps or []) or most_generations):
+            raise RuntimeError(f"populations are under temperature 1 after {t - 1} generations")
         if steps is not None:
-            delta = live.groupBy("population_id").agg((F.least(F.lit(1.0), F.lit(steps[t - 1])) - F.max("beta")).alias("delta"), F.lit(0).alias("_x")).drop("_x")
+            delta = live.groupBy("population_id").agg((F.least(F.lit(1.0), F.lit(float(steps[t - 1]))) - F.max("beta")).alias("delta"))
         else:
-            delta = next_temperature(live, "population_id", "beta", alpha)
+            delta = or_default(next_temperature(live, "population_id", "beta", alpha), most_generations)
         weighed = live.join(delta, "population_id").withColumn("_lw", F.when(F.col("w") > 0, F.ln("w")).otherwise(neg_inf()) + F.col("delta") * F.col("log_lik"))
         total = log_sum_exp(weighed, "population_id", "_lw", "_lse")
         weighed = weighed.join(total, "population_id").withColumn("w", F.exp(F.col("_lw") - F.col("_lse"))).withColumn("log_z", F.col("log_z") + F.col("_lse"))
@@ -135,8 +143,10 @@ def annealed_smc(populations: DataFrame, kernel: HmmKernel, n: int = 1000, alpha
         again = {"always": F.lit(True), "never": F.lit(False), "ess": F.col("_e") < ess * n}[strategy]
         fallen = sizes.where((F.col("_b") < 1) & again).select("population_id")
         counts = draw_counts(weighed.join(fallen, "population_id", "left_semi"), "population_id", seed * 7919 + t)
-        copies = weighed.drop("w").join(counts, ["population_id", "particle_id"]).withColumn("_c", F.explode(F.sequence(F.lit(1).cast("long"), F.col("count"))))
-        copies = copies.withColumn("particle_id", (F.row_number().over(Window.partitionBy("population_id").orderBy("particle_id", "_c")) - 1).cast("long")).withColumn("w", F.lit(1.0 / n))
+        # copies of a particle are numbered after those of all particles before it
+        places = running_totals(counts, "population_id", "particle_id", "count").select("population_id", "particle_id", "count", "_before")
+        copies = weighed.drop("w").join(places, ["population_id", "particle_id"]).withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1)))
+        copies = copies.withColumn("particle_id", F.col("_before") + F.col("_c")).withColumn("w", F.lit(1.0 / n))
         kept = weighed.join(fallen, "population_id", "left_anti")
         mixed = kept.unionByName(copies.select(kept.columns))
 
@@ -146,11 +156,9 @@ def annealed_smc(populations: DataFrame, kernel: HmmKernel, n: int = 1000, alpha
                 yield b.assign(state=states, log_lik=lls)
 
         moved = cut(mixed.select("population_id", "particle_id", "state", "data", "log_lik", "w", "beta", "log_z").mapInPandas(move, _STATE))
-        finished = moved.where("beta >= 1")
-        done = finished if done is None else done.unionByName(finished)
+        moved.where("beta >= 1").write.mode("append").parquet(path)
         live = moved.where("beta < 1")
-        if live.isEmpty():
-            break
+    done = spark.read.schema(_STATE).parquet(path)
     return done, done.groupBy("population_id").agg(F.max("log_z").alias("log_z"))
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 SQL = {
     "part": """SELECT user_id AS population_id, event_id AS particle_id, event_type AS state, -value / 10 AS log_lik,
@@ -13,11 +14,10 @@ SQL = {
     "seq": """SELECT seq_id, pos, obs FROM (
   SELECT user_id AS seq_id, CAST(ROW_NUMBER() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS INT) AS pos,
     CAST((CASE event_type WHEN 'view' THEN 0 WHEN 'click' THEN 1 WHEN 'purchase' THEN 2 WHEN 'signup' THEN 3 ELSE 4 END) % 3 AS INT) AS obs
-  FROM events) q WHERE pos < 20""",
-    "aln": """SELECT d.dataset_id, d.taxon, CAST(r.site AS INT) AS site, SUBSTR('ACGT', CAST(ASCII(SUBSTR(d.text, CAST(r.site + 1 AS INT), 1)) % 4 + 1 AS INT), 1) AS ch
-FROM (SELECT CAST(FLOOR(doc_id / 8) AS BIGINT) AS dataset_id, CONCAT('t', CAST(doc_id % 8 AS STRING)) AS taxon, text,
-        COUNT(*) OVER (PARTITION BY CAST(FLOOR(doc_id / 8) AS BIGINT)) AS n FROM documents WHERE LENGTH(text) >= 120) d
-CROSS JOIN range(120) AS r(site) WHERE d.n = 8""",
+  FROM events) q""",
+    # eight documents are a data set's taxa, and every character of a text is a site; the list's function goes by engine
+    "aln": """SELECT dataset_id, taxon, CAST(site AS INT) AS site, SUBSTR('ACGT', CAST(ASCII(c) % 4 + 1 AS INT), 1) AS ch
+FROM (SELECT CAST(FLOOR(doc_id / 8) AS BIGINT) AS dataset_id, CONCAT('t', CAST(doc_id % 8 AS STRING)) AS taxon, UNNEST(RANGE(0, LENGTH(text))) AS site, UNNEST(STRING_SPLIT(text, '')) AS c FROM documents) d""",
     "tree_ranks": """SELECT o.o_orderkey AS tree_id, o.o_custkey % 10 AS dataset_id, o.o_orderpriority AS list_id, o.o_totalprice AS weight, x.taxon,
   CAST(ROW_NUMBER() OVER (PARTITION BY o.o_orderkey ORDER BY MD5(CONCAT(CAST((o.o_orderkey * o.o_orderkey + o.o_custkey) % 7 AS STRING), '|', x.taxon))) AS INT) AS rank
 FROM orders o CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F')) AS x(taxon)""",
@@ -33,6 +33,9 @@ NEWICK = "CONCAT('((((', t1, ':', p1, ',', t2, ':', p2, '):', q2, ',', t3, ':',
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in _TABLES[name]:
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    if name == "aln":  # a character by explode: cutting it out of a long text by place would be quadratic
+        chars = spark.table("documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("dataset_id"), F.concat(F.lit("t"), (F.col("doc_id") % 8).cast("string")).alias("taxon"), F.posexplode(F.split("text", "")).alias("site", "c"))
+        return chars.where("c != ''").select("dataset_id", "taxon", "site", F.substring(F.lit("ACGT"), F.ascii("c") % 4 + 1, F.lit(1)).alias("ch"))
     return spark.sql(SQL[name])
 
 

@@ -8,10 +8,24 @@ from pyspark.sql import functions as F
 SCORES = "Method string, Adaptive string, AdaptiveType string, T string, IterScale double, Repeat int, Metric string, Value double, TreeName string, Time bigint"
 
 
+def _numbered(lines: DataFrame, out: str) -> DataFrame:
+    """Lines of _lines with their number in the file: blocks of a file are counted apart, so that no task orders a file."""
+    blocks = lines.groupBy("file", "_block").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy("file").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select("file", "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = F.row_number().over(Window.partitionBy("file", "_block").orderBy("_row")) - 1
+    return lines.withColumn("_i", within).join(base, ["file", "_block"]).withColumn(out, F.col("_base") + F.col("_i")).drop("_i", "_base")
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line, value, and the line's block and row) of text files of any length, split by Spark."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
+    return _numbered(raw, "line")
+
+
 def read_tree_list(spark: SparkSession, path: str) -> DataFrame:
     """(file, line, newick): one tree a line, blank lines skipped."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "newick"))
-    return lines.where(F.length(F.trim("newick")) > 0)
+    return _lines(spark, path).where(F.length(F.trim("value")) > 0).select("file", "line", F.col("value").alias("newick"))
 
 
 def read_tree_samples(spark: SparkSession, path: str, burnin: float = 0.25, strict_reference: bool = False) -> DataFrame:
@@ -19,17 +33,16 @@ def read_tree_samples(spark: SparkSession, path: str, burnin: float = 0.25, stri
 
     strict_reference: lines starting `tree rep` are never dropped, and the cut-off counts all lines.
     """
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
+    lines = _lines(spark, path)
     is_tree = F.col("value").rlike(r"^\s*tree (rep|gen)")
     names = lines.where(~is_tree & F.col("value").rlike(r"^\s*\d+\s+.*[,;]\s*$")).select("file", F.regexp_extract("value", r"^\s*(\d+)\s+(.*?)\s*[,;]\s*$", 1).alias("code"), F.regexp_extract("value", r"^\s*(\d+)\s+(.*?)\s*[,;]\s*$", 2).alias("name"))
     names = names.groupBy("file").agg(F.map_from_entries(F.collect_list(F.struct("code", "name"))).alias("names"))
     sizes = lines.groupBy("file").agg(F.count("*").alias("_all"), F.count_if(is_tree).alias("_trees"))
-    place = F.row_number().over(Window.partitionBy("file").orderBy("line")) - 1
-    trees = lines.where(is_tree).withColumn("_i", place).join(sizes, "file")
+    trees = _numbered(lines.where(is_tree), "_place").join(sizes, "file")
     if strict_reference:
-        trees = trees.where(F.col("value").rlike(r"^\s*tree rep") | (F.col("_i") > F.col("_all") * burnin))
+        trees = trees.where(F.col("value").rlike(r"^\s*tree rep") | (F.col("_place") > F.col("_all") * burnin))
     else:
-        trees = trees.where(F.col("_i") >= F.floor(F.col("_trees") * burnin))
+        trees = trees.where(F.col("_place") >= F.floor(F.col("_trees") * burnin))
     body = F.regexp_replace(F.substring_index("value", "= ", -1), r"^\[&[UR]\]\s*", "")
     parts = F.regexp_extract_all(body, F.lit(r"[(),;]|:[^(),:;]*|[^(),:;]+"), F.lit(0))  # a code stands after a bracket or comma
     named = F.array_join(F.transform(parts, lambda p: F.coalesce(F.try_element_at("names", p), p)), "")

@@ -40,6 +40,23 @@ def test_long_sequences_do_not_underflow(spark):
     assert -5000 < hmm.hmm_log_evidence(seqs, hmm.TWO).first().log_z < -1000
 
 
+@pytest.mark.parametrize("chunk", [1, 3, 4096])
+def test_chunks_of_a_sequence_give_the_same(spark, chunk):
+    r = random.Random(2)
+    rows = [(i, p, r.randrange(3)) for i, n in enumerate((1, 2, 3, 50, 7)) for p in range(n)]
+    seqs = spark.createDataFrame(rows, "seq_id long, pos int, obs int").repartition(3)
+    z = {x.seq_id: x.log_z for x in hmm.hmm_log_evidence(seqs, hmm.THREE, chunk).collect()}
+    marginal = {(x.seq_id, x.state): x.p for x in hmm.hmm_marginal(seqs, hmm.THREE, 0, chunk).collect()}
+    t, e = np.array(hmm.THREE.trans), np.array(hmm.THREE.emit)
+    for i in range(5):
+        obs = [o for j, _, o in rows if j == i]
+        back = np.ones(3)
+        for o in reversed(obs[1:]):
+            back = t @ (e[:, o] * back)
+        joint = np.array(hmm.THREE.init) * e[:, obs[0]] * back
+        assert z[i] == pytest.approx(math.log(joint.sum())) and [marginal[i, s] for s in range(3)] == pytest.approx((joint / joint.sum()).tolist())
+
+
 def test_log_sum_exp_edges(spark):
     inf = float("-inf")
     rows = [(1, 0.0), (1, 1.0), (2, inf), (2, inf), (3, -1e6), (3, -1e6), (4, None), (None, 2.0), (5, inf), (5, 3.0)]
@@ -87,6 +104,8 @@ def test_draws_do_not_depend_on_partitions(spark):
     assert one == two and sum(x[2] for x in one) == 1200
     chunks = resample.cumulative_intervals(particles(spark), "population_id", "particle_id", chunk=16).agg(F.max("hi"), F.sum(F.col("hi") - F.col("lo"))).first()
     assert chunks[0] == pytest.approx(1) and chunks[1] == pytest.approx(3)
+    fixed = resample.draw_counts(particles(spark), "population_id", 3, n=100_000).groupBy("population_id").agg(F.sum("count").alias("n")).collect()
+    assert [r.n for r in fixed] == [100_000] * 3  # two chunks of draws each
     with pytest.raises(Exception, match="all weights are zero"):
         resample.weighted_draw(particles(spark).withColumn("w", F.lit(0.0)), "population_id", 1).collect()
     one_heavy = particles(spark).withColumn("w", (F.col("particle_id") == 7).cast("double"))
@@ -125,6 +144,17 @@ def test_smc_meets_the_exact_evidence(spark):
     assert {r.population_id: r.log_z for r in again.collect()} == pytest.approx({r.population_id: r.log_z for r in same.collect()}, rel=1e-12)
 
 
+def test_unfinished_populations_are_an_error(spark):
+    data = spark.createDataFrame([(0, [0, 1, 0])], "population_id long, data array<int>")
+    with pytest.raises(ValueError, match="must be 1"):
+        sampler.annealed_smc(data, sampler.HmmKernel(hmm.TWO), n=5, steps=[0.2, 0.6])
+    with pytest.raises(RuntimeError, match="under temperature 1"):
+        sampler.annealed_smc(data, sampler.HmmKernel(hmm.TWO), n=20, alpha=0.999, most_generations=2)
+    done, z = sampler.annealed_smc(data, sampler.HmmKernel(hmm.TWO), n=50, alpha=0.5)
+    assert done.count() == 50 and done.select("particle_id").distinct().count() == 50 and z.first().log_z == pytest.approx(-1.78, abs=0.5)
+    assert not sampler.annealed_smc(data.limit(0), sampler.HmmKernel(hmm.TWO), n=5)[0].count()
+
+
 def test_newick():
     edges = trees.newick_edges("((A:1,B:2)x:3,(C:4,'D d':5):6,E:7);")
     assert sorted((c, x) for _, c, x, _ in edges if not c.startswith("internal")) == [("'Dd'", 5.0), ("A", 1.0), ("B", 2.0), ("C", 4.0), ("E", 7.0)]
@@ -134,11 +164,21 @@ def test_newick():
     assert rooted["C,D"] == 9  # both edges at the root
 
 
-def test_drawn_trees_are_binary(spark):
-    edges = trees.draw_prior_trees(spark, 20, list("ABCDE"))
-    assert edges.groupBy("tree_id").count().where("count != 7").count() == 0
-    again = trees.draw_prior_trees(spark, 20, list("ABCDE")).repartition(3)
-    assert edges.exceptAll(again).count() == 0
+def test_consensus_text(spark):
+    splits = spark.createDataFrame([(1, "C,D", 0.25), (1, "C,D,E", 0.5), (2, "B,C", 1.0)], "k long, split string, mean_length double")
+    taxa = spark.createDataFrame([(k, t) for k, n in ((1, "ABCDE"), (2, "ABC"), (3, "AB")) for t in n], "k long, taxon string")
+    got = {r.k: r.newick for r in trees.consensus_newick(splits, taxa, "k").collect()}
+    assert got == {1: "(A,B,((C,D):0.250000,E):0.500000);", 2: "(A,(B,C):1.000000);", 3: "(A,B);"}
+
+
+def test_sites_that_taxa_lack(spark):
+    """A taxon without a character says nothing: as if it were not in the tree."""
+    sites = spark.createDataFrame([(1, t, i, c) for t, s in (("a", "ACGT"), ("b", "ACGA"), ("c", "AC")) for i, c in enumerate(s)], "dataset_id long, taxon string, site int, ch string")
+    tree = lambda newick: spark.createDataFrame([(1, 1, newick)], "dataset_id long, tree_id long, newick string")
+    whole = trees.tree_log_likelihood(tree("((a:0.1,b:0.2):0.3,c:0.4);"), trees.site_patterns(sites)).first().log_lik
+    three = trees.tree_log_likelihood(tree("((a:0.1,b:0.2):0.3,c:0.4);"), trees.site_patterns(sites.where("site < 2"))).first().log_lik
+    two = trees.tree_log_likelihood(tree("(a:0.1,b:0.2);"), trees.site_patterns(sites.where("site >= 2 AND taxon != 'c'"))).first().log_lik
+    assert whole == pytest.approx(three + two)
 
 
 def test_files(spark, tmp_path):
@@ -146,6 +186,11 @@ def test_files(spark, tmp_path):
     rows = io.read_tree_samples(spark, str(tmp_path / "a.t")).orderBy("line").collect()
     assert len(rows) == 6 and rows[0].newick == "(Ape:0.2,Bee:0.2,Cat:0.3);"
     assert io.read_tree_samples(spark, str(tmp_path / "a.t"), strict_reference=True).count() == 8
+    (tmp_path / "many.t").write_text("".join(f"(A,B,t{i});\n\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8000")  # blocks of one file in many tasks
+    many = io.read_tree_list(spark, str(tmp_path / "many.t")).collect()
+    spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert {r.line: r.newick for r in many} == {2 * i: f"(A,B,t{i});" for i in range(5000)}
     (tmp_path / "l.txt").write_text("treeName,Method,NumericalLogZ,logZ\na,SMC,NA,-1.5\nb,MCMC,-2\nc,SS,3,-4\n")
     assert [tuple(r) for r in io.read_logz(spark, str(tmp_path / "l.txt")).collect()] == [("a", "SMC", None, -1.5), ("b", "MCMC", None, -2.0), ("c", "SS", 3.0, -4.0)]
     (tmp_path / "s.txt").write_text("0.1 0.2\n 0.7\n")
@@ -163,6 +208,9 @@ def test_linked_sampling_needs_equal_rungs(spark):
     trace = spark.createDataFrame([(1, r, i, -1.0) for r in range(3) for i in range(5 + r)], "dataset_id long, rung int, iter long, log_lik double")
     with pytest.raises(Exception, match="unequal"):
         evidence.linked_importance_sampling(trace, ladders.ladder_even(spark, 3)).collect()
+    equal = evidence.equal_rungs(trace)
+    assert {tuple(r) for r in equal.groupBy("rung").agg(F.count("*"), F.min("iter")).collect()} == {(0, 5, 0), (1, 5, 1), (2, 5, 2)}
+    assert evidence.linked_importance_sampling(equal, ladders.ladder_even(spark, 3)).first().log_z == pytest.approx(-1.0)
 
 
 def test_prior_paths(spark):
