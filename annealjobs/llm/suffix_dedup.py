@@ -3,11 +3,19 @@
 A rolling hash picks triggers: the smallest of the trigger-width windows inside each `length`-byte string.
 Strings with the same trigger, taken together, are one phrase, so phrases overlap, no phrase is a proper
 prefix of what another cut of the same bytes would give, and equal bytes give equal phrases wherever
-they stand. The parse is a table (trigger, phrase, document, place). Where a whole phrase stands in an
-earlier document, the parse's order alone (trigger, phrase, document) answers for all strings in it. Only
-triggers with several different phrases need more: the suffixes of those phrases, the dictionary, are
-sorted per trigger, and equal neighbours of `length` bytes are matched. Both orders together are the
-corpus order of all suffixes cut at `length` bytes, but copies cost one phrase, not one suffix each.
+they stand. The parse is a table (trigger, phrase, document, place). A string never leaves its phrase, so
+the parse's suffixes need ordering by their first phrase only: where a whole phrase stands in an earlier
+document, that order (trigger, phrase, document) answers for all strings in it. Only triggers with several
+different phrases need more: the suffixes of those phrases, the dictionary, are sorted per trigger, and
+equal neighbours of `length` bytes are matched. Both orders together are the corpus order of all suffixes
+cut at `length` bytes, but copies cost one phrase, not one suffix each.
+
+Frequent triggers and phrases are found first, all of them, and their rows are dealt out further: phrases
+of a frequent trigger by the phrase, rows of a frequent phrase by the document. Triggers with more phrases
+than one task sorts have their suffixes grouped by Spark instead.
+
+Phrases are taken as equal where the 64-bit hashes of both trigger and phrase are: among 10^14 phrases two
+different ones agree in those 128 bits with a chance under 10^-10.
 """
 
 from __future__ import annotations
@@ -27,6 +35,10 @@ _UNDO = pow(_STEP, -1, 1 << 64)
 _PLACES = 20  # bits of a place within a piece; pieces are shorter than 2**20 bytes
 _PIECE = 1 << 19
 _WHOLE = -1
+#: Rows of a trigger in the parse that one task sorts; what has more is grouped by Spark.
+MOST_ROWS = 20_000
+#: A trigger or phrase is frequent with this share of the parse's rows, and this many rows: at most 4,000 of each are named.
+FREQUENT, LEAST_FREQUENT, SALTS = 1 / 2000, 10_000, 256
 
 
 def _byte_values(seed: int) -> np.ndarray:
@@ -79,47 +91,89 @@ def parse(data: np.ndarray, ends: np.ndarray, powers: _Powers, length: int = LEN
     edges = np.flatnonzero(cut)
     lo, hi = edges[:-1], edges[1:]
     lo, hi = lo[valid[lo]], hi[valid[lo]]
-    phrase = (sums[hi - 1 + length] - sums[lo]) * powers.down[lo]
+    phrase = (sums[hi - 1 + length] - sums[lo]) * powers.down[lo] + (hi - lo).astype(np.uint64) * np.uint64(_UNDO)
     return h[trigger[lo]], _mixed(phrase), text[lo], lo, hi - lo
 
 
-_PARSE = "trigger long, phrase long, doc_id long, place long"
-
-
-def phrases(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
-    """_PARSE of every row of docs; place is first start * 64 + number of starts.
+def _parsed(b: pa.RecordBatch, powers: _Powers, length: int, width: int, piece: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """trigger, phrase, doc_id and place (first start * 64 + number of starts) of the phrases of a batch (doc_id, text).
 
     Of equal texts in one batch only the smallest doc_id is parsed; the others give one row with place -1.
     """
+    first: dict[bytes, int] = {}
+    copies: list[int] = []
+    for doc_id, text in sorted(zip(b.column(0).to_pylist(), utf8(b.column(1)))):
+        if len(text) >= length and first.setdefault(text, doc_id) < doc_id:
+            copies.append(doc_id)
+    pieces: list[tuple[int, int, bytes]] = [(d, at, t[at : at + piece // 2 + length - 1]) for t, d in first.items() for at in range(0, len(t) - length + 1, piece // 2)]
+    while pieces:
+        some, size = [], 0
+        while pieces and (not some or size + len(pieces[-1][2]) <= piece):
+            some.append(pieces.pop())
+            size += len(some[-1][2])
+        data = np.frombuffer(b"".join(p[2] for p in some), np.uint8)
+        ends = np.cumsum([len(p[2]) for p in some])
+        trigger, phrase, text, lo, n = parse(data, ends, powers, length, width)
+        ids, base = np.array([p[0] for p in some], np.int64)[text], (np.array([p[1] for p in some]) - ends + [len(p[2]) for p in some])[text]
+        yield trigger, phrase, ids, (base + lo) << 6 | n
+    if copies:
+        own = np.array(copies, np.int64)
+        yield _mixed(own.view(np.uint64)), own.view(np.uint64), own, np.full(len(own), _WHOLE)
+
+
+def _texts(docs: DataFrame) -> DataFrame:
     small_batches(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def frequent(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> tuple[np.ndarray, np.ndarray]:
+    """Triggers, and hashes of (trigger, phrase), with at least the share FREQUENT of all rows of the parse.
+
+    Batches name what has half that share of them. What has the share over all is named for at least half of its
+    rows, so nothing is missed, and asking for so many named rows bounds the number of what is found.
+    """
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        powers = _Powers(_PIECE + 2 * length)
+        for b in batches:
+            parts = list(_parsed(b, powers, length, width, _PIECE))
+            if not parts:
+                continue
+            trigger, phrase = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+            least = max(1, len(trigger) * FREQUENT / 2)
+            kind, key, n = [2], [0], [len(trigger)]
+            for k, keys in enumerate((trigger, _mixed(trigger ^ phrase))):
+                found, count = np.unique(keys, return_counts=True)
+                kind += [k] * int((count >= least).sum())
+                key += found[count >= least].view(np.int64).tolist()
+                n += count[count >= least].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"])
+
+    named = saved(_texts(docs).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "frequent")
+    rows = named.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    found = named.where((F.col("kind") < 2) & (F.col("n") >= max(LEAST_FREQUENT, rows * FREQUENT / 2))).collect()
+    return tuple(np.array(sorted(r.key for r in found if r.kind == k), np.int64).view(np.uint64) for k in (0, 1))
+
+
+_PARSE = "part long, trigger long, phrase long, doc_id long, place long, frequent int"
+
+
+def phrases(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
+    """_PARSE of every row of docs. Rows of a part are to meet: those of a trigger, of a frequent trigger's phrase (frequent = 1), or of a document's salt of a frequent phrase (2)."""
+    triggers, pairs = frequent(docs, length, width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers(_PIECE + 2 * length)
         for b in batches:
-            first: dict[bytes, int] = {}
-            copies: list[int] = []
-            for doc_id, text in sorted(zip(b.column(0).to_pylist(), utf8(b.column(1)))):
-                if len(text) < length:
-                    continue
-                if first.setdefault(text, doc_id) < doc_id:
-                    copies.append(doc_id)
-            pieces: list[tuple[int, int, bytes]] = [(d, at, t[at : at + _PIECE // 2 + length - 1]) for t, d in first.items() for at in range(0, len(t) - length + 1, _PIECE // 2)]
-            while pieces:
-                some, size = [], 0
-                while pieces and (not some or size + len(pieces[-1][2]) <= _PIECE):
-                    some.append(pieces.pop())
-                    size += len(some[-1][2])
-                data = np.frombuffer(b"".join(p[2] for p in some), np.uint8)
-                ends = np.cumsum([len(p[2]) for p in some])
-                trigger, phrase, text, lo, n = parse(data, ends, powers, length, width)
-                ids, base = np.array([p[0] for p in some])[text], (np.array([p[1] for p in some]) - ends + [len(p[2]) for p in some])[text]
-                yield pa.RecordBatch.from_arrays([pa.array(trigger.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(ids, pa.int64()), pa.array((base + lo) << 6 | n)], ["trigger", "phrase", "doc_id", "place"])
-            if copies:
-                own = np.array(copies, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(_mixed(own.view(np.uint64)).view(np.int64)), pa.array(own), pa.array(own), pa.array(np.full(len(own), _WHOLE))], ["trigger", "phrase", "doc_id", "place"])
-
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
-    return rows.mapInArrow(run, _PARSE)
+            for trigger, phrase, ids, place in _parsed(b, powers, length, width, _PIECE):
+                pair = _mixed(trigger ^ phrase)
+                kind = np.where(np.isin(pair, pairs), 2, np.where(np.isin(trigger, triggers), 1, 0))
+                salt = ids.view(np.uint64) % np.uint64(SALTS)
+                part = np.where(kind == 2, _mixed(pair + salt), np.where(kind == 1, pair, trigger))
+                columns = [part.view(np.int64), trigger.view(np.int64), phrase.view(np.int64), ids, place, kind.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "trigger", "phrase", "doc_id", "place", "frequent"])
+
+    return _texts(docs).mapInArrow(run, _PARSE)
 
 
 def _sort_suffixes(length: int):
@@ -153,22 +207,38 @@ def _sort_suffixes(length: int):
     return run
 
 
+def _group_suffixes(dictionary: DataFrame, length: int) -> DataFrame:
+    """(doc_id, lo, mask) as _sort_suffixes gives: the suffixes as rows, the least document of each by a pre-aggregated minimum."""
+    cuts = F.expr(f"transform(sequence(0, CAST(place % 64 AS INT) - 1), i -> struct(i AS i, substring(bytes, i + 1, {length}) AS string))")
+    rows = dictionary.select("doc_id", F.expr("place div 64").alias("lo"), F.explode(cuts).alias("s")).select("doc_id", "lo", "s.i", "s.string")
+    least = rows.groupBy("string").agg(F.min("doc_id").alias("least"))
+    late = rows.join(least, "string").where("doc_id > least")
+    return late.groupBy("doc_id", "lo").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+
+
 def repeated_starts(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
     """(doc_id, lo, mask): starts lo + i, for each bit i of mask, of strings that an earlier document has; lo -1: all."""
-    parsed = phrases(docs, length, width).repartition("trigger")
-    of_phrase, of_trigger = Window.partitionBy("trigger", "phrase"), Window.partitionBy("trigger")
-    seen = parsed.withColumn("first", F.min("doc_id").over(of_phrase)).withColumn("many", F.min("phrase").over(of_trigger) != F.max("phrase").over(of_trigger))
-    seen = seen.where("place = -1 OR doc_id > first OR many").select("trigger", "doc_id", "place", (F.expr("place = -1") | (F.col("doc_id") > F.col("first"))).alias("known"))
-    seen = saved(seen, "phrases")
-    known = seen.where("known")
+    parsed = phrases(docs, length, width).repartition("part")
+    of_phrase, of_trigger = Window.partitionBy("part", "trigger", "phrase"), Window.partitionBy("part", "trigger")
+    seen = parsed.withColumn("first", F.min("doc_id").over(of_phrase)).withColumn("many", (F.col("frequent") > 0) | (F.min("phrase").over(of_trigger) != F.max("phrase").over(of_trigger)))
+    seen = seen.withColumn("large", (F.col("frequent") > 0) | (F.count("*").over(of_trigger) > MOST_ROWS))
+    seen = saved(seen.where("place = -1 OR doc_id > first OR many").select("trigger", "doc_id", "place", "first", "large", F.when(F.col("frequent") == 2, F.col("phrase")).alias("phrase")), "phrases")
+    # the first document of a frequent phrase, over its parts: as few rows as there are such phrases
+    firsts = seen.where("phrase IS NOT NULL").groupBy(F.col("trigger").alias("t"), F.col("phrase").alias("p")).agg(F.min("first").alias("f"))
+    all_seen = seen.join(F.broadcast(firsts), (F.col("trigger") == F.col("t")) & (F.col("phrase") == F.col("p")), "left")
+    all_seen = all_seen.select("trigger", "doc_id", "place", "large", (F.expr("place = -1") | (F.col("doc_id") > F.coalesce("f", "first"))).alias("known"))
+    known = all_seen.where("known")
     # n ones; a phrase has at most length - width + 1 < 63 starts
     whole = known.select("doc_id", F.when(F.expr("place = -1"), F.lit(-1).cast("long")).otherwise(F.expr("place div 64")).alias("lo"), F.expr("CASE WHEN place = -1 THEN 1L ELSE shiftleft(1L, CAST(place % 64 AS INT)) - 1 END").alias("mask"))
-    open_ = seen.where("NOT known").groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "place")).alias("open"))  # as long as a text at most
+    open_ = all_seen.where("NOT known").groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "place", "large")).alias("open"))  # as long as a text at most
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).where("doc_id IS NOT NULL AND raw IS NOT NULL")
-    cut = F.expr(f"transform(open, o -> struct(o.trigger AS trigger, o.place AS place, substring(raw, CAST(o.place div 64 + 1 AS INT), CAST(o.place % 64 + {length - 1} AS INT)) AS bytes))")
-    dictionary = texts.join(open_, "doc_id").select("doc_id", F.explode(cut).alias("o")).select("o.trigger", "doc_id", "o.place", "o.bytes").where(f"length(bytes) = place % 64 + {length - 1}")
-    partial = dictionary.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sort_suffixes(length), "doc_id long, lo long, mask long")
-    return whole.unionByName(partial)
+    cut = F.expr(f"transform(open, o -> struct(o.trigger AS trigger, o.place AS place, o.large AS large, substring(raw, CAST(o.place div 64 + 1 AS INT), CAST(o.place % 64 + {length - 1} AS INT)) AS bytes))")
+    dictionary = texts.join(open_, "doc_id").select("doc_id", F.explode(cut).alias("o")).select("o.trigger", "doc_id", "o.place", "o.large", "o.bytes").where(f"length(bytes) = place % 64 + {length - 1}")
+    small = dictionary.where("NOT large").select("trigger", "doc_id", "place", "bytes")
+    partial = small.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sort_suffixes(length), "doc_id long, lo long, mask long")
+    if all_seen.where("large AND NOT known").isEmpty():
+        return whole.unionByName(partial)
+    return whole.unionByName(partial).unionByName(_group_suffixes(saved(dictionary.where("large"), "large"), length))
 
 
 def _remove(text: bytes, lo: np.ndarray, mask: np.ndarray, length: int) -> tuple[int, int, bytes]:

@@ -431,6 +431,22 @@ def test_suffix_dedup(spark, docs, length, width, piece, monkeypatch):
     assert got == brute_dedup([(d, t) for d, t, *_ in rows], length)
 
 
+@pytest.mark.parametrize(("rows_of_a_trigger", "least"), [(20_000, 2), (3, 10_000), (3, 2)])
+def test_suffix_dedup_of_a_passage_everywhere(spark, monkeypatch, rows_of_a_trigger, least):
+    """A passage, and a shorter expression in ever other surroundings, in all documents: frequent phrases and triggers."""
+    monkeypatch.setattr(suffix_dedup, "MOST_ROWS", rows_of_a_trigger)
+    monkeypatch.setattr(suffix_dedup, "LEAST_FREQUENT", least)
+    r = random.Random(least)
+    passage, short = " ".join(r.choices(VOCABULARY, k=40)), "an expression of under fifty bytes"
+    some = [" ".join([*r.choices(VOCABULARY, k=r.randint(0, 9)), passage, *r.choices(VOCABULARY[:3], k=2), short, *r.choices(VOCABULARY[:4], k=6)]) for _ in range(120)]
+    order = r.sample(range(500), len(some))
+    rows = [(d, t, None, None) for d, t in zip(order, some)]
+    triggers, pairs = suffix_dedup.frequent(frame(spark, rows))
+    assert (len(triggers) > 0 and len(pairs) > 0) == (least == 2)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, bytes(x.kept)) for x in suffix_dedup.dedup_spans(frame(spark, rows)).collect()}
+    assert got == brute_dedup([(d, t) for d, t, *_ in rows], 50)
+
+
 def test_suffix_dedup_edges(spark):
     period = [(i, ("ab" * 40)[i % 2 :] + "c" * i, None, None) for i in range(9)]
     zeros = [(20, "\x00" * 60, None, None), (21, "\x00" * 59 + "x", None, None), (22, "x" * 49, None, None), (23, "x" * 49, None, None)]
