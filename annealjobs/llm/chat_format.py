@@ -60,7 +60,7 @@ def format_chats(rows: DataFrame) -> DataFrame:
 
     Turns stand by turn number, ties by role and text, null turns first; null roles and texts are empty;
     repeated rows stay; a null conv_id is a conversation of its own; other columns are ignored; an empty
-    table gives an empty result. exact says that parsing gives the source back; it holds for every row.
+    table gives an empty result. exact says that parsing gives the source back; a row for which it did not hold would be an error.
     A conversation is one text, so it is gathered in one row; nothing else is.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -69,7 +69,9 @@ def format_chats(rows: DataFrame) -> DataFrame:
     plain = chats.withColumn("plain", _render(F.col("turns"), lambda c: c))
     plain = plain.withColumn("escaped", ~(_legal(F.col("plain")) & (recovered(F.col("plain")) == F.col("turns"))))
     out = plain.withColumn("formatted", F.when(F.col("escaped"), _render(F.col("turns"), escape)).otherwise(F.col("plain")))
-    return out.select("conv_id", "formatted", "escaped", (_legal(F.col("formatted")) & (recovered(F.col("formatted")) == F.col("turns"))).alias("exact"))
+    out = out.withColumn("exact", _legal(F.col("formatted")) & (recovered(F.col("formatted")) == F.col("turns")))
+    sure = F.when(F.col("exact"), F.col("formatted")).otherwise(F.raise_error(F.lit("a conversation does not survive the round trip")).cast("string"))
+    return out.select("conv_id", sure.alias("formatted"), "escaped", "exact")
 
 
 def read_chats(formatted: DataFrame, learn: str = "assistant") -> DataFrame:

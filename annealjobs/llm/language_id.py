@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 from annealjobs.llm.shared import small_batches, table, unsigned_crc32
 
 TOP, SIZES, TRAIN_ROWS = 300, (1, 2, 3), 4000
+#: Languages whose profiles go to every task.
+MOST_LANGUAGES = 10_000
 _BREAKS = re.compile(r"[\W\d_]+")
 _BITS = 21  # a code point; n-grams of up to three fit 63 bits
 _PIECE = 1 << 20
@@ -96,9 +98,13 @@ def predict(docs: DataFrame, learned: DataFrame, top: int = TOP) -> DataFrame:
     """(doc_id, lang_pred, score) of every row of docs (doc_id, text) under profiles (lang, code, rank).
 
     und with score 0 where the text is null or has no letter, or nothing was learned; ties go to the
-    first language by code point. The score is 1 minus the distance over the worst there is. The
-    profiles, top rows a language, are a model: they go to every task.
+    first language by code point. The score is 1 minus the distance over the worst there is. Texts are read
+    whole; rows that repeat are predicted alike, also without a doc_id; other columns are ignored; an empty
+    table gives an empty result. The profiles, top rows a language, are a model: they go to every task, and
+    over MOST_LANGUAGES of them are an error.
     """
+    if learned.select("lang").distinct().count() > MOST_LANGUAGES:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     small_batches(docs.sparkSession)
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     by_lang: dict[str, list[tuple[int, int]]] = {}

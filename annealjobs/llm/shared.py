@@ -38,13 +38,19 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
+def saved(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """The rows of df written to the shared folder and read again: cuts lineage and survives lost executors."""
-    path = scratch(df.sparkSession, what)
+    path = path or scratch(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of scratch() that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def bounded_sample(rows: DataFrame, key: list[str], n: int, seed: int) -> DataFrame:
     """About n rows, chosen by a hash of the key columns alone; never more than 2 n. Nothing but those rows moves.
 

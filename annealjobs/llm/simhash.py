@@ -27,6 +27,8 @@ from annealjobs.llm.shared import lowered_words, majority, pieces, runs, saved,
 RADIUS = 3
 #: Fingerprints of a bucket that one task compares at once; larger buckets are dealt out as pairs of chunks.
 CHUNK = 8192
+#: Fingerprints of whole buckets that are compared in one step.
+TOGETHER = 1 << 16
 #: Fingerprints of a bucket that shares its planes with others.
 FEW = 48
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -236,15 +238,24 @@ def bucket_links(keyed: DataFrame, radius: int, chunk: int = CHUNK) -> DataFrame
         fps = np.frombuffer(b"".join(t.column("fp").to_pylist()), np.uint64).reshape(t.num_rows, -1)
         return linked(t.column("key").to_numpy(), t.column("node").to_numpy(), fps, radius)
 
+    def compared(tables: list[pa.Table]) -> pa.RecordBatch:
+        u, v = of(pa.concat_tables(tables))
+        none = [pa.nulls(len(u), k) for k in (pa.int64(), pa.int32(), pa.binary())]
+        return pa.RecordBatch.from_arrays([*none, pa.array(u), pa.array(v)], ["key", "chunk", "fp", "u", "v"])
+
     def first(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        whole: list[pa.Table] = []
         for number, t in pieces(batches, "key", chunk):
             if number < 0:
-                u, v = of(t)
-                none = [pa.nulls(len(u), k) for k in (pa.int64(), pa.int32(), pa.binary())]
-                yield pa.RecordBatch.from_arrays([*none, pa.array(u), pa.array(v)], ["key", "chunk", "fp", "u", "v"])
+                whole.append(t)
+                if sum(x.num_rows for x in whole) >= TOGETHER:
+                    yield compared(whole)
+                    whole = []
             else:
                 own = t.column("node").combine_chunks()
                 yield pa.RecordBatch.from_arrays([t.column("key").combine_chunks(), pa.array(np.full(len(own), number, np.int32)), t.column("fp").combine_chunks(), own, own], ["key", "chunk", "fp", "u", "v"])
+        if whole:
+            yield compared(whole)
 
     def second(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "key"):

@@ -17,6 +17,8 @@ from annealjobs.llm.shared import saved, scratch, small_batches, table, utf8
 from annealjobs.llm.tokens import tokenizer_path, words
 
 LIMIT = 1024
+#: A content is frequent with this share of the rows, and this many: at most 1,000 are, and their counts go to every task.
+FREQUENT, LEAST_FREQUENT = 1 / 1000, 100
 _CACHE = "digest binary, version string, n_tokens long"
 
 
@@ -37,14 +39,17 @@ def _read(spark: SparkSession, cache: str) -> DataFrame:
 def count_tokens(docs: DataFrame, cache: str, path: str | None = None, limit: int = LIMIT) -> DataFrame:
     """(doc_id, n_bytes, n_tokens, over_limit) for every row of docs (doc_id, text); the cache at `cache` grows.
 
-    Content is normalised to its UTF-8 bytes, null as empty: anything further would change counts. Rows
-    that repeat give repeated rows; other columns are ignored; an empty table appends nothing.
+    Content is normalised to its UTF-8 bytes, null as empty: anything further would change counts. A text of
+    any length is counted whole. Rows that repeat, or have no doc_id, give a row each; other columns are
+    ignored; an empty table appends nothing. Rows of a frequent content meet its count without a shuffle.
     """
     spark, path = docs.sparkSession, path or tokenizer_path("byte_bpe_50k.json")
     small_batches(spark)
     version = version_of(path)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text"), F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"))
+    digest = F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest")
+    rows = docs.select(text.alias("text"), digest)
+    sized = saved(docs.select("doc_id", digest, F.octet_length(text).cast("long").alias("n_bytes")), "sized")
     known = _read(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
     misses = rows.select("digest", "text").join(known, "digest", "left_anti").dropDuplicates(["digest"])
 
@@ -55,8 +60,10 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None, limit: in
 
     misses.mapInArrow(run, _CACHE).write.mode("append").parquet(cache)
     known = _read(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    sized = docs.select("doc_id", F.unhex(F.sha2(text.cast("binary"), 256)).alias("digest"), F.octet_length(text).cast("long").alias("n_bytes"))
-    return sized.join(known, "digest").select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
+    often = sized.groupBy("digest").agg(F.count("*").alias("n")).where(F.col("n") >= max(LEAST_FREQUENT, sized.count() * FREQUENT))
+    often = saved(often.join(known, "digest").select("digest", "n_tokens"), "frequent")
+    rare = sized.join(F.broadcast(often.select("digest")), "digest", "left_anti").join(known, "digest")
+    return rare.unionByName(sized.join(F.broadcast(often), "digest")).select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit"))
 
 
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -612,3 +612,148 @@ def test_verified_pairs(spark, monkeypatch, slots):
     got = {(x.u, x.v) for x in simhash.verified(spark.createDataFrame(known, "u long, v long"), frame(spark, rows), 5, 0.8).collect()}
     of = {d: t for d, t, *_ in rows}
     assert got == {(a, b) for a, b in known if jaccard(of[a], of[b]) >= 0.8} and got
+
+
+def test_rank_order_by_brute_force(spark):
+    """Profiles, distances and predictions of texts that were not trained on."""
+    r = random.Random(14)
+    kinds = {k: ["".join(r.choices(letters, k=r.randint(2, 7))) for _ in range(60)] for k, letters in (("en", "abcdefgh"), ("de", "efghijüö"), ("fr", "hijklmné"))}
+    rows = [(i, " ".join(r.choices(kinds[k], k=r.randint(1, 60))), k, "s") for i, k in enumerate(r.choices(list(kinds), k=150))]
+    train, test, top = rows[:90], rows[90:] + [(900, "xyz", None, None)], 40
+    rank = {}
+    for k in kinds:
+        counts = sum((brute_ngrams(t) for _, t, lang, _ in train if lang == k), Counter())
+        rank[k] = {g: i for i, g in enumerate(sorted(counts, key=lambda g: (-counts[g], code(g)))[:top])}
+    learned = language_id.profiles(frame(spark, train), top)
+    assert {(x.lang, x.code): x.rank for x in learned.collect()} == {(k, code(g)): i for k, p in rank.items() for g, i in p.items()}
+    got = {x.doc_id: x for x in language_id.predict(frame(spark, test), learned, top).collect()}
+    right = 0
+    for d, t, lang, _ in test:
+        counts = brute_ngrams(t)
+        own = sorted(counts, key=lambda g: (-counts[g], code(g)))[:top]
+        far = {k: sum(abs(p[g] - i) if g in p else top for i, g in enumerate(own)) / (top * len(own)) for k, p in rank.items()}
+        best = min(far, key=lambda k: (far[k], k))
+        assert got[d].lang_pred == best and got[d].score == pytest.approx(1 - far[best])
+        right += best == lang
+    assert right > 0.9 * (len(test) - 1)
+
+
+def code(gram):
+    out = 0
+    for c in gram:
+        out = out << 21 | ord(c)
+    return out
+
+
+def test_conditions_in_spark_and_in_numpy(spark):
+    """The ordered expression rejects what the learner's conditions hold for."""
+    r = np.random.default_rng(4)
+    n = 400
+    rows = r.integers(0, 40, (n, len(quality._COUNTS)))
+    df = spark.createDataFrame([(i, *map(int, x)) for i, x in enumerate(rows)], quality.STATS)
+    column = {c: rows[:, i].astype(float) for i, c in enumerate(quality._COUNTS)}
+    x = {f: column[a] / np.maximum(column[b], 1) if b else column[a] for f, (a, b) in quality.FEATURES.items()}
+    rules = [tuple(quality.Condition(f, bool(r.integers(2)), float(r.choice(x[f]))) for f in r.choice(list(x), 2)) for _ in range(6)]
+    want = np.zeros(n, bool)
+    for rule in rules:
+        want |= np.logical_and.reduce([c.holds(x) for c in rule])
+    got = df.select("doc_id", quality.rejects(rules).alias("no")).collect()
+    assert {g.doc_id: g.no for g in got} == dict(enumerate(want.tolist())) and 0 < want.sum() < n
+    nested = df.select("doc_id", F.struct(*quality._COUNTS).alias("s")).select("doc_id", quality.rejects(rules, "s").alias("no"), quality.base_failed("s").alias("base"))
+    assert {g.doc_id: (g.no, g.base) for g in nested.collect()} == {i: (bool(w), True) for i, w in enumerate(want)}  # under 50 words, all
+    assert [g.no for g in df.limit(2).select(quality.rejects([]).alias("no")).collect()] == [False, False]
+
+
+def test_mixing_comes_near_its_targets(spark):
+    """Within five standard deviations of the draw, and never over three times a document."""
+    r = random.Random(16)
+    rows = [(i, " ".join(["w"] * r.randint(1, 40)), None, r.choice("aaaaaaaabbbbcde")) for i in range(6000)]
+    got = mixing.copies(frame(spark, rows), mixing.n_words(F.col("text"))).collect()
+    taken, squares, goal, source = Counter(), Counter(), {}, {d: s for d, _, _, s in rows}
+    for x in got:
+        s = source[x.doc_id]
+        taken[s] += x.copies * x.size
+        rate = x.target / x.source_size
+        squares[s] += x.size**2 * (rate % 1) * (1 - rate % 1)
+        goal[s] = x.target
+        assert 0 <= x.copies <= 3
+    assert all(abs(taken[s] - goal[s]) <= 5 * squares[s] ** 0.5 + 1e-6 for s in goal) and sum(taken.values()) == pytest.approx(sum(x.size for x in got), rel=0.03)
+    whole = Counter(x.doc_id for x in mixing.mixed(frame(spark, rows), mixing.n_words(F.col("text"))).collect())
+    assert {x.doc_id: x.copies for x in got if x.copies} == dict(whole)
+
+
+HARD = [("ambiguous", "string"), ("row", "int"), ("key", "string"), ("times", "int"), ("copy__", "int"), ("s", "string"), ("rate", "double"), ("n_words", "int"), ("slot", "int"), ("doc.id", "string")]
+
+
+def hard_documents(spark, rows):
+    """Rows (doc_id, text, source) with columns named as stages might name theirs."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` {t}" for n, t in HARD)
+    fill = [{"string": "clash", "int": 3, "double": 0.5}[t] for _, t in HARD]
+    return spark.createDataFrame([(d, t, None, s, 7, *fill) for d, t, s in rows], schema)
+
+
+def small_folder(spark, path, rows, labels=(), items=()):
+    hard_documents(spark, rows).repartition(3).write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame(list(items), "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame(list(labels), "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    spark.createDataFrame([(1, "http://a.com/en/x", "<a href='http://b.net/es/'>"), (2, None, None), (3, "http://b.net/es/", "")], "page_id long, url string, html string").write.parquet(f"{path}/pages.parquet")
+    spark.createDataFrame([(5, 0, "user", "hi"), (5, 1, "assistant", "</s>"), (6, 0, "user", None)], "conv_id long, turn int, role string, text string").write.parquet(f"{path}/conversations.parquet")
+
+
+def test_stages_and_their_hard_cases(spark, tmp_path):
+    """Null ids, repeated rows, clashing columns, odd texts: each stage by itself, and all of them."""
+    import corpus_pipeline
+
+    r = random.Random(17)
+    words = [f"w{i}" for i in range(900)]
+    long = [" ".join(r.choices(words, k=80)) for _ in range(12)]
+    item = " ".join(r.choices(words, k=15))
+    rows = [(i, t, "abc"[i % 3]) for i, t in enumerate(long)]
+    rows += [(3, long[3], "a"), (3, "too short", "a"), (None, "too short", None), (None, long[0], "b"), (None, f"{long[5]} {item}", None), (20, f"{long[6]} {item}", "a"), (21, long[7], None), (22, None, "a"), (23, "", "b"), (24, " \n", "a")]
+    rows += [(None, None, None)]
+    small_folder(spark, tmp_path, rows, items=[(1, item), (2, None), (3, "the")])
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    told = lambda df: sorted(((x.doc_id, x.text, x.source) for x in df.collect()), key=str)
+    at = dict(corpus_pipeline.STAGES)
+    want = {
+        "quality rules": [x for x in rows if len((x[1] or "").split()) >= 50],
+        "simhash near-dedup": [x for x in rows if x[0] not in (20, 21, 23, 24)],
+        "benchmark decontamination": [x for x in rows if item not in (x[1] or "")],
+    }
+    # null, empty and blank texts are one group; 20 is document 6 and an item: more than 0.8
+    assert jaccard(rows[6][1], f"{long[6]} {item}") >= 0.8
+    for name, left in want.items():
+        out = at[name](spark, docs, str(tmp_path))
+        assert told(out) == sorted(left, key=str) and out.columns == docs.columns, name
+    mixed = at["mixing sources"](spark, docs, str(tmp_path))
+    assert mixed.columns == docs.columns and set(told(mixed)) <= set(rows)
+    tokens = at["token output"](spark, docs, str(tmp_path)).collect()
+    assert sorted(str(x.doc_id) for x in tokens) == sorted(str(d) for d, *_ in rows)
+    done = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    kept = {d for d, t, _ in rows if d is None or (len((t or "").split()) >= 50 and d not in (20, 21))}
+    assert {x.doc_id for x in done} <= kept
+    for name, stage in corpus_pipeline.STAGES:
+        assert not stage(spark, docs.limit(0), str(tmp_path)).count(), name
+
+
+def test_every_query_on_a_small_folder(spark, tmp_path):
+    from annealjobs.llm import registry
+
+    rows = [(i, t, "ab"[i % 2]) for i, t in enumerate(texts(41, 24) + ODD)]
+    small_folder(spark, tmp_path, rows, [(i, i % 2, 0) for i in range(20)], [(1, rows[0][1]), (2, "a b")])
+    columns = {
+        "op1": ["doc_id", "fingerprint", "component_id"], "op2": ["page_id", "host", "path", "rule", "verdict"], "op3": ["doc_id", "held_out", "lang_pred", "score"], "op4": ["doc_id", "start", "n_tokens", "ids_crc32"],
+        "op5": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], "op6": ["doc_id", "size", "source_size", "target", "taken"], "op7": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
+        "op8": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"], "op9": ["doc_id", "item_id"], "op10": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+    }
+    out = {}
+    for name, f in registry.QUERIES.items():
+        df = f(spark, str(tmp_path))
+        assert set(columns[name.split("_")[0]]) <= set(df.columns)
+        out[name.split("_")[0]] = df.collect()
+    assert all(len(out[k]) == len(rows) for k in ("op1", "op3", "op4", "op6", "op7", "op8", "op10")) and len(out["op2"]) == len(out["op5"]) == 3
+    assert {x.doc_id: x.fingerprint for x in out["op1"]} == {d: f"{reference_fp(t):016x}" for d, t, _ in rows}
+    assert {x.doc_id: x.held_out for x in out["op3"]} == {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, *_ in rows}
+    assert {x.doc_id: x.kept_sha256 for x in out["op7"]} == {d: hashlib.sha256(x[3]).hexdigest() for d, x in brute_dedup([(d, t) for d, t, _ in rows], 50).items()}
+    assert all(x.doc_id == 0 and x.item_id == 1 or jaccard(rows[x.doc_id][1], rows[0][1]) > 0 for x in out["op9"]) and out["op9"]
+    assert all(x.over_limit == (x.n_tokens > 1024) for x in out["op10"])
