@@ -33,7 +33,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     groups = simhash.similar_documents(docs, SHINGLE, SIMILARITY)
     dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    return docs.join(dropped, "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])
 
 
 def _row_key(docs: DataFrame) -> DataFrame:
