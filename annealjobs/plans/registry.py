@@ -426,9 +426,9 @@ def e6_smc_evidence(spark, d):
     return rounded(evidence.smc_evidence(lw.log_z_running(spark.sql(_HISTORY), "population_id", "t", "log_w"), "population_id", "Deterministic"), "log_z")
 
 
-@query(f"{_terms('7.0')} SELECT dataset_id, rung, n, round(mean, 9) AS mean_log_lik, round(term, 6) AS term, round(sum(term) OVER (PARTITION BY dataset_id ORDER BY rung), 6) AS log_z FROM terms")
+@query(f"{_terms('7.0')} SELECT dataset_id, rung, n, round(mean * n, 6) / n AS mean_log_lik, round(term, 6) AS term, round(sum(term) OVER (PARTITION BY dataset_id ORDER BY rung), 6) AS log_z FROM terms")
 def e7_rung_summary(spark, d):
-    return rounded(evidence.rung_summary(fixture(spark, d, "chain"), ladders.ladder_beta(spark, 8)), "term", "log_z").withColumn("mean_log_lik", F.round("mean_log_lik", 9))
+    return rounded(evidence.rung_summary(fixture(spark, d, "chain"), ladders.ladder_beta(spark, 8)), "term", "log_z").withColumn("mean_log_lik", F.round(F.col("mean_log_lik") * F.col("n"), 6) / F.col("n"))  # of the sum: a mean over 64 is often a tie
 
 
 # Hidden Markov models
