@@ -36,7 +36,7 @@ _QUERIES = 256
 #: Words of 64 bits of the fingerprints that stand for a similarity rather than a radius.
 WIDE = 8
 #: Standard deviations that pairs of just the similarity may stand off: farther is out, nearer is verified.
-SIGMAS = 2.5
+SIGMAS = 3.0
 #: Nodes, and shingles of nodes, of a piece of a group; a task compares two pieces.
 PIECE, PIECE_SHINGLES = 1024, 1 << 20
 
@@ -304,7 +304,7 @@ def wide_radius(similarity: float, words: int = WIDE, sigmas: float = SIGMAS) ->
     return int(p * bits + sigmas * math.sqrt(bits * p * (1 - p)))
 
 
-def table_shape(n: int, similarity: float, miss: float = 0.03) -> tuple[int, int]:
+def table_shape(n: int, similarity: float, miss: float = 0.005) -> tuple[int, int]:
     """Bits of a key, so that unlike texts seldom share one of n buckets, and tables, so that like texts miss all with that chance."""
     bits = max(16, math.ceil(math.log2(max(2, n))))
     return bits, math.ceil(math.log(miss) / math.log(1 - (1 - _angle(similarity)) ** bits))
@@ -344,10 +344,6 @@ def wide_fingerprints(docs: DataFrame, k: int, words: int = WIDE, seed: int = 42
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, digest binary, n int")
 
 
-def _stack(column: pa.ChunkedArray | pa.Array, words: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint64).reshape(-1, words)
-
-
 def wide_links(nodes: DataFrame, radius: int, bits: int, tables: int, words: int = WIDE, chunk: int = CHUNK) -> DataFrame:
     """Edges (u, v) that connect, in each bucket of each table, what fingerprints within the radius connect; nodes: (node, fp binary).
 
