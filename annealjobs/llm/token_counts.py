@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from annealjobs.llm.shared import saved, scratch, small_batches, table, utf8
+from annealjobs.llm.shared import saved, scratch, small_batches, table
 from annealjobs.llm.tokens import tokenizer_path, words
 
 LIMIT = 1024
@@ -51,7 +51,8 @@ def count_tokens(docs: DataFrame, cache: str, path: str | None = None, limit: in
     rows = docs.select(text.alias("text"), digest)
     sized = saved(docs.select("doc_id", digest, F.octet_length(text).cast("long").alias("n_bytes")), "sized")
     known = _read(spark, cache).where(F.col("version") == version).groupBy("digest").agg(F.max("n_tokens").alias("n_tokens"))
-    misses = rows.select("digest", "text").join(known, "digest", "left_anti").dropDuplicates(["digest"])
+    # folded before they move: an anti-join would be moved below the fold
+    misses = rows.groupBy("digest").agg(F.first("text").alias("text")).join(known, "digest", "left").where("n_tokens IS NULL").select("digest", "text")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
