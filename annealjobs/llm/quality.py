@@ -132,6 +132,9 @@ def _grow(x: dict[str, np.ndarray], bad: np.ndarray, most: int) -> Rule:
         for name, values in x.items():
             v, b = values[live], bad[live]
             edges = np.unique(np.concatenate([np.quantile(v[b], np.linspace(0, 1, THRESHOLDS)), np.quantile(v[~b], np.linspace(0, 1, THRESHOLDS))]))
+            edges = (edges[1:] + edges[:-1]) / 2  # between what was seen: nearest to neither kind
+            if not len(edges):
+                continue
             order = np.sort(v[b]), np.sort(v[~b])
             for above in (True, False):
                 at = [np.searchsorted(o, edges, "right") for o in order]
