@@ -12,7 +12,9 @@ cut at `length` bytes, but copies cost one phrase, not one suffix each.
 
 Frequent triggers and phrases are found first, all of them, and their rows are dealt out further: phrases
 of a frequent trigger by the phrase, rows of a frequent phrase by the document. Triggers with more phrases
-than one task sorts have their suffixes grouped by Spark instead.
+than one task sorts are parted by what stands about the trigger: a string holds either the bytes after it
+or those before it, half of what the string has besides. What even then is too much for one task has its
+suffixes grouped by Spark instead.
 
 Phrases are taken as equal where the 64-bit hashes of both trigger and phrase are: among 10^14 phrases two
 different ones agree in those 128 bits with a chance under 10^-10.
@@ -24,6 +26,8 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -38,7 +42,7 @@ _WHOLE = -1
 #: Rows of a trigger in the parse that one task sorts; what has more is grouped by Spark.
 MOST_ROWS = 20_000
 #: A trigger or phrase is frequent with this share of the parse's rows, and this many rows: at most 4,000 of each are named.
-FREQUENT, LEAST_FREQUENT, SALTS = 1 / 2000, 10_000, 256
+FREQUENT, LEAST_FREQUENT, SALTS = 1 / 2000, 100, 256
 
 
 def _byte_values(seed: int) -> np.ndarray:
@@ -67,12 +71,13 @@ class _Powers:
 def parse(data: np.ndarray, ends: np.ndarray, powers: _Powers, length: int = LENGTH, width: int = TRIGGER) -> tuple[np.ndarray, ...]:
     """Phrases of texts that stand one after the other in data; ends: where each text ends.
 
-    Arrays trigger hash, phrase hash, number of the text, first start, number of starts: the phrase covers
-    the strings of length bytes at those starts, all of which share the trigger.
+    Arrays trigger hash, phrase hash, number of the text, first start, number of starts, and the trigger's
+    place after the first start: the phrase covers the strings of length bytes at those starts, all of which
+    share the trigger.
     """
     n = len(data)
     if n < length:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64, np.int64))
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum(_VALUES[data] * powers.up[:n], out=sums[1:])
     h = _mixed((sums[width:] - sums[:-width]) * powers.down[: n - width + 1])
@@ -92,7 +97,7 @@ def parse(data: np.ndarray, ends: np.ndarray, powers: _Powers, length: int = LEN
     lo, hi = edges[:-1], edges[1:]
     lo, hi = lo[valid[lo]], hi[valid[lo]]
     phrase = (sums[hi - 1 + length] - sums[lo]) * powers.down[lo] + (hi - lo).astype(np.uint64) * np.uint64(_UNDO)
-    return h[trigger[lo]], _mixed(phrase), text[lo], lo, hi - lo
+    return h[trigger[lo]], _mixed(phrase), text[lo], lo, hi - lo, trigger[lo] - lo
 
 
 def _parsed(b: pa.RecordBatch, powers: _Powers, length: int, width: int, piece: int) -> Iterator[tuple[np.ndarray, ...]]:
@@ -113,7 +118,7 @@ def _parsed(b: pa.RecordBatch, powers: _Powers, length: int, width: int, piece:
             size += len(some[-1][2])
         data = np.frombuffer(b"".join(p[2] for p in some), np.uint8)
         ends = np.cumsum([len(p[2]) for p in some])
-        trigger, phrase, text, lo, n = parse(data, ends, powers, length, width)
+        trigger, phrase, text, lo, n, _ = parse(data, ends, powers, length, width)
         ids, base = np.array([p[0] for p in some], np.int64)[text], (np.array([p[1] for p in some]) - ends + [len(p[2]) for p in some])[text]
         yield trigger, phrase, ids, (base + lo) << 6 | n
     if copies:
@@ -176,44 +181,104 @@ def phrases(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> Data
     return _texts(docs).mapInArrow(run, _PARSE)
 
 
-def _sort_suffixes(length: int):
-    """Groups of a trigger to (doc_id, lo, mask): which starts of a phrase an earlier document has."""
+_SUFFIXES = "doc_id long, lo long, mask long, key long, bytes binary"
+
+
+def _halves(t: pa.Table, length: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
+    """doc_id, place, key and bytes of the phrases' parts: strings that hold what follows the trigger, and others.
+
+    Equal strings have their trigger at one place, so they are in parts of one key.
+    """
+    raw = t.column("bytes").to_pylist()
+    doc, place = t.column("doc_id").to_pylist(), t.column("place").to_pylist()
+    half = (length - width) // 2
+    data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
+    trigger, _, text, _, _, rel = parse(data, ends, _Powers(len(data) + length), length, width)  # a phrase each
+    for k, h, r in zip(text.tolist(), trigger.tolist(), rel.tolist()):
+        lo, n = place[k] >> 6, place[k] & 63
+        after, before = raw[k][r + width : r + length - half], raw[k][max(0, r - half - 1) : r]
+        for side, about, i, j in ((b"a", after, max(0, r - half), n), (b"b", before, 0, min(n, r - half))):
+            if i < j:
+                key = xxhash.xxh3_64_intdigest(side + h.to_bytes(8, "little") + about)
+                yield doc[k], (lo + i) << 6 | (j - i), key - (1 << 64) if key >> 63 else key, raw[k][i : j - 1 + length]
+
+
+def _sort_suffixes(length: int, width: int, then: str):
+    """Groups of a key to _SUFFIXES without key and bytes: which starts of a phrase an earlier document has.
+
+    then: what becomes of rows marked large: their halves (with key, the place as lo, and bytes), or each of
+    their strings with its start, to be grouped by Spark.
+    """
+
+    def windows(t: pa.Table) -> tuple[np.ndarray, ...]:
+        """Row, offset in the row and bytes of each string of the phrases."""
+        n = t.column("place").to_numpy() & 63
+        data = np.frombuffer(b"".join(utf8(t.column("bytes").combine_chunks())) or b"\0", np.uint8)
+        at = np.cumsum(n + length - 1) - (n + length - 1)
+        row = np.repeat(np.arange(len(n)), n)  # one suffix a start
+        offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        own = np.lib.stride_tricks.sliding_window_view(data, length)[at[row] + offset] if len(row) else np.zeros((0, length), np.uint8)
+        return row, offset, own
+
+    def sorted_groups(t: pa.Table) -> pa.RecordBatch:
+        key, doc, place = (t.column(c).to_numpy() for c in ("key", "doc_id", "place"))
+        row, offset, own = windows(t)
+        group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
+        # the dictionary's suffix array: by trigger, then by the bytes of the suffix, then by document
+        keys = np.empty((len(row), length + 12), np.uint8)
+        keys[:, :4] = group[row].astype(">u4").view(np.uint8).reshape(-1, 4)
+        keys[:, 4:-8] = own
+        keys[:, -8:] = (doc[row].astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
+        order = np.argsort(keys.view(f"V{length + 12}").ravel())
+        suffixes = keys[order, :-8].copy().view(f"V{length + 4}").ravel()
+        fresh = np.concatenate([[True], suffixes[1:] != suffixes[:-1]])
+        sorted_doc = doc[row][order]
+        least = sorted_doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
+        late = order[sorted_doc > least]
+        mask = np.zeros(t.num_rows, np.int64)
+        np.bitwise_or.at(mask, row[late], np.int64(1) << offset[late])
+        some = mask != 0
+        return batch(doc[some], (place >> 6)[some], mask[some], pa.nulls(int(some.sum()), pa.int64()), pa.nulls(int(some.sum()), pa.binary()))
+
+    def strings(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for i in range(0, t.num_rows, 5000):
+            part = t.slice(i, 5000)
+            row, offset, own = windows(part)
+            doc, place = (part.column(c).to_numpy() for c in ("doc_id", "place"))
+            raw = pa.Array.from_buffers(pa.binary(length), len(own), [None, pa.py_buffer(np.ascontiguousarray(own))])
+            yield batch(doc[row], (place >> 6)[row] + offset, np.ones(len(row), np.int64), pa.nulls(len(row), pa.int64()), raw.cast(pa.binary()))
+
+    def halves(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        for i in range(0, t.num_rows, 5000):
+            doc, place, key, raw = zip(*_halves(t.slice(i, 5000), length, width))
+            yield batch(np.array(doc, np.int64), np.array(place, np.int64), np.zeros(len(doc), np.int64), pa.array(key, pa.int64()), pa.array(raw, pa.binary()))
+
+    def batch(doc: np.ndarray, lo: np.ndarray, mask: np.ndarray, key: pa.Array, raw: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(mask), key, raw], ["doc_id", "lo", "mask", "key", "bytes"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in runs(batches, "trigger"):
-            trigger, doc, place = (t.column(c).to_numpy() for c in ("trigger", "doc_id", "place"))
-            lo, n = place >> 6, place & 63
-            data = np.frombuffer(b"".join(utf8(t.column("bytes").combine_chunks())) or b"\0", np.uint8)
-            at = np.cumsum(n + length - 1) - (n + length - 1)
-            row = np.repeat(np.arange(len(n)), n)  # one suffix a start
-            offset = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
-            group = np.concatenate([[0], np.cumsum(trigger[1:] != trigger[:-1])])
-            # the dictionary's suffix array: by trigger, then by the bytes of the suffix, then by document
-            key = np.empty((len(row), length + 12), np.uint8)
-            key[:, :4] = group[row].astype(">u4").view(np.uint8).reshape(-1, 4)
-            key[:, 4:-8] = np.lib.stride_tricks.sliding_window_view(data, length)[at[row] + offset] if len(row) else 0
-            key[:, -8:] = (doc[row].astype(np.uint64) ^ np.uint64(1 << 63)).astype(">u8").view(np.uint8).reshape(-1, 8)
-            order = np.argsort(key.view(f"V{length + 12}").ravel())
-            suffixes = key[order, :-8].copy().view(f"V{length + 4}").ravel()
-            fresh = np.concatenate([[True], suffixes[1:] != suffixes[:-1]])
-            sorted_doc = doc[row][order]
-            least = sorted_doc[np.flatnonzero(fresh)][np.cumsum(fresh) - 1]
-            late = order[sorted_doc > least]
-            mask = np.zeros(len(n), np.int64)
-            np.bitwise_or.at(mask, row[late], np.int64(1) << offset[late])
-            some = mask != 0
-            yield pa.RecordBatch.from_arrays([pa.array(doc[some]), pa.array(lo[some]), pa.array(mask[some])], ["doc_id", "lo", "mask"])
+        for t in runs(batches, "key"):
+            large = t.column("large")
+            some = t.filter(pc.invert(large))
+            if some.num_rows:
+                yield sorted_groups(some)
+            yield from (halves if then == "halves" else strings)(t.filter(large))
 
     return run
 
 
-def _group_suffixes(dictionary: DataFrame, length: int) -> DataFrame:
-    """(doc_id, lo, mask) as _sort_suffixes gives: the suffixes as rows, the least document of each by a pre-aggregated minimum."""
-    cuts = F.expr(f"transform(sequence(0, CAST(place % 64 AS INT) - 1), i -> struct(i AS i, substring(bytes, i + 1, {length}) AS string))")
-    rows = dictionary.select("doc_id", F.expr("place div 64").alias("lo"), F.explode(cuts).alias("s")).select("doc_id", "lo", "s.i", "s.string")
-    least = rows.groupBy("string").agg(F.min("doc_id").alias("least"))
-    late = rows.join(least, "string").where("doc_id > least")
-    return late.groupBy("doc_id", "lo").agg(F.expr("bit_or(shiftleft(1L, i))").alias("mask"))
+def _late_strings(strings: DataFrame) -> DataFrame:
+    """(doc_id, lo, mask) of rows (doc_id, lo, mask, bytes) whose bytes stand in an earlier document.
+
+    The least document of a string is a pre-aggregated minimum; those of frequent strings, at most 1,000, go to
+    every task.
+    """
+    least = saved(strings.groupBy("bytes").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")).where("n > 1"), "strings")
+    many = F.col("n") >= max(LEAST_FREQUENT, strings.count() / 1000)
+    often = F.broadcast(least.where(many).select("bytes", "least"))
+    rare = strings.join(F.broadcast(least.where(many).select("bytes")), "bytes", "left_anti").join(least.where(~many), "bytes")
+    both = rare.select("doc_id", "lo", "mask", "least").unionByName(strings.join(often, "bytes").select("doc_id", "lo", "mask", "least"))
+    return both.where("doc_id > least").select("doc_id", "lo", "mask")
 
 
 def repeated_starts(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
@@ -234,11 +299,23 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).where("doc_id IS NOT NULL AND raw IS NOT NULL")
     cut = F.expr(f"transform(open, o -> struct(o.trigger AS trigger, o.place AS place, o.large AS large, substring(raw, CAST(o.place div 64 + 1 AS INT), CAST(o.place % 64 + {length - 1} AS INT)) AS bytes))")
     dictionary = texts.join(open_, "doc_id").select("doc_id", F.explode(cut).alias("o")).select("o.trigger", "doc_id", "o.place", "o.large", "o.bytes").where(f"length(bytes) = place % 64 + {length - 1}")
-    small = dictionary.where("NOT large").select("trigger", "doc_id", "place", "bytes")
-    partial = small.repartition("trigger").sortWithinPartitions("trigger").mapInArrow(_sort_suffixes(length), "doc_id long, lo long, mask long")
-    if all_seen.where("large AND NOT known").isEmpty():
-        return whole.unionByName(partial)
-    return whole.unionByName(partial).unionByName(_group_suffixes(saved(dictionary.where("large"), "large"), length))
+    keyed = dictionary.withColumn("key", F.when(F.col("large"), F.xxhash64("bytes")).otherwise(F.col("trigger"))).drop("trigger")
+    columns = ["key", "doc_id", "place", "large", "bytes"]
+    sort = lambda rows, then: rows.select(columns).repartition("key").sortWithinPartitions("key").mapInArrow(_sort_suffixes(length, width, then), _SUFFIXES)
+    suffixes = saved(sort(keyed, "halves"), "suffixes")
+    out = whole.unionByName(suffixes.where("bytes IS NULL").select("doc_id", "lo", "mask"))
+    halves = suffixes.where("bytes IS NOT NULL").select("key", "doc_id", F.col("lo").alias("place"), "bytes")
+    if halves.isEmpty():
+        return out
+    # the few keys that still have too much: each stands for over MOST_ROWS rows
+    many = saved(halves.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > MOST_ROWS).select("key", F.lit(True).alias("large")), "large")
+    many = F.broadcast(many) if many.count() <= 100_000 else many
+    marked = halves.join(many, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
+    marked = marked.withColumn("key", F.when(F.col("large"), F.xxhash64("bytes")).otherwise(F.col("key")))
+    again = saved(sort(marked, "strings"), "suffixes")
+    out = out.unionByName(again.where("bytes IS NULL").select("doc_id", "lo", "mask"))
+    strings = again.where("bytes IS NOT NULL").drop("key")
+    return out if strings.isEmpty() else out.unionByName(_late_strings(strings))
 
 
 def _remove(text: bytes, lo: np.ndarray, mask: np.ndarray, length: int) -> tuple[int, int, bytes]:

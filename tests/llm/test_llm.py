@@ -431,7 +431,7 @@ def test_suffix_dedup(spark, docs, length, width, piece, monkeypatch):
     assert got == brute_dedup([(d, t) for d, t, *_ in rows], length)
 
 
-@pytest.mark.parametrize(("rows_of_a_trigger", "least"), [(20_000, 2), (3, 10_000), (3, 2)])
+@pytest.mark.parametrize(("rows_of_a_trigger", "least"), [(20_000, 2), (3, 10_000), (3, 2), (40, 2)])
 def test_suffix_dedup_of_a_passage_everywhere(spark, monkeypatch, rows_of_a_trigger, least):
     """A passage, and a shorter expression in ever other surroundings, in all documents: frequent phrases and triggers."""
     monkeypatch.setattr(suffix_dedup, "MOST_ROWS", rows_of_a_trigger)
