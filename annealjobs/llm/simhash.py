@@ -28,7 +28,7 @@ RADIUS = 3
 #: Fingerprints of a bucket that one task compares at once; larger buckets are dealt out as pairs of chunks.
 CHUNK = 8192
 #: Fingerprints of whole buckets that are compared in one step.
-TOGETHER = 1 << 16
+TOGETHER = 1 << 15
 #: Fingerprints of a bucket that shares its planes with others.
 FEW = 48
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)

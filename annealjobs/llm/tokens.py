@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import os
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -28,7 +29,9 @@ _BLANK, _SIGN = np.isin(_BYTE, [9, 10, 13, 32]), np.isin(_BYTE, list(_TAIL.encod
 #: Bytes of ASCII letters and of the letters from U+00C0 to U+00FF, which are 0xC3 and another.
 _UPPER = (_BYTE >= 65) & (_BYTE <= 90) | (_BYTE >= 0x80) & (_BYTE <= 0x9E) & (_BYTE != 0x97)
 _LETTER = _UPPER | (_BYTE >= 97) & (_BYTE <= 122) | (_BYTE >= 0x80) & (_BYTE <= 0xBF) & (_BYTE != 0x97) & (_BYTE != 0xB7) | (_BYTE == 0xC3)
-_LAID = 1 << 20  # pieces whose ids are laid out in one step
+_LAID = 1 << 18  # pieces whose ids are laid out in one step
+_SLICE = 2 << 20  # bytes of texts that are cut together; a longer text is cut alone
+_SIGNS = 32  # signs after a word's letters; a word with more is one piece
 _TOGETHER = 50  # pieces in one text of a call: short texts are the library's fast path
 _BAR = "\n|\n"
 
@@ -138,9 +141,13 @@ class Words:
             hi -= _BLANK[data[hi - 1]] if len(hi) else 0
         else:
             lo += data[lo] == 32
-        last = np.maximum.accumulate(np.where(_SIGN[data], -1, np.arange(len(data)))) if len(data) else np.zeros(0, np.int64)
-        core = np.where(hi > lo, last[hi - 1] + 1, lo) if len(hi) else hi
-        strange = np.concatenate([[0], np.cumsum(~_LETTER[data])])
+        core, ending = hi.copy(), np.flatnonzero(hi > lo)
+        for _ in range(_SIGNS):
+            ending = ending[_SIGN[data[core[ending] - 1]]]
+            core[ending] -= 1
+            ending = ending[core[ending] > lo[ending]]
+        strange = np.zeros(len(data) + 1, np.int32)
+        np.cumsum(~_LETTER[data], out=strange[1:])
         simple = (core > lo) & (strange[core] == strange[lo])
         if self.kind == "dropped":
             inside = np.zeros(len(data) + 1, np.int8)
@@ -173,37 +180,44 @@ class Words:
         out.update(zip(rest, self._encode([pieces[i] for i in rest]) if rest else ()))
         return [out[i] for i in range(len(pieces))]
 
-    def _numbered(self, column: pa.Array) -> tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]:
-        """Of a column's pieces: each one's number among the different ones, those ones' ids, each one's count of ids; first pieces of texts."""
-        pieces, first = self._cut(column)
-        coded = pieces.dictionary_encode()
-        known, number = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
-        size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
-        return number, known, size[number], first
+    def _numbered(self, column: pa.Array) -> Iterator[tuple[np.ndarray, list[bytes], np.ndarray, np.ndarray]]:
+        """Of slices of a column: each piece's number among the different ones, those ones' ids, each piece's count of ids; first pieces of texts."""
+        sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        parts = np.cumsum(sizes, dtype=np.int64) // _SLICE
+        edges = [0, *(np.flatnonzero(np.diff(parts)) + 1).tolist(), len(column)]
+        for i, j in zip(edges, edges[1:]):
+            pieces, first = self._cut(column.slice(i, j - i))
+            coded = pieces.dictionary_encode()
+            known, number = self._ids_of(coded.dictionary.to_numpy(zero_copy_only=False).tolist()), coded.indices.to_numpy()
+            size = np.fromiter(map(len, known), np.int64, len(known)) >> 2
+            yield number, known, size[number], first
 
     def encoded(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of a string column's texts, without special tokens added, and where each text's begin (and the end). Nulls are empty."""
         if self.kind == "whole":
             each = self._encode([t or "" for t in column.to_pylist()])
             return np.frombuffer(b"".join(each), np.uint32), np.concatenate([[0], np.cumsum([len(x) // 4 for x in each], dtype=np.int64)])
-        number, known, size, first = self._numbered(column)
-        flat = np.frombuffer(b"".join(known), np.uint32)
-        at = np.cumsum([0, *(len(x) >> 2 for x in known)])
-        ends = np.concatenate([[0], np.cumsum(size)])
-        out = np.empty(ends[-1], np.uint32)
-        for i in range(0, len(number), _LAID):
-            j = min(i + _LAID, len(number))
-            place = np.repeat(at[number[i:j]] - ends[i:j] + ends[i], size[i:j])
-            place += np.arange(len(place))
-            out[ends[i] : ends[j]] = flat[place]
-        return out, ends[first]
+        outs, edges = [np.zeros(0, np.uint32)], [np.zeros(1, np.int64)]
+        for number, known, size, first in self._numbered(column):
+            flat = np.frombuffer(b"".join(known), np.uint32)
+            at = np.cumsum([0, *(len(x) >> 2 for x in known)])
+            ends = np.concatenate([[0], np.cumsum(size)])
+            out = np.empty(ends[-1], np.uint32)
+            for i in range(0, len(number), _LAID):
+                j = min(i + _LAID, len(number))
+                place = np.repeat(at[number[i:j]] - ends[i:j] + ends[i], size[i:j])
+                place += np.arange(len(place))
+                out[ends[i] : ends[j]] = flat[place]
+            outs.append(out)
+            edges.append(ends[first[1:]] + edges[-1][-1])
+        return np.concatenate(outs), np.concatenate(edges)
 
     def counts(self, column: pa.Array) -> np.ndarray:
         """How many ids each text of a string column has. Nulls are empty."""
         if self.kind == "whole":
             return np.diff(self.encoded(column)[1])
-        _, _, size, first = self._numbered(column)
-        return np.diff(np.concatenate([[0], np.cumsum(size)])[first])
+        parts = [np.diff(np.concatenate([[0], np.cumsum(size)])[first]) for _, _, size, first in self._numbered(column)]
+        return np.concatenate([np.zeros(0, np.int64), *parts])
 
     def ids(self, texts: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, without special tokens added."""

@@ -322,11 +322,13 @@ def test_language_id(spark):
 def test_words_encode_as_whole_texts(name, monkeypatch):
     monkeypatch.setattr("annealjobs.llm.tokens.MOST_PIECES", 150)
     monkeypatch.setattr("annealjobs.llm.tokens._LAID", 1000)
+    monkeypatch.setattr("annealjobs.llm.tokens._SLICE", 5000)
+    monkeypatch.setattr("annealjobs.llm.tokens._SIGNS", 3)
     known = Words(tokenizer_path(name))
     r = random.Random(9)
     pieces = ["a", "Bc", "ß", "é", "É", "×", "÷", "ÿ", "Þ", "Ma", "ª", "µ", "ß.", "on.,", ".,", "a×.", "e\u0301", "İ", "Σ", "12", ".", "''", "'s", "'S", " ", " ", " ", "  ", "\n", "\t", "\u00a0", "\u3000", "\x00", "\x1c", "\x85", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "_", "|", "中文", "😀", ",", "!?", "The", "ing"]
     wild = ["".join(r.choices(pieces, k=r.randint(1, 30))) for _ in range(3000)]
-    some = wild + texts(5) + [t or "" for t in ODD]
+    some = wild + texts(5) + [t or "" for t in ODD] + ["on" + "!" * 40 + " on.,", "!" * 100]
     want = [np.array(e.ids, np.uint32).tobytes() for e in known.tokenizer.encode_batch(some, add_special_tokens=False)]
     assert known.kind != "whole" and known.ids(some) == want
     for at in range(0, len(some), 40):  # small batches, of slices with nulls
