@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
@@ -85,6 +86,17 @@ def lowered_words(text: bytes) -> list[bytes]:
     return text.lower().split()
 
 
+def runs_of(kind: str, text: bytes, piece: int = 1 << 20) -> Iterator[list[bytes]]:
+    """The longest runs of bytes of a class, such as a-z, in their order: a list for each piece of a text, cut between runs."""
+    inside, outside = re.compile(b"[" + kind.encode("latin-1") + b"]+"), re.compile(b"[^" + kind.encode("latin-1") + b"]")
+    at = 0
+    while at < len(text):
+        cut = outside.search(text, min(len(text), at + piece))
+        end = cut.start() if cut else len(text)
+        yield inside.findall(text, at, end)
+        at = end
+
+
 def shingles(words: list[bytes], k: int) -> tuple[bytes, list[int], list[int]]:
     """Space-joined words, and where each k-word shingle starts and ends in them.
 
