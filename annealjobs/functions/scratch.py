@@ -23,13 +23,19 @@ def new_path(spark: SparkSession, what: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
-def saved(df: DataFrame, what: str) -> DataFrame:
+def saved(df: DataFrame, what: str, path: str | None = None) -> DataFrame:
     """The rows of df written to the shared folder and read again: what several plans read is computed once."""
-    path = new_path(df.sparkSession, what)
+    path = path or new_path(df.sparkSession, what)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def forget(spark: SparkSession, path: str) -> None:
+    """Delete a table of new_path() that nothing reads any more."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint."""
     shared_folder(df.sparkSession)

@@ -267,26 +267,35 @@ def r6_survivors(spark, d):
 # The next temperature
 
 
-def _solved(mode: str, passes: int = 2, n: int = 32) -> str:
-    """Grids of candidates in each population's bracket, narrowed around the first that falls under the target."""
-    second, over = ("w", "") if mode == "cess" else ("w * w", " / count(*)")
-    now = "0.9" if mode == "cess" else "0.9 / sum(w * w) / count(*)"
-    out = f"{PART}, b0 AS (SELECT population_id, 0.0::DOUBLE AS lo, {1 - BETA}::DOUBLE AS hi, {now} AS target FROM part GROUP BY population_id)"
-    for i in range(passes):
-        out += f""", g{i} AS (SELECT population_id, target, lo + (hi - lo) * k / {n} AS delta, lo + (hi - lo) * (k - 1) / {n} AS lft FROM b{i}, range(1, {n + 1}) r(k)),
-  c{i} AS (SELECT g.population_id, delta, lft, target, pow(sum(w * exp(delta * log_lik)), 2) / sum({second} * exp(2 * delta * log_lik)){over} AS value FROM g{i} g JOIN part USING (population_id) GROUP BY ALL),
-  b{i + 1} AS (SELECT population_id, coalesce(arg_min(lft, delta) FILTER (value < target), max(delta)) AS lo, coalesce(min(delta) FILTER (value < target), max(delta)) AS hi, max(target) AS target FROM c{i} GROUP BY population_id)"""
-    return out + f" SELECT population_id, round(CASE WHEN lo >= {1 - BETA} THEN {1 - BETA} ELSE (lo + hi) / 2 END, 6) AS delta FROM b{passes}"
-
-
-@query(_solved("cess"))
+def _solved(mode: str, alpha: float, part: str = PART, alive: str = "true", default: str = "NULL", rounds: int = 45) -> str:
+    """Bisection of each population's way to 1: another method than the query's, to the same root."""
+    second = "w" if mode == "cess" else "w * w"
+    now = "1.0" if mode == "cess" else "max(1 / s2)"
+    ratio = lambda x: f"pow(sum(w * exp({x} * log_lik)) FILTER ({alive}), 2) / sum({second} * exp(2 * {x} * log_lik)) FILTER ({alive}) / {now}"
+    return f"""{part.replace('WITH', 'WITH RECURSIVE', 1)}, p AS (SELECT *, sum(w * w) OVER (PARTITION BY population_id) AS s2 FROM part),
+  ends AS (SELECT population_id, {ratio('0.0')} AS zero, {ratio(1 - BETA)} AS one FROM p GROUP BY population_id),
+  b AS (SELECT population_id, 0.0::DOUBLE AS lo, {1 - BETA}::DOUBLE AS hi, 0 AS i FROM ends UNION ALL
+    SELECT population_id, CASE WHEN v >= {alpha} THEN mid ELSE lo END, CASE WHEN v >= {alpha} THEN hi ELSE mid END, i + 1
+    FROM (SELECT b.population_id, lo, hi, i, (lo + hi) / 2 AS mid, {ratio('((lo + hi) / 2)')} AS v FROM b JOIN p USING (population_id) WHERE i < {rounds} GROUP BY b.population_id, lo, hi, i))
+  SELECT population_id, round(CASE WHEN one >= {alpha} THEN {1 - BETA} WHEN zero <= {alpha} OR zero IS NULL THEN {default} ELSE lo END, 6) AS delta FROM b JOIN ends USING (population_id) WHERE i = {rounds}"""
+
+
+@query(_solved("cess", 0.999))
 def a1_next_temperature_cess(spark, d):
-    return rounded(adaptive.next_temperature(part(spark, d).withColumn("beta", F.lit(BETA)), "population_id", "beta", 0.9, passes=2), "delta")
+    return rounded(adaptive.next_temperature(part(spark, d).withColumn("beta", F.lit(BETA)), "population_id", "beta"), "delta")
 
 
-@query(_solved("ess"))
+@query(_solved("ess", 0.9))
 def a2_next_temperature_ess(spark, d):
-    return rounded(adaptive.next_temperature(part(spark, d).withColumn("beta", F.lit(BETA)), "population_id", "beta", 0.9, "ess", passes=2), "delta")
+    return rounded(adaptive.next_temperature(part(spark, d).withColumn("beta", F.lit(BETA)), "population_id", "beta", 0.9, "ess"), "delta")
+
+
+@query(_solved("cess", 0.75, alive="state <> 'signup'", default="1.0 / 5000"))
+def a4_default_step(spark, d):
+    """Particles that signed up are dead; where they weigh too much, no step gives the target, and an equal step is taken."""
+    rows = part(spark, d).withColumn("log_lik", F.when(F.col("state") == "signup", lw.neg_inf()).otherwise(F.col("log_lik")))
+    steps = adaptive.next_temperature(rows.withColumn("beta", F.lit(BETA)), "population_id", "beta", 0.75)
+    return rounded(adaptive.or_default(steps, 5000), "delta")
 
 
 @query(f"""{PART}, grid AS (SELECT (i + 1) / 40.0 AS delta, i FROM range(10) r(i))

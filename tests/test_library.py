@@ -129,11 +129,34 @@ def test_next_temperature(spark, mode):
         for _ in range(60):
             mid = (lo + hi) / 2
             lo, hi = (mid, hi) if value(mid) >= goal else (lo, mid)
-        assert steps[p] == pytest.approx(lo, abs=1e-4)
+        assert steps[p] == pytest.approx(lo, rel=1e-7)
     flat = df.withColumn("log_lik", F.lit(-1.0)).withColumn("beta", F.lit(0.25))
     assert all(r.delta == pytest.approx(0.75) for r in adaptive.next_temperature(flat, "population_id", "beta", 0.8).collect())
 
 
+@pytest.mark.parametrize(("sd", "alpha"), [(0.01, 0.999), (1, 0.9999), (1000, 0.999), (5000, 0.999), (5000, 0.9999), (200, 0.5)])
+def test_steps_hold_their_target(spark, sd, alpha):
+    """The conditional ESS at the step is the target, whatever the scale: the tolerance is a share of 1 - alpha."""
+    r = np.random.default_rng(3)
+    rows = [(p, float(x) - 1e4) for p in range(3) for x in (r.normal(0, sd, 300) if p else r.standard_cauchy(300) * sd)]
+    df = spark.createDataFrame([(p, x, 1 / 300, 0.0) for p, x in rows], "population_id long, log_lik double, w double, beta double").repartition(5)
+    for s in adaptive.next_temperature(df, "population_id", "beta", alpha).collect():
+        x = np.array([v for p, v in rows if p == s.population_id])
+        v = np.exp(s.delta * (x - x.max()))
+        got = v.sum() ** 2 / (v * v).sum() / 300
+        assert (s.delta == 1 and got >= alpha) or abs(got - alpha) < 1e-6 * (1 - alpha)
+
+
+def test_steps_that_nothing_solves(spark):
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, -inf, 0.5), (1, -1.0, 0.5), (2, -inf, 0.5), (2, -inf, 0.5), (3, nan, 0.5), (3, 1.0, 0.5), (4, -inf, 0.05), (4, -1.0, 0.5), (4, -3.0, 0.45), (5, -inf, 0.5), (5, -1.0, 0.5), (6, -3.0, 1.0)]
+    df = spark.createDataFrame([(*x, 0.0) for x in rows], "population_id long, log_lik double, w double, beta double")
+    got = {r.population_id: r.delta for r in adaptive.next_temperature(df, "population_id", "beta", 0.9).collect()}
+    assert [got[k] for k in (1, 2, 3, 5)] == [None] * 4 and got[6] == 1 and 0 < got[4] < 1
+    assert {r.delta for r in adaptive.or_default(adaptive.next_temperature(df.where("population_id = 1"), "population_id", "beta", 0.9), 50).collect()} == {0.02}
+    assert not adaptive.next_temperature(df.limit(0), "population_id", "beta").count()
+
+
 def test_smc_meets_the_exact_evidence(spark):
     data = spark.createDataFrame([(0, [0, 1, 0]), (1, [1, 1, 1])], "population_id long, data array<int>")
     _, z = sampler.annealed_smc(data, sampler.HmmKernel(hmm.TWO), n=4000, steps=[0.2, 0.6, 1.0])
