@@ -20,7 +20,8 @@ DAMPING = 0.85
 ROUNDS = 8
 #: Largest share of its score by which a host's may still change over STEP rounds.
 TOLERANCE, STEP = 1e-6, 4
-DIGITS = 12
+#: Scores sum to 1 over all hosts, so they are compared by their ratio: sums of doubles in no fixed order differ by far less.
+SLACK = 1e-9
 #: Host names in markup: what an absolute link, or a mention such as a footer's, points at.
 HOSTNAME = r"(?i)[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,24}"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,9 +99,9 @@ def judge(pages: DataFrame, rules: Sequence[tuple[str, str]] = RULES, tolerance:
     against = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n")
     distrust = propagate(against, seeds["blocked"], tolerance, damping, "distrust").withColumnRenamed("score", "distrust")
     scores = saved(counts.select("host").join(trust, "host", "left").join(distrust, "host", "left").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust")), "scores")
-    # sums of doubles in no fixed order: what differs beyond DIGITS is a tie
-    by_method = F.when(F.round("distrust", DIGITS) > F.round(F.col("trust") + margin, DIGITS), F.lit("block")).otherwise(F.lit("allow"))
-    out = ruled.join(scores, "host", "left")
+    by_method = F.when(F.col("distrust") > (F.col("trust") + margin) * (1 + SLACK), F.lit("block")).otherwise(F.lit("allow"))
+    # urls without a host, which may be many, have no score to be joined with
+    out = ruled.where("host != ''").join(scores, "host", "left").unionByName(ruled.where("host = ''"), allowMissingColumns=True)
     return out.select("page_id", "host", "path", F.col("r.rule").alias("rule"), F.coalesce(F.col("r.verdict"), by_method).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
 
 
@@ -133,6 +134,6 @@ def oracle(rounds: int = ROUNDS, damping: float = DAMPING) -> str:
         for i in range(rounds):
             ctes.append(f"{name}{i + 1} AS (SELECT host, sum(score) AS score FROM (SELECT e.dst AS host, {damping} * p.score * e.share AS score FROM {name}{i} p JOIN {name}e e ON p.host = e.src UNION ALL SELECT host, {1 - damping} * seed FROM {name}s) GROUP BY host)")
     return (
-        "WITH " + ",\n".join(ctes) + f"\nSELECT r.page_id, r.host, r.path, r.rule, coalesce(r.verdict, CASE WHEN round(coalesce(d.score, 0), {DIGITS}) > round(coalesce(t.score, 0), {DIGITS}) THEN 'block' ELSE 'allow' END) AS verdict "
+        "WITH " + ",\n".join(ctes) + f"\nSELECT r.page_id, r.host, r.path, r.rule, coalesce(r.verdict, CASE WHEN coalesce(d.score, 0) > coalesce(t.score, 0) * {1 + SLACK!r} THEN 'block' ELSE 'allow' END) AS verdict "
         f"FROM ruled r LEFT JOIN t{rounds} t ON r.host = t.host LEFT JOIN d{rounds} d ON r.host = d.host"
     )
