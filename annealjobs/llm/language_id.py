@@ -103,12 +103,13 @@ def predict(docs: DataFrame, learned: DataFrame, top: int = TOP) -> DataFrame:
     table gives an empty result. The profiles, top rows a language, are a model: they go to every task, and
     over MOST_LANGUAGES of them are an error.
     """
-    if learned.select("lang").distinct().count() > MOST_LANGUAGES:
-        raise ValueError(f"over {MOST_LANGUAGES} languages")
     small_batches(docs.sparkSession)
+    rows = learned.limit(MOST_LANGUAGES * top + 1).collect()  # the fit runs once
+    if len({r.lang for r in rows}) > MOST_LANGUAGES or len(rows) > MOST_LANGUAGES * top:
+        raise ValueError(f"over {MOST_LANGUAGES} languages")
     known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
     by_lang: dict[str, list[tuple[int, int]]] = {}
-    for r in learned.collect():
+    for r in rows:
         by_lang.setdefault(r.lang, []).append((r.code, r.rank))
     for lang, pairs in by_lang.items():
         both = np.array(sorted(pairs), np.int64)
