@@ -9,7 +9,7 @@ fingerprint looks up its own four. Candidates are then verified by the exact wei
 of their shingle multisets, in the documents that have any.
 
 A document shorter than an item is one window, all of it, looked up among items of each number of words
-that the similarity allows.
+that the similarity allows. An item of fewer than five words is one shingle, which stands or does not.
 """
 
 from __future__ import annotations
@@ -53,25 +53,31 @@ class _Items:
         by_size: dict[int, set[int]] = defaultdict(set)
         for text in texts:
             words = lowered_words(text)
-            if len(words) >= SHINGLE:
-                ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint64)
-                by_size[len(words)].update(self.codes(ids).tolist())
+            ids = np.array([self.number.setdefault(w, len(self.number) + 1) for w in words], np.uint64)
+            by_size[len(words)].update(self.codes(ids, min(len(words), SHINGLE)).tolist())
+        self.short = {size: np.sort(np.fromiter(by_size[size], np.uint64)) for size in range(1, SHINGLE) if by_size.get(size)}
+        by_size = {size: c for size, c in by_size.items() if size >= SHINGLE}
         codes = np.concatenate([np.fromiter(c, np.uint64, len(c)) for c in by_size.values()] or [np.zeros(0, np.uint64)])
         sizes = np.concatenate([np.full(len(c), size) for size, c in by_size.items()] or [np.zeros(0, int)])
         order = np.lexsort((sizes, codes))
         self.codes_, self.sizes = codes[order], sizes[order]  # each shingle under every size of item that has it
 
     @staticmethod
-    def codes(ids: np.ndarray) -> np.ndarray:
-        """A rolling code of each shingle; 64 bits, so that a rare collision only lets a window pass."""
-        out = np.zeros(max(0, len(ids) - SHINGLE + 1), np.uint64)
-        for i in range(SHINGLE):
+    def codes(ids: np.ndarray, k: int = SHINGLE) -> np.ndarray:
+        """A rolling code of each k words; 64 bits, so that a rare collision only lets a window pass."""
+        out = np.zeros(max(0, len(ids) - k + 1), np.uint64)
+        for i in range(k):
             out = (out ^ (out >> np.uint64(29))) * _STEP + ids[i : i + len(out)]
         return out
 
     def windows(self, words: list[bytes], threshold: float) -> Iterator[tuple[np.ndarray, int, int, np.ndarray]]:
         """(first words, number of words, number of the item's words, fingerprints) of windows that share a shingle with an item."""
         ids = np.fromiter((self.number.get(w, 0) for w in words), np.uint64, len(words))
+        for size, codes in self.short.items():  # as many words as the item has, and one shingle
+            starts = np.flatnonzero(np.isin(self.codes(ids, size), codes))
+            for i in range(0, len(starts), _PIECE):
+                part = starts[i : i + _PIECE]
+                yield part, size, size, np.array([fingerprint(words[a : a + size]) for a in part.tolist()], np.uint64)
         known = np.concatenate([[0], np.cumsum(ids != 0)])
         at = np.flatnonzero(known[SHINGLE:] - known[:-SHINGLE] == SHINGLE) if len(ids) >= SHINGLE else []
         if not len(at) or not len(self.codes_):
@@ -192,9 +198,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
     """(doc_id, item_id, start, n_words, similarity): each document's best window for each item it holds.
 
     docs (doc_id: an integer or a string, text), benchmark (item_id, text). Words are runs of anything but
-    ASCII white space, A-Z lower-cased. A document with fewer words than an item is one window. Items of
-    fewer than five words have no shingle and match nothing, as do null texts; ties go to the first window;
-    repeated items each count under their ids; rows of one doc_id, or of none, are one document, of which
+    ASCII white space, A-Z lower-cased. A document with fewer words than an item is one window. An item of fewer
+    than five words matches where its words stand one after the other; items without a word, and null texts, match
+    nothing; ties go to the first window; repeated items each count under their ids; rows of one doc_id, or of none, are one document, of which
     any text counts; other columns are ignored; empty tables give an empty result. Benchmarks over
     slice_words take several passes, each with a slice of items chosen by hash, so that what goes to the
     tasks is bounded.
@@ -208,7 +214,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = SIMIL
     for i in range(slices):
         some = texts if slices == 1 else texts.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(slices)) == i)
         rows = [(r.item_id, lowered_words(r.text.encode())) for r in some.collect()]  # a bounded slice
-        rows = [(item, w) for item, w in rows if len(w) >= SHINGLE]
+        rows = [(item, w) for item, w in rows if w]
         windows = saved(window_fingerprints(docs, [b" ".join(w) for _, w in rows], threshold), "windows")
         items = spark.createDataFrame([(k, len(w), int(np.uint64(fingerprint(w)).astype(np.int64))) for k, (_, w) in enumerate(rows)], "item int, item_words int, item_fp long")
         near = windows.join(candidates(windows, items, radius), ["item_words", "fp"])
