@@ -43,6 +43,8 @@ _WHOLE = -1
 MOST_ROWS = 20_000
 #: A trigger or phrase is frequent with this share of the parse's rows, and this many rows: at most 4,000 of each are named.
 FREQUENT, LEAST_FREQUENT, SALTS = 1 / 2000, 100, 256
+#: Doc_ids of several texts that may be sent to every task.
+MOST_SEVERAL = 100_000
 
 
 def _byte_values(seed: int) -> np.ndarray:
@@ -101,16 +103,16 @@ def parse(data: np.ndarray, ends: np.ndarray, powers: _Powers, length: int = LEN
 
 
 def _parsed(b: pa.RecordBatch, powers: _Powers, length: int, width: int, piece: int) -> Iterator[tuple[np.ndarray, ...]]:
-    """trigger, phrase, doc_id and place (first start * 64 + number of starts) of the phrases of a batch (doc_id, text).
+    """trigger, phrase, doc_id, variant and place (first start * 64 + number of starts) of the phrases of a batch (doc_id, variant, text).
 
     Of equal texts in one batch only the smallest doc_id is parsed; the others give one row with place -1.
     """
-    first: dict[bytes, int] = {}
-    copies: list[int] = []
-    for doc_id, text in sorted(zip(b.column(0).to_pylist(), utf8(b.column(1)))):
-        if len(text) >= length and first.setdefault(text, doc_id) < doc_id:
-            copies.append(doc_id)
-    pieces: list[tuple[int, int, bytes]] = [(d, at, t[at : at + piece // 2 + length - 1]) for t, d in first.items() for at in range(0, len(t) - length + 1, piece // 2)]
+    first: dict[bytes, tuple[int, int]] = {}
+    copies: list[tuple[int, int]] = []
+    for doc_id, variant, text in sorted(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2)))):
+        if len(text) >= length and first.setdefault(text, (doc_id, variant))[0] < doc_id:
+            copies.append((doc_id, variant))
+    pieces: list[tuple[tuple[int, int], int, bytes]] = [(d, at, t[at : at + piece // 2 + length - 1]) for t, d in first.items() for at in range(0, len(t) - length + 1, piece // 2)]
     while pieces:
         some, size = [], 0
         while pieces and (not some or size + len(pieces[-1][2]) <= piece):
@@ -120,18 +122,31 @@ def _parsed(b: pa.RecordBatch, powers: _Powers, length: int, width: int, piece:
         ends = np.cumsum([len(p[2]) for p in some])
         trigger, phrase, text, lo, n, _ = parse(data, ends, powers, length, width)
         ids, base = np.array([p[0] for p in some], np.int64)[text], (np.array([p[1] for p in some]) - ends + [len(p[2]) for p in some])[text]
-        yield trigger, phrase, ids, (base + lo) << 6 | n
+        yield trigger, phrase, ids[:, 0].copy(), ids[:, 1].copy(), (base + lo) << 6 | n
     if copies:
-        own = np.array(copies, np.int64)
-        yield _mixed(own.view(np.uint64)), own.view(np.uint64), own, np.full(len(own), _WHOLE)
+        own, variant = np.array(copies, np.int64).T.copy()
+        yield _mixed(own.view(np.uint64)), own.view(np.uint64), own, variant, np.full(len(own), _WHOLE)
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, variant, text) of docs: variant is 0, but for doc_ids of several texts, which it tells apart."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id IS NOT NULL AND text IS NOT NULL")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = F.xxhash64(F.coalesce("text", F.lit("")))
+    texts = rows.select("doc_id", own.alias("h")).groupBy("doc_id").agg(F.min("h").alias("a"), F.max("h").alias("b"))
+    several = saved(texts.where("doc_id IS NOT NULL AND a != b").select(F.col("doc_id").alias("several")), "several")
+    n = several.count()
+    if not n:
+        return rows.select("doc_id", F.lit(0).cast("long").alias("variant"), "text")
+    marked = rows.join(F.broadcast(several) if n <= MOST_SEVERAL else several, F.col("doc_id") == F.col("several"), "left")
+    return marked.select("doc_id", F.when(F.col("several").isNull(), F.lit(0).cast("long")).otherwise(own).alias("variant"), "text")
 
 
-def frequent(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> tuple[np.ndarray, np.ndarray]:
+def _texts(rows: DataFrame) -> DataFrame:
+    return rows.where("doc_id IS NOT NULL AND text IS NOT NULL")
+
+
+def frequent(rows: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> tuple[np.ndarray, np.ndarray]:
     """Triggers, and hashes of (trigger, phrase), with at least the share FREQUENT of all rows of the parse.
 
     Batches name what has half that share of them. What has the share over all is named for at least half of its
@@ -154,43 +169,43 @@ def frequent(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> tup
                 n += count[count >= least].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int32()), pa.array(key, pa.int64()), pa.array(n, pa.int64())], ["kind", "key", "n"])
 
-    named = saved(_texts(docs).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "frequent")
-    rows = named.where("kind = 2").agg(F.sum("n")).first()[0] or 0
-    found = named.where((F.col("kind") < 2) & (F.col("n") >= max(LEAST_FREQUENT, rows * FREQUENT / 2))).collect()
+    named = saved(_texts(rows).mapInArrow(run, "kind int, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n")), "frequent")
+    n = named.where("kind = 2").agg(F.sum("n")).first()[0] or 0
+    found = named.where((F.col("kind") < 2) & (F.col("n") >= max(LEAST_FREQUENT, n * FREQUENT / 2))).collect()
     return tuple(np.array(sorted(r.key for r in found if r.kind == k), np.int64).view(np.uint64) for k in (0, 1))
 
 
-_PARSE = "part long, trigger long, phrase long, doc_id long, place long, frequent int"
+_PARSE = "part long, trigger long, phrase long, doc_id long, variant long, place long, frequent int"
 
 
-def phrases(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
-    """_PARSE of every row of docs. Rows of a part are to meet: those of a trigger, of a frequent trigger's phrase (frequent = 1), or of a document's salt of a frequent phrase (2)."""
-    triggers, pairs = frequent(docs, length, width)
+def phrases(rows: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
+    """_PARSE of every row of _rows. Rows of a part are to meet: those of a trigger, of a frequent trigger's phrase (frequent = 1), or of a document's salt of a frequent phrase (2)."""
+    triggers, pairs = frequent(rows, length, width)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         powers = _Powers(_PIECE + 2 * length)
         for b in batches:
-            for trigger, phrase, ids, place in _parsed(b, powers, length, width, _PIECE):
+            for trigger, phrase, ids, variant, place in _parsed(b, powers, length, width, _PIECE):
                 pair = _mixed(trigger ^ phrase)
                 kind = np.where(np.isin(pair, pairs), 2, np.where(np.isin(trigger, triggers), 1, 0))
                 salt = ids.view(np.uint64) % np.uint64(SALTS)
                 part = np.where(kind == 2, _mixed(pair + salt), np.where(kind == 1, pair, trigger))
-                columns = [part.view(np.int64), trigger.view(np.int64), phrase.view(np.int64), ids, place, kind.astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "trigger", "phrase", "doc_id", "place", "frequent"])
+                columns = [part.view(np.int64), trigger.view(np.int64), phrase.view(np.int64), ids, variant, place, kind.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["part", "trigger", "phrase", "doc_id", "variant", "place", "frequent"])
 
-    return _texts(docs).mapInArrow(run, _PARSE)
+    return _texts(rows).mapInArrow(run, _PARSE)
 
 
-_SUFFIXES = "doc_id long, lo long, mask long, key long, bytes binary"
+_SUFFIXES = "doc_id long, variant long, lo long, mask long, key long, bytes binary"
 
 
-def _halves(t: pa.Table, length: int, width: int) -> Iterator[tuple[int, int, int, bytes]]:
-    """doc_id, place, key and bytes of the phrases' parts: strings that hold what follows the trigger, and others.
+def _halves(t: pa.Table, length: int, width: int) -> Iterator[tuple[int, int, int, int, bytes]]:
+    """doc_id, variant, place, key and bytes of the phrases' parts: strings that hold what follows the trigger, and others.
 
     Equal strings have their trigger at one place, so they are in parts of one key.
     """
     raw = t.column("bytes").to_pylist()
-    doc, place = t.column("doc_id").to_pylist(), t.column("place").to_pylist()
+    doc, variant, place = (t.column(c).to_pylist() for c in ("doc_id", "variant", "place"))
     half = (length - width) // 2
     data, ends = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([len(x) for x in raw])
     trigger, _, text, _, _, rel = parse(data, ends, _Powers(len(data) + length), length, width)  # a phrase each
@@ -200,7 +215,7 @@ def _halves(t: pa.Table, length: int, width: int) -> Iterator[tuple[int, int, in
         for side, about, i, j in ((b"a", after, max(0, r - half), n), (b"b", before, 0, min(n, r - half))):
             if i < j:
                 key = xxhash.xxh3_64_intdigest(side + h.to_bytes(8, "little") + about)
-                yield doc[k], (lo + i) << 6 | (j - i), key - (1 << 64) if key >> 63 else key, raw[k][i : j - 1 + length]
+                yield doc[k], variant[k], (lo + i) << 6 | (j - i), key - (1 << 64) if key >> 63 else key, raw[k][i : j - 1 + length]
 
 
 def _sort_suffixes(length: int, width: int, then: str):
@@ -221,7 +236,7 @@ def _sort_suffixes(length: int, width: int, then: str):
         return row, offset, own
 
     def sorted_groups(t: pa.Table) -> pa.RecordBatch:
-        key, doc, place = (t.column(c).to_numpy() for c in ("key", "doc_id", "place"))
+        key, doc, variant, place = (t.column(c).to_numpy() for c in ("key", "doc_id", "variant", "place"))
         row, offset, own = windows(t)
         group = np.concatenate([[0], np.cumsum(key[1:] != key[:-1])])
         # the dictionary's suffix array: by trigger, then by the bytes of the suffix, then by document
@@ -238,23 +253,23 @@ def _sort_suffixes(length: int, width: int, then: str):
         mask = np.zeros(t.num_rows, np.int64)
         np.bitwise_or.at(mask, row[late], np.int64(1) << offset[late])
         some = mask != 0
-        return batch(doc[some], (place >> 6)[some], mask[some], pa.nulls(int(some.sum()), pa.int64()), pa.nulls(int(some.sum()), pa.binary()))
+        return batch(doc[some], variant[some], (place >> 6)[some], mask[some], pa.nulls(int(some.sum()), pa.int64()), pa.nulls(int(some.sum()), pa.binary()))
 
     def strings(t: pa.Table) -> Iterator[pa.RecordBatch]:
         for i in range(0, t.num_rows, 5000):
             part = t.slice(i, 5000)
             row, offset, own = windows(part)
-            doc, place = (part.column(c).to_numpy() for c in ("doc_id", "place"))
+            doc, variant, place = (part.column(c).to_numpy() for c in ("doc_id", "variant", "place"))
             raw = pa.Array.from_buffers(pa.binary(length), len(own), [None, pa.py_buffer(np.ascontiguousarray(own))])
-            yield batch(doc[row], (place >> 6)[row] + offset, np.ones(len(row), np.int64), pa.nulls(len(row), pa.int64()), raw.cast(pa.binary()))
+            yield batch(doc[row], variant[row], (place >> 6)[row] + offset, np.ones(len(row), np.int64), pa.nulls(len(row), pa.int64()), raw.cast(pa.binary()))
 
     def halves(t: pa.Table) -> Iterator[pa.RecordBatch]:
         for i in range(0, t.num_rows, 5000):
-            doc, place, key, raw = zip(*_halves(t.slice(i, 5000), length, width))
-            yield batch(np.array(doc, np.int64), np.array(place, np.int64), np.zeros(len(doc), np.int64), pa.array(key, pa.int64()), pa.array(raw, pa.binary()))
+            doc, variant, place, key, raw = zip(*_halves(t.slice(i, 5000), length, width))
+            yield batch(np.array(doc, np.int64), np.array(variant, np.int64), np.array(place, np.int64), np.zeros(len(doc), np.int64), pa.array(key, pa.int64()), pa.array(raw, pa.binary()))
 
-    def batch(doc: np.ndarray, lo: np.ndarray, mask: np.ndarray, key: pa.Array, raw: pa.Array) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(lo), pa.array(mask), key, raw], ["doc_id", "lo", "mask", "key", "bytes"])
+    def batch(doc: np.ndarray, variant: np.ndarray, lo: np.ndarray, mask: np.ndarray, key: pa.Array, raw: pa.Array) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*map(pa.array, (doc, variant, lo, mask)), key, raw], ["doc_id", "variant", "lo", "mask", "key", "bytes"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in runs(batches, "key"):
@@ -268,7 +283,7 @@ def _sort_suffixes(length: int, width: int, then: str):
 
 
 def _late_strings(strings: DataFrame) -> DataFrame:
-    """(doc_id, lo, mask) of rows (doc_id, lo, mask, bytes) whose bytes stand in an earlier document.
+    """(doc_id, variant, lo, mask) of rows (doc_id, variant, lo, mask, bytes) whose bytes stand in an earlier document.
 
     The least document of a string is a pre-aggregated minimum; those of frequent strings, at most 1,000, go to
     every task.
@@ -277,34 +292,37 @@ def _late_strings(strings: DataFrame) -> DataFrame:
     many = F.col("n") >= max(LEAST_FREQUENT, strings.count() / 1000)
     often = F.broadcast(least.where(many).select("bytes", "least"))
     rare = strings.join(F.broadcast(least.where(many).select("bytes")), "bytes", "left_anti").join(least.where(~many), "bytes")
-    both = rare.select("doc_id", "lo", "mask", "least").unionByName(strings.join(often, "bytes").select("doc_id", "lo", "mask", "least"))
-    return both.where("doc_id > least").select("doc_id", "lo", "mask")
+    both = rare.select(*_MARKS, "least").unionByName(strings.join(often, "bytes").select(*_MARKS, "least"))
+    return both.where("doc_id > least").select(_MARKS)
+
 
+_MARKS = ["doc_id", "variant", "lo", "mask"]
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
-    """(doc_id, lo, mask): starts lo + i, for each bit i of mask, of strings that an earlier document has; lo -1: all."""
-    parsed = phrases(docs, length, width).repartition("part")
+
+def repeated_starts(rows: DataFrame, length: int = LENGTH, width: int = TRIGGER) -> DataFrame:
+    """_MARKS of _rows: starts lo + i, for each bit i of mask, of strings that an earlier document has; lo -1: all."""
+    parsed = phrases(rows, length, width).repartition("part")
     of_phrase, of_trigger = Window.partitionBy("part", "trigger", "phrase"), Window.partitionBy("part", "trigger")
     seen = parsed.withColumn("first", F.min("doc_id").over(of_phrase)).withColumn("many", (F.col("frequent") > 0) | (F.min("phrase").over(of_trigger) != F.max("phrase").over(of_trigger)))
     seen = seen.withColumn("large", (F.col("frequent") > 0) | (F.count("*").over(of_trigger) > MOST_ROWS))
-    seen = saved(seen.where("place = -1 OR doc_id > first OR many").select("trigger", "doc_id", "place", "first", "large", F.when(F.col("frequent") == 2, F.col("phrase")).alias("phrase")), "phrases")
+    seen = saved(seen.where("place = -1 OR doc_id > first OR many").select("trigger", "doc_id", "variant", "place", "first", "large", F.when(F.col("frequent") == 2, F.col("phrase")).alias("phrase")), "phrases")
     # the first document of a frequent phrase, over its parts: as few rows as there are such phrases
     firsts = seen.where("phrase IS NOT NULL").groupBy(F.col("trigger").alias("t"), F.col("phrase").alias("p")).agg(F.min("first").alias("f"))
     all_seen = seen.join(F.broadcast(firsts), (F.col("trigger") == F.col("t")) & (F.col("phrase") == F.col("p")), "left")
-    all_seen = all_seen.select("trigger", "doc_id", "place", "large", (F.expr("place = -1") | (F.col("doc_id") > F.coalesce("f", "first"))).alias("known"))
+    all_seen = all_seen.select("trigger", "doc_id", "variant", "place", "large", (F.expr("place = -1") | (F.col("doc_id") > F.coalesce("f", "first"))).alias("known"))
     known = all_seen.where("known")
     # n ones; a phrase has at most length - width + 1 < 63 starts
-    whole = known.select("doc_id", F.when(F.expr("place = -1"), F.lit(-1).cast("long")).otherwise(F.expr("place div 64")).alias("lo"), F.expr("CASE WHEN place = -1 THEN 1L ELSE shiftleft(1L, CAST(place % 64 AS INT)) - 1 END").alias("mask"))
-    open_ = all_seen.where("NOT known").groupBy("doc_id").agg(F.collect_list(F.struct("trigger", "place", "large")).alias("open"))  # as long as a text at most
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").cast("binary").alias("raw")).where("doc_id IS NOT NULL AND raw IS NOT NULL")
+    whole = known.select("doc_id", "variant", F.when(F.expr("place = -1"), F.lit(-1).cast("long")).otherwise(F.expr("place div 64")).alias("lo"), F.expr("CASE WHEN place = -1 THEN 1L ELSE shiftleft(1L, CAST(place % 64 AS INT)) - 1 END").alias("mask"))
+    open_ = all_seen.where("NOT known").groupBy("doc_id", "variant").agg(F.collect_list(F.struct("trigger", "place", "large")).alias("open"))  # as long as a text at most
+    texts = _texts(rows).select("doc_id", "variant", F.col("text").cast("binary").alias("raw"))
     cut = F.expr(f"transform(open, o -> struct(o.trigger AS trigger, o.place AS place, o.large AS large, substring(raw, CAST(o.place div 64 + 1 AS INT), CAST(o.place % 64 + {length - 1} AS INT)) AS bytes))")
-    dictionary = texts.join(open_, "doc_id").select("doc_id", F.explode(cut).alias("o")).select("o.trigger", "doc_id", "o.place", "o.large", "o.bytes").where(f"length(bytes) = place % 64 + {length - 1}")
+    dictionary = texts.join(open_, ["doc_id", "variant"]).select("doc_id", "variant", F.explode(cut).alias("o")).select("o.trigger", "doc_id", "variant", "o.place", "o.large", "o.bytes").where(f"length(bytes) = place % 64 + {length - 1}")
     keyed = dictionary.withColumn("key", F.when(F.col("large"), F.xxhash64("bytes")).otherwise(F.col("trigger"))).drop("trigger")
-    columns = ["key", "doc_id", "place", "large", "bytes"]
+    columns = ["key", "doc_id", "variant", "place", "large", "bytes"]
     sort = lambda rows, then: rows.select(columns).repartition("key").sortWithinPartitions("key").mapInArrow(_sort_suffixes(length, width, then), _SUFFIXES)
     suffixes = saved(sort(keyed, "halves"), "suffixes")
-    out = whole.unionByName(suffixes.where("bytes IS NULL").select("doc_id", "lo", "mask"))
-    halves = suffixes.where("bytes IS NOT NULL").select("key", "doc_id", F.col("lo").alias("place"), "bytes")
+    out = whole.unionByName(suffixes.where("bytes IS NULL").select(_MARKS))
+    halves = suffixes.where("bytes IS NOT NULL").select("key", "doc_id", "variant", F.col("lo").alias("place"), "bytes")
     if halves.isEmpty():
         return out
     # the few keys that still have too much: each stands for over MOST_ROWS rows
@@ -313,7 +331,7 @@ def repeated_starts(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER)
     marked = halves.join(many, "key", "left").withColumn("large", F.coalesce("large", F.lit(False)))
     marked = marked.withColumn("key", F.when(F.col("large"), F.xxhash64("bytes")).otherwise(F.col("key")))
     again = saved(sort(marked, "strings"), "suffixes")
-    out = out.unionByName(again.where("bytes IS NULL").select("doc_id", "lo", "mask"))
+    out = out.unionByName(again.where("bytes IS NULL").select(_MARKS))
     strings = again.where("bytes IS NOT NULL").drop("key")
     return out if strings.isEmpty() else out.unionByName(_late_strings(strings))
 
@@ -341,13 +359,13 @@ def dedup_spans(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) ->
     Every byte goes that a string of length bytes covers which also starts in a document of smaller
     doc_id; strings are judged on the input. Null texts are empty; texts shorter than length lose
     nothing; a null doc_id has no order, so its row loses nothing and takes nothing from others; rows that
-    repeat a doc_id are the same document and judged alike; other columns are ignored.
+    repeat a doc_id are the same document, of which each row loses what its own text shares with smaller doc_ids,
+    and nothing for another row's; other columns are ignored.
     """
     if not 0 < width <= length < width + 60:
         raise ValueError("width must be at most length, and length under width + 60")
-    small_batches(docs.sparkSession)
-    marks = saved(repeated_starts(docs, length, width), "marks").groupBy("doc_id").agg(F.collect_list("lo").alias("lo"), F.collect_list("mask").alias("mask"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    rows = _rows(docs)
+    marks = saved(repeated_starts(rows, length, width), "marks").groupBy("doc_id", "variant").agg(F.collect_list("lo").alias("lo"), F.collect_list("mask").alias("mask"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -360,7 +378,7 @@ def dedup_spans(docs: DataFrame, length: int = LENGTH, width: int = TRIGGER) ->
             cols = list(zip(*out)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, pa.int64()) for c in cols[:3]), pa.array(cols[3], pa.binary())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
-    return texts.join(marks, "doc_id", "left").select("doc_id", "text", "lo", "mask").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return rows.join(marks, ["doc_id", "variant"], "left").select("doc_id", "text", "lo", "mask").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op7_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
