@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from annealjobs.llm.components import components
-from annealjobs.llm.shared import lowered_words, majority, pieces, runs, saved, shingles, small_batches, table, texts_of, utf8
+from annealjobs.llm.shared import forget, lowered_words, majority, pieces, runs, saved, scratch, shingles, small_batches, table, texts_of, utf8
 
 RADIUS = 3
 #: Fingerprints of a bucket that one task compares at once; larger buckets are dealt out as pairs of chunks.
@@ -280,12 +280,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, radius: int = RADIUS, seed: int
 
     component_id is the smallest doc_id that links reach, the document itself included. Null and empty
     texts have fingerprint zero and link like any other; a null doc_id takes the smallest doc_id of its
-    group (null if there is none); rows that repeat a doc_id keep one row each; other columns are ignored.
-    Copies of a fingerprint are folded into one node before comparing, so hot groups cost one row.
+    group (null if there is none); rows that repeat a doc_id keep one row each, and where their texts differ the
+    document links what any of them does; other columns are ignored. Copies of a fingerprint are folded into one
+    node before comparing, so hot groups cost one row.
     """
     fps = saved(fingerprints(docs, k, seed), "fingerprints")
     by_fp = saved(fps.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    groups = components(near_links(by_fp.where("node IS NOT NULL"), radius, chunk))
+    edges = near_links(by_fp.where("node IS NOT NULL"), radius, chunk)
+    several = fps.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a != b").select("doc_id")
+    own = fps.join(several, "doc_id", "left_semi").select("doc_id", "fp").distinct().join(by_fp, "fp")
+    groups = components(edges.unionByName(own.select(F.col("doc_id").alias("u"), F.col("node").alias("v"))))
     ids = by_fp.join(groups, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
     return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
 
@@ -320,8 +324,13 @@ def _digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
+def content(docs: DataFrame) -> Column:
+    """Tells the texts of rows of one doc_id apart."""
+    return F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
+
+
 def wide_fingerprints(docs: DataFrame, k: int, words: int = WIDE, seed: int = 42) -> DataFrame:
-    """(doc_id, fp binary, digest binary, n int): fingerprints of words x 64 bits over distinct shingles; the set's digest and size.
+    """(doc_id, content, fp binary, digest binary, n int): fingerprints of words x 64 bits over distinct shingles; the set's digest and size.
 
     Further words are majorities of remixed shingle hashes.
     """
@@ -338,10 +347,10 @@ def wide_fingerprints(docs: DataFrame, k: int, words: int = WIDE, seed: int = 42
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp, digest, n = zip(*map(one, utf8(b.column(1)))) if b.num_rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array(n, pa.int32())], ["doc_id", "fp", "digest", "n"])
+            fp, digest, n = zip(*map(one, utf8(b.column(2)))) if b.num_rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(fp, pa.binary()), pa.array(digest, pa.binary()), pa.array(n, pa.int32())], ["doc_id", "content", "fp", "digest", "n"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, fp binary, digest binary, n int")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), content(docs).alias("content"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, content long, fp binary, digest binary, n int")
 
 
 def wide_links(nodes: DataFrame, radius: int, bits: int, tables: int, words: int = WIDE, chunk: int = CHUNK) -> DataFrame:
@@ -372,24 +381,25 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Those of pairs (u, v) of doc_ids whose texts have the Jaccard similarity: distinct k-word shingles, shared over united.
+    """(u, v) of those of pairs (u, doc_u, digest_u, v, doc_v, digest_v) whose texts have the Jaccard similarity: distinct k-word shingles, shared over united.
 
-    Texts of hash slots that no pair falls in are left out before texts are shuffled.
+    A node's text is that of its doc whose shingles have its digest. Texts of hash slots that no pair falls in
+    are left out before texts are shuffled.
     """
     small_batches(docs.sparkSession)
-    texts = _texts(docs, pairs.select(F.explode(F.array("u", "v")).alias("doc_id")))
+    texts = _texts(docs, pairs.select(F.explode(F.array("doc_u", "doc_v")).alias("doc_id")))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             like = []
-            for x, y in zip(utf8(b.column(2)), utf8(b.column(3))):
+            for x, y, dx, dy in zip(utf8(b.column(2)), utf8(b.column(3)), b.column(4).to_pylist(), b.column(5).to_pylist()):
                 x, y = shingle_set(x, k), shingle_set(y, k)
                 both = len(np.intersect1d(x, y, assume_unique=True))
-                like.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+                like.append(both >= similarity * (len(x) + len(y) - both) - 1e-9 and (_digest(x), _digest(y)) == (dx, dy))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["u", "v"]).filter(pa.array(like, pa.bool_()))
 
-    both = pairs.join(texts.toDF("u", "a"), "u").join(texts.toDF("v", "b"), "v")
-    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+    both = pairs.join(texts.toDF("doc_u", "a"), "doc_u").join(texts.toDF("doc_v", "b"), "doc_v")
+    return both.select("u", "v", "a", "b", "digest_u", "digest_v").mapInArrow(run, "u long, v long")
 
 
 def _like(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, similarity: float) -> list[tuple[int, int]]:
@@ -430,8 +440,8 @@ def _like(sets: list[np.ndarray], label: np.ndarray, side: np.ndarray, similarit
 def exact_links(members: DataFrame, docs: DataFrame, k: int, similarity: float) -> DataFrame:
     """Edges (u, v) that connect what pairs of the similarity connect within each group, every pair compared.
 
-    members: (node, digest, label, group, chunk, chunks), with the node a doc_id, the digest that of its shingles,
-    and pairs of one label connected beforehand. Each pair of a group's chunks is a task's work: no pair is a row.
+    members: (node, doc, digest, label, group, chunk, chunks); a node's text is that of its doc whose shingles have
+    the digest, and pairs of one label are connected beforehand. Each pair of a group's chunks is a task's work: no pair is a row.
     """
     small_batches(docs.sparkSession)
 
@@ -454,8 +464,8 @@ def exact_links(members: DataFrame, docs: DataFrame, k: int, similarity: float)
                 v += [node[s + j] for _, j in found]
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    texts = _texts(docs, members.select(F.col("node").alias("doc_id")))
-    both = texts.join(members, texts["doc_id"] == members["node"]).drop("doc_id").distinct()  # repeated rows once
+    texts = _texts(docs, members.select(F.col("doc").alias("doc_id")))
+    both = texts.join(members, texts["doc_id"] == members["doc"]).drop("doc_id", "doc").distinct()  # repeated rows once
     held = both.select("text", "digest", "node", "label", "group", "chunk", "chunks").mapInArrow(own, "own binary, node long, label long, group long, chunk int, chunks int")
     pairs = held.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     pairs = pairs.select(F.xxhash64("group", F.least("chunk", "o"), F.greatest("chunk", "o")).alias("key"), "node", "label", F.expr("CAST(chunk > o AS INT)").alias("side"), "own")
@@ -463,39 +473,53 @@ def exact_links(members: DataFrame, docs: DataFrame, k: int, similarity: float)
 
 
 def similar_documents(docs: DataFrame, k: int = 5, similarity: float = 0.8, words: int = WIDE, seed: int = 42) -> DataFrame:
-    """(doc_id, component_id) for every row of docs: groups linked at a similarity of k-word shingles.
+    """(doc_id, content, component_id) for every row of docs: groups linked at a similarity of k-word shingles.
 
     64 bits can't tell a similarity of 0.8: its pairs differ by ten bits, more or less by three. Here
     fingerprints have words x 64 bits, and what shares a bucket in one of table_shape(n, similarity) tables and
     stands within the similarity's distance is connected to a group. Inside each group every pair that other
     links leave open is compared by the exact similarity of its texts: no other link counts. Groups over a piece
     first have the links that made them verified, and are compared only where those do not join them whole.
-    Texts of the same shingles are one node. Nulls, repeats and other columns as in near_duplicates; where rows of
-    one doc_id differ, any of their texts counts.
+    Texts of the same shingles are one node. Nulls, repeats and other columns as in near_duplicates, but
+    that texts of one doc_id that differ are nodes of their own, and rows take the component of their own text;
+    content(docs) tells them apart.
     """
+    spark = docs.sparkSession
+    paths: list[str] = []
+
+    def kept(df: DataFrame, what: str) -> DataFrame:
+        paths.append(scratch(spark, what))
+        return saved(df, what, paths[-1])
+
     fps = saved(wide_fingerprints(docs, k, words, seed), "fingerprints")
-    nodes = saved(fps.groupBy("digest").agg(F.min("doc_id").alias("node"), F.min("fp").alias("fp"), F.min("n").alias("n")), "nodes")
-    known = nodes.where("node IS NOT NULL")
-    by_fp = saved(known.groupBy("fp").agg(F.min("node").alias("first")), "by-fp")
+    # a node is a number of its own, as a doc_id may have several texts
+    folded = fps.groupBy("digest").agg(F.min("doc_id").alias("doc"), F.min("fp").alias("fp"), F.min("n").alias("n"))
+    nodes = saved(folded.select("*", F.monotonically_increasing_id().alias("node")), "nodes")
+    known = nodes.where("doc IS NOT NULL")
+    by_fp = kept(known.groupBy("fp").agg(F.min("node").alias("first")), "by-fp")
     bits, tables = table_shape(by_fp.count(), similarity)
     radius = wide_radius(similarity, words)
-    near = saved(wide_links(by_fp.select(F.col("first").alias("node"), "fp"), radius, bits, tables, words).distinct(), "near")
+    near = kept(wide_links(by_fp.select(F.col("first").alias("node"), "fp"), radius, bits, tables, words).distinct(), "near")
     grouped = by_fp.join(components(near).toDF("first", "least"), "first", "left").select("fp", F.coalesce("least", "first").alias("group"))
-    grouped = saved(known.where("n > 0").join(grouped, "fp").select("node", "digest", "n", "group"), "grouped")
+    grouped = kept(known.where("n > 0").join(grouped, "fp").select("node", "doc", "digest", "n", "group"), "grouped")
     chunks = F.ceil(F.greatest(F.count("*") / F.lit(PIECE), F.sum("n") / F.lit(PIECE_SHINGLES))).cast("int").alias("chunks")
-    sizes = saved(grouped.groupBy("group").agg(chunks, F.count("*").alias("members")).where("members > 1"), "groups")
+    sizes = kept(grouped.groupBy("group").agg(chunks, F.count("*").alias("members")).where("members > 1"), "groups")
     # the links of groups over a piece, to tell those that are whole
     large = grouped.join(sizes.where("chunks > 1"), "group")
-    made = near.join(large.select(F.col("node").alias("u")).distinct(), "u", "left_semi")
-    joined = saved(components(verified(made, docs, k, similarity)), "joined")
+    side = lambda x: large.select(F.col("node").alias(x), F.col("doc").alias(f"doc_{x}"), F.col("digest").alias(f"digest_{x}"))
+    made = near.join(side("u"), "u").join(side("v"), "v")
+    joined = kept(components(verified(made, docs, k, similarity)), "joined")
     label = F.coalesce("component", "node")
-    labelled = saved(grouped.join(sizes, "group").join(joined, "node", "left").withColumn("label", label), "labelled")
+    labelled = kept(grouped.join(sizes, "group").join(joined, "node", "left").withColumn("label", label), "labelled")
     whole = labelled.groupBy("group").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a = b").select("group")
     chunk = F.pmod(F.xxhash64("node", "digest"), F.col("chunks")).cast("int").alias("chunk")
-    members = labelled.join(whole, "group", "left_anti").select("node", "digest", "label", "group", chunk, "chunks")
+    members = labelled.join(whole, "group", "left_anti").select("node", "doc", "digest", "label", "group", chunk, "chunks")
     groups = components(joined.toDF("u", "v").unionByName(exact_links(members, docs, k, similarity)))
-    ids = nodes.join(groups, "node", "left").select("digest", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(ids, "digest").select("doc_id", "component_id")
+    for path in paths:
+        forget(spark, path)
+    found = nodes.join(groups, "node", "left").select("digest", "doc", F.coalesce("component", "node").alias("component"))
+    least = found.groupBy("component").agg(F.min("doc").alias("component_id"))
+    return fps.join(found.join(least, "component"), "digest").select("doc_id", "content", "component_id")
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
