@@ -26,14 +26,16 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id stays of each group, with all its rows.
+    """The document of smallest doc_id stays of each group; a row goes by its own text.
 
     Null and empty texts are one group. Rows without a doc_id stay, as no order tells which is first;
-    rows that repeat a doc_id are one document; other columns play no part; an empty table stays empty.
+    rows that repeat stay or go together, and rows of one doc_id with other texts are judged one by one;
+    other columns play no part; an empty table stays empty.
     """
     groups = simhash.similar_documents(docs, SHINGLE, SIMILARITY)
-    dropped = groups.where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select([f"`{c}`" for c in docs.columns])
+    dropped = groups.where("doc_id != component_id").select("doc_id", "content").distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), simhash.content(docs).alias("content"))
+    return rows.join(dropped, ["doc_id", "content"], "left_anti").select("row.*")
 
 
 def _row_key(docs: DataFrame) -> DataFrame:
