@@ -69,30 +69,70 @@ def budget_plan(design: DataFrame, rungs: int, thousand_iters: float, mcmc_facto
     return design.withColumn("iterations", iters).withColumn("kept", (F.col("iterations") * keep).cast("int")).withColumn("burn_in", F.col("iterations") - F.col("kept")).withColumn("matched_mcmc", F.greatest(F.lit(1000), F.col("iterations")))
 
 
-def site_ladder(ladder: DataFrame, n_blocks: int | DataFrame) -> DataFrame:
-    """(schedule_id, t, block, psi): the ramp of each block; blocks fill one after the other.
+#: Blocks of a rung that one row lays out at a time.
+CHUNK = 4096
+
+
+def _sized(ladder: DataFrame, n_blocks: int | DataFrame) -> tuple[DataFrame, list[str]]:
+    """Every rung, with the number of blocks it fills (_x, a fraction as well) and what the rung before did (_x0), for each key of n_blocks.
 
-    n_blocks: their number, or a table of keys and n_blocks, whose keys the result then has too. Each row of
-    the ladder, which is short, carries its blocks.
+    n_blocks: their number, or a table of keys and n_blocks. The ladder is short and goes to every task.
     """
     keys = [] if isinstance(n_blocks, int) else [c for c in n_blocks.columns if c != "n_blocks"]
     sizes = ladder.sparkSession.range(1).select(F.lit(n_blocks).alias("n_blocks")) if isinstance(n_blocks, int) else n_blocks
-    rungs = ladder.groupBy("schedule_id").agg(F.collect_list(F.struct("t", "beta")).alias("_rungs"))
-    blocks = sizes.select(*keys, "n_blocks", F.explode(F.sequence(F.lit(0), F.col("n_blocks").cast("int") - 1)).alias("block")).join(F.broadcast(rungs))  # one row a schedule
-    rows = blocks.select(*keys, "schedule_id", "n_blocks", "block", F.explode("_rungs").alias("_r"))
-    return rows.select(*keys, "schedule_id", "_r.t", "block", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("_r.beta") * F.col("n_blocks") - F.col("block"))).alias("psi"))
+    rungs = ladder.select("schedule_id", "t", "beta", F.coalesce(F.lag("beta").over(_by_t()), F.lit(0.0)).alias("_b0"))
+    filled = lambda b: F.greatest(F.lit(0.0), F.least(F.col("n_blocks").cast("double"), F.col(b) * F.col("n_blocks")))
+    return sizes.crossJoin(F.broadcast(rungs)).select(*keys, "schedule_id", "t", "n_blocks", filled("beta").alias("_x"), filled("_b0").alias("_x0")), keys
+
+
+def _changes(ladder: DataFrame, n_blocks: int | DataFrame) -> tuple[DataFrame, list[str]]:
+    """(keys, schedule_id, t, block, psi, d_psi) where a block's ramp changes: as many rows a key as blocks and rungs together.
+
+    Long stretches are laid out by chunks, dealt out anew, so that no row holds all blocks of a rung.
+    """
+    rungs, keys = _sized(ladder, n_blocks)
+    low, high = F.floor(F.least("_x", "_x0")), F.ceil(F.greatest("_x", "_x0")) - 1
+    chunks = rungs.where("_x != _x0").select("*", high.alias("_high"), F.explode(F.sequence(low, high, F.lit(CHUNK).cast("long"))).alias("_from"))
+    columns = [*keys, "schedule_id", "t"]
+    rows = chunks.repartition(*columns, "_from").select(*columns, "_x", "_x0", F.explode(F.sequence(F.col("_from").cast("int"), F.least("_high", F.col("_from") + (CHUNK - 1)).cast("int"))).alias("block"))
+    psi = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(x) - F.col("block")))
+    return rows.select(*columns, "block", psi("_x").alias("psi"), (psi("_x") - psi("_x0")).alias("d_psi")), keys
+
+
+def site_ladder(ladder: DataFrame, n_blocks: int | DataFrame) -> DataFrame:
+    """(keys, schedule_id, t, block, psi): the ramp of each block, where it changes; blocks fill one after the other.
+
+    A block's psi is 0 before its first row, and stays as it is until the next.
+    """
+    return _changes(ladder, n_blocks)[0].drop("d_psi")
 
 
-def site_ladder_diff(psi: DataFrame) -> DataFrame:
-    keys = [c for c in psi.columns if c not in ("t", "psi")]
-    before = F.lag("psi", 1, 0.0).over(Window.partitionBy(*keys).orderBy("t"))
-    return psi.select(*keys, "t", (F.col("psi") - before).alias("d_psi"))
+def site_ladder_diff(ladder: DataFrame, n_blocks: int | DataFrame) -> DataFrame:
+    """(keys, schedule_id, t, block, d_psi): what each rung adds to each block, where it adds any."""
+    return _changes(ladder, n_blocks)[0].drop("psi")
 
 
-def classify_blocks(psi: DataFrame) -> DataFrame:
-    """For each t (and key): number of full blocks, and the one fractional block with its value (-1 and 0 if none)."""
-    part = (F.col("psi") > 0) & (F.col("psi") < 1)
-    return psi.groupBy(*[c for c in psi.columns if c not in ("block", "psi")]).agg(F.count_if(F.col("psi") == 1).alias("n_full"), F.coalesce(F.max(F.when(part, F.col("block"))), F.lit(-1)).alias("block"), F.coalesce(F.max(F.when(part, F.col("psi"))), F.lit(0.0)).alias("psi"))
+def classify_blocks(ladder: DataFrame, n_blocks: int | DataFrame) -> DataFrame:
+    """For each rung (and key): number of full blocks, and the one fractional block with its value (-1 and 0 if none); no block is a row."""
+    rungs, keys = _sized(ladder, n_blocks)
+    full = F.floor("_x")
+    part = F.col("_x") > full
+    return rungs.select(*keys, "schedule_id", "t", full.alias("n_full"), F.when(part, full).otherwise(-1).cast("int").alias("block"), F.when(part, F.col("_x") - full).otherwise(0.0).alias("psi"))
+
+
+def classify_diffs(ladder: DataFrame, n_blocks: int | DataFrame) -> DataFrame:
+    """For each rung (and key): how many blocks it fills from empty to full, the first of them (-1 if none), and the blocks it fills in part.
+
+    parts: (block, d_psi), two at most, as a rung starts in one block and ends in another.
+    """
+    rungs, keys = _sized(ladder, n_blocks)
+    low, high = F.least("_x", "_x0"), F.greatest("_x", "_x0")
+    whole = F.greatest(F.lit(0).cast("long"), F.floor(high) - F.ceil(low))
+    sign = F.signum(F.col("_x") - F.col("_x0"))
+    one = F.floor(low) == F.floor(high)  # both ends in one block
+    piece = lambda block, d: F.struct(block.cast("int").alias("block"), (sign * d).alias("d_psi"))
+    ends = F.when(one, F.array(piece(F.floor(low), high - low))).otherwise(F.array(piece(F.floor(low), F.ceil(low) - low), piece(F.floor(high), high - F.floor(high))))
+    return rungs.select(*keys, "schedule_id", "t", whole.alias("n_whole"), F.when(whole > 0, F.ceil(low)).otherwise(-1).cast("int").alias("first_whole"), F.filter(ends, lambda e: e["d_psi"] != 0).alias("parts"))
 
 
 def block_count(n_sites: Column, per_block: int) -> Column:
@@ -104,11 +144,20 @@ def block_sites(sites: DataFrame, per_block: int) -> DataFrame:
     return sites.withColumn("block", F.floor(F.col("site") / per_block).cast("int"))
 
 
-def subsampled_log_weight(block_log_lik: DataFrame, d_psi: DataFrame, keys: list[str]) -> DataFrame:
-    """Sum over blocks of d_psi times the block's log likelihood, by keys and t."""
-    return block_log_lik.join(d_psi, [*(k for k in keys if k in d_psi.columns), "block"]).groupBy(*keys, "t").agg(F.sum(F.col("d_psi") * F.col("log_lik")).alias("dlog"))
+def subsampled_log_weight(block_log_lik: DataFrame, ladder: DataFrame, n_blocks: int | DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, dlog): what each rung of one schedule adds to the log weight, the sum over blocks of d_psi times the block's log likelihood.
+
+    block_log_lik (keys, block, log_lik); the keys of n_blocks are among keys. Each block meets the few rungs
+    that change it, so rows are as many as blocks and rungs together; rungs that change nothing have 0.
+    """
+    diffs, own = _changes(ladder, n_blocks)
+    sums = block_log_lik.join(diffs.select(*own, "t", "block", "d_psi"), [*own, "block"]).groupBy(*keys, "t").agg(F.sum(F.col("d_psi") * F.col("log_lik")).alias("dlog"))
+    every = block_log_lik.select(*keys).distinct().crossJoin(F.broadcast(ladder.select("t")))
+    return every.join(sums, [*keys, "t"], "left").select(*keys, "t", F.coalesce("dlog", F.lit(0.0)).alias("dlog"))
 
 
-def subsampled_log_target(block_log_lik: DataFrame, psi: DataFrame, log_prior: DataFrame, keys: list[str]) -> DataFrame:
-    sums = block_log_lik.join(psi, [*(k for k in keys if k in psi.columns), "block"]).groupBy(*keys, "t").agg(F.sum(F.col("psi") * F.col("log_lik")).alias("_s"))
-    return sums.join(log_prior, keys).select(*keys, "t", (F.col("log_prior") + F.col("_s")).alias("log_target"))
+def subsampled_log_target(block_log_lik: DataFrame, ladder: DataFrame, n_blocks: int | DataFrame, log_prior: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, t, log_target): the log prior and the sum over blocks of psi times the block's log likelihood, which log weights run up to."""
+    steps = subsampled_log_weight(block_log_lik, ladder, n_blocks, keys)
+    running = steps.withColumn("_s", F.sum("dlog").over(Window.partitionBy(*keys).orderBy("t")))
+    return running.join(log_prior, keys).select(*keys, "t", (F.col("log_prior") + F.col("_s")).alias("log_target"))

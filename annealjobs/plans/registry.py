@@ -355,10 +355,10 @@ def _block_lik(spark, d):
     return sites.groupBy("dataset_id", "block").agg(F.sum(-F.ascii("ch") / 100.0).alias("log_lik"))
 
 
-def _psi(blocks):
-    """The ramps of each data set's blocks; blocks (dataset_id, block)."""
-    sizes = blocks.groupBy("dataset_id").agg((F.max("block") + 1).alias("n_blocks"))
-    return ladders.site_ladder(ladders.ladder_even(blocks.sparkSession, 8), sizes).drop("schedule_id")
+def _blocks(spark, d):
+    """Blocks' log likelihoods, a ladder, and each data set's number of blocks."""
+    blocks = saved(_block_lik(spark, d), "blocks")
+    return blocks, ladders.ladder_even(spark, 8), blocks.groupBy("dataset_id").agg((F.max("block") + 1).alias("n_blocks"))
 
 
 @query(f"WITH a AS ({SQL['aln']}), n AS (SELECT dataset_id, max(site) + 1 AS sites FROM a GROUP BY dataset_id) SELECT dataset_id, CAST(floor(site / 10) AS INT) AS block, count(*) AS n, CAST(ceil(max(sites) / 10.0) AS BIGINT) AS blocks FROM a JOIN n USING (dataset_id) GROUP BY ALL")
@@ -372,22 +372,43 @@ def p5_block_sites(spark, d):
 @query(f"""WITH b AS ({_BLOCKS}), psi AS ({_PSI}), dp AS (SELECT dataset_id, t, block, psi - lag(psi, 1, 0.0) OVER (PARTITION BY dataset_id, block ORDER BY t) AS d_psi FROM psi)
   SELECT dataset_id, t, round(sum(d_psi * log_lik), 6) AS dlog FROM b JOIN dp USING (dataset_id, block) GROUP BY dataset_id, t""")
 def p6_subsampled_log_weight(spark, d):
-    blocks = saved(_block_lik(spark, d), "blocks")
-    return rounded(ladders.subsampled_log_weight(blocks, ladders.site_ladder_diff(_psi(blocks)), ["dataset_id"]), "dlog")
+    return rounded(ladders.subsampled_log_weight(*_blocks(spark, d), ["dataset_id"]), "dlog")
 
 
 @query(f"WITH b AS ({_BLOCKS}), psi AS ({_PSI}) SELECT dataset_id, t, round(-dataset_id / 1000.0 + sum(psi * log_lik), 6) AS log_target FROM b JOIN psi USING (dataset_id, block) GROUP BY dataset_id, t")
 def p7_subsampled_log_target(spark, d):
-    blocks = saved(_block_lik(spark, d), "blocks")
-    prior = blocks.select("dataset_id").distinct().withColumn("log_prior", -F.col("dataset_id") / 1000.0)
-    return rounded(ladders.subsampled_log_target(blocks, _psi(blocks), prior, ["dataset_id"]), "log_target")
+    blocks, ladder, sizes = _blocks(spark, d)
+    prior = sizes.select("dataset_id", (-F.col("dataset_id") / 1000.0).alias("log_prior"))
+    return rounded(ladders.subsampled_log_target(blocks, ladder, sizes, prior, ["dataset_id"]), "log_target")
+
+
+@query(f"""WITH b AS ({_BLOCKS}), psi AS ({_PSI}), dp AS (SELECT dataset_id, t, block, psi, psi - lag(psi, 1, 0.0) OVER (PARTITION BY dataset_id, block ORDER BY t) AS d_psi FROM psi)
+  SELECT dataset_id, t, block, round(psi, 6) AS psi, round(d_psi, 6) AS d_psi FROM dp WHERE d_psi <> 0""")
+def p1_site_ladder(spark, d):
+    """The ramps of each data set's blocks and what each rung adds to them, where they change (P1 and P2)."""
+    _, ladder, sizes = _blocks(spark, d)
+    on = ["dataset_id", "schedule_id", "t", "block"]
+    return rounded(ladders.site_ladder(ladder, sizes).join(ladders.site_ladder_diff(ladder, sizes), on).drop("schedule_id"), "psi", "d_psi")
 
 
 @query(f"""WITH b AS ({_BLOCKS}), psi AS ({_PSI}) SELECT dataset_id, t, count(*) FILTER (psi = 1) AS n_full, coalesce(max(block) FILTER (psi > 0 AND psi < 1), -1) AS block, round(coalesce(max(psi) FILTER (psi > 0 AND psi < 1), 0), 6) AS psi
   FROM psi GROUP BY dataset_id, t""")
 def p3_classify_blocks(spark, d):
-    """The states of each data set's blocks along the ladder (P1 and P3)."""
-    return rounded(ladders.classify_blocks(_psi(_block_lik(spark, d))), "psi")
+    """The states of each data set's blocks along the ladder."""
+    return rounded(ladders.classify_blocks(*_blocks(spark, d)[1:]).drop("schedule_id"), "psi")
+
+
+@query(f"""WITH b AS ({_BLOCKS}), psi AS ({_PSI}), dp AS (SELECT dataset_id, t, block, round(psi - lag(psi, 1, 0.0) OVER (PARTITION BY dataset_id, block ORDER BY t), 9) AS d FROM psi)
+  SELECT dataset_id, t, count(*) FILTER (d = 1) AS n_whole, coalesce(min(block) FILTER (d = 1), -1) AS first_whole, count(*) FILTER (d > 0 AND d < 1) AS n_parts, coalesce(min(block) FILTER (d > 0 AND d < 1), -1) AS first_part, round(coalesce(sum(d) FILTER (d > 0 AND d < 1), 0), 6) AS in_parts
+  FROM dp GROUP BY dataset_id, t""")
+def p3_classify_diffs(spark, d):
+    """What each rung fills: whole blocks, and up to two in part (a part under a billionth is none)."""
+    rows = ladders.classify_diffs(*_blocks(spark, d)[1:])
+    parts = F.filter("parts", lambda x: F.round(x["d_psi"], 9) > 0)
+    near_one = F.filter(parts, lambda x: F.round(x["d_psi"], 9) == 1)  # a whole block, up to rounding of the rungs
+    rows = rows.select("dataset_id", "t", "n_whole", "first_whole", F.filter(parts, lambda x: F.round(x["d_psi"], 9) < 1).alias("parts"), near_one.alias("near"))
+    first = F.when(F.size("near") == 0, F.col("first_whole")).when(F.col("n_whole") == 0, F.col("near")[0]["block"]).otherwise(F.least(F.col("first_whole"), F.col("near")[0]["block"]))
+    return rows.select("dataset_id", "t", (F.col("n_whole") + F.size("near")).alias("n_whole"), first.alias("first_whole"), F.size("parts").cast("long").alias("n_parts"), F.coalesce(F.get("parts", F.lit(0))["block"], F.lit(-1)).alias("first_part"), F.round(F.aggregate("parts", F.lit(0.0), lambda a, x: a + x["d_psi"]), 6).alias("in_parts"))
 
 
 # Evidence

@@ -88,9 +88,6 @@ def test_ladders(spark):
         rows = ladder.orderBy("t").collect()
         assert rows[0].beta == 0 and rows[-1].beta == 1 and sum(r.d_beta for r in rows) == pytest.approx(1)
     assert ladders.ladder_beta_open(spark, 10).agg(F.max("beta")).first()[0] < 1
-    psi = ladders.site_ladder(ladders.ladder_power(spark, 6), 5)
-    for r in psi.join(ladders.ladder_power(spark, 6).select("t", "beta"), "t").groupBy("t").agg(F.avg("psi").alias("m"), F.max("beta").alias("b")).collect():
-        assert r.m == pytest.approx(r.b)
     targets = [r.target for r in ladders.target_alpha(spark, 5, "geometric", 0.9).orderBy("t").collect()]
     a, want = 0.9, []
     for t in range(5):
@@ -99,6 +96,32 @@ def test_ladders(spark):
     assert targets == pytest.approx(want)
 
 
+@pytest.mark.parametrize(("n", "chunk"), [(5, 4096), (1, 4096), (1000, 7), (23, 1)])
+def test_sparse_ramps(spark, monkeypatch, n, chunk):
+    """Rows where ramps change, as many as blocks and rungs; what is between follows from them."""
+    monkeypatch.setattr(ladders, "CHUNK", chunk)
+    betas = [0.0, 0.1, 0.1, 0.35, 0.34, 0.9, 1.0]
+    ladder = spark.createDataFrame([("s", t, b) for t, b in enumerate(betas)], "schedule_id string, t int, beta double")
+    dense = lambda b, k: max(0.0, min(1.0, b * n - k))
+    want = {(t, k): (dense(b, k), dense(b, k) - (dense(betas[t - 1], k) if t else 0.0)) for t, b in enumerate(betas) for k in range(n)}
+    rows = ladders.site_ladder(ladder, n).join(ladders.site_ladder_diff(ladder, n), ["schedule_id", "t", "block"]).collect()
+    assert {(r.t, r.block): (r.psi, r.d_psi) for r in rows} == {k: v for k, v in want.items() if v[1]} and len(rows) <= n + 2 * len(betas) + 0.02 * n
+    for r in ladders.classify_blocks(ladder, n).collect():
+        part = [(k, want[r.t, k][0]) for k in range(n) if 0 < want[r.t, k][0] < 1]
+        assert r.n_full == sum(want[r.t, k][0] == 1 for k in range(n)) and [(r.block, r.psi)] == (part or [(-1, 0.0)])
+    for r in ladders.classify_diffs(ladder, n).collect():
+        d = [(k, want[r.t, k][1]) for k in range(n) if want[r.t, k][1]]
+        assert r.n_whole == sum(abs(x) == 1 for _, x in d) and r.first_whole == min((k for k, x in d if abs(x) == 1), default=-1)
+        assert [k for k, _ in r.parts] == [k for k, x in d if abs(x) != 1] and [x for _, x in r.parts] == pytest.approx([x for _, x in d if abs(x) != 1])
+    some = [(k, -float(k % 7) - 1) for k in range(n) if k % 5 != 2 or n < 3]  # blocks without a likelihood add nothing
+    lik = spark.createDataFrame([(1, *x) for x in some], "k long, block int, log_lik double")
+    prior = spark.createDataFrame([(1, -2.0)], "k long, log_prior double")
+    dlog = {r.t: r.dlog for r in ladders.subsampled_log_weight(lik, ladder, n, ["k"]).collect()}
+    target = {r.t: r.log_target for r in ladders.subsampled_log_target(lik, ladder, n, prior, ["k"]).collect()}
+    for t in range(len(betas)):
+        assert dlog[t] == pytest.approx(sum(want[t, k][1] * x for k, x in some), abs=1e-9) and target[t] == pytest.approx(-2 + sum(want[t, k][0] * x for k, x in some), abs=1e-9)
+
+
 def test_draws_do_not_depend_on_partitions(spark):
     one, two = (sorted(map(tuple, resample.draw_counts(particles(spark, parts=p), "population_id", 3).collect())) for p in (1, 7))
     assert one == two and sum(x[2] for x in one) == 1200
