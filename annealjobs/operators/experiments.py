@@ -5,14 +5,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from annealjobs.functions.selection import quantile
 
-def design(datasets: DataFrame, methods: list[str], iter_scales: list[float], reps: int) -> DataFrame:
-    """Data set x repeat x method rows; method i is paired with scale i."""
+
+def design(datasets: DataFrame, methods: list[str], iter_scales: list[float], reps: int, replay: str | None = None) -> DataFrame:
+    """Data set x repeat x method rows with run 0; method i is paired with scale i.
+
+    replay: a method whose steps are adaptive and are run again as a fixed ladder, as run 1 beside run 0.
+    """
     if len(methods) != len(iter_scales):
         raise ValueError("each method needs one iteration scale")
     pairs = F.array(*[F.struct(F.lit(m).alias("method"), F.lit(float(s)).alias("iter_scale")) for m, s in zip(methods, iter_scales)])
     rows = datasets.withColumn("repeat", F.explode(F.sequence(F.lit(0), F.lit(reps - 1)))).withColumn("p", F.explode(pairs))
-    return rows.select(*datasets.columns, "repeat", "p.method", "p.iter_scale")
+    runs = F.when(F.col("p.method") == F.lit(replay), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    return rows.select(*datasets.columns, "repeat", "p.method", "p.iter_scale", F.explode(runs).alias("run"))
 
 
 def tag_scores(scores: DataFrame, adaptive: str, kind: str, t: str, label: str = "ANNEALING") -> DataFrame:
@@ -22,7 +28,8 @@ def tag_scores(scores: DataFrame, adaptive: str, kind: str, t: str, label: str =
 
 
 def score_medians(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("Method", "IterScale", "TreeName", "Metric").agg(F.median("Value").alias("median"), F.count("*").alias("n"))
+    """(Method, IterScale, TreeName, Metric, median, n) over repeats, and whatever else a group holds."""
+    return quantile(scores, ["Method", "IterScale", "TreeName", "Metric"], "Value", 0.5, "median")
 
 
 def gold_lookup(datasets: DataFrame, gold: DataFrame, computed: DataFrame) -> DataFrame:
@@ -57,4 +64,6 @@ def pivot_methods(rows: DataFrame, key: str, methods: list[str], value: str) ->
 
 
 def timing_summary(scores: DataFrame) -> DataFrame:
-    return scores.groupBy("Method").agg(F.avg("Time").alias("mean_time"), F.percentile("Time", 0.9).alias("p90_time"), F.count("*").alias("n"))
+    """(Method, mean_time, p90_time, n) of rows that have a time."""
+    means = scores.groupBy("Method").agg(F.avg("Time").alias("mean_time"))
+    return quantile(scores, ["Method"], "Time", 0.9, "p90_time").join(means.withColumnRenamed("Method", "_m"), F.col("Method").eqNullSafe(F.col("_m"))).select("Method", "mean_time", "p90_time", "n")

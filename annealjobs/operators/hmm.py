@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from annealjobs.functions.keyed import uniform
+from annealjobs.functions.neighbours import CHUNK as ORDERED
+from annealjobs.functions.neighbours import with_neighbours
 
 Matrix = tuple[tuple[float, ...], ...]
 #: Positions of a sequence that one row gathers.
@@ -62,19 +64,29 @@ def hmm_log_likelihood(paths: DataFrame, params: Params) -> DataFrame:
     return paths.groupBy("seq_id").agg(F.sum(_look(params.emit, F.col("state"), F.col("obs"))).alias("log_lik"))
 
 
-def hmm_log_prior(paths: DataFrame, params: Params) -> DataFrame:
-    before = F.lag("state").over(Window.partitionBy("seq_id").orderBy("pos"))
+def _entering(params: Params) -> Column:
+    """ln of the probability of a state after the one before (_before), or as the first."""
     first = _look((params.init,), F.lit(0), F.col("state"))
-    return paths.withColumn("_b", before).groupBy("seq_id").agg(F.sum(F.when(F.col("_b").isNull(), first).otherwise(_look(params.trans, F.col("_b"), F.col("state")))).alias("log_prior"))
+    return F.when(F.col("_before").isNull(), first).otherwise(_look(params.trans, F.col("_before"), F.col("state")))
 
 
-def hmm_local_terms(paths: DataFrame, params: Params) -> DataFrame:
+def hmm_log_prior(paths: DataFrame, params: Params, chunk: int = ORDERED) -> DataFrame:
+    rows = with_neighbours(paths, "seq_id", "pos", "state", chunk=chunk)
+    return rows.groupBy("seq_id").agg(F.sum(_entering(params)).alias("log_prior"))
+
+
+def hmm_local_terms(paths: DataFrame, params: Params, chunk: int = ORDERED) -> DataFrame:
     """(seq_id, pos, log_lik, log_prior): the terms of the densities that hold the position."""
-    w = Window.partitionBy("seq_id").orderBy("pos")
-    rows = paths.withColumn("_b", F.lag("state").over(w)).withColumn("_a", F.lead("state").over(w))
-    left = F.when(F.col("_b").isNull(), _look((params.init,), F.lit(0), F.col("state"))).otherwise(_look(params.trans, F.col("_b"), F.col("state")))
-    right = F.when(F.col("_a").isNull(), 0.0).otherwise(_look(params.trans, F.col("state"), F.col("_a")))
-    return rows.select("seq_id", "pos", _look(params.emit, F.col("state"), F.col("obs")).alias("log_lik"), (left + right).alias("log_prior"))
+    rows = with_neighbours(paths, "seq_id", "pos", "state", chunk=chunk)
+    right = F.when(F.col("_after").isNull(), 0.0).otherwise(_look(params.trans, F.col("state"), F.col("_after")))
+    return rows.select("seq_id", "pos", _look(params.emit, F.col("state"), F.col("obs")).alias("log_lik"), (_entering(params) + right).alias("log_prior"))
+
+
+def score_steps(seqs: DataFrame, table: DataFrame, least: float = 1e-9, chunk: int = ORDERED) -> DataFrame:
+    """(seq_id, score): sum of ln p over steps between symbols that follow one another; table (i, j, p), small; p of 0 counts as least."""
+    rows = with_neighbours(seqs, "seq_id", "pos", "obs", chunk=chunk)
+    steps = rows.where("_after IS NOT NULL").select("seq_id", F.col("obs").alias("i"), F.col("_after").alias("j")).join(F.broadcast(table), ["i", "j"])
+    return steps.groupBy("seq_id").agg(F.sum(F.ln(F.when(F.col("p") > 0, F.col("p")).otherwise(least))).alias("score"))
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:

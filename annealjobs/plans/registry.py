@@ -518,10 +518,7 @@ def h6_particle_marginal(spark, d):
 @query(f"WITH seq AS ({SQL['seq']}), s AS (SELECT seq_id, pos, obs, lead(obs) OVER (PARTITION BY seq_id ORDER BY pos) AS nxt FROM seq) SELECT seq_id, round(sum(ln(CASE WHEN abs(obs - nxt) < 2 THEN 1.0 / (3 - (obs = 0)::INT) ELSE 1e-9 END)), 6) AS score FROM s WHERE nxt IS NOT NULL GROUP BY seq_id")
 def h7_transition_table(spark, d):
     """Steps between symbols scored by the banded table (symbols 0 to 2 of its five)."""
-    table = F.broadcast(hmm.transition_table(spark, hmm.valley()))
-    nxt = F.lead("obs").over(Window.partitionBy("seq_id").orderBy("pos"))
-    steps = fixture(spark, d, "seq").withColumn("j", nxt).where("j IS NOT NULL").withColumnRenamed("obs", "i").join(table, ["i", "j"])
-    return rounded(steps.groupBy("seq_id").agg(F.sum(F.ln(F.when(F.col("p") > 0, F.col("p")).otherwise(1e-9))).alias("score")), "score")
+    return rounded(hmm.score_steps(fixture(spark, d, "seq"), hmm.transition_table(spark, hmm.valley())), "score")
 
 
 # Summaries
@@ -549,14 +546,24 @@ def q3_map_particle(spark, d):
     return rounded(summaries.map_particle(part(spark, d), "population_id"), "w").select("population_id", "particle_id", "state", "w")
 
 
-@query(f"""{COUNTS}, k AS (SELECT a.population_id, a.item, round(sum(b.weight * abs(length(a.item) - length(b.item))), 9) AS loss FROM c a JOIN c b USING (population_id) GROUP BY ALL)
-  SELECT population_id, item, round(loss, 6) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY population_id ORDER BY loss, item) AS r FROM k) WHERE r = 1""")
+CENTROID = f"""{COUNTS}, k AS (SELECT a.population_id, a.item, round(sum(b.weight * abs(length(a.item) - length(b.item))), 9) AS loss FROM c a JOIN c b USING (population_id) GROUP BY ALL)
+  SELECT population_id, item, round(loss, 6) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY population_id ORDER BY loss, item) AS r FROM k) WHERE r = 1"""
+
+
+def _exact_counts(spark, d):
+    """Weights whose sums don't depend on order, so that ties are ties."""
+    return _counts(spark, d).withColumn("weight", F.col("weight").cast("decimal(20,12)"))
+
+
+@query(CENTROID)
 def q4_centroid(spark, d):
-    loss = lambda x, y: F.abs(F.length(x) - F.length(y)).cast("double")
-    counts = summaries.weighted_counts(part(spark, d), ["population_id"], F.col("state"))
-    rows = counts.withColumn("weight", F.col("weight").cast("decimal(20,12)"))  # sums that don't depend on order, so that ties are ties
-    exact = lambda x, y: loss(x, y).cast("decimal(6,0)")
-    out = summaries.centroid(rows, ["population_id"], exact)
+    out = summaries.centroid(_exact_counts(spark, d), ["population_id"], lambda x, y: F.abs(F.length(x) - F.length(y)).cast("decimal(6,0)"), metric=True)
+    return out.select("population_id", "item", F.round(F.col("loss").cast("double"), 6).alias("loss"))
+
+
+@query(CENTROID)
+def q4_centroid_on_line(spark, d):
+    out = summaries.centroid_on_line(_exact_counts(spark, d), ["population_id"], F.length("item"))
     return out.select("population_id", "item", F.round(F.col("loss").cast("double"), 6).alias("loss"))
 
 
@@ -565,15 +572,27 @@ def q5_store(spark, d):
     return rounded(summaries.store(part(spark, d), ["population_id"], n=F.count("*"), mean_log_lik=F.sum(F.col("w") * F.col("log_lik")), best=F.max("log_lik"), states=F.count_distinct("state")), "best").withColumn("mean_log_lik", F.round("mean_log_lik", 9))
 
 
+@query(f"""{PART} SELECT CASE grouping(population_id, state) WHEN 0 THEN 'both' WHEN 1 THEN 'population' WHEN 2 THEN 'state' ELSE 'all' END AS grouping, population_id, state, count(*) AS n, round(sum(log_lik), 6) AS total, round(max(log_lik), 6) AS best
+  FROM part GROUP BY GROUPING SETS ((population_id), (state), (population_id, state), ())""")
+def q5_fork(spark, d):
+    """Summaries of populations, of states, of both and of all, from one scan."""
+    groupings = {"population": ["population_id"], "state": ["state"], "both": ["population_id", "state"], "all": []}
+    return rounded(summaries.fork(part(spark, d), groupings, n=F.count("*"), total=F.sum("log_lik"), best=F.max("log_lik")), "total", "best")
+
+
 @query(f"{PART} SELECT population_id, string_agg(CAST(n AS VARCHAR), ',' ORDER BY item) AS weights FROM (SELECT population_id, state AS item, count(*) AS n FROM part GROUP BY ALL) GROUP BY population_id")
 def q6_weights_list(spark, d):
     counts = summaries.weighted_counts(part(spark, d).withColumn("one", F.lit(1).cast("long")), ["population_id"], F.col("state"), "one")
     return summaries.weights_list(counts, ["population_id"])
 
 
-@query(f"{PART} SELECT population_id, bit_xor(('0x' || substr(md5(particle_id || '|' || state), 1, 15))::BIGINT) AS fingerprint, count(*) AS n FROM part GROUP BY population_id")
+_HALF = "CAST(sum(('0x' || substr(h, {0}, 16))::UBIGINT::HUGEINT) % 18446744073709551616 AS VARCHAR)"
+
+
+@query(f"{PART} SELECT population_id, {_HALF.format(1)} || '-' || {_HALF.format(17)} AS fingerprint, count(*) AS n FROM (SELECT population_id, md5(coalesce(strlen(state) || ':' || state, '-')) AS h FROM part) GROUP BY population_id")
 def q7_population_fingerprint(spark, d):
-    return summaries.population_fingerprint(part(spark, d), "population_id", ["particle_id", "state"])
+    """By the state alone, of which a population has many copies."""
+    return summaries.population_fingerprint(part(spark, d), "population_id", ["state"])
 
 
 _PRE = {j: f"CASE WHEN bool_or(taxon = 'A' AND rank <= {j}) THEN string_agg(taxon, ',' ORDER BY taxon) FILTER (rank > {j}) ELSE string_agg(taxon, ',' ORDER BY taxon) FILTER (rank <= {j}) END" for j in (2, 3, 4)}
@@ -688,10 +707,10 @@ def q13_best_log_likelihood(spark, d):
 EXP = f"WITH exp AS ({SQL['exp']})"
 
 
-@query("WITH d AS (SELECT DISTINCT concat('sim-', o_custkey) AS name FROM orders) SELECT name, CAST(r AS INT) AS repeat, m.* FROM d, range(3) t(r), (VALUES ('ANNEALING', 1.0::DOUBLE), ('MCMC', 2.0::DOUBLE)) m(method, iter_scale)")
+@query("WITH d AS (SELECT DISTINCT concat('sim-', o_custkey) AS name FROM orders) SELECT name, CAST(r AS INT) AS repeat, m.* FROM d, range(3) t(r), (VALUES ('ANNEALING', 1.0::DOUBLE, 0), ('ANNEALING', 1.0::DOUBLE, 1), ('MCMC', 2.0::DOUBLE, 0)) m(method, iter_scale, run)")
 def x1_design(spark, d):
     names = spark.read.parquet(f"{d}/orders.parquet").select(F.concat(F.lit("sim-"), F.col("o_custkey")).alias("name")).distinct()
-    return experiments.design(names, ["ANNEALING", "MCMC"], [1, 2], 3)
+    return experiments.design(names, ["ANNEALING", "MCMC"], [1, 2], 3, replay="ANNEALING")
 
 
 @query(f"{EXP} SELECT Method, TreeName, Repeat, Metric, IterScale, CASE WHEN Method = '1-URGENT' THEN 'true' ELSE '' END AS Adaptive, CASE WHEN Method = '1-URGENT' THEN 'CESS' ELSE '' END AS AdaptiveType, CASE WHEN Method = '1-URGENT' THEN '5000' ELSE '' END AS T FROM exp")
@@ -773,13 +792,35 @@ def s7_read_logz(spark, d):
     return io.read_logz(spark, path).select(F.col("treeName").cast("long").alias("k"), F.round("NumericalLogZ", 6).alias("numerical"), F.round("logZ", 6).alias("log_z"))
 
 
-@query(f"WITH x AS ({DIFFS}) SELECT t, count(*) AS n, round(sum(d_beta), 6) AS total FROM x GROUP BY t")
+@query(f"WITH x AS ({DIFFS}) SELECT schedule_id, t, round(d_beta, 6) AS d_beta FROM x")
 def s5_read_schedule(spark, d):
+    """Three differences a line, a file for each schedule."""
     path = new_path(spark, "schedules")
-    rows = _diffs(spark, d).groupBy("schedule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "d_beta"))), lambda x: x["d_beta"].cast("string")), " ").alias("value"))
-    n = rows.count()
-    rows.repartitionByRange(n, "schedule_id").select("value").write.option("maxRecordsPerFile", 1).text(path)  # a file each
-    return rounded(io.read_schedule(spark, path).groupBy("t").agg(F.count("*").alias("n"), F.sum("d_beta").alias("total")), "total")
+    third = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "d_beta"))), lambda x: x["d_beta"].cast("string")), " ").alias("value")
+    rows = _diffs(spark, d).groupBy("schedule_id", F.expr("t div 3").alias("i")).agg(third)
+    rows.repartition("schedule_id").sortWithinPartitions("schedule_id", "i").select("schedule_id", "value").write.partitionBy("schedule_id").text(path)
+    return rounded(io.read_schedule(spark, path, named=True), "d_beta")
+
+
+@query(f"WITH x AS ({DIFFS}) SELECT schedule_id, t, round(d_beta, 6) AS d_beta FROM x")
+def s8_write_schedule(spark, d):
+    """The difference file of each schedule, written and read back."""
+    path = new_path(spark, "differences")
+    io.write_schedule(_diffs(spark, d), path)
+    return rounded(io.read_schedule(spark, path, named=True), "d_beta")
+
+
+@query(f"""WITH aln AS ({SQL['aln']}) SELECT dataset_id, taxon, CAST(site // 100 AS INT) AS stretch, count(*) AS n, CAST(sum(ascii(ch) * (site % 100 + 1)) AS BIGINT) AS code FROM aln GROUP BY ALL""")
+def s4_read_alignments(spark, d):
+    """Interleaved files, one a data set, in blocks of 60 sites; what stands where, by stretches of 100 sites."""
+    path = new_path(spark, "alignments")
+    block = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("site", "ch"))), lambda x: x["ch"]), "")
+    rows = fixture(spark, d, "aln").groupBy("dataset_id", F.expr("site div 60").alias("i"), "taxon").agg(F.concat(F.col("taxon"), F.lit("   "), block).alias("value"))
+    head = rows.select("dataset_id").distinct().select("dataset_id", F.posexplode(F.array(F.lit("!!NA_MULTIPLE_ALIGNMENT"), F.lit(" MSF: 1 Type: N"), F.lit(" Name: t0 Len: 1"), F.lit("//"))).alias("i", "value")).withColumn("i", F.col("i").cast("long") - 4)
+    both = rows.select("dataset_id", "i", "taxon", "value").unionByName(head.withColumn("taxon", F.lit("")))
+    both.repartition("dataset_id").sortWithinPartitions("dataset_id", "i", "taxon").select("dataset_id", "value").write.partitionBy("dataset_id").text(path)
+    read = io.read_alignments(spark, path).withColumn("dataset_id", F.regexp_extract("dataset", r"dataset_id=(\d+)", 1).cast("long"))
+    return read.groupBy("dataset_id", "taxon", F.expr("CAST(site div 100 AS INT)").alias("stretch")).agg(F.count("*").alias("n"), F.sum(F.ascii("ch") * (F.col("site") % 100 + 1)).alias("code"))
 
 
 @query(f"{TREES}, r AS (SELECT tree_id, row_number() OVER (PARTITION BY list_id ORDER BY tree_id) - 1 AS i, count(*) OVER (PARTITION BY list_id) AS n FROM (SELECT DISTINCT list_id, tree_id FROM ranks)) SELECT split, count(*) AS n, round(sum(length), 3) AS length FROM splits JOIN r USING (tree_id) WHERE i >= floor(r.n * 0.25) GROUP BY split")

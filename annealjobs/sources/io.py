@@ -17,9 +17,10 @@ def _numbered(lines: DataFrame, out: str) -> DataFrame:
     return lines.withColumn("_i", within).join(base, ["file", "_block"]).withColumn(out, F.col("_base") + F.col("_i")).drop("_i", "_base")
 
 
-def _lines(spark: SparkSession, path: str) -> DataFrame:
-    """(file, line, value, and the line's block and row) of text files of any length, split by Spark."""
-    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
+def _lines(spark: SparkSession, path: str, folder: str | None = None) -> DataFrame:
+    """(file, line, value, and the line's block and row) of text files of any length, split by Spark; folder: a column that folders name."""
+    read = spark.read.schema(f"value string, {folder} string").text(path) if folder else spark.read.text(path)
+    raw = read.select(*[folder] * bool(folder), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_row"), "value")
     return _numbered(raw, "line")
 
 
@@ -49,19 +50,40 @@ def read_tree_samples(spark: SparkSession, path: str, burnin: float = 0.25, stri
     return trees.join(names, "file", "left").select("file", "line", F.when(F.col("names").isNull(), body).otherwise(named).alias("newick"))
 
 
+def _running(rows: DataFrame, by: list[str], n: str, out: str) -> DataFrame:
+    """rows of _lines with the sum of n over the lines before, in the file and whatever else by names; a block of a file is a task's at most."""
+    blocks = rows.groupBy(*by, "_block").agg(F.sum(n).alias("_n"))
+    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    base = blocks.select(*by, "_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_base"))
+    within = Window.partitionBy(*by, "_block").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("_own", F.coalesce(F.sum(n).over(within), F.lit(0))).join(base, [*by, "_block"]).withColumn(out, F.col("_base") + F.col("_own")).drop("_own", "_base")
+
+
 def read_alignments(spark: SparkSession, path: str) -> DataFrame:
-    """(dataset, taxon, site, ch) of interleaved alignments, one data set a file: lines `name  block`."""
-    lines = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("dataset"), F.posexplode(F.split("value", "\r?\n")).alias("line", "value"))
-    rows = lines.where(F.col("value").rlike(r"^\s*\S+\s+[A-Za-z.?~-][A-Za-z.?~ -]*$") & ~F.col("value").rlike(r"(?i)name:|msf:|!!|//|pileup"))
-    rows = rows.select("dataset", "line", F.regexp_extract("value", r"^\s*(\S+)\s+(.*)$", 1).alias("taxon"), F.regexp_replace(F.regexp_extract("value", r"^\s*(\S+)\s+(.*)$", 2), r"\s", "").alias("block"))
-    whole = rows.groupBy("dataset", "taxon").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "block"))), lambda b: b["block"]), "").alias("s"))
-    return whole.select("dataset", "taxon", F.posexplode(F.split("s", "")).alias("site", "ch")).where("ch != ''").select("dataset", "taxon", "site", F.upper("ch").alias("ch"))
+    """(dataset, taxon, site, ch) of interleaved alignments, one data set a file: lines `name  block`.
+
+    By line, so that a file may be of any size: a block's first site is the width of the taxon's blocks before it.
+    """
+    lines = _lines(spark, path).where(F.col("value").rlike(r"^\s*\S+\s+[A-Za-z.?~-][A-Za-z.?~ -]*$") & ~F.col("value").rlike(r"(?i)name:|msf:|!!|//|pileup"))
+    named = F.regexp_extract("value", r"^\s*(\S+)\s+(.*)$", 1).alias("taxon"), F.regexp_replace(F.regexp_extract("value", r"^\s*(\S+)\s+(.*)$", 2), r"\s", "").alias("block")
+    rows = lines.select(F.col("file").alias("dataset"), "line", "_block", *named).withColumn("_width", F.length("block"))
+    placed = _running(rows, ["dataset", "taxon"], "_width", "_from")
+    chars = placed.select("dataset", "taxon", "_from", F.posexplode(F.split("block", "")).alias("i", "ch")).where("ch != ''")
+    return chars.select("dataset", "taxon", (F.col("_from") + F.col("i")).cast("int").alias("site"), F.upper("ch").alias("ch"))
+
 
+def read_schedule(spark: SparkSession, path: str, named: bool = False) -> DataFrame:
+    """(schedule_id, t, d_beta): one temperature difference a token, in order; a schedule is a file, by its path.
 
-def read_schedule(spark: SparkSession, path: str) -> DataFrame:
-    """(schedule_id, t, d_beta): one temperature difference a token, in order."""
-    text = spark.read.text(path, wholetext=True)
-    return text.select(F.input_file_name().alias("schedule_id"), F.posexplode(F.split(F.trim(F.regexp_replace("value", r"\s+", " ")), " ")).alias("t", "d")).where("d != ''").select("schedule_id", "t", F.col("d").cast("double").alias("d_beta"))
+    named: path is a folder that write_schedule wrote, which has the names. By line: a line's first t is the
+    number of tokens in the lines before it.
+    """
+    lines = _lines(spark, path, "schedule_id" if named else None)
+    tokens = F.filter(F.split(F.trim("value"), r"\s+"), lambda x: x != "")
+    rows = lines.withColumn("_tokens", tokens).withColumn("_width", F.size("_tokens")).where("_width > 0")
+    placed = _running(rows, ["file"], "_width", "_from")
+    each = placed.select(F.col("schedule_id" if named else "file").alias("schedule_id"), "_from", F.posexplode("_tokens").alias("i", "d"))
+    return each.select("schedule_id", (F.col("_from") + F.col("i")).cast("int").alias("t"), F.col("d").cast("double").alias("d_beta"))
 
 
 def _csv(df: DataFrame, path: str, *by: str) -> None:
@@ -94,9 +116,9 @@ def write_annealing_trace(df: DataFrame, path: str) -> None:
 
 
 def write_schedule(df: DataFrame, path: str) -> None:
-    """The differences alone, in order, as read_schedule reads them: one file a schedule's text."""
-    rows = df.groupBy("schedule_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "d_beta"))), lambda x: x["d_beta"].cast("string")), "\n").alias("value"))
-    rows.repartition("schedule_id").select("value").write.mode("append").option("lineSep", "\n\n").text(path)
+    """The differences alone, one a line and in order, as read_schedule reads them: one file for each schedule, in a folder of its name."""
+    rows = df.repartition("schedule_id").sortWithinPartitions("schedule_id", "t")
+    rows.select("schedule_id", F.col("d_beta").cast("string").alias("value")).write.mode("append").partitionBy("schedule_id").text(path)
 
 
 def write_temperatures(df: DataFrame, path: str) -> None:
