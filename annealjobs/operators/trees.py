@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from annealjobs.functions.scratch import saved
+
 _TOKEN = re.compile(r"[(),;]|:[^(),:;]*|[^(),:;]+")
 
 
@@ -33,43 +36,83 @@ def newick_edges(text: str) -> list[tuple[str, str, float, frozenset]]:
     return edges
 
 
+#: Brackets, with what follows a closing one, and leaves, each with its length.
+_TOKENS = r"\(|\)[^(),:;]*(?::[^(),:;]*)?|[^(),:;]+(?::[^(),:;]*)?"
+
+
+def tree_nodes(trees: DataFrame) -> DataFrame:
+    """A row for each node of trees (tree_id, newick): tree_id, i (its place, children before parents), parent, leaf, name, length, and what its clade is.
+
+    All in columns: the text is cut into tokens, depths are running sums over a tree's tokens, and a closing
+    bracket meets the last opening one of its depth. A clade is the leaves first to first + size - 1 in the
+    order of the text, and the xor of two 64-bit hashes of their names (split): a fixed width whatever the
+    number of taxa. least and taxa are the tree's smallest name and how many leaves stand before it, and its
+    number of leaves; whole is the xor of all. The top node has no parent. Names are unique in a tree; null or blank
+    text gives no row.
+    """
+    text = F.regexp_replace("newick", r"\s+", "")
+    cut = trees.where("newick IS NOT NULL").select("tree_id", "newick").repartition("tree_id")
+    rows = cut.select("tree_id", F.posexplode(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))).alias("i", "token"))
+    opens, closes = F.col("token") == "(", F.col("token").startswith(")")
+    leaf = ~opens & ~closes
+    label = F.regexp_replace(F.substring_index("token", ":", 1), r"^\)", "")
+    length = F.when(F.instr("token", ":") > 0, F.substring_index("token", ":", -1).cast("double")).otherwise(0.0)
+    rows = rows.select("tree_id", "i", opens.alias("opens"), leaf.alias("leaf"), F.when(~opens, label).alias("name"), length.alias("length"), F.when(opens, 1).when(closes, -1).otherwise(0).alias("step"))
+    hashed = lambda seed: F.when(F.col("leaf"), F.xxhash64(F.lit(seed), "name")).otherwise(F.lit(0).cast("long"))
+    upto, whole = Window.partitionBy("tree_id").orderBy("i"), Window.partitionBy("tree_id")
+    leaves = F.sum(F.col("leaf").cast("int")).over(upto)
+    rows = rows.withColumns({"h1": hashed(1), "h2": hashed(2)}).withColumns({"depth": F.sum("step").over(upto), "leaves": leaves, "x1": F.bit_xor("h1").over(upto), "x2": F.bit_xor("h2").over(upto)})
+    least = F.min(F.when(F.col("leaf"), F.struct("name", (F.col("leaves") - 1).alias("before")))).over(whole)
+    rows = rows.withColumns({"least": least, "taxa": F.max("leaves").over(whole), "whole": F.struct(F.bit_xor("h1").over(whole).alias("a"), F.bit_xor("h2").over(whole).alias("b"))})
+    # a bracket's inside is one deeper than what it closes; what a leaf or a closed bracket stands in, is its parent
+    inside = F.col("depth") + F.when(F.col("step") < 0, 1).otherwise(0)
+    here = F.when(F.col("opens"), F.struct("i", "leaves", "x1", "x2"))
+    last = lambda key: F.last(here, ignorenulls=True).over(Window.partitionBy("tree_id", key).orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("inside", inside).withColumn("own", last("inside")).withColumn("outer", last("depth"))
+    before = lambda c: F.when(F.col("leaf"), F.col(c) - (1 if c == "leaves" else 0)).otherwise(F.col(f"own.{c}"))
+    split = F.struct(*[F.when(F.col("leaf"), F.col(h)).otherwise(F.col(x).bitwiseXOR(F.col(f"own.{x}"))).alias(n) for n, h, x in (("a", "h1", "x1"), ("b", "h2", "x2"))])
+    # a node is known by its opening bracket, a leaf by itself
+    return rows.where("NOT opens").select("tree_id", F.when(F.col("leaf"), F.col("i")).otherwise(F.col("own.i")).alias("i"), F.when(F.col("depth") > 0, F.col("outer.i")).alias("parent"), "leaf", "name", "length", before("leaves").alias("first"), (F.col("leaves") - before("leaves")).alias("size"), split.alias("split"), "least", "taxa", "whole")
+
+
 def tree_edges(trees: DataFrame) -> DataFrame:
-    """(tree_id, node_a, node_b, length) of trees (tree_id, newick); null or blank text gives no row."""
+    """(tree_id, node_a, node_b, length) of trees (tree_id, newick), parent and child; inner nodes are named by their place in the text."""
+    inner = lambda c: F.concat(F.lit("internal_"), F.col(c).cast("string"))
+    return tree_nodes(trees).where("parent IS NOT NULL").select("tree_id", inner("parent").alias("node_a"), F.when(F.col("leaf"), F.col("name")).otherwise(inner("i")).alias("node_b"), "length")
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = [(i, a, c, x) for i, t in zip(b.tree_id, b.newick) for a, c, x, _ in newick_edges(t)]
-            yield pd.DataFrame(rows, columns=["tree_id", "node_a", "node_b", "length"])
-
-    return trees.where("newick IS NOT NULL").select("tree_id", "newick").mapInPandas(run, "tree_id long, node_a string, node_b string, length double")
-
-
-def newick_splits(text: str) -> dict[str, float]:
-    """Lengths by split: the sorted members of the side without the smallest taxon, joined by commas; pendant edges too."""
-    edges = newick_edges(text)
-    taxa = frozenset().union(*[e[3] for e in edges]) if edges else frozenset()
-    out: dict[str, float] = {}
-    for _, _, length, below in edges:
-        side = below if min(taxa) not in below else taxa - below
-        if side:
-            key = ",".join(sorted(side))
-            out[key] = out.get(key, 0.0) + length  # the two edges at a root of degree two are one
-    return out
 
+def split_rows(nodes: DataFrame, trivial: bool = False) -> DataFrame:
+    """(tree_id, split, length, side) of tree_nodes: unrooted splits, by the hashes of the side without the smallest taxon.
 
-def tree_splits(trees: DataFrame, trivial: bool = False) -> DataFrame:
-    """(tree_id, split, length); trivial keeps pendant edges as well."""
+    trivial keeps pendant edges as well. Edges of one split, as the two at a root of degree two, are one. side
+    (first, size, other) tells which of the tree's leaves a split has: those, or the others.
+    """
+    other = (F.col("first") <= F.col("least.before")) & (F.col("least.before") < F.col("first") + F.col("size"))
+    flip = lambda c: F.when(other, F.col(f"whole.{c}").bitwiseXOR(F.col(f"split.{c}"))).otherwise(F.col(f"split.{c}")).alias(c)
+    n = F.when(other, F.col("taxa") - F.col("size")).otherwise(F.col("size"))
+    rows = nodes.where("parent IS NOT NULL").select("tree_id", F.struct(flip("a"), flip("b")).alias("split"), "length", "taxa", n.alias("n"), F.struct("first", "size", other.alias("other")).alias("side"))
+    rows = rows.where("n > 0" if trivial else "n > 1 AND n < taxa - 1")
+    return rows.groupBy("tree_id", "split").agg(F.sum("length").alias("length"), F.min("side").alias("side"))
+
+
+def split_names(splits: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(split, members) of splits (tree_id, split, side): sorted names joined by commas, of each different split once, from one tree that has it."""
+    one = splits.groupBy("split").agg(F.min(F.struct("tree_id", "side")).alias("x")).select("split", "x.tree_id", "x.side")
+    leaves = nodes.where("leaf").select("tree_id", "name", F.col("first").alias("_at"))
+    inside = (F.col("_at") >= F.col("side.first")) & (F.col("_at") < F.col("side.first") + F.col("side.size"))
+    return one.join(leaves, "tree_id").where(inside != F.col("side.other")).groupBy("split").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"))
+
+
+def named(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """rows with the names of their splits in place of hashes."""
+    return rows.join(names, "split").withColumn("split", F.col("members")).drop("members")
 
-    def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for i, t in zip(b.tree_id, b.newick):
-                splits = newick_splits(t)
-                n = len({x for s in splits for x in s.split(",")}) + 1  # the smallest taxon is on no side
-                rows += [(i, s, x) for s, x in splits.items() if trivial or 1 < s.count(",") + 1 < n - 1]
-            yield pd.DataFrame(rows, columns=["tree_id", "split", "length"])
 
-    return trees.where("newick IS NOT NULL").select("tree_id", "newick").mapInPandas(run, "tree_id long, split string, length double")
+def tree_splits(trees: DataFrame, trivial: bool = False) -> DataFrame:
+    """(tree_id, split, length) of trees (tree_id, newick), splits by their sorted names; trivial keeps pendant edges as well."""
+    nodes = saved(tree_nodes(trees), "nodes")
+    splits = saved(split_rows(nodes, trivial), "splits")
+    return named(splits.drop("side"), split_names(splits, nodes))
 
 
 def tree_log_prior(edges: DataFrame, rate: float = 10.0) -> DataFrame:
@@ -98,44 +141,128 @@ for _base, _characters in enumerate((b"A", b"G", b"C", b"TU")):
         _LEAVES[_character] = np.eye(4)[_base]
 
 
-def _prune(newick: str, taxa: list[str], patterns: list[str], kappa: float) -> np.ndarray:
-    """ln L of each pattern, by pruning over the tree; unknown characters, and taxa without a character, say nothing."""
+#: Trees of a data set that a task evaluates together, and site patterns of a block.
+TREES, PATTERNS = 64, 1024
+
+
+def shared_clades(texts: Iterable[str]) -> tuple[list[str], list[list[tuple[int, float]]], list[int]]:
+    """(taxa, inner nodes, roots) of trees: what their clades have in common, with all lengths in it, is one node.
+
+    Nodes are numbered from the taxa on, children before parents; an inner node is its children with their
+    lengths; roots has each tree's top, -1 for text without a tree.
+    """
+    parsed = [newick_edges(t or "") for t in texts]
+    taxa = sorted({child for edges in parsed for _, child, _, below in edges if below == {child}})
+    number = {t: i for i, t in enumerate(taxa)}
+    known: dict[tuple[tuple[int, float], ...], int] = {}
+    nodes: list[list[tuple[int, float]]] = []
+    roots = []
+    for edges in parsed:
+        at, children, top = dict(number), {}, -1
+        for parent, child, length, _ in edges:  # children's groups close before their parents'
+            if child not in at:
+                at[child] = close(children.pop(child), known, nodes, len(taxa))
+            children.setdefault(parent, []).append((at[child], length))
+        for last in children.values():
+            top = close(last, known, nodes, len(taxa))
+        roots.append(top)
+    return taxa, nodes, roots
+
+
+def close(children: list[tuple[int, float]], known: dict, nodes: list, base: int) -> int:
+    key = tuple(sorted(children))
+    if key not in known:
+        known[key] = base + len(nodes)
+        nodes.append(list(key))
+    return known[key]
+
+
+def _transition(length: float, kappa: float) -> np.ndarray:
+    same, ts, tv = k2p(np.float64(length), kappa)
+    m = np.full((4, 4), tv)
+    np.fill_diagonal(m, same)
+    m[0, 1] = m[1, 0] = m[2, 3] = m[3, 2] = ts
+    return m
+
+
+def pruned(taxa: list[str], nodes: list[list[tuple[int, float]]], roots: list[int], names: list[str], patterns: list[str], kappa: float) -> np.ndarray:
+    """ln L of each tree (rows) and pattern, each node's partial likelihoods computed once and dropped after their last use.
+
+    names: the taxon of each character of a pattern; unknown characters, and taxa without one, say nothing.
+    """
     block = np.frombuffer("".join(patterns).encode("latin-1", "replace"), np.uint8).reshape(len(patterns), -1)
-    at = {t: i for i, t in enumerate(taxa)}
-    below: dict[str, np.ndarray] = {}
-    edges = newick_edges(newick)
-    shift = np.zeros(len(patterns))
-    for parent, child, length, _ in edges:  # children's groups close before their parents'
-        part = below.pop(child, None)
-        if part is None:
-            part = _LEAVES[block[:, at[child]]] if child in at else np.ones((len(patterns), 4))
-        same, ts, tv = k2p(np.float64(length), kappa)
-        m = np.full((4, 4), tv)
-        np.fill_diagonal(m, same)
-        m[0, 1] = m[1, 0] = m[2, 3] = m[3, 2] = ts
-        part = part @ m
-        below[parent] = part if parent not in below else below[parent] * part
-        top = below[parent].max(1, keepdims=True)
-        below[parent] = below[parent] / top
-        shift += np.log(top[:, 0])
-    (root,) = below.values()
-    return np.log(root.mean(1)) + shift
-
-
-def tree_log_likelihood(trees: DataFrame, patterns: DataFrame, kappa: float = 2.0) -> DataFrame:
+    column, base = {t: i for i, t in enumerate(names)}, len(taxa)
+    part: dict[int, np.ndarray] = {i: _LEAVES[block[:, column[t]]] for i, t in enumerate(taxa) if t in column}
+    shift: dict[int, np.ndarray] = {}
+    uses: dict[int, int] = {}
+    for c in (*(c for node in nodes for c, _ in node), *roots):
+        uses[c] = uses.get(c, 0) + 1
+    change: dict[float, np.ndarray] = {}
+    out = np.zeros((len(roots), len(patterns)))
+    tops: dict[int, list[int]] = {}
+    for k, r in enumerate(roots):
+        tops.setdefault(r, []).append(k)
+    for n, node in enumerate(nodes, base):
+        value, moved = np.ones((len(patterns), 4)), np.zeros(len(patterns))
+        for c, length in node:
+            if length not in change:
+                change[length] = _transition(length, kappa)
+            if c in part:
+                value = value * (part[c] @ change[length])
+                moved = moved + shift.get(c, 0.0)
+            uses[c] -= 1
+            if c >= base and not uses[c]:
+                part.pop(c, None), shift.pop(c, None)
+        top = value.max(1, keepdims=True)
+        with np.errstate(divide="ignore"):
+            part[n], shift[n] = value / np.where(top > 0, top, 1.0), moved + np.log(top[:, 0])
+            for k in tops.get(n, ()):
+                out[k] = np.log(part[n].mean(1)) + shift[n]
+    return out
+
+
+def tree_log_likelihood(trees: DataFrame, patterns: DataFrame, kappa: float = 2.0, per_task: int = TREES, per_block: int = PATTERNS) -> DataFrame:
     """(dataset_id, tree_id, log_lik) under K2P with uniform frequencies; trees (dataset_id, tree_id, newick).
 
-    Each tree meets blocks of 256 patterns of its data set; the blocks' sums are added by tree.
+    A data set's trees are taken per_task at a time, and made one graph in which equal clades, with equal lengths
+    in them, are one node; each graph meets blocks of about per_block of the patterns, and the blocks' sums
+    are added by tree. Trees of a chain share most clades with those next to them, so chunks go by tree_id. A tree
+    without patterns has no row; -inf where a pattern is impossible.
     """
-    blocks = patterns.withColumn("_b", F.floor(F.pmod(F.xxhash64("pattern"), F.lit(16))).cast("int")).groupBy("dataset_id", "taxa", "_b").agg(F.collect_list("pattern").alias("patterns"), F.collect_list("n_sites").alias("n"))
+    ids = trees.groupBy("dataset_id").agg(F.count("*").alias("_n"), F.min("tree_id").alias("_lo"), F.max("tree_id").alias("_hi"))
+    # about per_task trees that follow one another: places within the range of ids
+    place = F.floor((F.col("tree_id") - F.col("_lo")) / (F.col("_hi") - F.col("_lo") + 1) * F.ceil(F.col("_n") / per_task)).alias("_chunk")
+    graph = "dataset_id long, taxa array<string>, parent array<int>, child array<int>, length array<double>, trees array<long>, roots array<int>"
+
+    def build(df: pd.DataFrame) -> pd.DataFrame:
+        rows = []
+        for at in range(0, len(df), per_task):
+            some = df.iloc[at : at + per_task]
+            taxa, nodes, roots = shared_clades(some.newick)
+            edges = [(n, c, x) for n, node in enumerate(nodes) for c, x in node]
+            n, c, x = (list(e) for e in zip(*edges)) if edges else ([], [], [])
+            keep = [k for k, r in enumerate(roots) if r >= 0]
+            rows.append((some.dataset_id.iloc[0], taxa, n, c, x, some.tree_id.iloc[keep].tolist(), [roots[k] for k in keep]))
+        return pd.DataFrame(rows, columns=["dataset_id", "taxa", "parent", "child", "length", "trees", "roots"])
+
+    graphs = trees.select("dataset_id", "tree_id", "newick").join(ids, "dataset_id").select("dataset_id", "tree_id", "newick", place).groupBy("dataset_id", "_chunk").applyInPandas(lambda df: build(df.sort_values("tree_id")), graph)
+    sizes = patterns.groupBy("dataset_id").agg(F.ceil(F.count("*") / per_block).alias("_of"))
+    blocks = patterns.join(sizes, "dataset_id").groupBy("dataset_id", "taxa", F.pmod(F.xxhash64("pattern"), "_of").alias("_b")).agg(F.collect_list("pattern").alias("patterns"), F.collect_list("n_sites").alias("n"))
+    blocks = blocks.withColumnRenamed("taxa", "names")
 
     def run(batches: Iterable[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            sums = [float(_prune(t, list(x), list(p), kappa) @ np.asarray(n, float)) for t, x, p, n in zip(b.newick, b.taxa, b.patterns, b.n)]
-            yield pd.DataFrame({"dataset_id": b.dataset_id, "tree_id": b.tree_id, "part": sums})
-
-    joined = trees.select("dataset_id", "tree_id", "newick").join(blocks, "dataset_id").select("dataset_id", "tree_id", "newick", "taxa", "patterns", "n")
-    parts = joined.mapInPandas(run, "dataset_id long, tree_id long, part double")
+            out = []
+            for r in b.itertuples():
+                nodes: list[list[tuple[int, float]]] = [[] for _ in range(int(r.parent[-1]) + 1 if len(r.parent) else 0)]
+                for n, c, x in zip(r.parent, r.child, r.length):
+                    nodes[n].append((c, x))
+                lik = pruned(list(r.taxa), nodes, list(r.roots), list(r.names), list(r.patterns), kappa)
+                out.append(pd.DataFrame({"dataset_id": r.dataset_id, "tree_id": r.trees, "part": lik @ np.asarray(r.n, float)}))
+            yield pd.concat(out) if out else pd.DataFrame({"dataset_id": [], "tree_id": [], "part": []})
+
+    spread = graphs.join(blocks, "dataset_id").repartition("dataset_id", "_b", F.col("trees")[0]).drop("_b")
+    parts = spread.mapInPandas(run, "dataset_id long, tree_id long, part double")
     return parts.groupBy("dataset_id", "tree_id").agg(F.sum("part").alias("log_lik"))
 
 
@@ -157,13 +284,19 @@ def consensus_splits(splits: DataFrame, weights: DataFrame, keys: list[str], min
 
 
 def consensus_newick(consensus: DataFrame, taxa: DataFrame, key: str) -> DataFrame:
-    """(key, newick) of majority splits (key, split, mean_length) over taxa (key, taxon); at most one row a split."""
+    """(key, newick) of majority splits (key, split: names, mean_length) over taxa (key, taxon); at most one row a split.
+
+    Splits of one taxon are pendant edges and give leaves their lengths; the smallest taxon's edge is the split of all others.
+    """
 
     def text(df: pd.DataFrame) -> pd.DataFrame:
         names = sorted(df[df["kind"] == "taxon"]["name"])
         sides = sorted(((frozenset(s.split(",")), x) for s, x in zip(df[df["kind"] == "split"]["name"], df[df["kind"] == "split"]["length"])), key=lambda g: (len(g[0]), sorted(g[0])))
-        parts = {frozenset([n]): n for n in names}
+        pendant = {next(iter(s)): x for s, x in sides if len(s) == 1}
+        parts = {frozenset([n]): f"{n}:{pendant[n]:.6f}" if n in pendant else n for n in names}
         for side, length in sides:
+            if len(side) == 1:
+                continue
             inner = sorted((p for p in parts if p < side), key=lambda p: sorted(p))
             joined = "(" + ",".join(parts.pop(p) for p in inner) + f"):{length:.6f}"
             parts[side] = joined
@@ -175,6 +308,12 @@ def consensus_newick(consensus: DataFrame, taxa: DataFrame, key: str) -> DataFra
     return rows.groupBy(key).applyInPandas(text, f"{key} {dict(taxa.dtypes)[key]}, newick string")
 
 
+def consensus_log_likelihood(consensus: DataFrame, sites: DataFrame, kappa: float = 2.0) -> DataFrame:
+    """(dataset_id, log_lik) of consensus trees (dataset_id, newick) on their data sets' sites (dataset_id, taxon, site, ch)."""
+    trees = consensus.select("dataset_id", F.lit(0).cast("long").alias("tree_id"), "newick")
+    return tree_log_likelihood(trees, site_patterns(sites), kappa).drop("tree_id")
+
+
 def tree_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
     """Partition distance, its rate over all splits, and branch scores L1 and L2, from splits (keys, split, length)."""
     both = a.select(*keys, "split", F.col("length").alias("_a")).join(b.select(*keys, "split", F.col("length").alias("_b")), [*keys, "split"], "full_outer")
@@ -185,6 +324,19 @@ def tree_distance(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def topology_counts(splits: DataFrame, weights: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, topology, weight, n) of unrooted topologies: the sorted set of a tree's splits."""
-    shapes = splits.groupBy("tree_id").agg(F.array_join(F.array_sort(F.collect_set("split")), ";").alias("topology"))
-    return weights.join(shapes, "tree_id").groupBy(*keys, "topology").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"))
+    """(keys, topology, weight, n, tree_id) of unrooted topologies; splits (tree_id, split), each once a tree.
+
+    A topology is the sums, modulo 2^64, of two hashes of a tree's splits; tree_id is the smallest that has it. Trees
+    without a split are one topology, of a null.
+    """
+    mix = lambda seed: F.sum(F.xxhash64(F.lit(seed), "split").cast("decimal(20,0)"))
+    wrap = lambda c: F.pmod(c, F.lit(Decimal(1 << 64))).cast("decimal(20,0)")
+    shapes = splits.groupBy("tree_id").agg(F.struct(wrap(mix(1)).alias("a"), wrap(mix(2)).alias("b")).alias("topology"))
+    return weights.join(shapes, "tree_id", "left").groupBy(*keys, "topology").agg(F.sum("weight").alias("weight"), F.count("*").alias("n"), F.min("tree_id").alias("tree_id"))
+
+
+def named_topologies(counts: DataFrame, splits: DataFrame, names: DataFrame) -> DataFrame:
+    """topology_counts with each topology as its splits' names, sorted and joined by semicolons; of a tree of each topology alone."""
+    one = counts.select("tree_id").distinct()
+    text = named(splits.join(one, "tree_id", "left_semi").select("tree_id", "split"), names).groupBy("tree_id").agg(F.array_join(F.array_sort(F.collect_list("split")), ";").alias("_text"))
+    return counts.join(text, "tree_id", "left").withColumn("topology", F.coalesce("_text", F.lit(""))).drop("_text", "tree_id")

@@ -604,13 +604,16 @@ def _weights(spark, d, *more: str):
     return fixture(spark, d, "tree_ranks").where("rank = 1").select("dataset_id", "tree_id", "weight", *more)
 
 
-def _splits(spark, d):
-    return trees.tree_splits(fixtures.trees(spark, d))
+def _splits(spark, d, trivial=False):
+    """Splits of all trees by hashes, and the names of each different one: the trees are parsed once."""
+    nodes = saved(trees.tree_nodes(fixtures.trees(spark, d)), "nodes")
+    splits = saved(trees.split_rows(nodes, trivial), "splits")
+    return splits, trees.split_names(splits, nodes)
 
 
 @query(f"{TREES} SELECT tree_id, split, round(length, 6) AS length FROM splits")
 def s3_tree_splits(spark, d):
-    return rounded(_splits(spark, d), "length")
+    return rounded(trees.tree_splits(fixtures.trees(spark, d)), "length")
 
 
 @query(f"WITH n AS (SELECT o_orderkey AS tree_id FROM orders), e AS (SELECT tree_id, {' + '.join(f'((tree_id * 7 + {k * 13}) % 50 + 1)' for k in range(1, 7))} + {' + '.join(f'((tree_id * 11 + {j * 17}) % 40 + 1)' for j in (2, 3, 4))} AS s FROM n) SELECT tree_id, round({9 * math.log(10)!r} - 10 * s / 1000.0, 6) AS log_prior FROM e")
@@ -618,13 +621,17 @@ def k4_tree_log_prior(spark, d):
     return rounded(trees.tree_log_prior(trees.tree_edges(fixtures.trees(spark, d))), "log_prior")
 
 
-#: Pendant lengths of the caterpillar (((t0,t1),t2),...,t7), and those of its inner edges.
+#: Pendant lengths of taxa t0 to t7, and lengths of inner edges from the leaves up, of caterpillars (((x,y),z),...) by their orders of taxa.
 _PENDANT, _INNER = (0.1, 0.2, 0.15, 0.3, 0.25, 0.05, 0.12, 0.18), (0.05, 0.1, 0.07, 0.02, 0.03, 0.04)
+_ORDERS = ((0, 1, 2, 3, 4, 5, 6, 7), (0, 1, 2, 3, 4, 5, 7, 6), (1, 0, 2, 3, 6, 5, 7, 4), (7, 6, 5, 4, 3, 2, 1, 0))
 _KAPPA = 2.0
-_TREE8 = f"(t0:{_PENDANT[0]},t1:{_PENDANT[1]})"
-for _i, _x in enumerate(_INNER):
-    _TREE8 = f"({_TREE8}:{_x},t{_i + 2}:{_PENDANT[_i + 2]})"
-_TREE8 += ";"
+
+
+def _caterpillar(order) -> str:
+    out = f"(t{order[0]}:{_PENDANT[order[0]]},t{order[1]}:{_PENDANT[order[1]]})"
+    for x, i in zip(_INNER, order[2:]):
+        out = f"({out}:{x},t{i}:{_PENDANT[i]})"
+    return out + ";"
 
 
 def _change(t: float) -> dict[str, dict[str, float]]:
@@ -636,28 +643,30 @@ def _leaf(i: int, x: str) -> str:
     return f"CASE c{i} " + " ".join(f"WHEN '{y}' THEN {p!r}::DOUBLE" for y, p in _change(_PENDANT[i])[x].items()) + " ELSE 1.0::DOUBLE END"
 
 
-def _pruned() -> str:
+def _pruned(k: int, order) -> str:
     """Subqueries that add taxon after taxon to the likelihoods a_A to a_T of the growing tree's top."""
-    out = "v1 AS (SELECT *, " + ", ".join(f"({_leaf(0, x)}) * ({_leaf(1, x)}) AS a_{x}" for x in "ACGT") + " FROM n)"
+    out = f"v{k}_1 AS (SELECT *, " + ", ".join(f"({_leaf(order[0], x)}) * ({_leaf(order[1], x)}) AS a_{x}" for x in "ACGT") + " FROM n)"
     for i, length in enumerate(_INNER):
         up = _change(length)
-        rows = ", ".join(f"({' + '.join(f'{p!r}::DOUBLE * a_{y}' for y, p in up[x].items())}) * ({_leaf(i + 2, x)}) AS a_{x}" for x in "ACGT")
-        out += f", v{i + 2} AS (SELECT * REPLACE ({rows}) FROM v{i + 1})"
+        rows = ", ".join(f"({' + '.join(f'{p!r}::DOUBLE * a_{y}' for y, p in up[x].items())}) * ({_leaf(order[i + 2], x)}) AS a_{x}" for x in "ACGT")
+        out += f", v{k}_{i + 2} AS (SELECT * REPLACE ({rows}) FROM v{k}_{i + 1})"
     return out
 
 
 @query(f"""WITH aln AS ({SQL['aln']}), s AS (SELECT dataset_id, site, {', '.join(f"max(ch) FILTER (taxon = 't{i}') AS c{i}" for i in range(8))} FROM aln GROUP BY ALL),
-  n AS (SELECT dataset_id, {', '.join(f'c{i}' for i in range(8))}, count(*) AS n FROM s GROUP BY ALL), {_pruned()}
-  SELECT dataset_id, dataset_id AS tree_id, round(sum(n * ln(0.25 * (a_A + a_C + a_G + a_T))), 4) AS log_lik FROM v{len(_INNER) + 1} GROUP BY dataset_id""")
+  n AS (SELECT dataset_id, {', '.join(f'c{i}' for i in range(8))}, count(*) AS n FROM s GROUP BY ALL), {', '.join(_pruned(k, o) for k, o in enumerate(_ORDERS))}
+  {' UNION ALL '.join(f"SELECT dataset_id, dataset_id * 10 + {k} AS tree_id, round(sum(n * ln(0.25 * (a_A + a_C + a_G + a_T))), 4) AS log_lik FROM v{k}_{len(_INNER) + 1} GROUP BY dataset_id" for k in range(len(_ORDERS)))}""")
 def k5_tree_log_likelihood(spark, d):
-    sites = fixture(spark, d, "aln")
-    some = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 8).cast("long").alias("dataset_id")).distinct().select("dataset_id", F.col("dataset_id").alias("tree_id"), F.lit(_TREE8).alias("newick"))
-    return trees.tree_log_likelihood(some, trees.site_patterns(sites), _KAPPA).withColumn("log_lik", F.round("log_lik", 4))
+    """Several trees a data set, that share some of their clades."""
+    ids = spark.read.parquet(f"{d}/documents.parquet").select(F.floor(F.col("doc_id") / 8).cast("long").alias("dataset_id")).distinct()
+    some = ids.select("dataset_id", F.posexplode(F.array(*[F.lit(_caterpillar(o)) for o in _ORDERS])).alias("k", "newick")).withColumn("tree_id", F.col("dataset_id") * 10 + F.col("k"))
+    return trees.tree_log_likelihood(some, trees.site_patterns(fixture(spark, d, "aln")), _KAPPA).withColumn("log_lik", F.round("log_lik", 4))
 
 
 @query(f"{CLADES} SELECT dataset_id, split, round(p, 6) AS p, round(mean_length, 6) AS mean_length FROM clades")
 def q8_clade_posterior(spark, d):
-    return rounded(trees.clade_posterior(_splits(spark, d), _weights(spark, d), ["dataset_id"]), "p", "mean_length")
+    splits, names = _splits(spark, d)
+    return rounded(trees.named(trees.clade_posterior(splits, _weights(spark, d), ["dataset_id"]), names), "p", "mean_length")
 
 
 _HALVES = f"{TREES}, " + ", ".join(f"t{h} AS (SELECT dataset_id, sum(weight) / 3 AS total FROM splits WHERE tree_id % 2 = {h} GROUP BY dataset_id), c{h} AS (SELECT dataset_id, split, sum(weight) / max(total) AS p FROM splits JOIN t{h} USING (dataset_id) WHERE tree_id % 2 = {h} GROUP BY dataset_id, split)" for h in (0, 1))
@@ -665,27 +674,33 @@ _HALVES = f"{TREES}, " + ", ".join(f"t{h} AS (SELECT dataset_id, sum(weight) / 3
 
 @query(f"{_HALVES} SELECT coalesce(a.dataset_id, b.dataset_id) AS dataset_id, round(sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))), 6) AS distance FROM c0 a FULL JOIN c1 b ON a.dataset_id = b.dataset_id AND a.split = b.split GROUP BY 1")
 def q9_clade_distance(spark, d):
-    splits, weights = saved(_splits(spark, d), "splits"), _weights(spark, d)
+    (splits, _), weights = _splits(spark, d), _weights(spark, d)
     p, q = (trees.clade_posterior(splits, weights.where(F.col("tree_id") % 2 == h), ["dataset_id"]) for h in (0, 1))
     return rounded(trees.clade_distance(p, q, ["dataset_id"]), "distance")
 
 
 @query(f"{CLADES} SELECT dataset_id, split, round(p, 6) AS p, round(mean_length, 6) AS mean_length FROM clades WHERE p > 0.3")
 def q10_consensus_splits(spark, d):
-    return rounded(trees.consensus_splits(_splits(spark, d), _weights(spark, d), ["dataset_id"], 0.3), "p", "mean_length")
+    splits, names = _splits(spark, d)
+    return rounded(trees.named(trees.consensus_splits(splits, _weights(spark, d), ["dataset_id"], 0.3), names), "p", "mean_length")
+
+
+def _consensus(spark, d, trivial=False):
+    splits, names = _splits(spark, d, trivial)
+    majority = trees.named(trees.consensus_splits(splits, _weights(spark, d), ["dataset_id"]), names)
+    return trees.consensus_newick(majority, fixture(spark, d, "tree_ranks").select("dataset_id", "taxon").distinct(), "dataset_id")
 
 
 @query()
 def q10_consensus_newick(spark, d):
-    majority = trees.consensus_splits(_splits(spark, d), _weights(spark, d), ["dataset_id"])
-    return trees.consensus_newick(majority, fixture(spark, d, "tree_ranks").select("dataset_id", "taxon").distinct(), "dataset_id")
+    return _consensus(spark, d)
 
 
 @query(f"""{TREES}, gold AS (SELECT dataset_id, min(tree_id) AS g FROM splits GROUP BY dataset_id), a AS (SELECT tree_id, split, length FROM splits), b AS (SELECT t.tree_id, s.split, s.length FROM (SELECT DISTINCT tree_id, dataset_id FROM splits) t JOIN gold USING (dataset_id) JOIN splits s ON s.tree_id = g)
   SELECT coalesce(a.tree_id, b.tree_id) AS tree_id, count(*) FILTER (a.length IS NULL OR b.length IS NULL) AS partition, round(count(*) FILTER (a.length IS NULL OR b.length IS NULL) / (count(a.length) + count(b.length)), 6) AS rate,
     round(sum(abs(coalesce(a.length, 0) - coalesce(b.length, 0))), 6) AS branch_l1, round(sqrt(sum(pow(coalesce(a.length, 0) - coalesce(b.length, 0), 2))), 6) AS branch_l2 FROM a FULL JOIN b ON a.tree_id = b.tree_id AND a.split = b.split GROUP BY 1""")
 def q11_tree_distance(spark, d):
-    splits, weights = saved(_splits(spark, d), "splits"), _weights(spark, d)
+    (splits, _), weights = _splits(spark, d), _weights(spark, d)
     gold = weights.groupBy("dataset_id").agg(F.min("tree_id").alias("g"))
     theirs = weights.join(gold, "dataset_id").select("tree_id", "g").join(splits.withColumnRenamed("tree_id", "g"), "g").drop("g")
     return rounded(trees.tree_distance(splits, theirs, ["tree_id"]), "rate", "branch_l1", "branch_l2")
@@ -693,8 +708,9 @@ def q11_tree_distance(spark, d):
 
 @query(f"{TREES}, shapes AS (SELECT tree_id, dataset_id, max(weight) AS weight, string_agg(split, ';' ORDER BY split) AS topology FROM splits GROUP BY tree_id, dataset_id) SELECT dataset_id, topology, round(sum(weight), 3) AS weight, count(*) AS n FROM shapes GROUP BY ALL")
 def q12_topology_counts(spark, d):
-    out = trees.topology_counts(_splits(spark, d), _weights(spark, d), ["dataset_id"])
-    return out.withColumn("weight", F.round("weight", 3))
+    splits, names = _splits(spark, d)
+    counts = trees.topology_counts(splits, _weights(spark, d), ["dataset_id"])
+    return trees.named_topologies(counts, splits, names).withColumn("weight", F.round("weight", 3))
 
 
 @query(f"{PART} SELECT population_id, round(max(log_lik), 6) AS best FROM part GROUP BY population_id")
@@ -702,6 +718,36 @@ def q13_best_log_likelihood(spark, d):
     return rounded(summaries.store(part(spark, d), ["population_id"], best=F.max("log_lik")), "best")
 
 
+def _consensus_likelihood_sql() -> str:
+    """Pruning over the consensus trees in SQL: their clades by size, from the leaves up; the taxon A hangs on the top."""
+    pair = {"A": "G", "G": "A", "C": "T", "T": "C"}
+    leaf = lambda x: f"CASE WHEN ch IS NULL THEN 1.0::DOUBLE WHEN ch = '{x}' THEN same WHEN ch = '{pair[x]}' THEN ts ELSE tv END"
+    inner = lambda x: f"same * k_{x} + ts * k_{pair[x]} + tv * ({' + '.join(f'k_{y}' for y in pair if y not in (x, pair[x]))})"
+    ctes = f"""{CLADES}, cons AS (SELECT dataset_id, split AS child, round(mean_length, 6) AS len, len(string_split(split, ',')) AS size FROM clades WHERE p > 0.5),
+  pend AS (SELECT dataset_id, taxon AS child, round(sum(weight * ((tree_id * 7 + rank * 13) % 50 + 1) / 1000.0) / sum(weight), 6) AS len FROM ranks GROUP BY ALL),
+  nodes AS (SELECT * FROM cons UNION ALL SELECT dataset_id, child, len, 1 FROM pend),
+  up AS (SELECT n.dataset_id, n.child, n.len, coalesce(arg_min(c.child, c.size), 'top') AS parent, coalesce(min(c.size), 6) AS parent_size FROM nodes n LEFT JOIN cons c ON c.dataset_id = n.dataset_id AND c.size > n.size AND list_has_all(string_split(c.child, ','), string_split(n.child, ',')) GROUP BY ALL),
+  e AS (SELECT dataset_id, child, parent, parent_size, 0.25 + 0.25 * exp(-len) + 0.5 * exp(-1.5 * len) AS same, 0.25 + 0.25 * exp(-len) - 0.5 * exp(-1.5 * len) AS ts, 0.25 - 0.25 * exp(-len) AS tv FROM up),
+  s AS (SELECT dataset_id, site, {', '.join(f"max(ch) FILTER (taxon = '{t}') AS {t}" for t in 'ABCDEF')} FROM ({SQL['aln6']}) GROUP BY ALL),
+  n AS (SELECT *, row_number() OVER () AS pid FROM (SELECT dataset_id, A, B, C, D, E, F, count(*) AS n FROM s GROUP BY ALL)),
+  pc AS ({' UNION ALL '.join(f"SELECT dataset_id, pid, '{t}' AS taxon, {t} AS ch FROM n" for t in 'ABCDEF')}),
+  u1 AS (SELECT p.dataset_id, pid, parent, parent_size, {', '.join(f'{leaf(x)} AS u_{x}' for x in pair)} FROM pc p JOIN e ON e.dataset_id = p.dataset_id AND child = taxon)"""
+    below = ["u1"]
+    for size in (2, 3, 4, 6):
+        rows = " UNION ALL ".join(f"SELECT * FROM {u} WHERE parent_size = {size}" for u in below)
+        ctes += f", k{size} AS (SELECT dataset_id, pid, parent AS node, {', '.join(f'product(u_{x}) AS k_{x}' for x in pair)} FROM ({rows}) GROUP BY ALL)"
+        ctes += f", u{size} AS (SELECT k.dataset_id, pid, parent, parent_size, {', '.join(f'{inner(x)} AS u_{x}' for x in pair)} FROM k{size} k JOIN e ON e.dataset_id = k.dataset_id AND child = node)"
+        below.append(f"u{size}")
+    return f"{ctes} SELECT dataset_id, round(sum(n * ln(0.25 * (k_A + k_C + k_G + k_T))), 4) AS log_lik FROM k6 JOIN n USING (dataset_id, pid) GROUP BY dataset_id"
+
+
+@query(_consensus_likelihood_sql())
+def q13_consensus_log_likelihood(spark, d):
+    """Of each data set's consensus tree, with mean lengths of all its edges, on all documents' characters as sites."""
+    out = trees.consensus_log_likelihood(_consensus(spark, d, trivial=True), fixture(spark, d, "aln6"), _KAPPA)
+    return rounded(out.withColumn("log_lik", F.round("log_lik", 4)))
+
+
 # Experiments
 
 EXP = f"WITH exp AS ({SQL['exp']})"

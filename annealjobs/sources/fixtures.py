@@ -18,6 +18,9 @@ SQL = {
     # eight documents are a data set's taxa, and every character of a text is a site; the list's function goes by engine
     "aln": """SELECT dataset_id, taxon, CAST(site AS INT) AS site, SUBSTR('ACGT', CAST(ASCII(c) % 4 + 1 AS INT), 1) AS ch
 FROM (SELECT CAST(FLOOR(doc_id / 8) AS BIGINT) AS dataset_id, CONCAT('t', CAST(doc_id % 8 AS STRING)) AS taxon, UNNEST(RANGE(0, LENGTH(text))) AS site, UNNEST(STRING_SPLIT(text, '')) AS c FROM documents) d""",
+    # six documents are a locus of ten data sets of six taxa
+    "aln6": """SELECT dataset_id, taxon, CAST(locus * 16777216 + site AS BIGINT) AS site, SUBSTR('ACGT', CAST(ASCII(c) % 4 + 1 AS INT), 1) AS ch
+FROM (SELECT CAST(FLOOR(doc_id / 6) AS BIGINT) % 10 AS dataset_id, CAST(FLOOR(doc_id / 60) AS BIGINT) AS locus, SUBSTR('ABCDEF', CAST(doc_id % 6 + 1 AS INT), 1) AS taxon, UNNEST(RANGE(0, LENGTH(text))) AS site, UNNEST(STRING_SPLIT(text, '')) AS c FROM documents) d""",
     "tree_ranks": """SELECT o.o_orderkey AS tree_id, o.o_custkey % 10 AS dataset_id, o.o_orderpriority AS list_id, o.o_totalprice AS weight, x.taxon,
   CAST(ROW_NUMBER() OVER (PARTITION BY o.o_orderkey ORDER BY MD5(CONCAT(CAST((o.o_orderkey * o.o_orderkey + o.o_custkey) % 7 AS STRING), '|', x.taxon))) AS INT) AS rank
 FROM orders o CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F')) AS x(taxon)""",
@@ -25,7 +28,7 @@ FROM orders o CROSS JOIN (VALUES ('A'), ('B'), ('C'), ('D'), ('E'), ('F')) AS x(
   CAST(ROW_NUMBER() OVER (PARTITION BY o_orderpriority, o_custkey % 3, o_custkey % 10, o_orderstatus ORDER BY o_orderkey) - 1 AS INT) AS Repeat,
   o_orderstatus AS Metric, o_totalprice / 1000 AS Value, CONCAT('sim-', CAST(o_custkey % 10 AS STRING), '.msf') AS TreeName, CAST(o_orderkey % 5000 AS BIGINT) AS Time FROM orders""",
 }
-_TABLES = {"part": ["events"], "chain": ["lineitem"], "seq": ["events"], "aln": ["documents"], "tree_ranks": ["orders"], "exp": ["orders"]}
+_TABLES = {"part": ["events"], "chain": ["lineitem"], "seq": ["events"], "aln": ["documents"], "aln6": ["documents"], "tree_ranks": ["orders"], "exp": ["orders"]}
 #: The caterpillar ((((1,2),3),4),5,6) of ranked taxa, with lengths from the tree's number.
 NEWICK = "CONCAT('((((', t1, ':', p1, ',', t2, ':', p2, '):', q2, ',', t3, ':', p3, '):', q3, ',', t4, ':', p4, '):', q4, ',', t5, ':', p5, ',', t6, ':', p6, ');')"
 
@@ -36,6 +39,10 @@ def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if name == "aln":  # a character by explode: cutting it out of a long text by place would be quadratic
         chars = spark.table("documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("dataset_id"), F.concat(F.lit("t"), (F.col("doc_id") % 8).cast("string")).alias("taxon"), F.posexplode(F.split("text", "")).alias("site", "c"))
         return chars.where("c != ''").select("dataset_id", "taxon", "site", F.substring(F.lit("ACGT"), F.ascii("c") % 4 + 1, F.lit(1)).alias("ch"))
+    if name == "aln6":
+        doc, text = F.col("doc_id"), F.posexplode(F.split("text", "")).alias("at", "c")
+        chars = spark.table("documents").select((F.floor(doc / 6) % 10).alias("dataset_id"), F.floor(doc / 60).alias("locus"), F.substring(F.lit("ABCDEF"), (doc % 6 + 1).cast("int"), F.lit(1)).alias("taxon"), text).where("c != ''")
+        return chars.select("dataset_id", "taxon", (F.col("locus") * 16777216 + F.col("at")).alias("site"), F.substring(F.lit("ACGT"), F.ascii("c") % 4 + 1, F.lit(1)).alias("ch"))
     return spark.sql(SQL[name])
 
 

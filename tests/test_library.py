@@ -204,10 +204,91 @@ def test_unfinished_populations_are_an_error(spark):
 def test_newick():
     edges = trees.newick_edges("((A:1,B:2)x:3,(C:4,'D d':5):6,E:7);")
     assert sorted((c, x) for _, c, x, _ in edges if not c.startswith("internal")) == [("'Dd'", 5.0), ("A", 1.0), ("B", 2.0), ("C", 4.0), ("E", 7.0)]
-    splits = trees.newick_splits("((A:1,B:2):3,(C:4,D:5):6,E:7);")
-    assert splits["C,D"] == 6 and splits["C,D,E"] == 3
-    rooted = trees.newick_splits("((A:1,B:2):3,(C:4,D:5):6);")
-    assert rooted["C,D"] == 9  # both edges at the root
+
+
+def _by_hand(text):
+    """Lengths by split, and topology, of one tree, by the row-at-a-time parser."""
+    edges = trees.newick_edges(text)
+    taxa = frozenset().union(*[e[3] for e in edges]) if edges else frozenset()
+    out = {}
+    for _, _, length, below in edges:
+        side = below if min(taxa) not in below else taxa - below
+        if side:
+            key = ",".join(sorted(side))
+            out[key] = out.get(key, 0.0) + length
+    return out, len(taxa)
+
+
+def _random_tree(r, names):
+    parts = [f"{n}:{r.randint(1, 99) / 100}" for n in r.sample(names, len(names))]
+    while len(parts) > 3:
+        k = r.randint(2, 3)
+        some = [parts.pop(r.randrange(len(parts))) for _ in range(k)]
+        parts.append(f"({','.join(some)}){r.choice(['', 'x', ' 0.9'])}:{r.randint(1, 99) / 100}")
+    return "(" + ", ".join(parts) + ");"
+
+
+def test_trees_in_columns(spark):
+    """Edges and splits of tokens and running sums, against a parser with a stack."""
+    r = random.Random(6)
+    texts = [_random_tree(r, [f"t{i}" for i in range(n)]) for n in (2, 3, 4, 5, 8, 8, 8, 40, 90)] + ["((A:1,B:2):3,(C:4,D:5):6,E:7);", "((A:1,B:2):3,(C:4,D:5):6);", "(A,B,(C,'D d'))", "A;", "", " ", None, "(B:1,A:2,C:0.5)root;"]
+    df = spark.createDataFrame(list(enumerate(texts)), "tree_id long, newick string").repartition(3)
+    edges, every, inner = {}, {}, {}
+    for x in trees.tree_edges(df).collect():
+        edges.setdefault(x.tree_id, []).append((x.node_b if not x.node_b.startswith("internal") else "", x.length))
+    for x in trees.tree_splits(df, trivial=True).collect():
+        every.setdefault(x.tree_id, {})[x.split] = x.length
+    for x in trees.tree_splits(df).collect():
+        inner.setdefault(x.tree_id, {})[x.split] = x.length
+    for i, t in enumerate(texts):
+        own = trees.newick_edges(t or "")
+        assert sorted(edges.get(i, [])) == sorted(("" if c.startswith("internal") else c, x) for _, c, x, _ in own)
+        want, n = _by_hand(t or "")
+        assert every.get(i, {}) == pytest.approx(want) and inner.get(i, {}) == pytest.approx({s: x for s, x in want.items() if 1 < s.count(",") + 1 < n - 1})
+    assert every[9]["C,D"] == 6 and every[9]["C,D,E"] == 3 and every[10]["C,D"] == 9  # both edges at a root of degree two
+    joined = trees.tree_nodes(df.where("tree_id = 9")).alias("a").join(trees.tree_nodes(df.where("tree_id = 9")).alias("b"), F.col("a.parent") == F.col("b.i")).where("a.name = 'C'").select("b.size").first()
+    assert joined[0] == 2
+
+
+def test_topologies(spark):
+    same = ["((A:1,B:2):3,(C:4,D:5):6,E:7);", "(E:1,(D:1,C:1):9,(B:3,A:2):1);", "((E:1,(A:1,B:1):1):1,C:1,D:2);", "(((A:1,C:1):1,B:1):1,D:1,E:1);", "(A,B,C,D,E);"]
+    nodes = trees.tree_nodes(spark.createDataFrame(list(enumerate(same)), "tree_id long, newick string"))
+    splits = trees.split_rows(nodes)
+    weights = spark.createDataFrame([("g", i, 1.0 + i) for i in range(5)], "k string, tree_id long, weight double")
+    counts = trees.topology_counts(splits, weights, ["k"])
+    got = {(r.topology, r.weight, r.n) for r in trees.named_topologies(counts, splits, trees.split_names(splits, nodes)).collect()}
+    assert got == {("C,D;C,D,E", 6.0, 3), ("B,D,E;D,E", 4.0, 1), ("", 5.0, 1)}
+
+
+@pytest.mark.parametrize(("per_task", "per_block"), [(64, 1024), (2, 3), (1, 1)])
+def test_likelihoods_of_many_trees(spark, per_task, per_block):
+    """Shared clades and blocks of patterns give each tree the likelihood that summing over inner states gives it."""
+    r = random.Random(2)
+    names = ["a", "b", "c", "d"]
+    sites = [(1, t, i, r.choice("ACGT-N")) for t in names for i in range(12) if t != "d" or i < 9]
+    base = [_random_tree(r, names) for _ in range(4)]
+    texts = base + ["((a:0.1,b:0.2):0.3,(c:0.1,d:0.4):0.2);", "(((a:0.1,b:0.2):0.3,c:0.1):0.5,d:0.4);", "((b:0.2,a:0.1):0.3,(c:0.1,zz:0.4):0.2);", base[0]]
+    df = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "dataset_id long, tree_id long, newick string")
+    table = spark.createDataFrame(sites, "dataset_id long, taxon string, site int, ch string")
+    got = {x.tree_id: x.log_lik for x in trees.tree_log_likelihood(df, trees.site_patterns(table), 2.0, per_task, per_block).collect()}
+    char = {(t, i): c for _, t, i, c in sites}
+    for k, text in enumerate(texts):
+        edges = trees.newick_edges(text)
+        inner = sorted({p for p, *_ in edges})
+        total = 0.0
+        for i in range(12):
+            lik = 0.0
+            for states in itertools.product("AGCT", repeat=len(inner)):
+                at, p = dict(zip(inner, states)), 0.25
+                for parent, child, length, _ in edges:
+                    m = trees._transition(length, 2.0)
+                    row = m["AGCT".index(at[parent])]
+                    p *= row["AGCT".index(at[child])] if child in at else row["AGCT".index(char[child, i])] if char.get((child, i)) in tuple("ACGT") else 1.0
+                lik += p
+            total += math.log(lik)
+        assert got[k] == pytest.approx(total, rel=1e-10)
+    taxa, nodes, roots = trees.shared_clades(texts[4:8])
+    assert len(nodes) < 3 * 4 and roots[0] != roots[1]  # (a, b) with its lengths is one node
 
 
 def test_consensus_text(spark):
