@@ -94,9 +94,9 @@ def _let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def _times(acc: Column, m: Column, ll: Column, k: int) -> Column:
-    """struct(m, ll): acc times a k x k matrix (flat arrays, with ln of their scales), scaled to sum to 1."""
-    cells = F.array(*[sum((acc["m"][i * k + x] * m[x * k + j] for x in range(1, k)), acc["m"][i * k] * m[j]) for i in range(k) for j in range(k)])
+def _times(acc: Column, m: Column, ll: Column, rows: int, k: int) -> Column:
+    """struct(m, ll): acc, rows x k, times a k x k matrix (flat arrays, with ln of their scales), scaled to sum to 1."""
+    cells = F.array(*[sum((acc["m"][i * k + x] * m[x * k + j] for x in range(1, k)), acc["m"][i * k] * m[j]) for i in range(rows) for j in range(k)])
     scaled = lambda c: F.transform(c["c"], lambda x: x / F.when(c["t"] > 0, c["t"]).otherwise(1.0))
     scale = lambda c: F.when(c["t"] > 0, acc["ll"] + ll + F.ln(c["t"])).otherwise(F.lit(-math.inf))
     total = lambda c: F.struct(c.alias("c"), F.aggregate(c, F.lit(0.0), lambda a, x: a + x).alias("t"))
@@ -107,28 +107,37 @@ def _literal(rows: list[list[float]]) -> Column:
     return F.array(*[F.array(*[F.lit(float(x)) for x in r]) for r in rows])
 
 
-def _product(obs: Column, params: Params, pos: int = -1, state: int = -1) -> Column:
-    """struct(m, ll) of observations [(pos, obs)]: what they do to forward sums; the state at pos is held fixed."""
+def _start(params: Params) -> Column:
+    return F.struct(F.array(*[F.lit(float(p)) for p in params.init]).alias("m"), F.lit(0.0).alias("ll"))
+
+
+def _product(c: Column, obs: Column, params: Params, pos: int = -1, state: int = -1) -> Column:
+    """struct(m, ll) of a chunk's observations [(pos, obs)]: what they do to forward sums; the state at pos is held fixed.
+
+    The first chunk (c = 0) starts from the initial distribution and is a vector of forward sums, any other a matrix.
+    """
     k = len(params.init)
     one = F.struct(F.array(*[F.lit(float(i == j)) for i in range(k) for j in range(k)]).alias("m"), F.lit(0.0).alias("ll"))
     each = [[[params.emit[i][o] * params.trans[i][j] for i in range(k) for j in range(k)] for o in range(len(params.emit[0]))]]
     each.append([[x if i // k == state else 0.0 for i, x in enumerate(row)] for row in each[0]])
 
-    def step(acc: Column, o: Column) -> Column:
-        at = (o["obs"] + 1).cast("int")
-        free = F.element_at(_literal(each[0]), at)
-        own = free if pos < 0 else F.when(o["pos"] == pos, F.element_at(_literal(each[1]), at)).otherwise(free)
-        return _let(own, lambda m: _times(acc, m, F.lit(0.0), k))
+    def folded(start: Column, rows: int) -> Column:
+        def step(acc: Column, o: Column) -> Column:
+            at = (o["obs"] + 1).cast("int")
+            free = F.element_at(_literal(each[0]), at)
+            own = free if pos < 0 else F.when(o["pos"] == pos, F.element_at(_literal(each[1]), at)).otherwise(free)
+            return _let(own, lambda m: _times(acc, m, F.lit(0.0), rows, k))
+
+        return F.aggregate(obs, start, step)
 
-    return F.aggregate(obs, one, step)
+    return F.when(c == 0, folded(_start(params), 1)).otherwise(folded(one, k))
 
 
 def _log_total(parts: Column, params: Params) -> Column:
     """ln of the probability of all observations, from the products of consecutive chunks [(c, m, ll)]."""
     k = len(params.init)
-    # rows that all hold the initial distribution: one product gives its forward sums
-    start = F.struct(F.array(*[F.lit(float(p) / k) for _ in range(k) for p in params.init]).alias("m"), F.lit(0.0).alias("ll"))
-    return F.aggregate(parts, start, lambda acc, x: _times(acc, x["m"], x["ll"], k), lambda acc: acc["ll"])
+    first = F.when(parts[0]["c"] == 0, F.struct(parts[0]["m"].alias("m"), parts[0]["ll"].alias("ll"))).otherwise(_start(params))
+    return F.aggregate(F.filter(parts, lambda x: x["c"] != 0), first, lambda acc, x: _times(acc, x["m"], x["ll"], 1, k), lambda acc: acc["ll"])
 
 
 def _chunks(seqs: DataFrame, chunk: int) -> DataFrame:
@@ -139,18 +148,19 @@ def _chunks(seqs: DataFrame, chunk: int) -> DataFrame:
 def hmm_log_evidence(seqs: DataFrame, params: Params, chunk: int = CHUNK) -> DataFrame:
     """(seq_id, log_z): exact, of sequences (seq_id, pos, obs) of any length.
 
-    Each chunk of positions is reduced to one small matrix, and a sequence's matrices are multiplied in order.
-    Rows of the transition matrix sum to one, so that the step after the last observation changes nothing.
+    The first chunk of positions is folded into forward sums and any other reduced to one small matrix; a sequence's
+    are multiplied in order. Rows of the transition matrix sum to one, so that the step after the last
+    observation changes nothing.
     """
-    parts = _chunks(seqs, chunk).select("seq_id", F.struct("c", _product(F.col("o"), params).alias("p")).alias("x")).select("seq_id", F.struct("x.c", "x.p.m", "x.p.ll").alias("x"))
+    parts = _chunks(seqs, chunk).select("seq_id", F.struct("c", _product(F.col("c"), F.col("o"), params).alias("p")).alias("x")).select("seq_id", F.struct("x.c", "x.p.m", "x.p.ll").alias("x"))
     return parts.groupBy("seq_id").agg(_log_total(F.array_sort(F.collect_list("x")), params).alias("log_z"))
 
 
 def hmm_marginal(seqs: DataFrame, params: Params, pos: int = 0, chunk: int = CHUNK) -> DataFrame:
     """(seq_id, state, p): exact posterior of the state at a position."""
     k, here = len(params.init), F.col("c") == pos // chunk
-    free = _chunks(seqs, chunk).withColumn("p", _product(F.col("o"), params))
-    held = [F.when(here, _product(F.col("o"), params, pos, s)).otherwise(F.col("p")).alias(f"p{s}") for s in range(k)]
+    free = _chunks(seqs, chunk).withColumn("p", _product(F.col("c"), F.col("o"), params))
+    held = [F.when(here, _product(F.col("c"), F.col("o"), params, pos, s)).otherwise(F.col("p")).alias(f"p{s}") for s in range(k)]
     rows = free.select("seq_id", "c", "p", *held)
     ordered = lambda p: F.array_sort(F.collect_list(F.struct("c", F.col(f"{p}.m").alias("m"), F.col(f"{p}.ll").alias("ll"))))
     totals = rows.groupBy("seq_id").agg(_log_total(ordered("p"), params).alias("_z"), *[_log_total(ordered(f"p{s}"), params).alias(f"_z{s}") for s in range(k)])
