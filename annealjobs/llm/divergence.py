@@ -33,35 +33,56 @@ FEW = 100_000
 
 
 def counted(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, documents) of docs (lang, source, text), with a row of null term for every group."""
-    small_batches(docs.sparkSession)
+    """(lang, term, sources, n, documents): postings of docs (lang, source, text), some rows a term; the null term has every group, with 0.
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+    A task adds up what it reads, term by term, so that a row that moves is a term with all of its sources.
+    """
+    small_batches(docs.sparkSession)
 
-        def flushed() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (n, documents) in held.items():
-                terms = [None, *n]
-                for i in range(0, len(terms), 50_000):
-                    some = terms[i : i + 50_000]
-                    columns = [pa.array([lang] * len(some)), pa.array([source] * len(some)), pa.array(some, pa.binary()).cast(pa.string()), pa.array([n.get(t, 0) for t in some], pa.int64()), pa.array([documents.get(t, 0) for t in some], pa.int64())]
-                    yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "documents"])
-            held.clear()
+    def rows(lang: str, documents: Counter, by_source: dict[str, Counter]) -> Iterator[pa.RecordBatch]:
+        names, terms = list(by_source), list(documents)
+        number = dict(zip(terms, range(len(terms))))
+        term = np.concatenate([np.fromiter(map(number.__getitem__, c), np.int64, len(c)) for c in by_source.values()])
+        n = np.concatenate([np.fromiter(c.values(), np.int64, len(c)) for c in by_source.values()])
+        order = np.argsort(term, kind="stable")
+        source = np.repeat(np.arange(len(names)), [len(c) for c in by_source.values()])[order]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(terms)))]).astype(np.int32)
+        columns = [
+            pa.array([lang]).take(pa.array(np.zeros(len(terms) + 1, np.int64))),
+            pa.array([*terms, None], pa.binary()).cast(pa.string()),
+            pa.ListArray.from_arrays(pa.array([*offsets.tolist(), offsets[-1] + len(names)], pa.int32()), pa.array(names).take(pa.array(np.concatenate([source, np.arange(len(names))])))),
+            pa.ListArray.from_arrays(pa.array([*offsets.tolist(), offsets[-1] + len(names)], pa.int32()), pa.array(np.concatenate([n[order], np.zeros(len(names), np.int64)]))),
+            pa.array([*documents.values(), 0], pa.int64()),
+        ]
+        whole = pa.RecordBatch.from_arrays(columns, ["lang", "term", "sources", "n", "documents"])
+        yield from (whole.slice(at, 20_000) for at in range(0, len(whole), 20_000))
 
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, tuple[Counter, dict[str, Counter]]] = {}
         for b in batches:
             for lang, source, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), utf8(b.column(2))):
-                n, documents = held.setdefault((lang, source), (Counter(), Counter()))
-                own: set[bytes] = set()
+                documents, by_source = held.setdefault(lang, (Counter(), {}))
+                n, own = by_source.setdefault(source, Counter()), set()
                 for some in runs_of(TERM, text.lower()):
                     n.update(some)
                     own.update(some)
                 documents.update(own)
-            if sum(len(n) for n, _ in held.values()) > HELD:
-                yield from flushed()
-        yield from flushed()
+            if sum(len(n) for _, by_source in held.values() for n in by_source.values()) > HELD:
+                for lang, counts in held.items():
+                    yield from rows(lang, *counts)
+                held.clear()
+        for lang, counts in held.items():
+            yield from rows(lang, *counts)
+
+    return docs.select("lang", "source", "text").mapInArrow(run, "lang string, term string, sources array<string>, n array<long>, documents long")
+
 
-    partial = docs.select("lang", "source", "text").mapInArrow(run, "lang string, source string, term string, n long, documents long")
-    return partial.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("documents").alias("documents"))
+def term_major(partial: DataFrame) -> DataFrame:
+    """(lang, term, postings, n, documents) of counted: rows of a term meet once, and are added up and gathered where they are."""
+    each = partial.repartition("lang", "term").select("lang", "term", "documents", F.posexplode(F.arrays_zip("sources", "n")).alias("at", "c"))
+    # a row's documents count with its first posting alone
+    cells = each.groupBy("lang", "term", "c.sources").agg(F.sum("c.n").alias("n"), F.sum(F.when(F.col("at") == 0, F.col("documents")).otherwise(0)).alias("documents"))
+    return cells.groupBy("lang", "term").agg(F.collect_list(F.struct(F.col("sources").alias("source"), "n")).alias("postings"), F.sum("n").alias("n"), F.sum("documents").alias("documents"))
 
 
 def _some(df: DataFrame) -> DataFrame:
@@ -158,11 +179,11 @@ def audit(docs: DataFrame, least_documents: int = LEAST_DOCUMENTS, ranks: int =
     not read; an empty table gives an empty result. A term's postings, no more than a language has sources, are a row.
     """
     text = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in ("lang", "source", "text")]
-    cells = saved(counted(docs.select(text)), "cells")
-    index = cells.where("term IS NOT NULL").groupBy("lang", "term").agg(F.collect_list(F.struct("source", "n")).alias("postings"), F.sum("n").alias("n"), F.sum("documents").alias("documents"))
-    index = saved(index.where(F.col("documents") >= least_documents).drop("documents"), "index")
+    kept_terms = (F.col("documents") >= least_documents) & F.col("term").isNotNull()
+    both = saved(term_major(counted(docs.select(text))).where(kept_terms | F.col("term").isNull()), "index")
+    index = both.where(kept_terms).drop("documents")
     kept = index.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("n").alias("words"), F.sum(F.size("postings")).alias("size"))
-    known = cells.where("term IS NULL").select("lang", "source")
+    known = both.where("term IS NULL").select("lang", F.explode("postings.source").alias("source"))
     stats = known.groupBy("lang").agg(F.count("*").alias("sources")).join(kept, "lang", "left").select(
         "lang", F.coalesce("terms", F.lit(0)).alias("terms"), F.coalesce("words", F.lit(0)).alias("words"), F.ceil(F.greatest(F.lit(1), F.coalesce("size", F.lit(0)) / block)).cast("int").alias("blocks"), F.ceil(F.col("sources") / tile).cast("int").alias("tiles")
     )

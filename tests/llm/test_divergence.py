@@ -89,4 +89,13 @@ def test_shares_in_columns_are_exact(spark):
 def test_long_texts_are_counted_in_pieces(spark):
     text = "ab é " * 300_000 + "cd"
     docs = spark.createDataFrame([(text, "en", "s")], "text string, lang string, source string")
-    assert {(r.term, r.n, r.documents) for r in divergence.counted(docs).collect()} == {(None, 0, 0), ("ab", 300_000, 1), ("é", 300_000, 1), ("cd", 1, 1)}
+    got = {(r.term, r.n, r.documents, tuple(r.postings[0])) for r in divergence.term_major(divergence.counted(docs)).collect()}
+    assert got == {(None, 0, 0, ("s", 0)), ("ab", 300_000, 1, ("s", 300_000)), ("é", 300_000, 1, ("s", 300_000)), ("cd", 1, 1, ("s", 1))}
+
+
+@pytest.mark.parametrize("held", [1, 1 << 18])
+def test_terms_handed_on_in_parts(spark, monkeypatch, held):
+    monkeypatch.setattr(divergence, "HELD", held)
+    docs = spark.createDataFrame([(t, lang, s) for lang in ("x", "y") for s in ("a", "b") for t in ("one two", "two", "", "two two 7 one")] * 50, "text string, lang string, source string").repartition(7)
+    got = {(r.lang, r.term): (r.n, r.documents, sorted(map(tuple, r.postings))) for r in divergence.term_major(divergence.counted(docs)).collect()}
+    assert got["x", "two"] == (400, 300, [("a", 200), ("b", 200)]) and got["y", "one"] == (200, 200, [("a", 100), ("b", 100)]) and got["x", None] == (0, 0, [("a", 0), ("b", 0)]) and len(got) == 6

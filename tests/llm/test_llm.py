@@ -749,13 +749,14 @@ def test_every_query_on_a_small_folder(spark, tmp_path):
         "op1": ["doc_id", "fingerprint", "component_id"], "op2": ["page_id", "host", "path", "rule", "verdict"], "op3": ["doc_id", "held_out", "lang_pred", "score"], "op4": ["doc_id", "start", "n_tokens", "ids_crc32"],
         "op5": ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"], "op6": ["doc_id", "size", "source_size", "target", "taken"], "op7": ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"],
         "op8": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"], "op9": ["doc_id", "item_id"], "op10": ["doc_id", "n_bytes", "n_tokens", "over_limit"],
+        "op11": ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"], "op12": ["lang", "source", "part", "item", "value", "rank"], "op13": ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"],
     }
     out = {}
     for name, f in registry.QUERIES.items():
         df = f(spark, str(tmp_path))
         assert set(columns[name.split("_")[0]]) <= set(df.columns)
         out[name.split("_")[0]] = df.collect()
-    assert all(len(out[k]) == len(rows) for k in ("op1", "op3", "op4", "op6", "op7", "op8", "op10")) and len(out["op2"]) == len(out["op5"]) == 3
+    assert all(len(out[k]) == len(rows) for k in ("op1", "op3", "op4", "op6", "op7", "op8", "op10", "op11", "op13")) and len(out["op2"]) == len(out["op5"]) == 3
     assert {x.doc_id: x.fingerprint for x in out["op1"]} == {d: f"{reference_fp(t):016x}" for d, t, _ in rows}
     assert {x.doc_id: x.held_out for x in out["op3"]} == {d: zlib.crc32(str(d).encode()) % 5 == 0 for d, *_ in rows}
     assert {x.doc_id: x.kept_sha256 for x in out["op7"]} == {d: hashlib.sha256(x[3]).hexdigest() for d, x in brute_dedup([(d, t) for d, t, _ in rows], 50).items()}
