@@ -26,8 +26,8 @@ from annealjobs.llm.shared import runs_of, saved, small_batches, table, utf8
 #: A term's bytes once A-Z are lower-cased: letters, and whatever is not ASCII.
 TERM = "a-z\x80-\xff"
 LEAST_DOCUMENTS, SCALE, RANKS = 3, 10**9, 200
-#: Terms that a task counts before it hands them on; postings of a block; rows of accumulators that a task holds.
-HELD, BLOCK, TILE = 1 << 18, 1 << 18, 1024
+#: Counts of terms by source that a task holds before it hands them on; postings of a block; rows of accumulators that a task holds.
+HELD, BLOCK, TILE = 1 << 20, 1 << 18, 1024
 #: Rows of a table that may be broadcast: languages, or groups.
 FEW = 100_000
 
