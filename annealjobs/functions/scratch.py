@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -40,3 +40,8 @@ def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
+    """df dealt out by keys over as many partitions as shuffles have: rows that make much work of few bytes are not put together again."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

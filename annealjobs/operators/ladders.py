@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from annealjobs.functions.scratch import spread
+
 
 def _by_t() -> WindowSpec:
     return Window.partitionBy("schedule_id").orderBy("t")
@@ -94,7 +96,7 @@ def _changes(ladder: DataFrame, n_blocks: int | DataFrame) -> tuple[DataFrame, l
     low, high = F.floor(F.least("_x", "_x0")), F.ceil(F.greatest("_x", "_x0")) - 1
     chunks = rungs.where("_x != _x0").select("*", high.alias("_high"), F.explode(F.sequence(low, high, F.lit(CHUNK).cast("long"))).alias("_from"))
     columns = [*keys, "schedule_id", "t"]
-    rows = chunks.repartition(*columns, "_from").select(*columns, "_x", "_x0", F.explode(F.sequence(F.col("_from").cast("int"), F.least("_high", F.col("_from") + (CHUNK - 1)).cast("int"))).alias("block"))
+    rows = spread(chunks, *columns, "_from").select(*columns, "_x", "_x0", F.explode(F.sequence(F.col("_from").cast("int"), F.least("_high", F.col("_from") + (CHUNK - 1)).cast("int"))).alias("block"))
     psi = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col(x) - F.col("block")))
     return rows.select(*columns, "block", psi("_x").alias("psi"), (psi("_x") - psi("_x0")).alias("d_psi")), keys
 

@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from annealjobs.functions.scratch import saved
+from annealjobs.functions.scratch import saved, spread
 
 _TOKEN = re.compile(r"[(),;]|:[^(),:;]*|[^(),:;]+")
 
@@ -41,7 +41,7 @@ _TOKENS = r"\(|\)[^(),:;]*(?::[^(),:;]*)?|[^(),:;]+(?::[^(),:;]*)?"
 
 
 def tree_nodes(trees: DataFrame) -> DataFrame:
-    """A row for each node of trees (tree_id, newick): tree_id, i (its place, children before parents), parent, leaf, name, length, and what its clade is.
+    """A row for each node of trees (tree_id, newick): tree_id, i (its place in the text), parent, top, leaf, name, length, and what its clade is.
 
     All in columns: the text is cut into tokens, depths are running sums over a tree's tokens, and a closing
     bracket meets the last opening one of its depth. A clade is the leaves first to first + size - 1 in the
@@ -51,7 +51,7 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
     text gives no row.
     """
     text = F.regexp_replace("newick", r"\s+", "")
-    cut = trees.where("newick IS NOT NULL").select("tree_id", "newick").repartition("tree_id")
+    cut = spread(trees.where("newick IS NOT NULL").select("tree_id", "newick"), "tree_id")
     rows = cut.select("tree_id", F.posexplode(F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))).alias("i", "token"))
     opens, closes = F.col("token") == "(", F.col("token").startswith(")")
     leaf = ~opens & ~closes
@@ -72,7 +72,7 @@ def tree_nodes(trees: DataFrame) -> DataFrame:
     before = lambda c: F.when(F.col("leaf"), F.col(c) - (1 if c == "leaves" else 0)).otherwise(F.col(f"own.{c}"))
     split = F.struct(*[F.when(F.col("leaf"), F.col(h)).otherwise(F.col(x).bitwiseXOR(F.col(f"own.{x}"))).alias(n) for n, h, x in (("a", "h1", "x1"), ("b", "h2", "x2"))])
     # a node is known by its opening bracket, a leaf by itself
-    return rows.where("NOT opens").select("tree_id", F.when(F.col("leaf"), F.col("i")).otherwise(F.col("own.i")).alias("i"), F.when(F.col("depth") > 0, F.col("outer.i")).alias("parent"), "leaf", "name", "length", before("leaves").alias("first"), (F.col("leaves") - before("leaves")).alias("size"), split.alias("split"), "least", "taxa", "whole")
+    return rows.where("NOT opens").select("tree_id", F.when(F.col("leaf"), F.col("i")).otherwise(F.col("own.i")).alias("i"), F.when(F.col("depth") > 0, F.col("outer.i")).alias("parent"), (F.col("depth") == 0).alias("top"), "leaf", "name", "length", before("leaves").alias("first"), (F.col("leaves") - before("leaves")).alias("size"), split.alias("split"), "least", "taxa", "whole")
 
 
 def tree_edges(trees: DataFrame) -> DataFrame:
@@ -90,15 +90,19 @@ def split_rows(nodes: DataFrame, trivial: bool = False) -> DataFrame:
     other = (F.col("first") <= F.col("least.before")) & (F.col("least.before") < F.col("first") + F.col("size"))
     flip = lambda c: F.when(other, F.col(f"whole.{c}").bitwiseXOR(F.col(f"split.{c}"))).otherwise(F.col(f"split.{c}")).alias(c)
     n = F.when(other, F.col("taxa") - F.col("size")).otherwise(F.col("size"))
-    rows = nodes.where("parent IS NOT NULL").select("tree_id", F.struct(flip("a"), flip("b")).alias("split"), "length", "taxa", n.alias("n"), F.struct("first", "size", other.alias("other")).alias("side"))
+    rows = nodes.where("NOT top").select("tree_id", F.struct(flip("a"), flip("b")).alias("split"), "length", "taxa", n.alias("n"), F.struct("first", "size", other.alias("other")).alias("side"))
     rows = rows.where("n > 0" if trivial else "n > 1 AND n < taxa - 1")
     return rows.groupBy("tree_id", "split").agg(F.sum("length").alias("length"), F.min("side").alias("side"))
 
 
-def split_names(splits: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(split, members) of splits (tree_id, split, side): sorted names joined by commas, of each different split once, from one tree that has it."""
+def split_names(splits: DataFrame, trees: DataFrame) -> DataFrame:
+    """(split, members) of splits (tree_id, split, side): sorted names joined by commas, of each different split once, from one tree that has it.
+
+    Only those trees, of trees (tree_id, newick), are taken apart again.
+    """
     one = splits.groupBy("split").agg(F.min(F.struct("tree_id", "side")).alias("x")).select("split", "x.tree_id", "x.side")
-    leaves = nodes.where("leaf").select("tree_id", "name", F.col("first").alias("_at"))
+    some = trees.select("tree_id", "newick").join(one.select("tree_id").distinct(), "tree_id", "left_semi")
+    leaves = tree_nodes(some).where("leaf").select("tree_id", "name", F.col("first").alias("_at"))
     inside = (F.col("_at") >= F.col("side.first")) & (F.col("_at") < F.col("side.first") + F.col("side.size"))
     return one.join(leaves, "tree_id").where(inside != F.col("side.other")).groupBy("split").agg(F.array_join(F.array_sort(F.collect_list("name")), ",").alias("members"))
 
@@ -110,9 +114,8 @@ def named(rows: DataFrame, names: DataFrame) -> DataFrame:
 
 def tree_splits(trees: DataFrame, trivial: bool = False) -> DataFrame:
     """(tree_id, split, length) of trees (tree_id, newick), splits by their sorted names; trivial keeps pendant edges as well."""
-    nodes = saved(tree_nodes(trees), "nodes")
-    splits = saved(split_rows(nodes, trivial), "splits")
-    return named(splits.drop("side"), split_names(splits, nodes))
+    splits = saved(split_rows(tree_nodes(trees), trivial), "splits")
+    return named(splits.drop("side"), split_names(splits, trees))
 
 
 def tree_log_prior(edges: DataFrame, rate: float = 10.0) -> DataFrame:
@@ -261,8 +264,8 @@ def tree_log_likelihood(trees: DataFrame, patterns: DataFrame, kappa: float = 2.
                 out.append(pd.DataFrame({"dataset_id": r.dataset_id, "tree_id": r.trees, "part": lik @ np.asarray(r.n, float)}))
             yield pd.concat(out) if out else pd.DataFrame({"dataset_id": [], "tree_id": [], "part": []})
 
-    spread = graphs.join(blocks, "dataset_id").repartition("dataset_id", "_b", F.col("trees")[0]).drop("_b")
-    parts = spread.mapInPandas(run, "dataset_id long, tree_id long, part double")
+    each = spread(graphs.join(blocks, "dataset_id"), "dataset_id", "_b", F.col("trees")[0]).drop("_b")
+    parts = each.mapInPandas(run, "dataset_id long, tree_id long, part double")
     return parts.groupBy("dataset_id", "tree_id").agg(F.sum("part").alias("log_lik"))
 
 

@@ -600,15 +600,11 @@ TREES = f"WITH ranks AS ({SQL['tree_ranks']}), splits AS (" + " UNION ALL ".join
 CLADES = f"{TREES}, total AS (SELECT dataset_id, sum(weight) / 3 AS total FROM splits GROUP BY dataset_id), clades AS (SELECT s.dataset_id, split, sum(weight) / max(total) AS p, sum(weight * length) / sum(weight) AS mean_length FROM splits s JOIN total USING (dataset_id) GROUP BY s.dataset_id, split)"
 
 
-def _weights(spark, d, *more: str):
-    return fixture(spark, d, "tree_ranks").where("rank = 1").select("dataset_id", "tree_id", "weight", *more)
-
-
 def _splits(spark, d, trivial=False):
-    """Splits of all trees by hashes, and the names of each different one: the trees are parsed once."""
-    nodes = saved(trees.tree_nodes(fixtures.trees(spark, d)), "nodes")
-    splits = saved(trees.split_rows(nodes, trivial), "splits")
-    return splits, trees.split_names(splits, nodes)
+    """Splits of all trees by hashes, the names of each different one, and the trees' weights; the trees are parsed once."""
+    table = saved(fixtures.trees(spark, d), "trees")
+    splits = saved(trees.split_rows(trees.tree_nodes(table), trivial), "splits")
+    return splits, trees.split_names(splits, table), table.select("dataset_id", "tree_id", "weight")
 
 
 @query(f"{TREES} SELECT tree_id, split, round(length, 6) AS length FROM splits")
@@ -665,8 +661,8 @@ def k5_tree_log_likelihood(spark, d):
 
 @query(f"{CLADES} SELECT dataset_id, split, round(p, 6) AS p, round(mean_length, 6) AS mean_length FROM clades")
 def q8_clade_posterior(spark, d):
-    splits, names = _splits(spark, d)
-    return rounded(trees.named(trees.clade_posterior(splits, _weights(spark, d), ["dataset_id"]), names), "p", "mean_length")
+    splits, names, weights = _splits(spark, d)
+    return rounded(trees.named(trees.clade_posterior(splits, weights, ["dataset_id"]), names), "p", "mean_length")
 
 
 _HALVES = f"{TREES}, " + ", ".join(f"t{h} AS (SELECT dataset_id, sum(weight) / 3 AS total FROM splits WHERE tree_id % 2 = {h} GROUP BY dataset_id), c{h} AS (SELECT dataset_id, split, sum(weight) / max(total) AS p FROM splits JOIN t{h} USING (dataset_id) WHERE tree_id % 2 = {h} GROUP BY dataset_id, split)" for h in (0, 1))
@@ -674,20 +670,20 @@ _HALVES = f"{TREES}, " + ", ".join(f"t{h} AS (SELECT dataset_id, sum(weight) / 3
 
 @query(f"{_HALVES} SELECT coalesce(a.dataset_id, b.dataset_id) AS dataset_id, round(sum(abs(coalesce(a.p, 0) - coalesce(b.p, 0))), 6) AS distance FROM c0 a FULL JOIN c1 b ON a.dataset_id = b.dataset_id AND a.split = b.split GROUP BY 1")
 def q9_clade_distance(spark, d):
-    (splits, _), weights = _splits(spark, d), _weights(spark, d)
+    splits, _, weights = _splits(spark, d)
     p, q = (trees.clade_posterior(splits, weights.where(F.col("tree_id") % 2 == h), ["dataset_id"]) for h in (0, 1))
     return rounded(trees.clade_distance(p, q, ["dataset_id"]), "distance")
 
 
 @query(f"{CLADES} SELECT dataset_id, split, round(p, 6) AS p, round(mean_length, 6) AS mean_length FROM clades WHERE p > 0.3")
 def q10_consensus_splits(spark, d):
-    splits, names = _splits(spark, d)
-    return rounded(trees.named(trees.consensus_splits(splits, _weights(spark, d), ["dataset_id"], 0.3), names), "p", "mean_length")
+    splits, names, weights = _splits(spark, d)
+    return rounded(trees.named(trees.consensus_splits(splits, weights, ["dataset_id"], 0.3), names), "p", "mean_length")
 
 
 def _consensus(spark, d, trivial=False):
-    splits, names = _splits(spark, d, trivial)
-    majority = trees.named(trees.consensus_splits(splits, _weights(spark, d), ["dataset_id"]), names)
+    splits, names, weights = _splits(spark, d, trivial)
+    majority = trees.named(trees.consensus_splits(splits, weights, ["dataset_id"]), names)
     return trees.consensus_newick(majority, fixture(spark, d, "tree_ranks").select("dataset_id", "taxon").distinct(), "dataset_id")
 
 
@@ -700,7 +696,7 @@ def q10_consensus_newick(spark, d):
   SELECT coalesce(a.tree_id, b.tree_id) AS tree_id, count(*) FILTER (a.length IS NULL OR b.length IS NULL) AS partition, round(count(*) FILTER (a.length IS NULL OR b.length IS NULL) / (count(a.length) + count(b.length)), 6) AS rate,
     round(sum(abs(coalesce(a.length, 0) - coalesce(b.length, 0))), 6) AS branch_l1, round(sqrt(sum(pow(coalesce(a.length, 0) - coalesce(b.length, 0), 2))), 6) AS branch_l2 FROM a FULL JOIN b ON a.tree_id = b.tree_id AND a.split = b.split GROUP BY 1""")
 def q11_tree_distance(spark, d):
-    (splits, _), weights = _splits(spark, d), _weights(spark, d)
+    splits, _, weights = _splits(spark, d)
     gold = weights.groupBy("dataset_id").agg(F.min("tree_id").alias("g"))
     theirs = weights.join(gold, "dataset_id").select("tree_id", "g").join(splits.withColumnRenamed("tree_id", "g"), "g").drop("g")
     return rounded(trees.tree_distance(splits, theirs, ["tree_id"]), "rate", "branch_l1", "branch_l2")
@@ -708,8 +704,8 @@ def q11_tree_distance(spark, d):
 
 @query(f"{TREES}, shapes AS (SELECT tree_id, dataset_id, max(weight) AS weight, string_agg(split, ';' ORDER BY split) AS topology FROM splits GROUP BY tree_id, dataset_id) SELECT dataset_id, topology, round(sum(weight), 3) AS weight, count(*) AS n FROM shapes GROUP BY ALL")
 def q12_topology_counts(spark, d):
-    splits, names = _splits(spark, d)
-    counts = trees.topology_counts(splits, _weights(spark, d), ["dataset_id"])
+    splits, names, weights = _splits(spark, d)
+    counts = trees.topology_counts(splits, weights, ["dataset_id"])
     return trees.named_topologies(counts, splits, names).withColumn("weight", F.round("weight", 3))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from annealjobs.functions.scratch import spread
+
 SQL = {
     "part": """SELECT user_id AS population_id, event_id AS particle_id, event_type AS state, -value / 10 AS log_lik,
   CAST(1 + event_id % 5 AS DOUBLE) / SUM(CAST(1 + event_id % 5 AS DOUBLE)) OVER (PARTITION BY user_id) AS w FROM events""",
@@ -35,7 +37,9 @@ NEWICK = "CONCAT('((((', t1, ':', p1, ',', t2, ':', p2, '):', q2, ',', t3, ':',
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     for t in _TABLES[name]:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+        rows = spark.read.parquet(f"{sf_dir}/{t}.parquet")
+        # six rows and their text come of each order
+        (spread(rows, "o_orderkey") if name == "tree_ranks" else rows).createOrReplaceTempView(t)
     if name == "aln":  # a character by explode: cutting it out of a long text by place would be quadratic
         chars = spark.table("documents").select(F.floor(F.col("doc_id") / 8).cast("long").alias("dataset_id"), F.concat(F.lit("t"), (F.col("doc_id") % 8).cast("string")).alias("taxon"), F.posexplode(F.split("text", "")).alias("site", "c"))
         return chars.where("c != ''").select("dataset_id", "taxon", "site", F.substring(F.lit("ACGT"), F.ascii("c") % 4 + 1, F.lit(1)).alias("ch"))

@@ -252,11 +252,11 @@ def test_trees_in_columns(spark):
 
 def test_topologies(spark):
     same = ["((A:1,B:2):3,(C:4,D:5):6,E:7);", "(E:1,(D:1,C:1):9,(B:3,A:2):1);", "((E:1,(A:1,B:1):1):1,C:1,D:2);", "(((A:1,C:1):1,B:1):1,D:1,E:1);", "(A,B,C,D,E);"]
-    nodes = trees.tree_nodes(spark.createDataFrame(list(enumerate(same)), "tree_id long, newick string"))
-    splits = trees.split_rows(nodes)
+    df = spark.createDataFrame(list(enumerate(same)), "tree_id long, newick string")
+    splits = trees.split_rows(trees.tree_nodes(df))
     weights = spark.createDataFrame([("g", i, 1.0 + i) for i in range(5)], "k string, tree_id long, weight double")
     counts = trees.topology_counts(splits, weights, ["k"])
-    got = {(r.topology, r.weight, r.n) for r in trees.named_topologies(counts, splits, trees.split_names(splits, nodes)).collect()}
+    got = {(r.topology, r.weight, r.n) for r in trees.named_topologies(counts, splits, trees.split_names(splits, df)).collect()}
     assert got == {("C,D;C,D,E", 6.0, 3), ("B,D,E;D,E", 4.0, 1), ("", 5.0, 1)}
 
 
