@@ -59,10 +59,11 @@ def next_temperature(particles: DataFrame, key: str, beta: Column | str, alpha:
     that are still open, and ends a population's search once the objective is within tolerance * (1 - alpha)
     of its target. CESS only falls with the step; ESS may cross its target more than once, and then the first of
     `cells` equal cells of the way that ends under it is searched. All the way if the target holds at
-    beta = 1; default where no step solves it: dead particles (log_lik -inf) alone take the objective under its
-    target, a log_lik or weight is no number, or MOST_PASSES did not do.
+    beta = 1; default where no step solves it: dead particles (log_lik -inf) alone take the objective to its
+    target (within that tolerance) or under it, a log_lik or weight is no number, or MOST_PASSES did not do.
     """
     spark = particles.sparkSession
+    goal, slack = math.sqrt(-math.log(alpha)), tolerance * (1 - alpha)
     beta = F.col(beta) if isinstance(beta, str) else beta
     kept = particles.select(key, "log_lik", "w", beta.alias("_beta"))
     tops = kept.groupBy(key).agg(F.max("log_lik").alias("_m"), (1 - F.max("_beta")).alias("top"))
@@ -76,14 +77,13 @@ def next_temperature(particles: DataFrame, key: str, beta: Column | str, alpha:
     alive = rows.groupBy(key).agg(F.sum(w).alias("s"), F.sum(_second(mode)).alias("s2"), F.sum(w * x).alias("sx"), F.sum(w * x * x).alias("sxx"), F.sum(w * v).alias("a"), F.sum(_second(mode) * v * v).alias("b"))
     end, zero = F.col("a") * F.col("a") / F.col("b") / F.col("scale"), F.col("s") * F.col("s") / F.col("s2") / F.col("scale")
     sd = F.sqrt(F.greatest(F.lit(0.0), F.col("sxx") / F.col("s") - F.pow(F.col("sx") / F.col("s"), F.lit(2.0))))
-    fails = F.coalesce((F.col("_odd") > 0) | F.isnan(end) | (zero <= alpha) & (end < alpha), F.lit(True))
+    fails = F.coalesce((F.col("_odd") > 0) | F.isnan(end) | (zero <= alpha + slack) & (end < alpha), F.lit(True))
     start = whole.join(alive, key, "left").select(key, "top", "scale", F.when(~fails & (end >= alpha), F.col("top")).alias("delta"), (fails | (end >= alpha)).alias("done"), F.lit(0.0).alias("lo"), F.col("top").alias("hi"), (math.sqrt(-math.log(alpha)) / F.when(sd > 0, sd)).alias("guess"))
     if mode == "ess":
         start = _first_cells(rows, key, cut(start), mode, alpha, cells)
     inside = lambda g: F.when((g > F.col("lo")) & (g < F.col("hi")), g).otherwise(F.when(F.col("lo") > 0, F.sqrt(F.col("lo") * F.col("hi"))).otherwise(F.col("hi") / 16))
     state = cut(start.select(key, "top", "scale", "delta", "done", "lo", "hi", inside(F.col("guess")).alias("at")))
 
-    goal, slack = math.sqrt(-math.log(alpha)), tolerance * (1 - alpha)
     done = state.where("done")
     for _ in range(MOST_PASSES):
         open_ = state.where("NOT done")

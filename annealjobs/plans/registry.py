@@ -268,7 +268,11 @@ def r6_survivors(spark, d):
 
 
 def _solved(mode: str, alpha: float, part: str = PART, alive: str = "true", default: str = "NULL", rounds: int = 45) -> str:
-    """Bisection of each population's way to 1: another method than the query's, to the same root."""
+    """Bisection of each population's way to 1: another method than the query's, to the same root.
+
+    Where the dead alone take a population just to its target, sums of doubles stand on either side of it by the
+    order they were added in: within a billionth of 1 - alpha, as in the operator, no step solves it.
+    """
     second = "w" if mode == "cess" else "w * w"
     now = "1.0" if mode == "cess" else "max(1 / s2)"
     ratio = lambda x: f"pow(sum(w * exp({x} * log_lik)) FILTER ({alive}), 2) / sum({second} * exp(2 * {x} * log_lik)) FILTER ({alive}) / {now}"
@@ -277,7 +281,7 @@ def _solved(mode: str, alpha: float, part: str = PART, alive: str = "true", defa
   b AS (SELECT population_id, 0.0::DOUBLE AS lo, {1 - BETA}::DOUBLE AS hi, 0 AS i FROM ends UNION ALL
     SELECT population_id, CASE WHEN v >= {alpha} THEN mid ELSE lo END, CASE WHEN v >= {alpha} THEN hi ELSE mid END, i + 1
     FROM (SELECT b.population_id, lo, hi, i, (lo + hi) / 2 AS mid, {ratio('((lo + hi) / 2)')} AS v FROM b JOIN p USING (population_id) WHERE i < {rounds} GROUP BY b.population_id, lo, hi, i))
-  SELECT population_id, round(CASE WHEN one >= {alpha} THEN {1 - BETA} WHEN zero <= {alpha} OR zero IS NULL THEN {default} ELSE lo END, 6) AS delta FROM b JOIN ends USING (population_id) WHERE i = {rounds}"""
+  SELECT population_id, round(CASE WHEN one >= {alpha} THEN {1 - BETA} WHEN zero <= {alpha} + 1e-9 * (1 - {alpha}) OR zero IS NULL THEN {default} ELSE lo END, 6) AS delta FROM b JOIN ends USING (population_id) WHERE i = {rounds}"""
 
 
 @query(_solved("cess", 0.999))

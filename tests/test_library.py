@@ -178,6 +178,9 @@ def test_steps_that_nothing_solves(spark):
     assert [got[k] for k in (1, 2, 3, 5)] == [None] * 4 and got[6] == 1 and 0 < got[4] < 1
     assert {r.delta for r in adaptive.or_default(adaptive.next_temperature(df.where("population_id = 1"), "population_id", "beta", 0.9), 50).collect()} == {0.02}
     assert not adaptive.next_temperature(df.limit(0), "population_id", "beta").count()
+    # the dead take this one just to its target: whichever side of it a sum of tenths falls on
+    even = spark.createDataFrame([(1, -float(i), 0.1, 0.0) for i in range(7)] + [(1, -inf, 0.3, 0.0)], df.schema)
+    assert [r.delta for r in adaptive.next_temperature(even.repartition(5), "population_id", "beta", 0.7).collect()] == [None]
 
 
 def test_smc_meets_the_exact_evidence(spark):
