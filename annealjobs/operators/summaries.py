@@ -25,9 +25,10 @@ def map_particle(df: DataFrame, key: str, w: str = "w", id_col: str = "particle_
     return df.groupBy(key).agg(F.min_by(F.struct(*[c for c in df.columns if c != key]), F.struct(-F.col(w), F.col(id_col))).alias("x")).select(key, "x.*")
 
 
-def centroid(counts: DataFrame, keys: list[str], loss: Callable[[Column, Column], Column], metric: bool = False) -> DataFrame:
+def centroid(counts: DataFrame, keys: list[str], loss: Callable[[Column, Column], Column], metric: bool = False, digits: int | None = None) -> DataFrame:
     """(keys, item, loss): the observed item of least expected loss; ties go to the smallest. Pairs are of unique items of a group only.
 
+    digits: losses are rounded to so many decimals, as those of weights that are themselves rounded tie only up to that.
     metric: the loss is symmetric and keeps the triangle inequality. Then a group's heaviest item p, of expected
     loss E, bounds all others: item x loses at least W loss(x, p) - E, with W the group's weight, so that
     only items with W loss(x, p) <= 2 E are paired with the rest. Keys are not null.
@@ -40,18 +41,21 @@ def centroid(counts: DataFrame, keys: list[str], loss: Callable[[Column, Column]
         slack = F.col("_e") * 2 * F.lit(1 + 1e-9).cast(dict(counts.dtypes)["weight"])  # sums of doubles in no fixed order
         mine = near.join(bound, keys).where(F.col("_w") * F.col("_d") <= slack).select(*keys, "item")
     others = counts.select(*keys, F.col("item").alias("_y"), F.col("weight").alias("_wy"))
-    costs = mine.join(others, keys).groupBy(*keys, "item").agg(F.sum(F.col("_wy") * loss(F.col("item"), F.col("_y"))).alias("loss"))
+    cost = F.sum(F.col("_wy") * loss(F.col("item"), F.col("_y")))
+    costs = mine.join(others, keys).groupBy(*keys, "item").agg((cost if digits is None else F.round(cost, digits)).alias("loss"))
     return costs.groupBy(*keys).agg(F.min_by("item", F.struct("loss", "item")).alias("item"), F.min("loss").alias("loss"))
 
 
-def centroid_on_line(counts: DataFrame, keys: list[str], position: Column) -> DataFrame:
+def centroid_on_line(counts: DataFrame, keys: list[str], position: Column, slack: float = 0.0) -> DataFrame:
     """(keys, item, loss): the observed item of least expected distance of positions, numbers; ties go to the smallest item.
 
+    slack: the share of a group's weight by which rounded weights may miss its half and still tie.
+
     The weighted medians have it: positions up to which, and from which, at least half of the weight stands.
     They are selected by histograms, so that no group is ordered in one task and no items are paired.
     """
     rows = counts.withColumn("_at", position.cast("double")).where("weight > 0")
-    half = rows.groupBy(*keys).agg((F.sum("weight") / 2).alias("target"))
+    half = rows.groupBy(*keys).agg((F.sum("weight") / 2 if not slack else F.sum("weight") / 2 * F.lit(Decimal(repr(1 - 2 * slack)) if "decimal" in dict(rows.dtypes)["weight"] else 1 - 2 * slack)).alias("target"))
     low = select(rows, keys, "_at", "weight", half).withColumnRenamed("selected", "_low")
     high = select(rows.withColumn("_at", -F.col("_at")), keys, "_at", "weight", half).select(*keys, (-F.col("selected")).alias("_high"))
     both = rows.join(low, keys).join(high, keys)
