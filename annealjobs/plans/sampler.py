@@ -3,7 +3,7 @@
 The loop runs over generations and advances all populations together: each stands at its own
 temperature, and those at 1 leave. A generation is: choose the step, weigh the state before the move,
 resample where the effective sample size has fallen, move with the kernel of the new temperature.
-Each generation is cut by a reliable checkpoint.
+Each generation is a table in the shared folder, deleted once the next one stands.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from annealjobs.functions.keyed import uniform
 from annealjobs.functions.logspace import log_sum_exp, neg_inf
-from annealjobs.functions.scratch import cut, new_path
+from annealjobs.functions.scratch import forget, new_path, saved, spread
 from annealjobs.operators.adaptive import next_temperature, or_default
 from annealjobs.operators.hmm import Params
 from annealjobs.operators.resample import draw_counts, running_totals
@@ -42,16 +42,19 @@ class HmmKernel:
             self.init, self.trans, self.emit = (np.log(np.array(x)) for x in (params.init, params.trans, params.emit))
 
     def initial(self, data: list, draws: np.ndarray) -> tuple[list, np.ndarray]:
-        states, lls = [], []
-        for obs, u in zip(data, draws):
-            r = np.random.default_rng(int(u[0] * 2**53))
-            p, path = np.exp(self.init), []
-            for _ in obs:
-                path.append(int(np.searchsorted(np.cumsum(p)[:-1], r.random(), "right")))
-                p = np.exp(self.trans[path[-1]])
-            states.append(path)
-            lls.append(float(self.emit[path, list(obs)].sum()))
-        return states, np.array(lls)
+        states, lls = [None] * len(data), np.zeros(len(data))
+        sizes = np.array([len(y) for y in data])
+        first, then = np.cumsum(np.exp(self.init))[:-1], np.cumsum(np.exp(self.trans), axis=1)[:, :-1]
+        for size in np.unique(sizes):  # paths of one length are drawn as one block
+            k = np.flatnonzero(sizes == size)
+            u = np.array([np.random.default_rng(int(x * 2**53)).random(size) for x in draws[k, 0]])
+            z = np.zeros((len(k), size), int)
+            for i in range(size):
+                z[:, i] = ((then[z[:, i - 1]] if i else first) <= u[:, i : i + 1]).sum(1)
+            lls[k] = self.emit[z, np.array([data[j] for j in k], int).reshape(z.shape)].sum(1)
+            for j, path in zip(k, z.tolist()):
+                states[j] = path
+        return states, lls
 
     def _prior(self, z: np.ndarray, i: np.ndarray, s: np.ndarray) -> np.ndarray:
         rows, last = np.arange(len(z)), z.shape[1] - 1
@@ -124,7 +127,8 @@ def annealed_smc(populations: DataFrame, kernel: HmmKernel, n: int = 1000, alpha
 
     spark = populations.sparkSession
     slots = populations.select(F.col("population_id").cast("long").alias("population_id"), F.col("data").cast("array<int>").alias("data"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("particle_id"))
-    live, path, t = cut(slots.mapInPandas(draw, _STATE)), new_path(spark, "done"), 0
+    path, here, t = new_path(spark, "done"), new_path(spark, "live"), 0
+    live = saved(spread(slots, "population_id", "particle_id").mapInPandas(draw, _STATE), "live", here)
     live.where("beta >= 1").write.parquet(path)
     while not live.isEmpty():
         t += 1
@@ -138,7 +142,7 @@ def annealed_smc(populations: DataFrame, kernel: HmmKernel, n: int = 1000, alpha
         total = log_sum_exp(weighed, "population_id", "_lw", "_lse")
         weighed = weighed.join(total, "population_id").withColumn("w", F.exp(F.col("_lw") - F.col("_lse"))).withColumn("log_z", F.col("log_z") + F.col("_lse"))
         weighed = weighed.withColumn("beta", F.when(F.col("beta") + F.col("delta") > 1 - 1e-12, 1.0).otherwise(F.col("beta") + F.col("delta"))).drop("delta", "_lw", "_lse")
-        weighed = cut(weighed)
+        weighed = saved(weighed, "weighed", between := new_path(spark, "weighed"))
         sizes = weighed.groupBy("population_id").agg((1 / F.sum(F.col("w") * F.col("w"))).alias("_e"), F.max("beta").alias("_b"))
         again = {"always": F.lit(True), "never": F.lit(False), "ess": F.col("_e") < ess * n}[strategy]
         fallen = sizes.where((F.col("_b") < 1) & again).select("population_id")
@@ -155,9 +159,13 @@ def annealed_smc(populations: DataFrame, kernel: HmmKernel, n: int = 1000, alpha
                 states, lls = kernel.move(b["state"].tolist(), b["data"].tolist(), b["log_lik"].to_numpy(), b["beta"].to_numpy(), _uniforms(b, seed, t, kernel.draws))
                 yield b.assign(state=states, log_lik=lls)
 
-        moved = cut(mixed.select("population_id", "particle_id", "state", "data", "log_lik", "w", "beta", "log_z").mapInPandas(move, _STATE))
+        after = new_path(spark, "live")
+        moved = saved(mixed.select("population_id", "particle_id", "state", "data", "log_lik", "w", "beta", "log_z").mapInPandas(move, _STATE), "live", after)
+        forget(spark, here), forget(spark, between)
+        here = after
         moved.where("beta >= 1").write.mode("append").parquet(path)
         live = moved.where("beta < 1")
+    forget(spark, here)
     done = spark.read.schema(_STATE).parquet(path)
     return done, done.groupBy("population_id").agg(F.max("log_z").alias("log_z"))
 
