@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 
 
@@ -45,3 +47,16 @@ def cut(df: DataFrame) -> DataFrame:
 def spread(df: DataFrame, *keys: str | Column) -> DataFrame:
     """df dealt out by keys over as many partitions as shuffles have: rows that make much work of few bytes are not put together again."""
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
+def gathered(frames: Iterable[pd.DataFrame], most: int = 1 << 18) -> Iterator[pd.DataFrame]:
+    """Small frames of a task put together to some of about `most` rows, as each costs its way to Spark."""
+    held, n = [], 0
+    for f in frames:
+        held.append(f)
+        n += len(f)
+        if n >= most:
+            yield pd.concat(held)
+            held, n = [], 0
+    if held:
+        yield pd.concat(held)
